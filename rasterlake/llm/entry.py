@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterlake.llm import encoding, langid, linerules, packing, quality, rans, topk
+from rasterlake.llm import encoding, jaccard, langid, linerules, packing, quality, rans, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_combination_join": jaccard.op1_token_combination_join,
     "op2_rans_token_files": rans.op2_rans_token_files,
     "op5_bitmask_language_id": langid.op5_bitmask_language_id,
     "op6_pairwise_additive_quality": quality.op6_pairwise_additive_quality,
@@ -17,4 +18,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_speculative_bpe": encoding.op9_speculative_bpe,
     "op10_sum_of_squares_packing": packing.op10_sum_of_squares_packing,
 }
-SQL: dict[str, str] = {"op7_line_first_rules": linerules.ORACLE, "op8_term_at_a_time_topk": topk.ORACLE}
+SQL: dict[str, str] = {"op1_token_combination_join": jaccard.ORACLE, "op7_line_first_rules": linerules.ORACLE, "op8_term_at_a_time_topk": topk.ORACLE}
