@@ -21,10 +21,13 @@ over links from set to set, so a group of copies never becomes pairs. Larger cla
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterlake.llm import work
 from rasterlake.llm.components import connected
@@ -272,7 +275,7 @@ def _split(units: DataFrame, texts: DataFrame, links: DataFrame, k: int, limit:
 
 
 def jaccard_components(docs: DataFrame, k: int, num: int, den: int, unit_tokens: int = UNIT_TOKENS, unit_sets: int = UNIT_SETS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document: sets of k-word shingles link at a Jaccard
+    """doc_id, n_shingles, component_id, h1, h2 (128 bits that tell sets apart) of every document: sets of k-word shingles link at a Jaccard
     similarity of num / den or more; component_id is the smallest doc_id reachable over links.
 
     Words are lower-cased (A-Z) runs of other characters than space and \\x09-\\x0D; a text with fewer than
@@ -334,12 +337,37 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, unit_tokens:
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = roots.join(least, "root").select("h1", "h2", "component_id")
     own = nodes.join(named, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return sets.join(work.saved(own, "components"), ["h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sets.join(work.saved(own, "components"), ["h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "h1", "h2")
+
+
+def keep_one(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Rows of docs (all columns as they are), one of each component: the one of its smallest doc_id, of
+    different texts under that id the one of the smallest hash, of repeated rows any one. Components without
+    any id keep one row too. Texts without words stay, once an id."""
+    found = jaccard_components(docs, k, num, den)
+    class_key = F.when(F.col("n_shingles") == 0, F.xxhash64(F.lit("blank"), "doc_id")).otherwise(F.lit(0))
+    named = found.withColumn("class_key", F.when(F.col("component_id").isNull(), F.xxhash64("h1", "h2")).otherwise(class_key))
+    first = named.groupBy("component_id", "class_key").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("k"), "doc_id", "h1", "h2")).alias("one")).select(F.coalesce("one.doc_id", F.lit(NO_ID)).alias("k0"), F.col("one.h1").alias("k1"), F.col("one.h2").alias("k2"))
+    marks = ["__key", "__h1", "__h2"]
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {c: i for i, c in enumerate(names)}
+        for batch in batches:
+            for part in work.slices(batch, "text"):
+                _, a, b = _marks(shingle_sets(part.column(at["text"]).to_pylist(), k))
+                ids = pa.array([NO_ID if d is None else d for d in part.column(at["doc_id"]).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(a), pa.array(b)], [*part.schema.names, *marks])
+
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(m, T.LongType()) for m in marks]])
+    rows = docs.mapInArrow(run, schema)
+    match = (F.col("__key") == F.col("k0")) & (F.col("__h1") == F.col("k1")) & (F.col("__h2") == F.col("k2"))
+    return rows.join(first, match, "left_semi").dropDuplicates(marks).drop(*marks)
 
 
 def op1_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component at four words and 0.85."""
-    return jaccard_components(work.read(spark, sf_dir, "documents"), 4, 85, 100)
+    return jaccard_components(work.read(spark, sf_dir, "documents"), 4, 85, 100).drop("h1", "h2")
 
 
 ORACLE = r"""

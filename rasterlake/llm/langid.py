@@ -140,6 +140,27 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: str =
     return Model(languages, table, filled**PROBES)
 
 
+def _decide(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    if not model.languages:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    share, has = model.shares(texts)
+    best, total = share.argmax(axis=1), share.sum(axis=1)
+    score = np.where(has & (total > 0), share[np.arange(len(best)), best] / np.maximum(total, 1e-12), 0.0)
+    return [model.languages[k] if h else UNKNOWN for k, h in zip(best.tolist(), has.tolist(), strict=True)], score
+
+
+def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """Rows of docs (all columns as they are) whose language is known with a score over least; null texts,
+    texts without a letter, and all texts where nothing was learned go."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def good(texts: list[str | None]) -> list[bool]:
+        names, score = _decide(sent.value, texts)
+        return [n != UNKNOWN and s > least for n, s in zip(names, score.tolist(), strict=True)]
+
+    return work.filter_batches(docs, lambda: good)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of each whole text. score is the language's corrected share of hits among
     all languages' (0 where there is none: the first language by name is given then). Null texts, texts
@@ -147,16 +168,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        model = sent.value
-
         def one(c: dict) -> list:
-            if not model.languages:
-                return [c["doc_id"], [UNKNOWN] * len(c["text"]), [0.0] * len(c["text"])]
-            share, has = model.shares(c["text"])
-            best = share.argmax(axis=1)
-            total = share.sum(axis=1)
-            score = np.where(has & (total > 0), share[np.arange(len(best)), best] / np.maximum(total, 1e-12), 0.0)
-            return [c["doc_id"], [model.languages[k] if h else UNKNOWN for k, h in zip(best.tolist(), has.tolist(), strict=True)], score.tolist()]
+            names, score = _decide(sent.value, c["text"])
+            return [c["doc_id"], names, score.tolist()]
 
         return one
 

@@ -194,6 +194,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return work.map_batches(work.pick(docs, "doc_id", "text"), "doc_id long, score double", make)
 
 
+def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """Rows of docs (all columns as they are) whose whole text scores least or more; null texts score as empty ones."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return work.filter_batches(docs, lambda: lambda texts: sent.value.score(features(texts)) >= least)
+
+
 def op6_pairwise_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality, learned from the labels of the folds that aren't held out."""
     docs, labels = work.read(spark, sf_dir, "documents"), work.read(spark, sf_dir, "labels")

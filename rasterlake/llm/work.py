@@ -84,6 +84,18 @@ def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Ca
     return df.mapInArrow(run, kind)
 
 
+def filter_batches(df: DataFrame, make: Callable[[], Callable], text: str = "text") -> DataFrame:
+    """Rows for which make()'s function, given a slice's texts, holds; every column passes through as it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good = make()
+        for batch in batches:
+            for part in slices(batch, text):
+                yield part.filter(pa.array(np.asarray(good(part.column(text).to_pylist()), bool)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def pick(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns (extra columns of any name stay out), text as string and ids as long."""
     kinds = {"doc_id": "long", "text": "string"}
