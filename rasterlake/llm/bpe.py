@@ -120,22 +120,25 @@ class SpeculativeBPE:
         self.merged = Lookup(self.left[made] * 65536 + self.right[made], made)
         self.by_pair = dict(zip((self.left[made] * 65536 + self.right[made]).tolist(), made.tolist(), strict=True))
         byte = {c: b for b, c in enumerate(chars)}
-        keys, goal, nodes, accept = [], [], {(): 0}, [-1]
+        steps: dict[int, int] = {}
+        accept = [-1]
+        special = set(self.special.values())
         for t, i in self.vocab.items():
             ended = bool(drop) and t.endswith(self.suffix)
             symbols = [byte[c] for c in (t[:-drop] if ended else t) if c in byte]
-            if ended and symbols:
+            if not symbols or i in special:
+                continue
+            if ended:
                 symbols[-1] += 256
-            if i not in self.special.values() and symbols:
-                for k in range(1, len(symbols) + 1):
-                    path_to = tuple(symbols[:k])
-                    if path_to not in nodes:
-                        nodes[path_to] = len(nodes)
-                        accept.append(-1)
-                        keys.append(nodes[path_to[:-1]] * 512 + path_to[-1])
-                        goal.append(nodes[path_to])
-                accept[nodes[tuple(symbols)]] = i
-        self.trie, self.accept = Lookup(np.array(keys), np.array(goal)), np.array(accept, np.int64)
+            node = 0
+            for x in symbols:
+                new = steps.setdefault(node * 512 + x, len(accept))
+                if new == len(accept):
+                    accept.append(-1)
+                node = new
+            accept[node] = i
+        self.trie = Lookup(np.fromiter(steps.keys(), np.int64, len(steps)), np.fromiter(steps.values(), np.int64, len(steps)))
+        self.accept = np.array(accept, np.int64)
         self.sound = np.ones(self.n, bool)
         whole = self.compatible(self.left[made], self.right[made], self.rank[made])
         for i, ok in sorted(zip(made.tolist(), whole.tolist(), strict=True), key=lambda x: self.rank[x[0]]):

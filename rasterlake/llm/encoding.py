@@ -2,57 +2,59 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rasterlake.llm import work
 from rasterlake.llm.bpe import loaded
 
 
+def _listed(flat: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat.astype(np.int32)))
+
+
 def encode_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids (u32 little-endian) of every whole text; null is empty, repeated rows stay."""
+    """doc_id, ids (array of int) of every whole text; null and empty texts have none, repeated rows stay."""
 
     def make():
         _, encode = loaded(tokenizer)
+        return lambda c: [c["doc_id"], _listed(*encode(c["text"]))]
 
-        def one(c: dict) -> list:
-            flat, counts = encode(c["text"])
-            raw, ends = memoryview(flat.astype("<u4").tobytes()), 4 * np.cumsum(counts)
-            return [c["doc_id"], counts.tolist(), [bytes(raw[e - 4 * n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]]
-
-        return one
-
-    return work.map_batches(work.pick(docs, "doc_id", "text"), "doc_id long, n_tokens long, ids binary", make)
+    return work.map_batches(work.pick(docs, "doc_id", "text"), "doc_id long, ids array<int>", make)
 
 
 def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids, text: what the ids decode to, special tokens kept; null ids are empty."""
+    """doc_id and text of rows with doc_id and ids: what they decode to, special tokens kept; null ids are empty."""
 
     def make():
         bpe, _ = loaded(tokenizer)
+        return lambda c: [c["doc_id"], [bpe.decode(i or []) for i in c["ids"]]]
+
+    return work.map_batches(encoded.select("doc_id", "ids"), "doc_id long, text string", make, None)
+
+
+def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, ids and text: encode_texts and decode_ids in one pass, which share a worker's vocabulary."""
+
+    def make():
+        bpe, encode = loaded(tokenizer)
 
         def one(c: dict) -> list:
-            return [c["doc_id"], c["n_tokens"], c["ids"], [bpe.decode(np.frombuffer(i or b"", "<u4").tolist()) for i in c["ids"]]]
+            flat, counts = encode(c["text"])
+            ends = np.cumsum(counts)
+            return [c["doc_id"], _listed(flat, counts), [bpe.decode(flat[e - n : e].tolist()) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]]
 
         return one
 
-    return work.map_batches(encoded.select("doc_id", "n_tokens", "ids"), "doc_id long, n_tokens long, ids binary, text string", make, "ids")
+    return work.map_batches(work.pick(docs, "doc_id", "text"), "doc_id long, ids array<int>, text string", make)
 
 
 def op9_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to."""
     import public_tokenizers
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    texts = decode_ids(encode_texts(work.read(spark, sf_dir, "documents"), path), path)
-
-    def make():
-        def one(c: dict) -> list:
-            ids = [hashlib.sha256(" ".join(map(str, np.frombuffer(i, "<u4").tolist())).encode()).hexdigest() for i in c["ids"]]
-            return [c["doc_id"], c["n_tokens"], ids, [hashlib.sha256(t.encode()).hexdigest() for t in c["text"]]]
-
-        return one
-
-    return work.map_batches(texts, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    both = round_trip(work.read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
