@@ -135,11 +135,11 @@ def containment_join(spark, sf):
     return c.join(first, "c_custkey", "left").select("c_custkey", F.coalesce("n_name", F.lit("annotation")).alias("box"))
 
 
-@query("""WITH c AS (SELECT DISTINCT c_nationkey AS k, round(avg(c_acctbal), 2) AS c FROM customer GROUP BY c_nationkey, c_mktsegment), s AS (SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier WHERE s_acctbal IS NOT NULL),
+@query("""WITH c AS (SELECT DISTINCT c_nationkey AS k, floor(avg(c_acctbal)) AS c FROM customer GROUP BY c_nationkey, c_mktsegment), s AS (SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier WHERE s_acctbal IS NOT NULL),
 r AS (SELECT s_suppkey, c.c, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(s_acctbal - c.c), c.c) AS r FROM s JOIN c ON c.k = s_nationkey) SELECT s_suppkey, c AS centre FROM r WHERE r = 1""")
 def nearest_centre(spark, sf):
     """JON-11, NRM-04: each supplier's nearest segment mean in its nation, without pairing them all."""
-    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k"), "c_mktsegment").agg(F.round(F.avg("c_acctbal"), 2).alias("c")).select("k", "c").distinct()
+    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k"), "c_mktsegment").agg(F.floor(F.avg("c_acctbal")).cast("double").alias("c")).select("k", "c").distinct()
     s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), "s_acctbal").filter("s_acctbal IS NOT NULL")
     return spatial.nearest(s, ["k"], "s_acctbal", c, "c").filter("centre IS NOT NULL").select("s_suppkey", "centre")
 

@@ -17,7 +17,7 @@ def edge_nodes(spark, sf):
     return j.select("o_orderkey", "o_custkey", F.when(F.col("c_custkey").isNull(), "E2227").otherwise("ok").alias("status"), "c_nationkey")
 
 
-@query("""SELECT n_name, coalesce(CASE WHEN n_nationkey % 3 = 0 THEN 0.1 * n_nationkey END, CASE WHEN r_regionkey % 2 = 0 THEN 0.5 + r_regionkey END, 0.75) AS rmse_max,
+@query("""SELECT n_name, coalesce(CASE WHEN n_nationkey % 3 = 0 THEN 0.1::DOUBLE * n_nationkey END, CASE WHEN r_regionkey % 2 = 0 THEN 0.5::DOUBLE + r_regionkey END, 0.75::DOUBLE) AS rmse_max,
 CASE WHEN n_nationkey % 3 = 0 THEN 'case' WHEN r_regionkey % 2 = 0 THEN 'tier' ELSE 'default' END AS source FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def override_merge(spark, sf):
     """JON-17, SRC-08: thresholds of default, tier and case; the later wins."""
