@@ -1,6 +1,6 @@
 """Registered queries: importing the modules fills the registry."""
 
-from rasterlake.plans import sequences, shapes, tables, texts
+from rasterlake.plans import figures, sequences, shapes, tables, texts
 from rasterlake.plans.common import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "sequences", "shapes", "tables", "texts"]
+__all__ = ["QUERIES", "SQL", "figures", "sequences", "shapes", "tables", "texts"]
