@@ -1,10 +1,12 @@
 """Operator 1: exact Jaccard similarity join on word shingles with token-combination prefixes.
 
 Each text is its set of distinct k-word shingles, as 64-bit hashes ("tokens"). Equal sets become one
-node. Tokens are ordered by class, rare before frequent, then by hash. Two sets of similarity t or more
+node. Tokens are ordered by class (lone, rare, frequent), then by hash. Two sets of similarity t or more
 miss at most tau(n) = n - ceil(t n) of either's n tokens, so prefixes that tau(n) losses can't exhaust must
 share something:
 
+- a lone token is in one document only; it counts 1 and needs no signature. A bitmap of fixed size tells
+  tokens that are in two documents or more; where it fills up, lone tokens pass for rare ones;
 - a rare token counts 1 and is a signature by itself;
 - frequent tokens are dealt to groups by hash. A group with c tokens in the prefix counts c - 1, and every
   pair of its tokens is a signature (k-token combinations, k = 2);
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +39,7 @@ FINGERPRINT = 40  # bits of a token hash that document frequencies are counted b
 LEAST_FREQUENT = 8  # documents; doubled until at most MAX_FREQUENT tokens are frequent
 MAX_FREQUENT = 1_000_000  # 8 MB on every executor
 COUNT_TOKENS = 4_000_000  # tokens counted by one task at once
+SHARED_BITS = 27  # the bitmap of tokens in two documents or more: 16 MB on every executor
 PER_GROUP = 8
 UNIT_TOKENS, UNIT_SETS = 1_000_000, 4096  # what one task verifies at once; a larger candidate class is split
 ANCHORS = 32
@@ -81,15 +84,17 @@ class Threshold:
         return max(1, self.tau(self.bounds[tag]) // PER_GROUP)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, limit: Threshold) -> np.ndarray:
-    """Signatures of one set (sorted tokens; frequent: a mark for each)."""
+def signatures(tokens: np.ndarray, shared: np.ndarray, frequent: np.ndarray, limit: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one set by rare tokens and by pairs of frequent ones (sorted tokens; shared and frequent:
+    a mark for each, lone tokens have neither)."""
     n = len(tokens)
-    if n < 2:
-        return np.empty(0, np.uint64)
-    need = limit.tau(n) + 1
-    single = tokens[~frequent][:need]
-    out = [mix(single ^ _C)]
+    none = np.empty(0, np.uint64)
+    need = limit.tau(n) + 1 - int(n - np.count_nonzero(shared | frequent))
+    if n < 2 or need <= 0:
+        return none, none
+    single = tokens[shared & ~frequent][:need]
     need -= len(single)
+    pairs = [none]
     if need > 0:
         often = tokens[frequent]
         own = limit.size_class(n)
@@ -106,36 +111,38 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, limit: Threshold) -> np
                 same = g[lag:] == g[:-lag]
                 if not same.any():
                     break
-                out.append(mix(t[:-lag][same] * _A + t[lag:][same] * _B + np.uint64(tag) * _C))
-    return np.concatenate(out)
+                pairs.append(mix(t[:-lag][same] * _A + t[lag:][same] * _B + np.uint64(tag * int(_C) % 2**64)))
+    return mix(single ^ _C), np.concatenate(pairs)
 
 
-class Frequent:
-    """Membership of token hashes in the table of frequent fingerprints."""
+class Classes:
+    """Which token hashes are shared (a bitmap) and which are frequent (sorted fingerprints)."""
 
-    def __init__(self, sorted_fingerprints: np.ndarray):
-        self.all = sorted_fingerprints
+    def __init__(self, frequent: np.ndarray, shared: np.ndarray):
+        self.frequent, self.shared = frequent, shared
         self.near = np.zeros(1 << 22, bool)
-        self.near[sorted_fingerprints >> (FINGERPRINT - 22)] = True
+        self.near[frequent >> (FINGERPRINT - 22)] = True
 
-    def __call__(self, tokens: np.ndarray) -> np.ndarray:
-        found = self.near[(tokens >> np.uint64(42)).astype(np.int64)]
-        at = np.flatnonzero(found)
+    def __call__(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slot = (tokens >> np.uint64(64 - SHARED_BITS)).astype(np.int64)
+        shared = (self.shared[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+        often = self.near[(tokens >> np.uint64(42)).astype(np.int64)]
+        at = np.flatnonzero(often)
         if len(at):
             fp = (tokens[at] >> np.uint64(64 - FINGERPRINT)).astype(np.int64)
-            k = np.minimum(np.searchsorted(self.all, fp), len(self.all) - 1)
-            found[at] = self.all[k] == fp
-        return found
+            k = np.minimum(np.searchsorted(self.frequent, fp), len(self.frequent) - 1)
+            often[at] = self.frequent[k] == fp
+        return shared, often
 
 
-def frequent_tokens(docs: DataFrame, k: int, total: int) -> np.ndarray:
-    """Sorted fingerprints of tokens in many documents (equal sets of one slice count once).
+def token_classes(docs: DataFrame, k: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted fingerprints of frequent tokens, and the bitmap of shared ones (equal sets of one slice count once).
 
     Every token of every document is counted. A slice's sorted fingerprints go to ranges as byte planes of
     their differences, about three bytes each; each range is counted by one task."""
     spark = docs.sparkSession
     ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // COUNT_TOKENS))
-    bits = max(1, (ranges - 1).bit_length())
+    bits = min(max(1, (ranges - 1).bit_length()), SHARED_BITS - 3)
 
     def make():
         def one(c: dict) -> list:
@@ -163,16 +170,24 @@ def frequent_tokens(docs: DataFrame, k: int, total: int) -> np.ndarray:
             raw[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, -1).T
             parts.append(np.cumsum(raw.view("<u8")[:, 0], dtype=np.uint64) + r)
         fp, n = np.unique(np.concatenate(parts), return_counts=True)
+        mark = np.zeros(1 << (SHARED_BITS - bits), bool)
+        mark[((fp[n > 1] - r) >> np.uint64(FINGERPRINT - SHARED_BITS)).astype(np.int64)] = True
         keep = n >= LEAST_FREQUENT
-        return pa.table({"fp": fp[keep].astype(np.int64), "n": n[keep].astype(np.int64)})
+        kept = [pa.array([x[keep].astype(np.int64)], pa.list_(pa.int64())) for x in (fp, n)]
+        return pa.table({"range": pa.array([table.column("range")[0].as_py()], pa.int32()), "fps": kept[0], "ns": kept[1], "shared": pa.array([np.packbits(mark, bitorder="little").tobytes()], pa.binary())})
 
     planes = work.map_batches(docs.select("text"), "range int, planes binary", make)
-    counted = work.saved(planes.groupBy("range").applyInArrow(count, "fp long, n long"), "frequent")
-    by_power = {r.p: r.c for r in counted.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("c")).collect()}
+    counted = work.saved(planes.groupBy("range").applyInArrow(count, "range int, fps array<long>, ns array<long>, shared binary"), "classes")
+    shared = np.zeros(1 << (SHARED_BITS - 3), np.uint8)
+    width = 1 << (SHARED_BITS - 3 - bits)
+    for row in counted.select("range", "shared").toArrow().to_pylist():  # 2**SHARED_BITS bits in all, whatever the input
+        shared[row["range"] * width : (row["range"] + 1) * width] = np.frombuffer(row["shared"], np.uint8)
+    each = counted.select(F.explode(F.arrays_zip("fps", "ns")).alias("t")).select("t.fps", "t.ns")
+    by_power = {r.p: r.c for r in each.groupBy(F.floor(F.log2("ns")).alias("p")).agg(F.count("*").alias("c")).collect()}
     power = LEAST_FREQUENT.bit_length() - 1
     while sum(c for p, c in by_power.items() if p >= power) > MAX_FREQUENT:
         power += 1
-    return np.sort(np.asarray(counted.filter(F.col("n") >= 1 << power).select("fp").toArrow().column("fp"), np.int64))
+    return np.sort(np.asarray(each.filter(F.col("ns") >= 1 << power).select("fps").toArrow().column("fps"), np.int64)), shared
 
 
 def walk(sets: list[np.ndarray], limit: Threshold, label: np.ndarray | None = None, probes: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -297,26 +312,34 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, unit_tokens:
     nodes = sets.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     nodes = work.saved(nodes.select("h1", "h2", "doc_id", "n", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.monotonically_increasing_id().alias("node")), "nodes")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    sent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, k, total))
+    sent = docs.sparkSession.sparkContext.broadcast(token_classes(docs, k, total))
 
     def sign():
-        often = Frequent(sent.value)
+        class_of = Classes(*sent.value)
+
+        def listed(parts: list[np.ndarray]) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([*parts, np.empty(0, np.uint64)]).view(np.int64)))
 
         def one(c: dict) -> list:
             all_sets = shingle_sets(c["text"], k)
             _, a, b = _marks(all_sets)
-            signs = [signatures(s, often(s), limit).view(np.int64) for s in all_sets]
-            ends = np.cumsum([0, *map(len, signs)])
-            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*signs, np.empty(0, np.int64)])))
-            return [[NO_ID if d is None else d for d in c["doc_id"]], a, b, listed]
+            rare, pairs = zip(*[signatures(s, *class_of(s), limit) for s in all_sets], strict=True)
+            return [[NO_ID if d is None else d for d in c["doc_id"]], a, b, listed(rare), listed(pairs)]
 
         return one
 
-    signed = work.map_batches(docs, "key long, h1 long, h2 long, signs array<long>", sign).filter(F.size("signs") > 0)
-    signed = work.saved(signed.join(nodes.select("key", "h1", "h2", "node"), ["key", "h1", "h2"]).select("node", "signs"), "signs")
-    each = signed.select("node", F.explode("signs").alias("sign"))
+    signed = work.map_batches(docs, "key long, h1 long, h2 long, rare array<long>, pairs array<long>", sign).filter("size(rare) + size(pairs) > 0")
+    signed = work.saved(signed.join(nodes.select("key", "h1", "h2", "node", "n"), ["key", "h1", "h2"]).select("node", "n", "rare", "pairs"), "signs")
+    # a rare token is in few sets: in order of size, each is tied to the next smaller one unless that is too
+    # small to link; sets that may link are in one chain then
+    order = Window.partitionBy("sign").orderBy("n", "node")
+    chain = signed.select("node", "n", F.explode("rare").alias("sign")).select("node", "n", F.lag("node").over(order).alias("lo"), F.lag("n").over(order).alias("m"))
+    chain = chain.filter((F.col("m") * den >= F.col("n") * num) & (F.col("node") != F.col("lo"))).select(F.col("node").alias("hi"), "lo")
+    # a pair of frequent tokens may be in most sets: minima are aggregated before the shuffle
+    each = signed.select("node", F.explode("pairs").alias("sign"))
     shared = each.groupBy("sign").agg(F.min("node").alias("lo"), F.max("node").alias("top")).filter("lo < top").select("sign", "lo")
-    classes = connected(each.join(shared, "sign").filter("node <> lo").select(F.col("node").alias("hi"), "lo"))
+    stars = each.join(shared, "sign").filter("node <> lo").select(F.col("node").alias("hi"), "lo")
+    classes = connected(chain.union(stars))
 
     members = classes.select("node", F.col("root").alias("comp")).join(nodes, "node")
     weights = members.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / unit_tokens), F.ceil(F.count("*") / unit_sets)).cast("int").alias("blocks"), F.count("*").alias("c"))
@@ -329,7 +352,7 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, unit_tokens:
     split = (sums.blocks or 1) > 1
     if split:  # a few sets of a split class stand in each of its units and tie their components together
         anchors = members.filter("blocks > 1").filter(F.pmod(F.xxhash64("node", F.lit("anchor")), F.col("c")) < ANCHORS)
-        units = units.union(anchors.withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long")).select(*columns))
+        units = units.union(anchors.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).select(*columns))
     links = work.saved(_verify(units, texts, k, limit, sums.n or 0, False), "links")
     if split:
         links = work.saved(links.union(_split(members, texts, links, k, limit, unit_tokens, unit_sets)), "links")
