@@ -14,14 +14,13 @@ import numpy as np
 
 from rasterlake.llm.work import runs
 
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 500_000
+LIBRARY_CHUNKS = 250_000  # beside the workers of other stages
+LONE_LIBRARY_CHUNKS = 900_000  # where one Python process a core holds the only cache
 _SPLIT = re.compile("[ \t\n\r\x0b\x0c]+")
 _ODD = re.compile("[\x1c-\x1f]")
 _BEFORE = re.compile(r"(?= \S)")
 _TANGLED = re.compile(r" (?:\s|\Z)")
-#: Chunks that may be encoded joined: one space before what has none, or no white space at all.
-_PLAIN_SPACED = re.compile(r" \S+")
-_PLAIN = re.compile(r"\S+")
 
 
 def by_space(text: str) -> list[str]:
@@ -45,10 +44,17 @@ class ChunkEncoder:
 
     def __init__(self, cut: Callable[[str], list[str]], resolve: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cap: int = CACHE_CHUNKS):
         self.cut, self.resolve, self.cap = cut, resolve, cap
-        self._clear()
-
-    def _clear(self) -> None:
-        fresh: list[str] = []
+        self.known: dict = {}
+        self._start()
+
+    def _start(self) -> None:
+        """An empty cache, but for chunks that were met more than once since the last start."""
+        fresh: list = []
+        old = None
+        if self.known:
+            again = self.met[: len(self.known)] > 1
+            if again.sum() < self.cap // 2:
+                old = [k for k, a in zip(self.known, again.tolist(), strict=True) if a], np.flatnonzero(again)
 
         class Known(dict):
             def __missing__(self, key: str) -> int:
@@ -57,13 +63,21 @@ class ChunkEncoder:
                 return k
 
         self.known, self.fresh = Known(), fresh
-        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.met = np.zeros(0, np.uint8)
+        if old:
+            keys, at = old
+            self.known.update(zip(keys, range(len(keys)), strict=True))
+            self.ids = self.ids[runs(self.length[at], self.start[at])]
+            self.used, self.length = len(self.ids), self.length[at]
+            self.start = np.cumsum(self.length) - self.length
+        else:
+            self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+            self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) and the number of ids of each text; null is empty."""
         if len(self.known) > self.cap:
-            self._clear()
+            self._start()
         get, index, counts = self.known.__getitem__, [], []
         for t in texts:
             pieces = self.cut(t) if t else ()
@@ -72,13 +86,16 @@ class ChunkEncoder:
         if self.fresh:
             ids, lengths = self.resolve(self.fresh)
             while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+                self.ids = np.concatenate([self.ids, np.empty(max(len(ids), len(self.ids)), np.uint32)])
             self.ids[self.used : self.used + len(ids)] = ids
             self.start = np.concatenate([self.start, self.used + np.cumsum(lengths) - lengths])
             self.length = np.concatenate([self.length, lengths])
             self.used += len(ids)
             self.fresh.clear()
         at = np.array(index, np.int64)
+        if len(self.met) < len(self.known):
+            self.met = np.concatenate([self.met, np.zeros(len(self.known) - len(self.met), np.uint8)])
+        self.met[at] += (self.met[at] < 2).astype(np.uint8)  # repeats inside one batch count once
         length = self.length[at]
         flat = self.ids[runs(length, self.start[at])]
         total = np.concatenate([[0], np.cumsum(length)])
@@ -109,33 +126,46 @@ def library_resolver(path: str) -> tuple[Callable[[str], list], Callable[[list],
     size = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
     for token, i in tokenizer.get_vocab(with_added_tokens=True).items():  # byte-level: a character is a byte
         size[i] = len(token if spaced else token.removesuffix("</w>"))
-    plain = _PLAIN_SPACED.fullmatch if spaced else _PLAIN.fullmatch
+    glue = " "
 
-    def bytes_of(chunk: str) -> int:
-        if spaced or chunk.isascii():
-            return len(chunk.encode())
-        return len(tokenizer.normalizer.normalize_str(chunk).encode())
+    def bytes_of(group: list[str], whole: str) -> np.ndarray:
+        """Bytes that each chunk's ids stand for (with the space before it, where ids have one)."""
+        if whole.isascii():
+            return np.fromiter(map(len, group), np.int64, len(group)) + spaced
+        if not spaced:
+            changed = tokenizer.normalizer.normalize_str(whole).split(glue)
+            group = changed if len(changed) == len(group) else list(map(tokenizer.normalizer.normalize_str, group))
+        return np.fromiter((len(c.encode()) for c in group), np.int64, len(group)) + spaced
 
     def resolve(chunks: list) -> tuple[np.ndarray, np.ndarray]:
-        texts = [c[0] if isinstance(c, tuple) else " " + c if spaced else c for c in chunks]
-        lengths = np.zeros(len(texts), np.int64)
+        lengths = np.zeros(len(chunks), np.int64)
         found: list[tuple[list[int], np.ndarray]] = []
-        joined, alone = [], []
-        for k, t in enumerate(texts):
-            (joined if plain(t) and not any(s in t for s in special) else alone).append(k)
-        groups = [joined[k : k + JOINED] for k in range(0, len(joined), JOINED)]
-        whole = [("" if spaced else " ").join([texts[k] for k in g]) for g in groups]
-        for g, e in zip(groups, tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+        alone = [k for k, c in enumerate(chunks) if c.__class__ is not str]
+        joined = [k for k, c in enumerate(chunks) if c.__class__ is str] if alone else list(range(len(chunks)))
+        groups, wholes, members = [], [], []
+        for at in range(0, len(joined), JOINED):
+            index = joined[at : at + JOINED]
+            group = [chunks[k] for k in index]
+            whole = glue.join(group)
+            # a chunk that is empty or begins with white space would run into its neighbour
+            if _TANGLED.search(f" {whole}") or any(x in whole for x in special):
+                alone += index
+            else:
+                groups.append(index)
+                members.append(group)
+                wholes.append(f" {whole}" if spaced else whole)
+        for index, group, whole, e in zip(groups, members, wholes, tokenizer.encode_batch_fast(wholes, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
             ends = np.cumsum(size[ids])
-            want = np.cumsum([bytes_of(texts[k]) for k in g])
+            want = np.cumsum(bytes_of(group, whole))
             cut = np.minimum(np.searchsorted(ends, want), len(ids) - 1)
             if len(ids) and ends[-1] == want[-1] and (ends[cut] == want).all():
-                lengths[g] = np.diff(cut, prepend=-1)
-                found.append((g, ids))
+                lengths[index] = np.diff(cut, prepend=-1)
+                found.append((index, ids))
             else:
-                alone.extend(g)
-        for k, e in zip(alone, tokenizer.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False), strict=True):
+                alone.extend(index)
+        texts = [c[0] if isinstance(c, tuple) else f" {c}" if spaced else c for c in (chunks[k] for k in alone)]
+        for k, e in zip(alone, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             lengths[k] = len(e.ids)
             found.append(([k], np.array(e.ids, np.uint32)))
         out = np.empty(int(lengths.sum()), np.uint32)
@@ -147,8 +177,8 @@ def library_resolver(path: str) -> tuple[Callable[[str], list], Callable[[list],
     return before_space if spaced else by_space, resolve
 
 
-def library_encoder(path: str) -> ChunkEncoder:
+def library_encoder(path: str, cap: int = LIBRARY_CHUNKS) -> ChunkEncoder:
     """One encoder a worker process, so that tasks share its cache."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(*library_resolver(path))
+        _ENCODERS[path] = ChunkEncoder(*library_resolver(path), cap)
     return _ENCODERS[path]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.llm import work
-from rasterlake.llm.chunks import library_encoder
+from rasterlake.llm.chunks import LONE_LIBRARY_CHUNKS, library_encoder
 
 MAGIC = b"RLS1"
 HEAD = struct.Struct("<4sBBHIQIIIQ")
@@ -57,7 +57,14 @@ def scaled(counts: np.ndarray, bits: int) -> np.ndarray:
 def encode_shard(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray, start: int = 0) -> bytes:
     """The bytes of one shard. ids: every document's ids, one after the other."""
     n = len(ids)
-    symbols, index, count = np.unique(ids, return_inverse=True, return_counts=True)
+    if n and int(ids.max()) < 1 << 22:
+        count = np.bincount(ids)
+        symbols = np.flatnonzero(count)
+        place = np.zeros(len(count), np.int64)
+        place[symbols] = np.arange(len(symbols))
+        index, count = place[ids], count[symbols]
+    else:
+        symbols, index, count = np.unique(ids, return_inverse=True, return_counts=True)
     bits = max(12, int(len(symbols)).bit_length() + 2) if n else 12
     freq = scaled(count, bits) if n else np.zeros(0, np.int64)
     cum = np.cumsum(freq) - freq
@@ -67,32 +74,41 @@ def encode_shard(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray,
     grid.reshape(-1)[:n] = index
     grid = grid.reshape(blocks, steps, LANES)
     f64, c64, shift = freq.astype(np.uint64), cum.astype(np.uint64), np.uint64(bits)
-    state = np.full((blocks, LANES), FLOOR, np.uint64)
+    state = np.full(blocks * LANES, FLOOR, np.uint64)
     limit = f64 << np.uint64(63 - bits)
-    out: list[list[np.ndarray]] = [[] for _ in range(blocks)]
+    lows: list[np.ndarray] = []
+    owners: list[np.ndarray] = []
     marks: list[list[tuple[np.ndarray, int]]] = [[] for _ in range(blocks)]
-    written = [0] * blocks
+    written = np.zeros(blocks, np.int64)
+    whole = n // BLOCK * BLOCK
     for t in range(steps - 1, -1, -1):
-        s = grid[:, t, :]
-        here = s >= 0
-        if here.any():
+        s = grid[:, t, :].reshape(-1)
+        here = None
+        if whole < n and n - whole < (t + 1) * LANES:  # the last block hasn't all lanes of this step
+            here = s >= 0
             s = np.where(here, s, 0)
-            f = f64[s]
-            full = here & (state >= limit[s])
-            for b in np.flatnonzero(full.any(axis=1)).tolist():
-                low = (state[b, full[b]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)[::-1]
-                out[b].append(low)
-                written[b] += len(low)
-            x = np.where(full, state >> np.uint64(32), state)
-            q = x // f
-            state = np.where(here, (q << shift) + (x - q * f) + c64[s], state)
+        f = f64[s]
+        full = state >= limit[s]
+        if here is not None:
+            full &= here
+        out = np.flatnonzero(full)[::-1]
+        lows.append(state[out].astype(np.uint32))
+        owners.append((out // LANES).astype(np.uint16))
+        written += full.reshape(blocks, LANES).sum(axis=1)
+        x = np.where(full, state >> np.uint64(32), state)
+        q = x // f
+        x = (q << shift) + (x - q * f) + c64[s]
+        state = x if here is None else np.where(here, x, state)
         if t % STRIDE == 0:
             for b in range(blocks):
                 if t * LANES < min(n - b * BLOCK, BLOCK):
-                    marks[b].append((state[b].copy(), written[b]))
+                    marks[b].append((state[b * LANES : (b + 1) * LANES].copy(), int(written[b])))
+    lows, owners = np.concatenate([*lows, np.empty(0, np.uint32)]), np.concatenate([*owners, np.empty(0, np.uint16)])
+    lows = lows[np.argsort(owners, kind="stable")]
+    stops = np.cumsum(written)
     body, table, points, crcs = [], [], [], []
     for b in range(blocks):
-        words = np.concatenate([*out[b], np.empty(0, np.uint32)])[::-1]
+        words = lows[stops[b] - written[b] : stops[b]][::-1]
         body.append(words.astype("<u4").tobytes())
         part = ids[b * BLOCK : (b + 1) * BLOCK]
         table.append((len(part), len(words), len(marks[b])))
@@ -151,19 +167,32 @@ def decode_shard(payload: bytes) -> tuple[np.ndarray, list[int | None], np.ndarr
         end = np.minimum(begin + stride * lanes, (first + table[:, 0])[block])
         state = point["state"].astype(np.uint64)
         lane, mask, shift = np.arange(lanes), np.uint64((1 << bits) - 1), np.uint64(bits)
-        for t in range(stride):
-            to = begin[:, None] + t * lanes + lane
-            here = to < end[:, None]
-            if not here.any():
-                break
-            low = state & mask
-            s = slot[low.astype(np.int64)]
-            ids[to[here]] = names[s[here]]
-            x = np.where(here, freq[s] * (state >> shift) + low - cum[s], state)
-            need = here & (x < FLOOR)
-            order = np.cumsum(need, axis=1)
-            x = np.where(need, (x << np.uint64(32)) | word[np.minimum(pos[:, None] + order - 1, len(word) - 1)], x)
-            state, pos = x, pos + order[:, -1]
+        tail = pos[-1:], begin[-1:], end[-1:], state[-1:]
+        parts = [(pos, begin, end, state)]
+        if total > 1 and (end - begin)[-1] < stride * lanes:  # only the last stretch may be short: the others need no masks
+            parts = [(pos[:-1], begin[:-1], end[:-1], state[:-1]), tail]
+        for pos, begin, end, state in parts:
+            even = bool((end - begin == stride * lanes).all())
+            made = np.empty((len(begin), stride, lanes), np.uint32)
+            for t in range(stride):
+                here = True if even else begin[:, None] + t * lanes + lane < end[:, None]
+                if not np.any(here):
+                    break
+                low = state & mask
+                s = slot[low.astype(np.int64)]
+                made[:, t, :] = names[s]
+                x = freq[s] * (state >> shift) + low - cum[s]
+                need = x < FLOOR
+                if not even:
+                    x = np.where(here, x, state)
+                    need &= here
+                order = np.cumsum(need, axis=1)
+                at = pos[:, None] + order - 1
+                state = np.where(need, (x << np.uint64(32)) | word[np.minimum(at, len(word) - 1)], x)
+                pos = pos + order[:, -1]
+            made = made.reshape(len(begin), -1)
+            for k, (i, j) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+                ids[i:j] = made[k, : j - i]
         for b in range(blocks):
             if zlib.crc32(ids[first[b] : first[b] + table[b, 0]].astype("<u4").tobytes()) != crcs[b]:
                 raise ValueError(f"block {b}: the ids' checksum doesn't match")
@@ -177,7 +206,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     An empty table gives no shards. Columns other than doc_id and text are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = library_encoder(tokenizer), TaskContext.get().partitionId()
+        encode, part = library_encoder(tokenizer, LONE_LIBRARY_CHUNKS), TaskContext.get().partitionId()
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         size = seq = start = 0
 
