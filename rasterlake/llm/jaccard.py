@@ -40,6 +40,7 @@ LEAST_FREQUENT = 8  # documents; doubled until at most MAX_FREQUENT tokens are f
 MAX_FREQUENT = 1_000_000  # 8 MB on every executor
 COUNT_TOKENS = 4_000_000  # tokens counted by one task at once
 SHARED_BITS = 27  # the bitmap of tokens in two documents or more: 16 MB on every executor
+KEY_BITS = 24  # the bitmap of documents whose text is needed again: 2 MB on every executor
 PER_GROUP = 8
 UNIT_TOKENS, UNIT_SETS = 1_000_000, 4096  # what one task verifies at once; a larger candidate class is split
 ANCHORS = 32
@@ -239,6 +240,26 @@ def walk(sets: list[np.ndarray], limit: Threshold, label: np.ndarray | None = No
     return links
 
 
+def _only_keys(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of texts (key, text) whose key may be among keys: a bitmap of 2**KEY_BITS hashed keys, whatever the
+    input, keeps most other texts out of the shuffle to come. At sizes where it fills up it keeps everything."""
+    slot = F.pmod(F.xxhash64("key"), F.lit(1 << KEY_BITS))
+    found = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(s % 32 AS INT)))").alias("m")).toArrow()
+    table = np.zeros(1 << (KEY_BITS - 5), np.uint32)
+    table[np.asarray(found.column("w"), np.int64)] = np.asarray(found.column("m"), np.int64).astype(np.uint32)
+    sent = texts.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for batch in batches:
+            s = np.asarray(batch.column(2), np.int64)
+            hit = (table[s >> 5] >> (s & 31).astype(np.uint32)) & 1 > 0
+            if hit.any():
+                yield batch.select([0, 1]).filter(pa.array(hit))
+
+    return texts.select("key", "text", slot.alias("slot")).mapInArrow(run, "key long, text string")
+
+
 def _verify(units: DataFrame, texts: DataFrame, k: int, limit: Threshold, total: int, probing: bool) -> DataFrame:
     """Links (hi, lo: nodes) inside each unit. units: key, h1, h2, node, comp, unit, label, probe."""
     spark = units.sparkSession
@@ -266,7 +287,7 @@ def _verify(units: DataFrame, texts: DataFrame, k: int, limit: Threshold, total:
             lo += [min(node[at[x]], node[at[y]]) for x, y in links]
         return pa.table({"hi": pa.array(hi, pa.int64()), "lo": pa.array(lo, pa.int64())})
 
-    rows = texts.join(units, "key").withColumn("bin", F.pmod(F.xxhash64("comp", "unit"), F.lit(bins)).cast("int"))
+    rows = _only_keys(texts, units).join(units, "key").withColumn("bin", F.pmod(F.xxhash64("comp", "unit"), F.lit(bins)).cast("int"))
     return rows.groupBy("bin").applyInArrow(verify, "hi long, lo long")
 
 
