@@ -13,7 +13,7 @@ from rasterlake.llm import jaccard, langid, packing, quality, work
 
 #: A document goes where its quality score is lower.
 LEAST_QUALITY = 0.5
-#: A document goes where its language has no more of the evidence than this, or where it has no letter.
+#: A document goes where its language holds no more of its n-grams than this or than the language's fitted bound, or where it has no letter.
 LEAST_LANGUAGE = 0.3
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.llm import work
@@ -24,6 +24,9 @@ SAMPLE_PER_LANGUAGE = 4000  # bound of the labelled sample: documents a language
 MIN_RATE = 1e-5  # of a language's n-grams, so at most 100,000 a language and order enter its filter
 MIN_SHARE = 0.2  # of the largest rate of the n-gram in any language
 UNKNOWN = "und"
+FIT_PER_LANGUAGE = 500  # labelled documents a language, in expectation, on which the bound of its evidence is fitted
+LEARNED_PART = 0.6  # of the median share of a language's labelled documents: text with less is in no learned language
+NOISE = 4  # standard deviations of the false positives that a text's share has to exceed the bound by
 
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _LETTER: list[np.ndarray] = []
@@ -71,9 +74,15 @@ class Model:
     languages: list[str]
     table: np.ndarray  # of 2**SLOT_BITS masks
     false: np.ndarray  # rate of false positives a language
+    bound: np.ndarray  # least share of a text in the language
 
     def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Corrected shares of hits (texts x languages), and whether each text has a letter."""
+        share, has, _ = self.counted(texts)
+        return share, has
+
+    def counted(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """shares(), and each text's number of n-grams."""
         found, has = grams(texts)
         hits, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         for h, first, last in found:
@@ -84,23 +93,37 @@ class Model:
                 hits[:, k] += n[last] - n[first]
             total += last - first
         share = hits / np.maximum(total, 1)[:, None]
-        return np.clip((share - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1), has
+        return np.clip((share - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1), has, total
+
+    def evidence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best language, its corrected share, and whether the text has a letter. The share is 0 where it doesn't
+        exceed the language's bound by NOISE deviations of the false positives among so many n-grams; the
+        other languages have no part in it."""
+        share, has, total = self.counted(texts)
+        best = share.argmax(axis=1)
+        own, false = share[np.arange(len(best)), best], self.false[best]
+        noise = NOISE * np.sqrt(false / np.maximum(1 - false, 1e-9) / np.maximum(total, 1))
+        return best, np.where(has & (own > np.minimum(self.bound[best] + noise, 1 - 1e-9)), own, 0.0), has
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: str = "langid") -> Model:
     """Learns from docs' text and non-null lang. A sample of about per_language documents of each
     language, chosen by a hash of the id, gives the n-gram counts; they are summed by Spark, and what is
-    common enough to enter a filter (MIN_RATE bounds it) comes to the driver. At most MAX_LANGUAGES
-    languages, the most frequent; ties by name."""
+    common enough to enter a filter (MIN_RATE bounds it) comes to the driver. A part of the sample then fits the
+    bounds. At most MAX_LANGUAGES languages, the most frequent; ties by name."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.zeros(1 << SLOT_BITS, np.uint8), np.zeros(0))
+        return Model([], np.zeros(1 << SLOT_BITS, np.uint8), np.zeros(0), np.zeros(0))
     part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for name in languages:
-        chosen = chosen | ((F.col("lang") == name) & (part < int(1_000_000 * min(1.0, per_language / sizes[name])) + 1))
+
+    def chosen(most: int) -> Column:
+        out = F.lit(False)
+        for name in languages:
+            out = out | ((F.col("lang") == name) & (part < int(1_000_000 * min(1.0, most / sizes[name])) + 1))
+        return out
+
     number = {name: k for k, name in enumerate(languages)}
 
     def make():
@@ -118,7 +141,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: str =
 
         return one
 
-    counted = work.map_batches(rows.filter(chosen).select("text", "lang"), "lang int, ord int, gram long, n long", make).groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
+    counted = work.map_batches(rows.filter(chosen(per_language)).select("text", "lang"), "lang int, ord int, gram long, n long", make).groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
     counted = work.saved(counted, "grams")
     totals = {(r.lang, r.ord): r.n for r in counted.groupBy("lang", "ord").agg(F.sum("n").alias("n")).collect()}
     least = F.lit(1 << 60)
@@ -137,21 +160,34 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: str =
         for at in slots(gram[own & (lang == k)].view(np.uint64)):
             table[at] |= kind(1 << k)
     filled = np.array([((table >> kind(k)) & kind(1)).mean() for k in range(len(languages))])
-    return Model(languages, table, filled**PROBES)
+    model = Model(languages, table, filled**PROBES, np.zeros(len(languages)))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def fit():
+        def one(c: dict) -> list:
+            share, has = sent.value.shares(c["text"])
+            at = np.flatnonzero(has)
+            label = np.array([number[x] for x in c["lang"]], np.int64)[at]
+            return [label.tolist(), share[at, label].tolist()]
+
+        return one
+
+    fitted = work.map_batches(rows.filter(chosen(min(per_language, FIT_PER_LANGUAGE))).select("text", "lang"), "lang int, share double", fit).toArrow()
+    lang, share = np.asarray(fitted.column("lang")), np.asarray(fitted.column("share"))
+    model.bound = np.array([LEARNED_PART * np.median(share[lang == k]) if (lang == k).any() else 0.0 for k in range(len(languages))])
+    return model
 
 
 def _decide(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     if not model.languages:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    share, has = model.shares(texts)
-    best, total = share.argmax(axis=1), share.sum(axis=1)
-    score = np.where(has & (total > 0), share[np.arange(len(best)), best] / np.maximum(total, 1e-12), 0.0)
+    best, score, has = model.evidence(texts)
     return [model.languages[k] if h else UNKNOWN for k, h in zip(best.tolist(), has.tolist(), strict=True)], score
 
 
 def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """Rows of docs (all columns as they are) whose language is known with a score over least; null texts,
-    texts without a letter, and all texts where nothing was learned go."""
+    texts without a letter, texts in no learned language, and all texts where nothing was learned go."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def good(texts: list[str | None]) -> list[bool]:
@@ -162,9 +198,10 @@ def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of each whole text. score is the language's corrected share of hits among
-    all languages' (0 where there is none: the first language by name is given then). Null texts, texts
-    without a letter, and all texts where nothing was learned are 'und' with score 0."""
+    """doc_id, lang_pred, score of each whole text. score is the corrected share of the text's n-grams in the
+    language, and 0 where that is no more than text in another language reaches: lang_pred is only the nearest
+    language then, the first by name where there is no hit. Null texts, texts without a letter, and all texts
+    where nothing was learned are 'und' with score 0."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

@@ -1,6 +1,7 @@
 """Held-out accuracy on the given tables, and defined results on odd input."""
 
 import os
+import random
 
 import numpy as np
 import pytest
@@ -78,3 +79,18 @@ def test_pairs_learn_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     model = quality.fit(x, y)
     assert ((model.score(x) >= 0.5) == y).mean() > 0.9
+
+
+@given
+def test_texts_in_no_learned_language_go(spark):
+    r = random.Random(1)
+    made = {"cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "consonants": "bcdfghjklmnpqrstvwxz"}
+    odd = [(name, " ".join("".join(r.choices(letters, k=r.randrange(2, 9))) for _ in range(n))) for name, letters in made.items() for n in [3, 30, *[300] * 20]]
+    odd.append(("finnish", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."))
+    learned = work.read(spark, SF, "documents").select("doc_id", "text", "lang", F.lit("given").alias("score")).filter("text rlike '[A-Za-z]'")
+    for languages in (["de", "en", "es", "fr"], ["en"]):
+        docs = learned.filter(F.col("lang").isin(languages))
+        model = langid.train(docs)
+        both = docs.unionByName(spark.createDataFrame([(k, t, None, name) for k, (name, t) in enumerate(odd)], SCHEMA))
+        kept = {x["score"]: x["count"] for x in langid.keep(both, model, 0.3).groupBy("score").count().collect()}
+        assert set(kept) == {"given"} and kept["given"] > 0.99 * docs.count()
