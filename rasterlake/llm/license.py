@@ -1,12 +1,14 @@
 """Operator 3: licence recognition by sentences and ordered rules, in DataFrame functions only.
 
-A text's sentences are normalised and looked up among known licence sentences; the identifiers, in order
-and without what isn't known between them, are matched against the rules from first to last. What a rule
-has matched is used up, so a longer rule that stands earlier wins over its parts.
+A text's sentences are normalised and matched with known licence sentences, each in one line or wrapped over
+several; the identifiers, in order and without what isn't known between them, are matched against the rules
+from first to last. What a rule has matched is used up, so a longer rule that stands earlier wins over its parts.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,18 +72,42 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENDS = r"\n|[.!?:]+[ \t\r]+"
 JUNK = "[^a-z0-9.+-]+"
 EDGES = "^[ .+-]+|[ .+-]+$"
+#: Within texts: END closes a sentence, a newline may stand in one. A colon, "v." before a number and one newline do not close it.
+END = "\x01"
+SOFT = r"(?<=\bv)[.][ \t\r\n][^a-z0-9\x01]*(?=[0-9])|:[ \t\r]++(?!\n)"
+HARD = r"[.!?]+[ \t\r\n]+|\n[^a-z0-9\n]*\n"
+LINE_JUNK = r"[^a-z0-9.+\n\x01-]+"
+LINE_EDGES = r"[ .+-]*([\n\x01])[ .+-]*"
+GAP = "[.+-]* [ .+-]*"
+
+
+def sentence_pattern(sentences: dict[str, str]) -> str:
+    """A pattern of whole sentences between ends or line breaks, the longest first; a gap between words is as
+    given, or a line break, at whose sides no punctuation is left."""
+
+    def one(sentence: str) -> str:
+        words, gaps = re.split(GAP, sentence), re.findall(GAP, sentence)
+        safe = lambda x: re.sub("([.+-])", r"[\1]", x)
+        return safe(words[0]) + "".join((f"[{g}\n]" if g == " " else f"(?:{safe(g)}|\n)") + safe(w) for g, w in zip(gaps, words[1:], strict=True))
+
+    return f"(?<![^\n{END}])(?:{'|'.join(one(x) for x in sorted(sentences, key=lambda x: (-len(x), x)))})(?![^\n{END}])"
 
 
 def scan_licenses(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids (array, in order), matches (array of struct<rule int,
     license, n>, by rule), licenses (sorted, distinct) of every document, its whole text.
 
-    Null, empty and unlicensed texts have empty arrays. Repeated rows are scanned each; other columns than
+    A known sentence stands between sentence ends, line breaks or both, and may itself be wrapped over lines, with
+    comment marks that are no letters; a blank line ends it. Of sentences that begin at one place the longest
+    counts. Null, empty and unlicensed texts have empty arrays. Repeated rows are scanned each; other columns than
     doc_id and text aren't read. One narrow pass: no shuffle, and the sentence table is a literal."""
-    known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    low = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    ids = F.filter(F.transform(F.split(low, ENDS, -1), lambda s: F.try_element_at(known, F.regexp_replace(F.regexp_replace(s, JUNK, " "), EDGES, ""))), lambda x: x.isNotNull())
-    # texts without a first word of any known sentence skip the split
+    words = lambda x: re.sub(GAP, " ", x)
+    known = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (words(k), v)])
+    text = F.translate(F.coalesce("text", F.lit("")), UPPER + END, LOWER + " ")
+    for pattern, by in ((SOFT, "\n"), (HARD, END), (LINE_JUNK, " "), (LINE_EDGES, "$1"), (EDGES, "")):
+        text = F.regexp_replace(text, pattern, by)
+    found = F.regexp_extract_all(text, F.lit(sentence_pattern(sentences)), F.lit(0))
+    ids = F.transform(found, lambda x: known[F.regexp_replace(F.translate(x, "\n", " "), GAP, " ")])
     df = work.pick(docs, "doc_id", "text").select("doc_id", ids.alias("sentence_ids"))
     # every identifier is "<id>;": rules are plain strings in it, and what is matched becomes "|"
     rest = F.concat(F.lit(";"), F.concat_ws("", F.transform("sentence_ids", lambda x: F.concat(x, F.lit(";")))))

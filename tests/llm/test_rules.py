@@ -67,6 +67,76 @@ def test_licenses(spark):
     assert license.scan_licenses(frame(spark, []).limit(0)).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Copyright 2020 Someone. All rights reserved.
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_wrapped_licenses(spark):
+    given = {MIT: ["MIT"], BSD: ["BSD-3-Clause", "all-rights-reserved"], ISC: ["ISC"], APACHE: ["Apache-2.0"], GPL: ["GPL-3.0-or-later"], MPL: ["MPL-2.0"]}
+    marks = ("", "# ", "// ", " * ", "-- ", ";; ")
+    texts, want = [], []
+    for text, names in given.items():
+        for mark in marks:
+            texts.append("x = 1\n" + "".join(f"{mark}{x}\n" for x in text.splitlines()) + "\ny = 2\n")
+            want.append(names)
+        texts += [text.replace("\n", "\r\n"), text.replace("(the", "\n(the").replace(" of ", "\nof ")]
+        want += [names, names]
+    # a blank line ends a sentence; lines without a full stop are still read by themselves
+    texts += ["Released under the\n\nMIT License", "Someone\nAll rights reserved\nReleased under the\nMIT License\nmore"]
+    want += [[], ["MIT", "all-rights-reserved"]]
+    got = {r.doc_id: r.licenses for r in license.scan_licenses(frame(spark, texts)).collect()}
+    assert [(k, got[k]) for k in range(len(texts))] == list(enumerate(want))
+
+
 def test_longer_rules_win(spark):
     rules = (("both", ("a", "b")), ("one", ("a",)), ("two", ("b",)))
     found = license.scan_licenses(frame(spark, ["first\nsecond\nnoise\nfirst\nthird", "second\nfirst", "first\nnoise\nsecond"]), {"first": "a", "second": "b", "third": "c"}, rules).orderBy("doc_id").collect()
