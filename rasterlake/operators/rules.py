@@ -1,6 +1,6 @@
 """Rules over an element table: every rule gives issue rows (doc, severity, code, subject).
 
-Elements have: doc, node, tag, attrs map<string,string>, text. Codes are the public contract of the
+Elements have: doc, node, parent, tag, attrs map<string,string>, text, groups array<string>, inherited map<string,string>. Codes are the public contract of the
 validator: E... are errors, W... warnings.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterlake.functions import exprs as X
@@ -91,17 +91,55 @@ def font_allowed(value: Column, allowed: list[str]) -> Column:
     return F.arrays_overlap(names, F.array(*[F.lit(a.lower()) for a in allowed]))
 
 
+def has_generic(value: Column, generic: list[str]) -> Column:
+    """Whether a font list names a generic family (E2015)."""
+    return font_allowed(value, generic)
+
+
+def coordinates(points: Column) -> Column:
+    """Numbers of a point list, x and y in turn; empty where one is no number or they don't pair up (STR-24)."""
+    numbers = F.transform(F.split(F.trim(F.regexp_replace(F.coalesce(points, F.lit("")), r"[,\s]+", " ")), " "), lambda t: t.try_cast("double"))
+    return F.when((F.size(numbers) % 2 == 0) & F.forall(numbers, lambda x: x.isNotNull()), numbers).otherwise(F.array().cast("array<double>"))
+
+
+def unsnapped(numbers: Column, axis: int, tolerance: float = 0.5) -> Column:
+    """W2105: whether a segment of a point list is nearly level (axis 1) or nearly upright (axis 0)."""
+    step = lambda k: F.get(numbers, 2 * k + 2 + axis) - F.get(numbers, 2 * k + axis)
+    return F.when(F.size(numbers) >= 4, F.exists(F.sequence(F.lit(0), (F.size(numbers) / 2 - 2).cast("int")), lambda k: nearly_aligned(step(k), tolerance))).otherwise(False)
+
+
+def axis_segments(lines: DataFrame, doc: str, tolerance: float = 0.5) -> DataFrame:
+    """Level and upright lines of x1, y1, x2, y2 with axis and coord, as W2102 groups them (AGG-23)."""
+    dx, dy = F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))
+    axis = F.when((dy <= tolerance) & (dx > 0), "h").when((dx <= tolerance) & (dy > 0), "v")
+    coord = F.when(axis == "h", (F.col("y1") + F.col("y2")) / 2).otherwise((F.col("x1") + F.col("x2")) / 2)
+    return lines.withColumn("axis", axis).withColumn("coord", coord).filter("axis IS NOT NULL AND coord IS NOT NULL")
+
+
+def misaligned(texts: DataFrame, doc: str, tolerance: float = 1.0) -> DataFrame:
+    """W2106: lines of texts (gaps of y up to tolerance) whose y differ by over 0.001, unless they name one
+    dominant baseline (WIN-09). texts: doc, node, y, dominant."""
+    order = Window.partitionBy(doc).orderBy("y", "node")
+    new = F.coalesce((F.col("y") - F.lag("y").over(order) > tolerance).cast("int"), F.lit(0))
+    d = texts.filter("y IS NOT NULL").withColumn("__new", new)
+    d = d.withColumn("__line", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.groupBy(doc, "__line").agg((F.max("y") - F.min("y")).alias("__span"), F.countDistinct("dominant").alias("__names"), F.min_by("node", F.struct("y", "node")).alias("__node"))
+    return issue(d.filter((F.col("__span") > 1e-3) & (F.col("__names") != 1)), doc, "W2106", F.col("__node"))
+
+
 def tags(html: Column) -> Column:
     """Opening tag names of markup that need not be well formed, lower-cased (STR-21)."""
     return F.transform(F.regexp_extract_all(html, F.lit("<([A-Za-z][A-Za-z0-9:]*)"), F.lit(1)), lambda t: F.lower(t))
 
 
-def validate_elements(elements: DataFrame, contract: dict) -> DataFrame:
-    """All issues of a table of elements under a contract (VAL-01 to VAL-17), as one union.
+def validate_elements(elements: DataFrame, contract: dict, expected: DataFrame | None = None) -> DataFrame:
+    """All issues of a table of elements under a contract (VAL-01 to VAL-18), as one union. expected: doc and
+    texts_detected, for E2014 and E2017. The codes E1... and E3... come from files and image diffs, not from elements.
 
     contract: forbid_elements, forbid_element_prefixes, required_groups, allowed_font_families, max_colors,
-    max_path_commands, allowed_stroke_widths, stroke_width_tolerance, max_polyline_points."""
-    c = {"forbid_elements": [], "forbid_element_prefixes": [], "required_groups": [], "allowed_font_families": [], "max_colors": 6, "max_path_commands": 70, "allowed_stroke_widths": [], "stroke_width_tolerance": 0.2, "max_polyline_points": 30} | contract
+    max_path_commands, allowed_stroke_widths, stroke_width_tolerance, max_polyline_points, require_text, snap_tolerance,
+    min_dash_segments, baseline_tolerance; generic_font_families (E2015) and text_group (W2103), where given."""
+    c = {"forbid_elements": [], "forbid_element_prefixes": [], "required_groups": [], "allowed_font_families": [], "max_colors": 6, "max_path_commands": 70, "allowed_stroke_widths": [], "stroke_width_tolerance": 0.2, "max_polyline_points": 30, "require_text": True, "snap_tolerance": 0.5, "min_dash_segments": 6, "baseline_tolerance": 1.0, "generic_font_families": [], "text_group": None} | contract
     e = elements
     a = lambda name: F.try_element_at("attrs", F.lit(name))
     number = lambda name: X.leading_number(a(name))
@@ -120,6 +158,28 @@ def validate_elements(elements: DataFrame, contract: dict) -> DataFrame:
         where(e, "doc", "W2104", (F.col("tag") == "polyline") & (F.size(F.split(F.trim(F.coalesce(a("points"), F.lit(""))), r"\s+")) > c["max_polyline_points"]), "node"),
         too_many(e.select("doc", F.explode(F.array_compact(F.array(a("fill"), a("stroke")))).alias("color")).select("doc", X.parse_color(F.col("color")).alias("color")).filter("color <> 'none'"), "doc", "color", c["max_colors"]),
     ]
+    texts = e.filter("tag = 'text'")
+    own = lambda name: F.coalesce(F.nullif(a(name), F.lit("")), F.try_element_at("inherited", F.lit(name)))
+    if c["require_text"]:
+        d = e.groupBy("doc").agg(F.count_if(F.col("tag") == "text").alias("n"))
+        found.append(where(d, "doc", "E2008", F.col("n") == 0, "n"))
+    if expected is not None:
+        n = texts.groupBy("doc").agg(F.count("*").alias("n"))
+        d = expected.select(F.col("doc").cast("string").alias("doc"), "texts_detected").join(n, "doc", "left").fillna(0, ["n"])
+        found.append(text_count(d, "doc", "texts_detected", "n"))
+    lines = e.filter("tag = 'line'").select("doc", *[number(x).alias(x) for x in ("x1", "y1", "x2", "y2")], F.coalesce(a("stroke"), F.lit("")).alias("stroke"), F.coalesce(number("stroke-width"), F.lit(0.0)).alias("width"))
+    found.append(simulated_dashes(axis_segments(lines, "doc", c["snap_tolerance"]), "doc", ["axis", "coord", "stroke", "width"], c["min_dash_segments"]))
+    polylines = e.filter("tag = 'polyline'").select("doc", "node", coordinates(a("points")).alias("numbers"))
+    found += [where(polylines, "doc", "W2105", unsnapped(F.col("numbers"), axis, c["snap_tolerance"]), "node") for axis in (1, 0)]
+    spans = e.filter("tag = 'tspan'").select("doc", F.col("parent").alias("node"), F.col("node").alias("span"), number("y").alias("span_y")).filter("span_y IS NOT NULL").groupBy("doc", "node").agg(F.min_by("span_y", "span").alias("span_y"))
+    baselines = texts.select("doc", "node", number("y").alias("y"), F.nullif(F.trim(own("dominant-baseline")), F.lit("")).alias("dominant")).join(spans, ["doc", "node"], "left").withColumn("y", F.coalesce("y", "span_y"))
+    found.append(misaligned(baselines, "doc", c["baseline_tolerance"]))
+    if c["text_group"]:
+        found.append(where(texts, "doc", "W2103", ~F.array_contains("groups", c["text_group"]), "node"))
+    if c["generic_font_families"]:
+        font = own("font-family")
+        fine = font_allowed(font, c["allowed_font_families"]) if c["allowed_font_families"] else F.lit(True)
+        found.append(where(texts, "doc", "E2015", font.isNotNull() & fine & ~has_generic(font, c["generic_font_families"]), "node"))
     if c["allowed_font_families"]:
         found.append(where(e, "doc", "E2004", (F.col("tag") == "text") & a("font-family").isNotNull() & ~font_allowed(a("font-family"), c["allowed_font_families"]), "node"))
     if c["allowed_stroke_widths"]:

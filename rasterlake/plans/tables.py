@@ -124,13 +124,13 @@ def text_expectations(spark, sf):
 
 @query()
 def markup_validation(spark, sf):
-    """SRC-10, VAL-01 to VAL-13: figures rendered from nations, parsed again and validated."""
+    """SRC-10, VAL-01 to VAL-10, VAL-12 to VAL-18: figures rendered from nations, parsed again and validated."""
     from rasterlake.plans.shapes import svg_elements
     from rasterlake.sources import markup
 
     docs = svg_elements(spark, sf).withColumn("doc", F.col("n_regionkey").cast("string"))
     e = markup.elements(docs, "doc", "svg")
-    issues = rules.validate_elements(e, {"forbid_elements": ["image"], "required_groups": ["figure_root", "g_axes", "g_text", "g_legend"], "allowed_font_families": ["Arial"]})
+    issues = rules.validate_elements(e, {"forbid_elements": ["image"], "required_groups": ["figure_root", "g_axes", "g_text", "g_legend"], "allowed_font_families": ["Arial"], "generic_font_families": ["serif", "sans-serif"], "text_group": "g_text"})
     return rules.report(e, issues)
 
 

@@ -242,3 +242,29 @@ def test_svg_text(spark):
     assert at(render.element("text", {"id": F.col("v"), "x": F.lit(None)}, F.col("v"))) == '<text id="a&lt;b">a&lt;b</text>'
     cells = render.grid_cells(spark.createDataFrame([(1000, 800)], "w0 int, h0 int"), "w0", "h0", 2, 2).collect()
     assert len(cells) == 4 and cells[0].x == 60.0 and cells[0].y == 96.0
+
+
+def test_every_element_code_can_arise(spark):
+    text = '<text id="t" text-anchor="start" font-family="Arial, serif" y="5">x</text>'
+    dash = "".join(f'<line id="d{k}" x1="{9 * k}" y1="3" x2="{9 * k + 4}" y2="3" stroke="red" stroke-width="1"/>' for k in range(6))
+    bodies = {
+        "none": text, "E2001": "<image/>" + text, "E2002": "<feBlend/>" + text, "E2004": text.replace("Arial", "Courier"), "E2005": text + "".join(f'<rect fill="#00000{k}"/>' for k in range(7)),
+        "E2006": text + '<rect stroke="red" stroke-width="7"/>', "E2007": text + f'<path d="M0 0{"L1 1" * 80}"/>', "E2008": "", "E2009": text.replace('id="t"', ""), "E2010": text + '<path id="txt_a" d="M0 0"/>',
+        "E2011": text.replace("x</text>", "<tspan>x</tspan></text>"), "E2012": text.replace("x<", "x\n<"), "E2013": text + '<line class="dashed"/>', "E2014": text, "E2015": text.replace(", serif", ""), "E2016": text.replace("start", "left"),
+        "W2101": text + '<line x1="0" y1="1" x2="9" y2="1.2"/>', "W2102": text + dash, "W2104": text + f'<polyline points="{"1,1 " * 31}"/>', "W2105": text + '<polyline points="0,0 9,0.3 9,9"/>',
+        "W2106": text + text.replace('id="t"', 'id="u"').replace('"5"', '"5.5"'),
+    }
+    docs = [(k, f'<svg><g id="g_text">{x}</g></svg>') for k, x in bodies.items()]
+    docs += [("E2003", f'<svg><g id="a"><g id="g_text2">{text}</g></g></svg>'), ("W2103", f'<svg><g id="g_text"/>{text}</svg>'), ("E2017", '<svg><g id="g_text"/></svg>')]
+    docs += [("font of the group", f"""<svg><g id="g_text" style="font-family: Arial">{text.replace(' font-family="Arial, serif"', "")}</g></svg>"""), ("one baseline", '<svg><g id="g_text" dominant-baseline="middle">' + bodies["W2106"] + "</g></svg>")]
+    e = markup.elements(spark.createDataFrame(docs, "doc string, svg string"), "doc", "svg")
+    contract = {"forbid_elements": ["image"], "forbid_element_prefixes": ["fe"], "required_groups": ["g_text"], "allowed_font_families": ["Arial"], "generic_font_families": ["serif", "sans-serif"], "text_group": "g_text", "allowed_stroke_widths": [1.0]}
+    issues = rules.validate_elements(e, contract, spark.createDataFrame([("E2014", 10), ("E2017", 10), ("none", 1)], "doc string, texts_detected int")).cache()
+    got = {d: set() for d, _ in docs}
+    for r in issues.collect():
+        got[r.doc].add(r.code)
+    want = {d: {d} for d, _ in docs} | {"none": set(), "one baseline": set(), "font of the group": {"E2015"}, "E2003": {"E2003", "W2103"}, "E2017": {"E2008", "E2017"}}
+    assert got == want
+    assert {c for c in rules.CODES if c[:2] in ("E2", "W2")} <= set.union(*got.values())
+    status = {r.doc: r.status for r in rules.report(e, issues).collect()}
+    assert status["none"] == "pass" and status["E2008"] == status["E2015"] == "fail"
