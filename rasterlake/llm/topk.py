@@ -15,15 +15,17 @@ SCALE, TOP = 1024, 10
 QUERY_EVERY = 100
 QUERY_BLOCK = 4096  # queries that are sent to the executors at once, about 2 MB
 SCORE_ROWS, SCORE_QUERIES = 4096, 128  # the dense score array, 4 MB
-#: Weights beyond this would not fit a long score; such vectors take no part.
-MAX_WEIGHT = 1 << 26
+#: Weights from this on don't fit a long; such vectors take no part.
+MAX_WEIGHT = float(1 << 63)
+#: Products up to this are summed as longs, with room for the rounding of the estimate; others in whole numbers of any size.
+SAFE = float(1 << 62)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and weights (array of long): floor(SCALE * x) of every component; rows with a null id, a null
-    vector or component, one that is not finite, or one beyond MAX_WEIGHT are left out."""
+    vector or component, one that is not finite, or a weight that doesn't fit a long are left out."""
     weights = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
-    good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * SCALE) <= MAX_WEIGHT))
+    good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * SCALE) < MAX_WEIGHT))
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & good).select("vec_id", weights.alias("weights"))
 
 
@@ -40,6 +42,19 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
+def _exact(scores: np.ndarray, ids: np.ndarray, weights: np.ndarray, vec: np.ndarray, rows: np.ndarray) -> None:
+    """Computes again, without a bound, the scores (queries x candidates) that may have left the long range.
+    OverflowError where one of two different ids has."""
+    query, row = np.abs(weights.astype(np.float64)).sum(axis=1), np.abs(rows.astype(np.float64)).max(axis=1, initial=0)
+    if query.max(initial=0) * row.max(initial=0) < SAFE:
+        return
+    for i, j in np.argwhere((np.outer(query, row) >= SAFE) & (ids[:, None] != vec[None, :])).tolist():
+        score = sum(a * b for a, b in zip(weights[i].tolist(), rows[j].tolist(), strict=True))
+        if not -(1 << 63) <= score < 1 << 63:
+            raise OverflowError(f"the score of vectors {ids[i]} and {vec[j]} doesn't fit a long")
+        scores[i, j] = score
+
+
 def _select(score: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best by score, ties to the smaller id; every row tied with the k-th is looked at."""
     if len(score) > k:
@@ -56,7 +71,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     Both tables have vec_id and weights, as usable() makes them. Queries go to the executors in blocks of
     bounded size, one pass over the candidates each. In a task, a slice of candidates becomes postings by
     component; the queries' non-zero weights scatter them, term by term, into a dense score array, of which
-    each query's k best stay. Repeated ids are rows of their own."""
+    each query's k best stay. Repeated ids are rows of their own. Scores are exact;
+    the query fails where one doesn't fit a long."""
     spark = candidates.sparkSession
     passes = []
     block: list = []
@@ -87,6 +103,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
                                 scores[use - q] += np.outer(weights[use, t], rows[:, t])
                             elif len(use) and len(where):
                                 scores[np.ix_(use - q, where)] += np.outer(weights[use, t], rows[where, t])
+                        _exact(scores, ids[q : q + SCORE_QUERIES], weights[q : q + SCORE_QUERIES], vec, rows)
                         for j, score in enumerate(scores):
                             other = vec != ids[q + j]
                             s, v = _select(score[other], vec[other], k)

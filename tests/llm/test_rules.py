@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -192,3 +193,16 @@ def test_top_k(spark, monkeypatch):
             want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(best)]
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_top_k_of_large_weights(spark):
+    vectors = {0: [70000.0, 1e6, -3.0], 1: [1e5, 0.5, 0.0], 2: [0.25, -1e6, 1.0], 3: [1e8, -1e3, 0.0], 4: [3e12, 2.0, -7e9], 10: [1e-3, 0.5, 1e7]}
+    df = topk.usable(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>"))
+    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(df.filter("vec_id <> 4"), df.filter("vec_id % 10 = 0")).collect()}
+    ints = {k: [int(np.floor(1024 * x)) for x in v] for k, v in vectors.items()}
+    assert got == {(q, c): sum(a * b for a, b in zip(ints[q], ints[c], strict=True)) for q in (0, 10) for c in (0, 1, 2, 3, 10) if c != q}
+    # the sum leaves the long range on the way and comes back
+    w = spark.createDataFrame([(1, [1 << 40, 1 << 40]), (2, [1 << 40, -(1 << 40) + 1])], "vec_id long, weights array<long>")
+    assert {r.score for r in topk.top_k(w, w).collect()} == {1 << 40}
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        topk.top_k(df, df.filter("vec_id = 3")).collect()
