@@ -1,7 +1,7 @@
 """Operator 5: language identification with bit-sliced Bloom filters of character n-grams.
 
-One table of SLOTS words holds the Bloom filters of all languages: bit l of a word belongs to language
-l, so one look-up of an n-gram's PROBES slots and an AND give the mask of all languages that contain it.
+One table of SLOTS words holds the Bloom filters of up to 64 languages (one more table for each further 64):
+bit l of a word belongs to language l, so one look-up of an n-gram's PROBES slots and an AND give the mask of all languages that contain it.
 A text's hits per language are popcounts of those masks; each language's share is corrected for its own
 rate of false positives (the filled share of its slice to the power PROBES).
 """
@@ -19,7 +19,7 @@ from rasterlake.llm.wordhash import mix
 
 ORDERS = (2, 3, 4)
 SLOT_BITS, PROBES = 18, 3
-MAX_LANGUAGES = 64
+WORD = 64  # languages a mask word
 SAMPLE_PER_LANGUAGE = 4000  # bound of the labelled sample: documents a language, in expectation
 MIN_RATE = 1e-5  # of a language's n-grams, so at most 100,000 a language and order enter its filter
 MIN_SHARE = 0.2  # of the largest rate of the n-gram in any language
@@ -72,7 +72,7 @@ def slots(hashes: np.ndarray) -> list[np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # of 2**SLOT_BITS masks
+    tables: list[np.ndarray]  # of 2**SLOT_BITS masks, one for each WORD languages
     false: np.ndarray  # rate of false positives a language
     bound: np.ndarray  # least share of a text in the language
 
@@ -87,10 +87,11 @@ class Model:
         hits, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         for h, first, last in found:
             a, b, c = slots(h)
-            mask = self.table[a] & self.table[b] & self.table[c]
-            for k in range(len(self.languages)):
-                n = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(k)) & mask.dtype.type(1), dtype=np.int64)])
-                hits[:, k] += n[last] - n[first]
+            for word, table in enumerate(self.tables):
+                mask = table[a] & table[b] & table[c]
+                for k in range(word * WORD, min(word * WORD + WORD, len(self.languages))):
+                    n = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(k % WORD)) & mask.dtype.type(1), dtype=np.int64)])
+                    hits[:, k] += n[last] - n[first]
             total += last - first
         share = hits / np.maximum(total, 1)[:, None]
         return np.clip((share - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1), has, total
@@ -110,12 +111,12 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: str =
     """Learns from docs' text and non-null lang. A sample of about per_language documents of each
     language, chosen by a hash of the id, gives the n-gram counts; they are summed by Spark, and what is
     common enough to enter a filter (MIN_RATE bounds it) comes to the driver. A part of the sample then fits the
-    bounds. At most MAX_LANGUAGES languages, the most frequent; ties by name."""
+    bounds. All languages are learned, however many."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.zeros(1 << SLOT_BITS, np.uint8), np.zeros(0), np.zeros(0))
+        return Model([], [], np.zeros(0), np.zeros(0))
     part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
 
     def chosen(most: int) -> Column:
@@ -154,13 +155,17 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: str =
     top = np.zeros(int(which.max()) + 1 if len(which) else 0)
     np.maximum.at(top, which, rate)
     own = rate >= MIN_SHARE * top[which]
-    kind = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint32 if len(languages) <= 32 else np.uint64
-    table = np.zeros(1 << SLOT_BITS, kind)
-    for k in range(len(languages)):
-        for at in slots(gram[own & (lang == k)].view(np.uint64)):
-            table[at] |= kind(1 << k)
-    filled = np.array([((table >> kind(k)) & kind(1)).mean() for k in range(len(languages))])
-    model = Model(languages, table, filled**PROBES, np.zeros(len(languages)))
+    tables, filled = [], np.zeros(len(languages))
+    for word in range(0, len(languages), WORD):
+        here = range(word, min(word + WORD, len(languages)))
+        kind = np.uint8 if len(here) <= 8 else np.uint16 if len(here) <= 16 else np.uint32 if len(here) <= 32 else np.uint64
+        table = np.zeros(1 << SLOT_BITS, kind)
+        for k in here:
+            for at in slots(gram[own & (lang == k)].view(np.uint64)):
+                table[at] |= kind(1 << k % WORD)
+            filled[k] = ((table >> kind(k % WORD)) & kind(1)).mean()
+        tables.append(table)
+    model = Model(languages, tables, filled**PROBES, np.zeros(len(languages)))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def fit():

@@ -94,3 +94,12 @@ def test_texts_in_no_learned_language_go(spark):
         both = docs.unionByName(spark.createDataFrame([(k, t, None, name) for k, (name, t) in enumerate(odd)], SCHEMA))
         kept = {x["score"]: x["count"] for x in langid.keep(both, model, 0.3).groupBy("score").count().collect()}
         assert set(kept) == {"given"} and kept["given"] > 0.99 * docs.count()
+
+
+def test_more_languages_than_bits_of_a_word(spark):
+    rows = [(k, " ".join("".join(chr(0x4E00 + 10 * k + (j + i) % 7) for i in range(4)) for j in range(7)) + " ", f"l{k:03}", None) for k in range(70)]
+    docs = spark.createDataFrame([(k, t * (5 + k), g, s) for k, t, g, s in rows], SCHEMA)
+    model = langid.train(docs)
+    assert len(model.languages) == 70
+    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()} == {k: g for k, _, g, _ in rows}
+    assert langid.keep(docs, model, 0.3).count() == 70
