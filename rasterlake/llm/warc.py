@@ -15,6 +15,7 @@ from rasterlake.llm import work
 BUCKETS = 64
 #: Headers that describe the stored body or the connection: a not-modified answer never replaces them (fixed values).
 KEPT_HEADERS = ("content-encoding", "content-length", "content-md5", "content-range", "content-type", "connection", "keep-alive", "te", "trailer", "transfer-encoding", "upgrade")
+INDEX_PAGE = "index[.](?:[xs]?html?|php[0-9]?|aspx?|jspx?|cgi)|default[.](?:html?|aspx?)"
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid|sessionid"
 
 
@@ -27,6 +28,7 @@ def canonical_url(url: F.Column) -> F.Column:
     u = F.regexp_replace(u, "^([^/?:]+):(80|443)([/?]|$)", "$1$3")
     u = F.regexp_replace(u, f"([?&])({TRACKING})=[^&]*", "$1")
     u = F.regexp_replace(F.regexp_replace(F.regexp_replace(u, "&&+", "&"), "[?]&+", "?"), "[?&]+$", "")
+    u = F.regexp_replace(u, f"^([^?]*/)({INDEX_PAGE})([?]|$)", "$1$3")
     return F.regexp_replace(u, "/+$", "")
 
 

@@ -206,3 +206,13 @@ def test_top_k_of_large_weights(spark):
     assert {r.score for r in topk.top_k(w, w).collect()} == {1 << 40}
     with pytest.raises(Exception, match="doesn't fit a long"):
         topk.top_k(df, df.filter("vec_id = 3")).collect()
+
+
+def test_index_pages_are_their_folders(spark):
+    same = ["http://a.org/x/index.html", "https://www.a.org/x/index.htm?utm_source=q#top", "http://a.org/x/INDEX.PHP", "http://a.org/x/default.aspx", "http://a.org/x/"]
+    other = {"http://a.org/x/myindex.html": "a.org/x/myindex.html", "http://a.org/y?u=/index.html": "a.org/y?u=/index.html", "http://a.org/x/index.html/z": "a.org/x/index.html/z", "http://a.org/x/index.php?id=3": "a.org/x/?id=3", "http://a.org/index.html": "a.org"}
+    got = spark.createDataFrame([(u,) for u in [*same, *other]], "url string").select(warc.canonical_url(F.col("url")).alias("k")).collect()
+    assert [r.k for r in got] == ["a.org/x"] * len(same) + list(other.values())
+    rows = [(1, same[0], 10, "response", 200, {"etag": "1"}, "D", ""), (2, same[4], 20, "revisit", 304, {"etag": "1"}, None, "")]
+    found = warc.resolve_revisits(spark.createDataFrame(rows, RECORD)).first()
+    assert (found.target_id, found.verdict) == (1, "resolved")
