@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+from array import array
 
 import numpy as np
 import regex
@@ -22,7 +23,7 @@ import regex
 from rasterlake.llm.chunks import ChunkEncoder, before_space, by_space
 from rasterlake.llm.work import runs
 
-LONG = 256  # symbols; longer failing words are merged with a heap
+LONG = 256  # symbols; longer words are proposed one by one, and merged with a heap where they fail
 NONE = np.int64(1) << 40
 #: Pre-tokenizer patterns of the two supported kinds (fixed values of the public vocabularies).
 PATTERN_SUFFIX = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -101,6 +102,7 @@ class SpeculativeBPE:
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         self.suffix = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.vocab: dict[str, int] = model["vocab"]
         self.n = max(max(self.vocab.values()), *self.special.values()) + 1
         self.names = [""] * self.n
@@ -117,6 +119,7 @@ class SpeculativeBPE:
                 raise ValueError(f"two merges make {a + b!r}")
             self.rank[i], self.left[i], self.right[i] = r, self.vocab[a], self.vocab[b]
         made = np.flatnonzero(self.rank >= 0)
+        self._rank = self.rank.tolist()
         self.merged = Lookup(self.left[made] * 65536 + self.right[made], made)
         self.by_pair = dict(zip((self.left[made] * 65536 + self.right[made]).tolist(), made.tolist(), strict=True))
         byte = {c: b for b, c in enumerate(chars)}
@@ -137,8 +140,9 @@ class SpeculativeBPE:
                     accept.append(-1)
                 node = new
             accept[node] = i
+        self.steps = steps
         self.trie = Lookup(np.fromiter(steps.keys(), np.int64, len(steps)), np.fromiter(steps.values(), np.int64, len(steps)))
-        self.accept = np.array(accept, np.int64)
+        self.accept, self._accept = np.array(accept, np.int64), accept
         self.sound = np.ones(self.n, bool)
         whole = self.compatible(self.left[made], self.right[made], self.rank[made])
         for i, ok in sorted(zip(made.tolist(), whole.tolist(), strict=True), key=lambda x: self.rank[x[0]]):
@@ -197,6 +201,43 @@ class SpeculativeBPE:
         order = np.argsort(words, kind="stable")
         return np.concatenate([*out_token, np.empty(0, np.int64)])[order], np.bincount(words, minlength=len(start))
 
+    def propose_long(self, symbols: np.ndarray) -> np.ndarray:
+        """Greedy longest-match tokens of one long word (-1 where nothing matches): the same walk without
+        a vector step a symbol, whose fixed cost only many words at once pay for."""
+        word, steps, accept = symbols.tolist(), self.steps, self._accept
+        out = array("q")
+        at, n = 0, len(word)
+        while at < n:
+            node, best, after, pos = 0, -1, at, at
+            while pos < n:
+                node = steps.get(node * 512 + word[pos], -1)
+                if node < 0:
+                    break
+                pos += 1
+                if accept[node] >= 0:
+                    best, after = accept[node], pos
+            out.append(best)
+            at = after if best >= 0 else n
+        return np.frombuffer(out, np.int64)
+
+    def propose_all(self, symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """propose() for words of any length."""
+        lengthy = np.flatnonzero(end - start > LONG)
+        if not len(lengthy):
+            return self.propose(symbols, start, end)
+        short = np.flatnonzero(end - start <= LONG)
+        tokens, counts = self.propose(symbols, start[short], end[short])
+        parts = [self.propose_long(symbols[start[k] : end[k]]) for k in lengthy.tolist()]
+        all_counts = np.zeros(len(start), np.int64)
+        all_counts[short] = counts
+        all_counts[lengthy] = list(map(len, parts))
+        first = np.cumsum(all_counts) - all_counts
+        out = np.empty(int(all_counts.sum()), np.int64)
+        out[runs(counts, first[short])] = tokens
+        for k, part in zip(lengthy.tolist(), parts, strict=True):
+            out[first[k] : first[k] + len(part)] = part
+        return out, all_counts
+
     # -- exact merging -----------------------------------------------------------------------
     def merge_all(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exact merging of many short words at once: each pass makes each word's next merge."""
@@ -221,32 +262,47 @@ class SpeculativeBPE:
         order = np.argsort(words, kind="stable")
         return np.concatenate([d[1] for d in done])[order], np.bincount(words, minlength=len(counts))
 
-    def merge_long(self, tokens: list[int]) -> list[int]:
-        """Exact merging of one word with a heap of candidate merges and linked neighbours."""
-        n = len(tokens)
-        before, behind = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap: list[tuple[int, int, int, int]] = []
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """Exact merging of one word, lowest rank first and leftmost on ties. The candidates known at the
+        start are one sorted array and later ones a heap of numbers, so a word takes about 60 bytes a symbol."""
+        n = len(symbols)
+        pair = self.merged(symbols[:-1] * 65536 + symbols[1:])
+        at = np.flatnonzero(pair >= 0)
+        known = np.sort((self.rank[pair[at]] << 40) | at)
+        tokens, before, behind = array("i", symbols.astype(np.int32).tobytes()), array("i", range(-1, n - 1)), array("i", [*range(1, n), -1])
+        rank, by_pair = self._rank, self.by_pair
+        heap: list[int] = []
 
         def offer(i: int) -> None:
             j = behind[i]
-            if j >= 0 and (m := self.by_pair.get(tokens[i] * 65536 + tokens[j])) is not None:
-                heapq.heappush(heap, (int(self.rank[m]), i, tokens[i], tokens[j]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, x, y = heapq.heappop(heap)
-            j = behind[i]
-            if tokens[i] != x or j < 0 or tokens[j] != y:
-                continue
-            tokens[i], tokens[j] = self.by_pair[x * 65536 + y], -1
-            behind[i] = behind[j]
-            if behind[j] >= 0:
-                before[behind[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [t for t in tokens if t >= 0]
+            if j >= 0 and (m := by_pair.get(tokens[i] * 65536 + tokens[j])) is not None:
+                heapq.heappush(heap, rank[m] << 40 | i)
+
+        for at in range(0, len(known) + 1, 1 << 16):
+            part = known[at : at + (1 << 16)].tolist()
+            last = at + (1 << 16) > len(known)
+            k = 0
+            while k < len(part) or (last and heap):
+                if heap and (k == len(part) or heap[0] < part[k]):
+                    entry = heapq.heappop(heap)
+                else:
+                    entry, k = part[k], k + 1
+                i = entry & (1 << 40) - 1
+                j = behind[i]
+                if tokens[i] < 0 or j < 0:
+                    continue
+                m = by_pair.get(tokens[i] * 65536 + tokens[j])
+                if m is None or rank[m] != entry >> 40:  # an older candidate; the pair's own one is in the heap
+                    continue
+                tokens[i], tokens[j] = m, -1
+                behind[i] = behind[j]
+                if behind[j] >= 0:
+                    before[behind[j]] = i
+                offer(i)
+                if before[i] >= 0:
+                    offer(before[i])
+        out = np.frombuffer(tokens, np.int32)
+        return out[out >= 0].astype(np.int64)
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of non-empty words (as bytes) and ids per word."""
@@ -258,7 +314,7 @@ class SpeculativeBPE:
         symbols = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
         if self.suffix:
             symbols[end - 1] += 256
-        tokens, counts = self.propose(symbols, start, end)
+        tokens, counts = self.propose_all(symbols, start, end)
         first = np.cumsum(counts) - counts
         word = np.repeat(np.arange(len(words)), counts)
         bad = np.zeros(len(words), bool)
@@ -276,7 +332,7 @@ class SpeculativeBPE:
             out_count[short] = n
             fixed.append((short, ids))
         for k in lengthy.tolist():
-            ids = np.array(self.merge_long(self.base[symbols[start[k] : end[k]]].tolist()))
+            ids = self.merge_long(self.base[symbols[start[k] : end[k]]])
             out_count[k] = len(ids)
             fixed.append((np.array([k]), ids))
         out_start = np.cumsum(out_count) - out_count
@@ -290,10 +346,17 @@ class SpeculativeBPE:
     # -- texts -------------------------------------------------------------------------------
     def words_of(self, chunk: str) -> list[str | int]:
         """Pre-tokens of a chunk as text; special tokens as their ids."""
-        for s, i in self.special.items():
-            if s in chunk:
-                head, _, tail = chunk.partition(s)
-                return [*(self.words_of(head) if head else ()), i, *(self.words_of(tail) if tail else ())]
+        if self.cut_special and (parts := self.cut_special.split(chunk))[1:]:
+            out: list[str | int] = []
+            for k, part in enumerate(parts):  # every second part is a special token
+                if k % 2:
+                    out.append(self.special[part])
+                elif part:
+                    out += self._plain_words(part)
+            return out
+        return self._plain_words(chunk)
+
+    def _plain_words(self, chunk: str) -> list[str]:
         if not PLAIN.fullmatch(chunk):
             text = self.normalizer.normalize_str(chunk) if self.normalizer else chunk
             if not PLAIN.fullmatch(text):
