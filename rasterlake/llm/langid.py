@@ -1,7 +1,8 @@
 """Operator 5: language identification with bit-sliced Bloom filters of character n-grams.
 
-One table of SLOTS words holds the Bloom filters of up to 64 languages (one more table for each further 64):
-bit l of a word belongs to language l, so one look-up of an n-gram's PROBES slots and an AND give the mask of all languages that contain it.
+One table of slots holds the Bloom filters of up to 64 languages (one more table for each further 64): bit l of a slot's
+word belongs to language l, so one look-up of an n-gram's PROBES slots and an AND give the mask of all languages whose
+sample contains it. The number of slots follows from the number of n-grams of the richest language.
 A text's hits per language are popcounts of those masks; each language's share is corrected for its own
 rate of false positives (the filled share of its slice to the power PROBES).
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +20,10 @@ from rasterlake.llm import work
 from rasterlake.llm.wordhash import mix
 
 ORDERS = (2, 3, 4)
-SLOT_BITS, PROBES = 18, 3
+PROBES, FILLED = 3, 0.25  # a slice's slots are filled to a quarter at most
+LEAST_BITS, MOST_BITS = 16, 26  # 2**26 slots hold 5 million n-grams a language at a quarter, and more at a higher rate of false positives
 WORD = 64  # languages a mask word
 SAMPLE_PER_LANGUAGE = 4000  # bound of the labelled sample: documents a language, in expectation
-MIN_RATE = 1e-5  # of a language's n-grams, so at most 100,000 a language and order enter its filter
-MIN_SHARE = 0.2  # of the largest rate of the n-gram in any language
 UNKNOWN = "und"
 FIT_PER_LANGUAGE = 500  # labelled documents a language, in expectation, on which the bound of its evidence is fitted
 LEARNED_PART = 0.6  # of the median share of a language's labelled documents: text with less is in no learned language
@@ -65,14 +66,17 @@ def grams(texts: list[str | None]) -> tuple[list[tuple[np.ndarray, np.ndarray, n
     return out, has
 
 
-def slots(hashes: np.ndarray) -> list[np.ndarray]:
-    return [((hashes >> np.uint64(20 * j)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64) for j in range(PROBES)]
+def slots(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """An n-gram's PROBES slots: steps of its lower half (made odd) from its upper half."""
+    low, high = (hashes & np.uint64(0xFFFFFFFF)) | np.uint64(1), hashes >> np.uint64(32)
+    return [((high + low * np.uint64(j)) & np.uint64((1 << bits) - 1)).astype(np.int64) for j in range(PROBES)]
 
 
 @dataclass
 class Model:
     languages: list[str]
-    tables: list[np.ndarray]  # of 2**SLOT_BITS masks, one for each WORD languages
+    bits: int
+    tables: list[np.ndarray]  # of 2**bits masks, one for each WORD languages
     false: np.ndarray  # rate of false positives a language
     bound: np.ndarray  # least share of a text in the language
 
@@ -86,7 +90,7 @@ class Model:
         found, has = grams(texts)
         hits, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         for h, first, last in found:
-            a, b, c = slots(h)
+            a, b, c = slots(h, self.bits)
             for word, table in enumerate(self.tables):
                 mask = table[a] & table[b] & table[c]
                 for k in range(word * WORD, min(word * WORD + WORD, len(self.languages))):
@@ -109,14 +113,14 @@ class Model:
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: str = "langid") -> Model:
     """Learns from docs' text and non-null lang. A sample of about per_language documents of each
-    language, chosen by a hash of the id, gives the n-gram counts; they are summed by Spark, and what is
-    common enough to enter a filter (MIN_RATE bounds it) comes to the driver. A part of the sample then fits the
-    bounds. All languages are learned, however many."""
+    language, chosen by a hash of the id, gives the n-grams, every one of which enters its language's filter. Spark
+    ORs the masks of each slot; only the table, whose size is bounded, comes to the driver. A part of the sample then
+    fits the bounds. All languages are learned, however many."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], [], np.zeros(0), np.zeros(0))
+        return Model([], LEAST_BITS, [], np.zeros(0), np.zeros(0))
     part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
 
     def chosen(most: int) -> Column:
@@ -131,41 +135,34 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: str =
         def one(c: dict) -> list:
             found, _ = grams(c["text"])
             label = np.array([number[x] for x in c["lang"]], np.int64)
-            out: list[list] = [[], [], [], []]
-            for order, (h, first, last) in enumerate(found):
-                for k in set(label.tolist()):
-                    at = np.flatnonzero(label == k)
-                    g, n = np.unique(h[work.runs((last - first)[at], first[at])], return_counts=True)
-                    for column, values in zip(out, (np.full(len(g), k), np.full(len(g), order), g.view(np.int64), n), strict=True):
-                        column.extend(values.tolist())
-            return out
+            out: list[list[np.ndarray]] = [[], []]
+            for k in set(label.tolist()):
+                at = np.flatnonzero(label == k)
+                g = np.unique(np.concatenate([h[work.runs((last - first)[at], first[at])] for h, first, last in found]))
+                out[0].append(np.full(len(g), k))
+                out[1].append(g.view(np.int64))
+            return [pa.array(np.concatenate(x), t) for x, t in zip(out, (pa.int32(), pa.int64()), strict=True)]
 
         return one
 
-    counted = work.map_batches(rows.filter(chosen(per_language)).select("text", "lang"), "lang int, ord int, gram long, n long", make).groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
-    counted = work.saved(counted, "grams")
-    totals = {(r.lang, r.ord): r.n for r in counted.groupBy("lang", "ord").agg(F.sum("n").alias("n")).collect()}
-    least = F.lit(1 << 60)
-    for (k, o), n in totals.items():
-        least = F.when((F.col("lang") == k) & (F.col("ord") == o), max(3, int(MIN_RATE * n))).otherwise(least)
-    common = counted.filter(F.col("n") >= least).toArrow()
-    lang, order, gram, n = (np.asarray(common.column(c)) for c in ("lang", "ord", "gram", "n"))
-    rate = n / np.array([totals[k, o] for k, o in zip(lang.tolist(), order.tolist(), strict=True)]) if len(n) else np.zeros(0)
-    _, which = np.unique(gram * 4 + order, return_inverse=True)
-    top = np.zeros(int(which.max()) + 1 if len(which) else 0)
-    np.maximum.at(top, which, rate)
-    own = rate >= MIN_SHARE * top[which]
+    held = work.saved(work.map_batches(rows.filter(chosen(per_language)).select("text", "lang"), "lang int, gram long", make).distinct(), "grams")
+    most = held.groupBy("lang").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, int(PROBES * most / FILLED - 1).bit_length()))
+    low, high = F.col("gram").bitwiseAND(0xFFFFFFFF).bitwiseOR(1), F.shiftrightunsigned("gram", 32)
+    each = F.explode(F.array(*[(high + low * j).bitwiseAND((1 << bits) - 1).cast("int") for j in range(PROBES)]))
+    marks = held.select((F.col("lang") / WORD).cast("int").alias("word"), F.expr(f"shiftleft(1L, lang % {WORD})").alias("mask"), each.alias("slot"))
+    marks = marks.groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # 2**bits rows a word at most
+    which, slot, mask = (np.asarray(marks.column(c)) for c in ("word", "slot", "mask"))
     tables, filled = [], np.zeros(len(languages))
-    for word in range(0, len(languages), WORD):
-        here = range(word, min(word + WORD, len(languages)))
-        kind = np.uint8 if len(here) <= 8 else np.uint16 if len(here) <= 16 else np.uint32 if len(here) <= 32 else np.uint64
-        table = np.zeros(1 << SLOT_BITS, kind)
-        for k in here:
-            for at in slots(gram[own & (lang == k)].view(np.uint64)):
-                table[at] |= kind(1 << k % WORD)
-            filled[k] = ((table >> kind(k % WORD)) & kind(1)).mean()
+    for word in range(-(-len(languages) // WORD)):
+        here = min(WORD, len(languages) - word * WORD)
+        kind = np.uint8 if here <= 8 else np.uint16 if here <= 16 else np.uint32 if here <= 32 else np.uint64
+        table = np.zeros(1 << bits, kind)
+        table[slot[which == word]] = mask[which == word].view(np.uint64).astype(kind)
+        for k in range(here):
+            filled[word * WORD + k] = ((table >> kind(k)) & kind(1)).mean()
         tables.append(table)
-    model = Model(languages, tables, filled**PROBES, np.zeros(len(languages)))
+    model = Model(languages, bits, tables, filled**PROBES, np.zeros(len(languages)))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def fit():
