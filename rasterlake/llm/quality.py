@@ -160,7 +160,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: str = "quality") -> Model:
     """Learns quality from docs' texts and labels (doc_id, quality), on about rows labelled documents chosen
     by a hash of the id. Repeated labels count once (the larger one); null labels or ids aren't used. The
-    sample of labels is bounded, so it is broadcast to the scan; features of it come to the driver."""
+    sample of labels is bounded, so it is broadcast to the scan. One row of features an id comes to the driver, of
+    documents that share an id the one whose features sort first, so repeated documents don't add to it."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = known.count()
     if n > rows:
@@ -173,8 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: str
 
         return one
 
-    got = work.map_batches(sample, "doc_id long, quality int, x array<double>", make).toPandas()
-    got = got.assign(key=got["x"].map(tuple)).sort_values(["doc_id", "quality", "key"], ignore_index=True)
+    found = work.map_batches(sample, "doc_id long, quality int, x array<double>", make)
+    got = found.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("s")).select("doc_id", "s.quality", "s.x").toPandas().sort_values("doc_id", ignore_index=True)
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     return fit(x, got["quality"].to_numpy(float))
 
