@@ -7,12 +7,13 @@ and the response's headers are updated with those that a not-modified answer may
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterlake.llm import work
 
-BUCKETS = 64
+RANGE_ROWS = 200_000  # records a range of time, over all URLs
+MAX_RANGES = 4096  # 32 KB of bounds in the plan
 #: Headers that describe the stored body or the connection: a not-modified answer never replaces them (fixed values).
 KEPT_HEADERS = ("content-encoding", "content-length", "content-md5", "content-range", "content-type", "connection", "keep-alive", "te", "trailer", "transfer-encoding", "upgrade")
 INDEX_PAGE = "index[.](?:[xs]?html?|php[0-9]?|aspx?|jspx?|cgi)|default[.](?:html?|aspx?)"
@@ -39,7 +40,29 @@ def _lowered(headers: F.Column) -> F.Column:
     return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
 
 
-def resolve_revisits(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def _time_ranges(known: DataFrame, rows: int) -> list[int]:
+    """Times that cut the records into ranges of about as many rows each (approximate percentiles, which are
+    aggregated before the shuffle): a burst of captures gets as many ranges as its rows ask for."""
+    n = known.count()
+    ranges = min(MAX_RANGES, -(-n // rows))
+    if ranges < 2:
+        return []
+    at = [k / ranges for k in range(1, ranges)]
+    return sorted(set(known.select(F.percentile_approx("ts", at, 10 * ranges)).first()[0]))
+
+
+def _range_of(ts: Column, bounds: list[int]) -> Column:
+    """How many bounds are at or before ts, by halving."""
+    if not bounds:
+        return F.lit(0)
+    size = 1 << len(bounds).bit_length()
+    table = F.array(*[F.lit(b).cast("long") for b in bounds])
+    steps = F.array(*[F.lit(size >> k) for k in range(1, size.bit_length())])
+    fits = lambda place: (place <= len(bounds)) & (F.try_element_at(table, place) <= ts)
+    return F.aggregate(steps, F.lit(0), lambda i, step: F.when(fits(i + step), i + step).otherwise(i))
+
+
+def resolve_revisits(records: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row for each revisit: record_id, url_key, ts, target_id, verdict, status, headers, digest.
 
     records: record_id long, url string, ts long, kind ('response' or 'revisit'; others play no part),
@@ -50,17 +73,17 @@ def resolve_revisits(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     target. Equal times aren't earlier; of responses at one time the largest record_id is the latest. Repeated
     revisits are resolved each. Other columns aren't read.
 
-    One URL may hold most rows: times are cut into equal ranges, the latest response of each (URL, range) is
-    aggregated before the shuffle and carried on, and each (URL, range) is ordered by itself."""
+    One URL may hold most rows, and most of these in a burst: times are cut into ranges of about range_rows records
+    (at most MAX_RANGES of them), the latest response of each (URL, range) is aggregated before the shuffle and
+    carried on, and each (URL, range) is ordered by itself. Only records of one URL and one time stay together."""
     r = records.select(
         F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), F.col("kind").alias("kind"),
         F.col("status").cast("int").alias("status"), _lowered(F.col("headers")).alias("headers"), F.col("digest").alias("digest"),
     )
     full = (F.col("kind") == "response") & (F.col("status") == 200)
     r = r.filter((F.col("kind") == "revisit") | full)
-    span = r.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-    first, width = span.a or 0, max(1, -(-((span.b or 0) - (span.a or 0) + 1) // buckets))
-    r = r.withColumn("bucket", F.floor((F.col("ts") - first) / width).cast("int"))
+    bounds = _time_ranges(records.select(F.col("ts").cast("long").alias("ts"), "kind", "status").filter("ts IS NOT NULL AND (kind = 'revisit' OR kind = 'response' AND status = 200)"), range_rows)
+    r = r.withColumn("bucket", _range_of(F.col("ts"), bounds))
     known = r.filter(F.col("url_key").isNotNull() & F.col("ts").isNotNull())
     body = F.struct("ts", "record_id", "headers", "digest", "status")
     key = F.struct("ts", "record_id")
