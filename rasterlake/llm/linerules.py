@@ -1,8 +1,9 @@
 """Operator 7: line-first cleaning.
 
-Every line is judged alone: punctuation (too many symbols or exclamation marks, or no letter or digit),
-navigation (short and without a sentence end, or a bar-separated menu), boilerplate (a stock phrase).
-Failing lines go; a document that loses over MAX_LOSS percent of its words' characters is rejected.
+Every line is judged alone: punctuation (too many symbols or exclamation marks, no letter or digit, or a line
+of some length in which no sentence ends), navigation (a short line without any stop, a bar- or arrow-separated menu, or
+menu words only), boilerplate (a stock phrase), in English, German, French and Spanish. Failing lines go; a
+document that loses over MAX_LOSS percent of its words' characters is rejected.
 """
 
 from __future__ import annotations
@@ -17,34 +18,53 @@ from rasterlake.llm.wordhash import Words, window_hashes
 
 MIN_WORDS, MAX_REPEAT, MAX_LOSS = 50, 50, 40
 SYMBOLS = "[#*$%&|<>]"
-BOILERPLATE = (
-    "all rights reserved|privacy policy|cookie policy|terms of use|terms of service|enable javascript|lorem ipsum|"
-    "subscribe to our|click here|sign up for|share on facebook|powered by"
-)
+#: Stock phrases by language, lower case.
+PHRASES = {
+    "en": "all rights reserved|privacy policy|cookie policy|we use cookies|terms of use|terms of service|terms and conditions|enable javascript|subscribe to our|click here|sign up for|share on facebook|follow us on|powered by|read more|back to top",
+    "de": "alle rechte vorbehalten|datenschutzerklärung|allgemeine geschäftsbedingungen|verwendet cookies|javascript aktivieren|newsletter abonnieren|hier klicken|jetzt anmelden|weiterlesen|nach oben",
+    "fr": "tous droits réservés|politique de confidentialité|mentions légales|conditions générales|utilise des cookies|activer javascript|abonnez-vous|cliquez ici|lire la suite|haut de page",
+    "es": "todos los derechos reservados|política de privacidad|aviso legal|términos y condiciones|utiliza cookies|active javascript|habilitar javascript|suscríbete|haga clic aquí|leer más|volver arriba",
+}
+BOILERPLATE = "|".join([*PHRASES.values(), "lorem ipsum"])
+#: Words of menus by language, lower case.
+MENU_WORDS = {
+    "en": "home|about|contact|login|logout|register|search|menu|sitemap|help|faq|next|previous|blog|news|archive|categories|tags|cart|account|imprint",
+    "de": "startseite|über|uns|kontakt|anmelden|abmelden|suche|hilfe|weiter|zurück|impressum|datenschutz|warenkorb|konto|archiv|nachrichten",
+    "fr": "accueil|à|propos|connexion|déconnexion|rechercher|aide|suivant|précédent|panier|compte|actualités|plan|du|site",
+    "es": "inicio|acerca|de|contacto|acceder|salir|buscar|ayuda|siguiente|anterior|carrito|cuenta|noticias|mapa|del|sitio",
+}
 #: The rules as regular expressions that mean the same in Python, Java and RE2.
 NO_WORD = "[\\x20\\x09-\\x0D]*"
 NAVIGATION = "[^.!?:;]{1,30}"  # the whole line; with SHORT words at most
-SHORT = 3
+MENU = f"[ ]*(?:(?:{'|'.join(MENU_WORDS.values())})[ ,/·•-]*)+"  # the whole line
+SEPARATED = "(?: [|»›•·] .*){2}"  # a menu of three entries or more
+SHORT, LONG = 3, 10
+#: What a line of LONG words or more needs: a stop, and closing marks after it, at its end or before a blank.
+ENDED = "[.!?:;…][\"'”’»)\\]]*([\\x20\\x09-\\x0D]|$)"
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean,"
-    " kept boolean, n_lines long, punctuation_lines long, navigation_lines long, boilerplate_lines long, kept_chars long, clean_text string"
+    " kept boolean, n_lines long, punctuation_lines long, navigation_lines long, boilerplate_lines long, kept_chars long"
 )
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
+_WORD, _SYMBOLS, _STOCK = re.compile("[^\\x20\\x09-\\x0D]+"), re.compile(SYMBOLS), re.compile(BOILERPLATE)
+_NAVIGATION, _MENU, _SEPARATED, _ENDED = re.compile(NAVIGATION), re.compile(MENU), re.compile(SEPARATED), re.compile(ENDED)
+_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÀÍÓ", "abcdefghijklmnopqrstuvwxyzäöüéèàíó")
 
 
 def line_fault(line: str) -> str | None:
     """The first rule that a line with a word fails."""
-    words = len(re.findall("[^\\x20\\x09-\\x0D]+", line))
-    if 2 * len(re.findall(SYMBOLS, line)) > words or 2 * line.count("!") > words or not any(map(str.isalnum, line)):
+    words = len(_WORD.findall(line))
+    if 2 * len(_SYMBOLS.findall(line)) > words or 2 * line.count("!") > words or not any(map(str.isalnum, line)):
         return "punctuation"
-    if words <= SHORT and re.fullmatch(NAVIGATION, line) or line.count(" | ") >= 2:
+    low = line.translate(_UPPER)
+    if words <= SHORT and _NAVIGATION.fullmatch(line) or _SEPARATED.search(line) or _MENU.fullmatch(low):
         return "navigation"
-    if re.search(BOILERPLATE, line, re.IGNORECASE | re.ASCII):
+    if _STOCK.search(low):
         return "boilerplate"
-    return None
+    return "punctuation" if words >= LONG and not _ENDED.search(line) else None
 
 
 def _chars(line: str) -> int:
@@ -64,11 +84,11 @@ def _repeats(hashes: np.ndarray) -> int:
     return int(covered.sum())
 
 
-def clean_lines(docs: DataFrame, max_loss: int = MAX_LOSS) -> DataFrame:
-    """Base counts, verdict and cleaned text of every document, its whole text.
+def clean_lines(docs: DataFrame, max_loss: int = MAX_LOSS, with_text: bool = True) -> DataFrame:
+    """Base counts and verdict of every document, its whole text, and with_text its cleaned text (clean_text).
 
     Null or empty texts have no words (zeros, base_failed, not kept, clean_text empty); repeated rows are
-    judged alike, each on its own; columns other than doc_id and text are not read."""
+    judged alike, each on its own; columns other than doc_id and text are not read, whatever their names."""
 
     def make():
         def one(c: dict) -> list:
@@ -102,17 +122,17 @@ def clean_lines(docs: DataFrame, max_loss: int = MAX_LOSS) -> DataFrame:
                 failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT * n
                 total = int(n_chars[k])
                 keep = not failed and 100 * (total - kept) <= max_loss * total
-                rows.append((c["doc_id"][k], n, total, int(n_symbols[k]), len(lines) - len(set(lines)), repeats, failed, keep, len(lines), *faults.values(), kept, "\n".join(good)))
+                rows.append((c["doc_id"][k], n, total, int(n_symbols[k]), len(lines) - len(set(lines)), repeats, failed, keep, len(lines), *faults.values(), kept, *(["\n".join(good)] if with_text else [])))
             return [list(x) for x in zip(*rows, strict=True)]
 
         return one
 
-    return work.map_batches(work.pick(docs, "doc_id", "text"), SCHEMA, make)
+    return work.map_batches(work.pick(docs, "doc_id", "text"), SCHEMA + ", clean_text string" * with_text, make)
 
 
 def op7_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
-    return clean_lines(work.read(spark, sf_dir, "documents")).drop("clean_text")
+    return clean_lines(work.read(spark, sf_dir, "documents"), with_text=False)
 
 
 ORACLE = rf"""
@@ -120,11 +140,12 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(t
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
 m AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars,
   length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols, length(regexp_replace(line, '[^!]', '', 'g')) AS shouts,
-  len(string_split(line, ' | ')) - 1 AS bars
+  translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÀÍÓ', 'abcdefghijklmnopqrstuvwxyzäöüéèàíó') AS low
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 f AS (SELECT *, CASE WHEN 2 * symbols > n OR 2 * shouts > n OR NOT regexp_matches(line, '[\p{{L}}\p{{N}}]') THEN 'p'
-  WHEN n <= {SHORT} AND regexp_full_match(line, '{NAVIGATION}') OR bars >= 2 THEN 'n'
-  WHEN regexp_matches(line, '{BOILERPLATE}', 'i') THEN 'b' END AS fault FROM m),
+  WHEN n <= {SHORT} AND regexp_full_match(line, '{NAVIGATION}') OR regexp_matches(line, '{SEPARATED}') OR regexp_full_match(low, '{MENU}') THEN 'n'
+  WHEN regexp_matches(low, '{BOILERPLATE}') THEN 'b'
+  WHEN n >= {LONG} AND NOT regexp_matches(line, '{ENDED.replace("'", "''")}') THEN 'p' END AS fault FROM m),
 g AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (fault = 'p') AS p, count(*) FILTER (fault = 'n') AS n,
   count(*) FILTER (fault = 'b') AS b, coalesce(sum(chars) FILTER (fault IS NULL), 0) AS kept_chars FROM f GROUP BY doc_id),
 x AS (SELECT doc_id, unnest(range(len(w) - 2)) AS i, w FROM d WHERE len(w) >= 3),
