@@ -42,8 +42,35 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution 4.0 international license": "cc-by-notice",
     "this source code form is subject to the terms of the mozilla public license v. 2.0": "mpl-notice",
     "this is free and unencumbered software released into the public domain": "unlicense-notice",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer in this position and unchanged": "bsd-source",
+    "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
+    "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted": "hpnd-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "this software is provided as-is without any express or implied warranty": "zlib-warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib-liability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third-parties to whom the software is furnished to do so all subject to the following": "bsl-grant",
+    "distributed under the boost software license version 1.0": "bsl-notice",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version": "lgpl21-grant",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation version 3 of the license": "agpl3-only-grant",
+    "you should have received a copy of the gnu general public license along with this program": "gpl-copy",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v2.0": "epl2-notice",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0": "epl2-notice",
+    "licensed under the bsd 3-clause license": "bsd3-notice",
+    "licensed under the bsd 2-clause license": "bsd2-notice",
+    "licensed under the isc license": "isc-notice",
+    "licensed under the gnu general public license v3.0": "gpl3-notice",
+    "this work is licensed under a creative commons attribution-sharealike 4.0 international license": "cc-by-sa-notice",
+    "this work is licensed under a creative commons attribution-noncommercial 4.0 international license": "cc-by-nc-notice",
     "all rights reserved": "reserved",
 }
+#: Clauses that name a holder, as patterns over normalised words, and the form that SENTENCES holds.
+HOLDERS = (
+    ("neither the names? of (?:the )?[a-z0-9.+ \n-]{1,120}? nor the names of (?:its|their|the|any) contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    ("the names? of (?:the )?[a-z0-9.+ \n-]{1,120}? may not be used to endorse", "the name of the author may not be used to endorse"),
+)
 #: Rules, in the order in which they are tried: licence, and the sequence of identifiers.
 RULES = (
     ("MIT", ("mit-grant", "mit-condition")),
@@ -55,7 +82,12 @@ RULES = (
     ("Apache-2.0", ("apache-notice",)),
     ("GPL-3.0-or-later", ("gpl3-grant", "gpl-warranty")),
     ("GPL-3.0-or-later", ("gpl3-grant",)),
+    ("GPL-2.0-or-later", ("gpl2-grant", "gpl-warranty")),
     ("GPL-2.0-or-later", ("gpl2-grant",)),
+    ("AGPL-3.0-or-later", ("agpl3-grant",)),
+    ("AGPL-3.0-only", ("agpl3-only-grant",)),
+    ("LGPL-2.1-or-later", ("lgpl21-grant",)),
+    ("LGPL-3.0-or-later", ("lgpl3-grant",)),
     ("GPL-3.0-only", ("gpl3-notice",)),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-grant",)),
@@ -65,6 +97,15 @@ RULES = (
     ("CC-BY-SA-4.0", ("cc-by-sa-notice",)),
     ("CC-BY-4.0", ("cc-by-notice",)),
     ("Unlicense", ("unlicense-notice",)),
+    ("Zlib", ("zlib-warranty", "zlib-liability", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("BSL-1.0", ("bsl-notice",)),
+    ("HPND", ("hpnd-grant",)),
+    ("EPL-2.0", ("epl2-notice",)),
+    ("BSD-3-Clause", ("bsd3-notice",)),
+    ("BSD-2-Clause", ("bsd2-notice",)),
+    ("ISC", ("isc-notice",)),
     ("all-rights-reserved", ("reserved",)),
 )
 
@@ -72,9 +113,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENDS = r"\n|[.!?:]+[ \t\r]+"
 JUNK = "[^a-z0-9.+-]+"
 EDGES = "^[ .+-]+|[ .+-]+$"
-#: Within texts: END closes a sentence, a newline may stand in one. A colon, "v." before a number and one newline do not close it.
+#: Within texts: END closes a sentence, a newline may stand in one. A colon, "v." before a number, "Inc." and the like in a clause, and one newline do not close it.
 END = "\x01"
-SOFT = r"(?<=\bv)[.][ \t\r\n][^a-z0-9\x01]*(?=[0-9])|:[ \t\r]++(?!\n)"
+SOFT = r"(?<=\bv)[.][ \t\r\n][^a-z0-9\x01]*(?=[0-9])|(?<=\b(?:inc|ltd|corp|co|llc))[.][ \t\r\n][^a-z0-9\x01]*(?=(?:nor|and|or|may)\b)|:[ \t\r]++(?!\n)"
 HARD = r"[.!?]+[ \t\r\n]+|\n[^a-z0-9\n]*\n"
 LINE_JUNK = r"[^a-z0-9.+\n\x01-]+"
 LINE_EDGES = r"[ .+-]*([\n\x01])[ .+-]*"
@@ -98,13 +139,14 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
     license, n>, by rule), licenses (sorted, distinct) of every document, its whole text.
 
     A known sentence stands between sentence ends, line breaks or both, and may itself be wrapped over lines, with
-    comment marks that are no letters; a blank line ends it. Of sentences that begin at one place the longest
+    comment marks that are no letters; a blank line ends it. Whoever a clause of HOLDERS names stands for the
+    holder. Of sentences that begin at one place the longest
     counts. Null, empty and unlicensed texts have empty arrays. Repeated rows are scanned each; other columns than
     doc_id and text aren't read. One narrow pass: no shuffle, and the sentence table is a literal."""
     words = lambda x: re.sub(GAP, " ", x)
     known = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (words(k), v)])
     text = F.translate(F.coalesce("text", F.lit("")), UPPER + END, LOWER + " ")
-    for pattern, by in ((SOFT, "\n"), (HARD, END), (LINE_JUNK, " "), (LINE_EDGES, "$1"), (EDGES, "")):
+    for pattern, by in ((SOFT, "\n"), (HARD, END), (LINE_JUNK, " "), (LINE_EDGES, "$1"), (EDGES, ""), *[(re.sub(r" (?![^\[]*\])", r"[ \n]", x), y) for x, y in HOLDERS]):
         text = F.regexp_replace(text, pattern, by)
     found = F.regexp_extract_all(text, F.lit(sentence_pattern(sentences)), F.lit(0))
     ids = F.transform(found, lambda x: known[F.regexp_replace(F.translate(x, "\n", " "), GAP, " ")])
@@ -140,10 +182,13 @@ def oracle() -> str:
         steps.append(f"r{n} AS (SELECT * REPLACE (regexp_replace(regexp_replace(rest, '{mark}', '\\1|', 'g'), '{mark}', '\\1|', 'g') AS rest), CAST((length(rest) - length(replace(rest, '{text}', ''))) // {len(text)} AS INTEGER) AS n{n} FROM {before})")
         parts.append(f"CASE WHEN n{n} > 0 THEN '{n}:{name}:' || n{n} END")
         before = f"r{n}"
+    line = f"regexp_replace(regexp_replace(s, '{JUNK}', ' ', 'g'), '{EDGES}', '', 'g')"
+    for pattern, by in HOLDERS:
+        line = f"regexp_replace({line}, '{pattern}', '{by}')"
     names = ", ".join(f"CASE WHEN n{n} > 0 THEN '{name}' END" for n, (name, _) in enumerate(RULES))
     return f"""
 WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ENDS}'),
-  lambda s: map {{{known}}}[regexp_replace(regexp_replace(s, '{JUNK}', ' ', 'g'), '{EDGES}', '', 'g')]), lambda x: x IS NOT NULL) AS ids FROM documents),
+  lambda s: map {{{known}}}[{line}]), lambda x: x IS NOT NULL) AS ids FROM documents),
 i AS (SELECT doc_id, ids, ';' || array_to_string(list_transform(ids, lambda x: x || ';'), '') AS rest FROM s),
 {", ".join(steps)}
 SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_sentences, array_to_string(ids, ';') AS sentence_ids, concat_ws(';', {", ".join(parts)}) AS matches,
