@@ -18,14 +18,14 @@ SLICE_ROWS = 4096
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a folder of our own where that is unset (local tests)."""
+    """This application's folder in spark.checkpoint.dir, or a folder of our own where that is unset (local tests)."""
     home = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not home:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         home = spark.conf.get("rasterlake.local.work", None) or tempfile.mkdtemp(prefix="rasterlake-")
         spark.conf.set("rasterlake.local.work", home)
-    return home.rstrip("/") + "/rasterlake"
+    return f"{home.rstrip('/')}/rasterlake/{spark.sparkContext.applicationId}"
 
 
 def new_table(spark: SparkSession, name: str) -> str:
@@ -41,7 +41,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_work(spark: SparkSession) -> None:
-    """Deletes every work table of this library; call it once results are stored."""
+    """Deletes the work tables of this application; call it once results are stored."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(work_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
