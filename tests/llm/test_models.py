@@ -103,3 +103,81 @@ def test_more_languages_than_bits_of_a_word(spark):
     assert len(model.languages) == 70
     assert {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()} == {k: g for k, _, g, _ in rows}
     assert langid.keep(docs, model, 0.3).count() == 70
+
+
+def test_language_is_that_of_exact_sets(spark):
+    """Against sets of n-grams as strings, without filters, hashes or corrections."""
+    r = random.Random(2)
+    letters = {"aa": "abcdeé", "bb": "cdefghß", "cc": "aghijk"}
+    docs = [(k, " ".join("".join(r.choices(letters[g], k=r.randrange(1, 7))) for _ in range(r.randrange(1, 60))), g, None) for k, g in enumerate(r.choices(sorted(letters), k=150))]
+    model = langid.train(spark.createDataFrame(docs, SCHEMA))
+    of = lambda t: [w[i : i + n] for w in [" " + " ".join(t.split()) + " "] for n in langid.ORDERS for i in range(len(w) - n + 1)]
+    held = {g: {x for _, t, h, _ in docs if h == g for x in of(t)} for g in sorted(letters)}
+    fresh = [(k, " ".join("".join(r.choices(letters[r.choice(sorted(letters))] if k % 3 else letters[g], k=r.randrange(1, 7))) for _ in range(r.randrange(1, 40))), g, None) for k, g in enumerate(r.choices(sorted(letters), k=200))]
+    share, _ = model.shares([t for _, t, _, _ in fresh])
+    for (_, t, _, _), row in zip(fresh, share, strict=True):
+        exact = [sum(x in held[g] for x in of(t)) / len(of(t)) for g in sorted(letters)]
+        assert np.abs(np.array(exact) - row).max() < 0.05
+    for (_, t, g, _), row in zip(docs, model.shares([t for _, t, _, _ in docs])[0], strict=True):
+        assert row[sorted(letters).index(g)] == 1  # a mask names every language that contains the n-gram
+
+
+def test_equal_languages_tie_to_the_first_name(spark):
+    docs = spark.createDataFrame([(1, "one two three", "b", None), (2, "one two three", "a", None)], SCHEMA)
+    assert {r.lang_pred for r in langid.predict(docs, langid.train(docs)).collect()} == {"a"}
+
+
+def plain_features(text):
+    """One text's features by plain loops."""
+    import math
+    import re
+
+    words = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    n = len(words)
+    if not n:
+        return [0.0] * len(quality.FEATURES)
+    size = [len(w.encode()) for w in words]
+    count = {w: words.count(w) for w in set(words)}
+    spans = [tuple(words[i : i + 3]) for i in range(n - 2)]
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    of = lambda chars: sum(text.count(c) for c in chars)
+    upper, lower = of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), of("abcdefghijklmnopqrstuvwxyz")
+    high = sum(len(c.encode()) for c in text if ord(c) > 127)
+    return [
+        math.log1p(n), sum(size) / n, math.log1p(max(size)), of("#*$%&|<>~^=_") / n, of("!?") / n, upper / max(1, upper + lower), of("0123456789") / sum(size), len(count) / n,
+        sum(a == b for a, b in zip(words, words[1:])) / (n - 1) if n > 1 else 0, 1 - len(set(lines)) / len(lines), math.log1p(n / len(lines)), sum(x[-1] in ".!?" for x in lines) / len(lines),
+        of(".,;:") / n, sum(spans.count(s) > 1 for s in spans) / (n - 2) if n >= 4 else 0, max(count.values()) / n, high / sum(size), of("|") / n,
+    ]
+
+
+@given
+def test_quality_scores_are_those_of_plain_loops(spark):
+    """Features by loops over characters and words, and the score as a plain sum of look-ups."""
+    docs = work.read(spark, "/root/testdata/sf0.001", "documents")
+    model = quality.train(docs, work.read(spark, "/root/testdata/sf0.001", "labels"))
+    want = {}
+    for r in docs.collect():
+        x = plain_features(r.text)
+        place = lambda edges, v: sum(e <= v for e in edges)
+        total = model.base + sum(t[place(e, x[j])] for j, (e, t) in enumerate(zip(model.edges, model.tables, strict=True)))
+        total += sum(t[place(model.pair_edges[a], x[a])][place(model.pair_edges[b], x[b])] for a, b, t in model.pairs)
+        want[r.doc_id] = 1 / (1 + np.exp(-total))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-6
+
+
+def test_best_cut_is_that_of_every_cut():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        g, w = rng.normal(size=9), rng.random(9) * 3
+        gain, cut = quality._best_cut(g, w)
+        every = {k: g[:k].sum() ** 2 / (w[:k].sum() + 1) + g[k:].sum() ** 2 / (w[k:].sum() + 1) - g.sum() ** 2 / (w.sum() + 1) for k in range(1, 9) if min(w[:k].sum(), w[k:].sum()) >= quality.LEAST * 0.02}
+        assert cut == max(every, key=every.get) and abs(gain - every[cut]) < 1e-9
+
+
+def test_repeated_documents_don_t_add_to_the_sample(spark):
+    docs = spark.createDataFrame([(1, "good words here.", None, None)] * 50 + [(2, "## bad", None, None)], SCHEMA)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    once = quality.train(docs.dropDuplicates(), labels)
+    many = quality.train(docs, labels)
+    assert many.base == once.base and all((a == b).all() for a, b in zip(many.tables, once.tables, strict=True))

@@ -48,10 +48,19 @@ def test_line_faults():
     fault = linerules.line_fault
     assert fault("A plain sentence that ends.") is None
     assert fault("Home") == "navigation" and fault("a | b | c d e f g h i") == "navigation"
+    assert {fault(x) for x in ("Startseite Kontakt Impressum Datenschutz", "Accueil, Contact, Mon compte".replace("Mon ", ""), "Inicio · Noticias · Contacto · Ayuda", "One » Two » Three and a few more words")} == {"navigation"}
+    assert {fault(x) for x in ("Alle Rechte vorbehalten, heute.", "Tous droits réservés par eux ici.", "Lea la POLÍTICA DE PRIVACIDAD de ellos.")} == {"boilerplate"}
+    assert fault("a line of ten words or more in which nothing ever ends") == "punctuation" and fault("it ends here. But the line goes on for some more words") is None
     assert fault("## ** $$") == "punctuation" and fault("NOW!! BUY!!") == "punctuation" and fault("... --") == "punctuation"
     assert fault("Copyright 2020, All Rights Reserved by them.") == "boilerplate"
 
 
+def test_clashing_columns(spark):
+    docs = frame(spark, ["one two.", None]).withColumn("kept", F.lit("x")).withColumn("clean_text", F.lit(1)).withColumn("n_lines", F.lit(None))
+    assert "clean_text" not in linerules.clean_lines(docs, with_text=False).columns
+    assert {r.doc_id: (r.kept, r.clean_text) for r in linerules.clean_lines(docs).collect()} == {0: (False, "one two."), 1: (False, "")}
+
+
 def test_rejects_what_loses_too_much(spark):
     good = " ".join(f"word{i}" for i in range(60)) + "."
     menu = "\n".join(["Home", "About", "Contact"] * 60)
@@ -138,6 +147,23 @@ def test_wrapped_licenses(spark):
     assert [(k, got[k]) for k in range(len(texts))] == list(enumerate(want))
 
 
+HELD = BSD.replace("Neither the name of the copyright holder nor the names of its contributors", "Neither the name of Some Organization, Inc. nor the names of its\n   contributors")
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+AGPL = GPL.replace("GNU General", "GNU Affero General")
+
+
+def test_named_holders_and_more_licenses(spark):
+    got = {r.doc_id: r.licenses for r in license.scan_licenses(frame(spark, [HELD, ZLIB, AGPL, "# " + HELD.replace("\n", "\n# "), "Neither the name of this nor that."])).collect()}
+    assert got == {0: ["BSD-3-Clause", "all-rights-reserved"], 1: ["Zlib"], 2: ["AGPL-3.0-or-later"], 3: ["BSD-3-Clause", "all-rights-reserved"], 4: []}
+
+
 def test_longer_rules_win(spark):
     rules = (("both", ("a", "b")), ("one", ("a",)), ("two", ("b",)))
     found = license.scan_licenses(frame(spark, ["first\nsecond\nnoise\nfirst\nthird", "second\nfirst", "first\nnoise\nsecond"]), {"first": "a", "second": "b", "third": "c"}, rules).orderBy("doc_id").collect()
@@ -154,8 +180,8 @@ def test_revisits(spark):
         (4, "http://a.com/x", 10, "revisit", 304, {"etag": '"1"'}, None, ""), (5, "http://a.com/x", 40, "revisit", 304, {"etag": '"2"'}, None, ""), (6, "http://a.com/x", 40, "revisit", 304, {}, None, ""), (7, None, 40, "revisit", 304, {"etag": '"1"'}, None, ""),
         (8, "http://a.com/x", None, "revisit", 304, None, None, ""), (9, "http://a.com/x", 35, "response", 200, None, "D9", ""), (9, "http://a.com/x", 30, "request", 200, ok, "D9", ""), (10, "http://a.com/x", 36, "revisit", 304, {"etag": '"1"'}, None, ""),
     ]
-    for buckets in (1, 3, 64):
-        got = {r.record_id: r for r in warc.resolve_revisits(spark.createDataFrame(rows, RECORD), buckets).collect()}
+    for rows_a_range in (1, 3, 100):
+        got = {r.record_id: r for r in warc.resolve_revisits(spark.createDataFrame(rows, RECORD), rows_a_range).collect()}
         assert {k: (r.target_id, r.verdict) for k, r in got.items()} == {3: (1, "resolved"), 4: (None, "orphan"), 5: (9, "unvalidated"), 6: (9, "unvalidated"), 7: (None, "orphan"), 8: (None, "orphan"), 10: (9, "unvalidated")}
         assert got[3].headers == {"etag": 'W/"1"', "content-type": "a", "date": "d3", "x": "y"} and got[3].digest == "D1" and got[5].digest is None
     assert warc.resolve_revisits(spark.createDataFrame([], RECORD)).count() == 0
@@ -170,8 +196,8 @@ def test_revisits_of_one_hot_url(spark):
         if kind == "revisit":
             last = max(((t, i, g["etag"]) for i, _, t, a, _, g, _, _ in rows if a == "response" and t < ts), default=None)
             want[k] = (last and last[1], "orphan" if last is None else "resolved" if last[2] == h["etag"] else "mismatch")
-    for buckets in (1, 7, 64):
-        got = {x.record_id: (x.target_id, x.verdict) for x in warc.resolve_revisits(spark.createDataFrame(rows, RECORD), buckets).collect()}
+    for rows_a_range in (5, 90, 1000):
+        got = {x.record_id: (x.target_id, x.verdict) for x in warc.resolve_revisits(spark.createDataFrame(rows, RECORD), rows_a_range).collect()}
         assert got == want
 
 
@@ -185,13 +211,15 @@ def test_top_k(spark, monkeypatch):
     df = topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int"))
     got = topk.top_k(df, df.filter(F.col("vec_id") % 10 == 0)).collect()
     ints = {k: [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v] for k, v in enumerate(vectors)}
+    ints[1010] = [int(np.float32(1e30)) * 1024] * 6
     ints[1020] = [512, 512, 0, 0, 0, 0]
+    fits = lambda s: s if -(1 << 63) <= s < 1 << 63 else None
     want = []
     for q in ints:
         if q % 10 == 0:
             best = sorted((-sum(a * b for a, b in zip(ints[q], ints[c], strict=True)), c) for c in ints if c != q)[:10]
-            want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(best)]
-    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+            want += [(q, i + 1, c, fits(-s), None if fits(-s) is not None else str(abs(s))) for i, (s, c) in enumerate(best)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
@@ -202,10 +230,30 @@ def test_top_k_of_large_weights(spark):
     ints = {k: [int(np.floor(1024 * x)) for x in v] for k, v in vectors.items()}
     assert got == {(q, c): sum(a * b for a, b in zip(ints[q], ints[c], strict=True)) for q in (0, 10) for c in (0, 1, 2, 3, 10) if c != q}
     # the sum leaves the long range on the way and comes back
-    w = spark.createDataFrame([(1, [1 << 40, 1 << 40]), (2, [1 << 40, -(1 << 40) + 1])], "vec_id long, weights array<long>")
+    w = spark.createDataFrame([(1, [2.0**30, 2.0**30]), (2, [2.0**30, -(2.0**30) + 2.0**-10])], "vec_id long, embedding array<double>")
     assert {r.score for r in topk.top_k(w, w).collect()} == {1 << 40}
-    with pytest.raises(Exception, match="doesn't fit a long"):
-        topk.top_k(df, df.filter("vec_id = 3")).collect()
+    # scores beyond a long are ranked all the same
+    wide = {20: [1e200, -1.0], 21: [1e150, 0.0], 22: [-1e150, 0.0], 23: [-1e160, 0.0], 24: [0.0, 1.0], 25: [1.7e308, 5.0]}
+    df = topk.usable(spark.createDataFrame(list(wide.items()), "vec_id long, embedding array<double>"))
+    got = topk.top_k(df, df.filter("vec_id = 20")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(25, None), (21, None), (24, -1024 * 1024), (22, None), (23, None)]
+    assert got[1].digits == str(int(1e200) * int(1e150) * 1024 * 1024)
+
+
+def test_top_k_takes_large_components(spark):
+    df = topk.usable(spark.createDataFrame([(0, [1.0, 1.0]), (1, [70000.0, 1.0]), (2, [2.0, 1.0])], "vec_id long, embedding array<double>"))
+    got = topk.top_k(df, df.filter("vec_id = 0")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 70001 << 20), (2, 3 << 20)]
+
+
+def test_revisits_in_a_burst(spark):
+    """Most records within a few moments of one URL: ranges follow the counts."""
+    r = random.Random(3)
+    rows = [(k, "http://h.org/", 10**9 + r.randrange(6) if k % 10 else r.randrange(2 * 10**9), r.choice(["response", "revisit"]), 200, {"etag": "1"}, "D", "") for k in range(500)]
+    rows += [(500, "http://h.org/", None, "revisit", 200, {"etag": "1"}, "D", "")]
+    want = {k: max(((t, i) for i, _, t, a, *_ in rows if a == "response" and t < ts), default=(None, None))[1] if ts is not None else None for k, _, ts, kind, *_ in rows if kind == "revisit"}
+    for rows_a_range in (20, 100, 10**6):
+        assert {x.record_id: x.target_id for x in warc.resolve_revisits(spark.createDataFrame(rows, RECORD), rows_a_range).collect()} == want
 
 
 def test_index_pages_are_their_folders(spark):

@@ -58,7 +58,7 @@ def test_speculation_needs_verification():
     greedy, n = b.propose(symbols, end - size, end)
     ids, m = b.encode_words(words)
     assert not np.array_equal(greedy, ids)
-    assert b.merge_long(b.base[symbols[: size[0]]].tolist()) == ids[: m[0]].tolist()
+    assert b.merge_long(b.base[symbols[: size[0]]]).tolist() == ids[: m[0]].tolist()
 
 
 def test_op9_round_trip(spark):
@@ -170,3 +170,23 @@ def test_sum_of_squares_rule():
         else:
             assert squares[gaps[b]] == min(squares.values()) and at == 50 - gaps[b]
         gaps[b] -= n
+
+
+def test_many_special_tokens_and_long_words():
+    """Thousands of special tokens side by side, and words of a million letters, equal the library."""
+    r = np.random.default_rng(9)
+    letters = "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000))
+    texts = ["<|endoftext|>" * 3000, "a<|endoftext|>b" * 1500 + "<|startoftext|>", letters, "ab" * 500_000, "x" * 100_001, "QUJD" * 5000 + letters[:3000] + " " + letters[:700]]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        _, want = library(name, texts)
+        flat, counts = bpe.loaded(public_tokenizers.path(name))[1](texts)
+        ends = np.cumsum(counts)
+        assert [flat[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == want
+
+
+def test_packing_deals_out_repeated_and_null_ids(spark):
+    pieces = spark.createDataFrame([(None, 0, 100)] * 400 + [(7, 0, 100)] * 400, "doc_id long, piece int, length long")
+    got = packing.pack_lengths(pieces, 1000, 100).toPandas()
+    assert len(got) == 800 and (got["sequence_id"] // (1 << 40)).value_counts().max() < 200
+    for _, one in got.groupby("sequence_id"):
+        assert sorted(one["offset"]) == [100 * k for k in range(len(one))] and len(one) <= 10
