@@ -18,7 +18,9 @@ combinations linear; a set carries the combinations of its own and the next clas
 neighbouring classes meet, and others don't.
 
 Sharing a signature gives candidate classes. Whole classes are verified by tasks of bounded size, walking
-over links from set to set, so a group of copies never becomes pairs. Larger classes are split.
+over links from set to set, so a group of copies never becomes pairs. Larger classes are split at random first, with
+shared anchors; then what is left outside a class's largest component is compared with the sets that share a
+signature with it, or, where these are most of the class, with all of it in blocks, whichever moves less text.
 """
 
 from __future__ import annotations
@@ -44,6 +46,10 @@ KEY_BITS = 24  # the bitmap of documents whose text is needed again: 2 MB on eve
 PER_GROUP = 8
 UNIT_TOKENS, UNIT_SETS = 1_000_000, 4096  # what one task verifies at once; a larger candidate class is split
 ANCHORS = 32
+SEEN = 300_000  # marks of sets that a task remembers, about 60 MB
+TEXT_BYTES = 8  # of a text weigh as much as a token
+PAIRS_A_TASK = 1_000_000  # of one signature
+PAIRS_A_TEXT = 64  # pairs of numbers that are taken to cost as much as the shuffle of one text
 NO_ID = -(2**63)
 _A, _B, _C, _G = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
@@ -240,9 +246,22 @@ def walk(sets: list[np.ndarray], limit: Threshold, label: np.ndarray | None = No
     return links
 
 
-def _only_keys(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of texts (key, text) whose key may be among keys: a bitmap of 2**KEY_BITS hashed keys, whatever the
-    input, keeps most other texts out of the shuffle to come. At sizes where it fills up it keeps everything."""
+def _unseen(seen: set[tuple[int, int, int]], keys: list[int], a: np.ndarray, b: np.ndarray) -> list[bool]:
+    """Which (key, h1, h2) the task hasn't met lately; a full memory starts anew, which only costs work."""
+    out = []
+    for mark in zip(keys, a.tolist(), b.tolist(), strict=True):
+        out.append(mark not in seen)
+        seen.add(mark)
+    if len(seen) > SEEN:
+        seen.clear()
+    return out
+
+
+def _only_keys(texts: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """Rows of texts (key, text) whose key may be among keys, with their sets' marks h1 and h2: a bitmap of
+    2**KEY_BITS hashed keys, whatever the input, keeps most other texts out of the shuffle to come. At sizes where it
+    fills up it keeps everything. Of equal (key, h1, h2) a task gives one row, so repeated rows and null ids, which
+    share a key, don't multiply."""
     slot = F.pmod(F.xxhash64("key"), F.lit(1 << KEY_BITS))
     found = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(s % 32 AS INT)))").alias("m")).toArrow()
     table = np.zeros(1 << (KEY_BITS - 5), np.uint32)
@@ -251,13 +270,16 @@ def _only_keys(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
+        seen: set[tuple[int, int, int]] = set()
         for batch in batches:
             s = np.asarray(batch.column(2), np.int64)
             hit = (table[s >> 5] >> (s & 31).astype(np.uint32)) & 1 > 0
-            if hit.any():
-                yield batch.select([0, 1]).filter(pa.array(hit))
+            for part in work.slices(batch.select([0, 1]).filter(pa.array(hit)), "text"):
+                _, a, b = _marks(shingle_sets(part.column(1).to_pylist(), k))
+                fresh = _unseen(seen, part.column(0).to_pylist(), a, b)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(a), pa.array(b), part.column(1)], ["key", "h1", "h2", "text"]).filter(pa.array(fresh))
 
-    return texts.select("key", "text", slot.alias("slot")).mapInArrow(run, "key long, text string")
+    return texts.select("key", "text", slot.alias("slot")).mapInArrow(run, "key long, h1 long, h2 long, text string")
 
 
 def _verify(units: DataFrame, texts: DataFrame, k: int, limit: Threshold, total: int, probing: bool) -> DataFrame:
@@ -266,48 +288,74 @@ def _verify(units: DataFrame, texts: DataFrame, k: int, limit: Threshold, total:
     bins = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // UNIT_TOKENS))
 
     def verify(table: pa.Table) -> pa.Table:
-        comp, unit, node, h1, h2, label = (np.asarray(table.column(c), np.int64) for c in ("comp", "unit", "node", "h1", "h2", "label"))
+        comp, unit, node, label = (np.asarray(table.column(c), np.int64) for c in ("comp", "unit", "node", "label"))
         probe = np.asarray(table.column("probe"), bool)
         text = table.column("text")
         order = np.lexsort((node, unit, comp))
         cut = np.flatnonzero(np.concatenate([[True], np.diff(comp[order]) != 0]) | np.concatenate([[True], np.diff(unit[order]) != 0]))
         hi, lo = [], []
         for at in np.split(order, cut[1:]):
-            _, one = np.unique(node[at], return_index=True)
+            _, one = np.unique(node[at], return_index=True)  # several tasks may bring equal texts of one id
+            at = at[one]
             sets = shingle_sets(text.take(pa.array(at)).to_pylist(), k)
-            _, a, b = _marks(sets)
-            good = (a == h1[at]) & (b == h2[at])  # a repeated id may bring another text
-            if not good.all() or len(one) < len(at):
-                at = at[good]
-                sets = [s for s, g in zip(sets, good.tolist(), strict=True) if g]
-                _, one = np.unique(node[at], return_index=True)
-                at, sets = at[one], [sets[i] for i in one.tolist()]
             links = walk(sets, limit, label[at], probe[at]) if probing else walk(sets, limit)
             hi += [max(node[at[x]], node[at[y]]) for x, y in links]
             lo += [min(node[at[x]], node[at[y]]) for x, y in links]
         return pa.table({"hi": pa.array(hi, pa.int64()), "lo": pa.array(lo, pa.int64())})
 
-    rows = _only_keys(texts, units).join(units, "key").withColumn("bin", F.pmod(F.xxhash64("comp", "unit"), F.lit(bins)).cast("int"))
+    rows = _only_keys(texts, units, k).join(units, ["key", "h1", "h2"]).withColumn("bin", F.pmod(F.xxhash64("comp", "unit"), F.lit(bins)).cast("int"))
     return rows.groupBy("bin").applyInArrow(verify, "hi long, lo long")
 
 
-def _split(units: DataFrame, texts: DataFrame, links: DataFrame, k: int, limit: Threshold, unit_tokens: int, unit_sets: int) -> DataFrame:
-    """More links, of candidate classes that were split: what isn't in a class's largest component so far is
-    compared with every unit of the class, in blocks. units: the first round's, without anchors."""
+def _split(members: DataFrame, signed: DataFrame, texts: DataFrame, links: DataFrame, k: int, limit: Threshold, unit_tokens: int, unit_sets: int) -> DataFrame:
+    """More links, of candidate classes that were split: what isn't in a class's largest component so far ("probes")
+    is compared with the rest of its class. members: the first round's units, without anchors.
+
+    A class whose sets share few signatures with each other, such as a chain of overlapping excerpts, is compared
+    pair by pair, over the distinct pairs that share a signature and aren't joined yet: their number follows the
+    signatures, not the square of the class. A class whose sets share most signatures, such as near copies
+    around a few strays, is compared in blocks of probes against blocks of the class, so that pairs aren't listed."""
     roots = connected(links)
-    large = units.filter("blocks > 1").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    large = members.filter("blocks > 1").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     most = large.groupBy("comp", "label").agg(F.count("*").alias("c")).groupBy("comp").agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("main"))
-    large = work.saved(large.join(most, "comp").withColumn("probe", F.col("label") != F.col("main")), "large")
-    sizes = large.filter("probe").groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / unit_tokens), F.ceil(F.count("*") / unit_sets)).cast("int").alias("rows"))
-    large = large.join(sizes, "comp")
+    large = work.saved(large.join(most, "comp").withColumn("probe", F.col("label") != F.col("main")).drop("main"), "large")
+    some = large.filter("probe").groupBy("comp").agg(F.greatest(F.ceil(F.sum("weight") / unit_tokens), F.ceil(F.count("*") / unit_sets)).cast("int").alias("rows"), F.count("*").alias("probes"))
+    # texts that blocks would move: the class for each row of probes, the probes for each block of the class
+    moved = F.col("c").cast("double") * F.col("rows") + F.col("probes").cast("double") * F.col("blocks")
+    some = large.select("comp", "blocks", "c").distinct().join(some, "comp").select("comp", "rows", moved.alias("moved"))
+    # numbers that pairs would list: for each signature, its probes times its sets
+    told = signed.select("node", F.explode(F.concat("rare", "pairs")).alias("sign")).join(large.select("node", "comp", "probe"), "node")
+    lists = work.saved(told.groupBy("comp", "sign").agg(F.count("*").alias("all"), F.count_if("probe").alias("odd")).filter("odd > 0 AND all > 1"), "lists")
+    listed = lists.groupBy("comp").agg(F.sum(F.col("odd").cast("double") * F.col("all")).alias("listed"))
+    plan = work.saved(some.join(listed, "comp").select("comp", "rows", (F.col("listed") <= PAIRS_A_TEXT * F.col("moved")).alias("by_pairs")), "plan")
+
+    columns = ["key", "h1", "h2", "weight", "node", "comp", "label", "probe", "unit"]
+    blocks = large.join(plan.filter("NOT by_pairs"), "comp")
     mine = F.pmod(F.xxhash64("node", F.lit("rows")), F.col("rows")).cast("int")
-    probes = large.filter("probe").withColumn("r", mine).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    others = large.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("b", F.col("unit").cast("int"))
+    place = (F.col("r").cast("long") * F.lit(1 << 31) + F.col("b")).alias("unit")
+    probes = blocks.filter("probe").withColumn("r", mine).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = blocks.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("b", F.col("unit").cast("int"))
     others = others.filter(~(F.col("probe") & (F.col("r") == mine))).withColumn("probe", F.lit(False))
-    columns = ["key", "h1", "h2", "n", "node", "comp", "label", "probe", (F.col("r").cast("long") * F.lit(1 << 31) + F.col("b")).alias("unit")]
-    second = work.saved(probes.select(*columns).union(others.select(*columns)), "units")
-    total = second.agg(F.sum("n")).first()[0] or 0
-    return _verify(second.drop("n"), texts, k, limit, total, True)
+    second = probes.withColumn("unit", place).select(*columns).union(others.withColumn("unit", place).select(*columns))
+
+    # pairs of a probe and another set that share a signature; where both are probes, the one of the larger number is the probe
+    # long lists are cut into parts by their probes
+    pairwise = large.join(plan.filter("by_pairs").select("comp"), "comp")
+    parts = lists.select("comp", "sign", F.ceil(F.col("odd").cast("double") * F.col("all") / PAIRS_A_TASK).cast("int").alias("parts"))
+    dealt = told.select("node", "comp", "sign").join(parts, ["comp", "sign"])
+    odd = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("comp", "parts").join(pairwise.filter("probe").select("node", "comp", "label", "n"), "node")
+    every = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("comp", "parts")
+    every = every.join(pairwise.select("comp", F.col("node").alias("other"), F.col("label").alias("l"), F.col("n").alias("m"), F.col("probe").alias("p")), F.col("node") == F.col("other")).drop("node")
+    near = (F.least("n", "m") * limit.den >= F.greatest("n", "m") * limit.num) & (F.col("label") != F.col("l")) & (~F.col("p") | (F.col("node") > F.col("other")))
+    pairs = work.saved(odd.join(every, ["comp", "sign", "part"]).filter(near).select("node", "other").distinct(), "pairs")
+    # a probe's partners are dealt to units of bounded size, each with the probe
+    hubs = pairs.join(large.select(F.col("node").alias("other"), "weight"), "other").groupBy("node").agg(F.greatest(F.ceil(F.sum("weight") / unit_tokens), F.ceil(F.count("*") / unit_sets)).cast("int").alias("parts"))
+    dealt = pairs.join(hubs, "node").select(F.col("node").alias("hub"), F.col("other").alias("node"), F.lit(False).alias("probe"), F.pmod(F.xxhash64("other", F.lit("part")), F.col("parts")).cast("long").alias("unit"))
+    heads = hubs.select(F.col("node").alias("hub"), "node", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("unit"))
+    each = dealt.union(heads).join(large.select("node", "key", "h1", "h2", "weight", "label"), "node").withColumn("comp", -1 - F.col("hub"))  # no class has a number below 0
+    second = work.saved(second.union(each.select(*columns)), "units")
+    total = second.agg(F.sum("weight")).first()[0] or 0
+    return _verify(second.drop("weight"), texts, k, limit, total, True)
 
 
 def jaccard_components(docs: DataFrame, k: int, num: int, den: int, unit_tokens: int = UNIT_TOKENS, unit_sets: int = UNIT_SETS) -> DataFrame:
@@ -325,18 +373,20 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, unit_tokens:
 
     def scan():
         def one(c: dict) -> list:
-            return [c["doc_id"], *_marks(shingle_sets(c["text"], k))]
+            n, a, b = _marks(shingle_sets(c["text"], k))
+            return [c["doc_id"], n, a, b, np.maximum(n, [len(t or "") // TEXT_BYTES for t in c["text"]])]
 
         return one
 
-    sets = work.saved(work.map_batches(docs, "doc_id long, n_shingles long, h1 long, h2 long", scan), "sets")
-    nodes = sets.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    nodes = work.saved(nodes.select("h1", "h2", "doc_id", "n", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.monotonically_increasing_id().alias("node")), "nodes")
+    sets = work.saved(work.map_batches(docs, "doc_id long, n_shingles long, h1 long, h2 long, weight long", scan), "sets")
+    nodes = sets.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("weight").alias("weight"))
+    nodes = work.saved(nodes.select("h1", "h2", "doc_id", "n", "weight", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.monotonically_increasing_id().alias("node")), "nodes")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     sent = docs.sparkSession.sparkContext.broadcast(token_classes(docs, k, total))
 
     def sign():
         class_of = Classes(*sent.value)
+        seen: set[tuple[int, int, int]] = set()
 
         def listed(parts: list[np.ndarray]) -> pa.ListArray:
             return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([*parts, np.empty(0, np.uint64)]).view(np.int64)))
@@ -344,8 +394,12 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, unit_tokens:
         def one(c: dict) -> list:
             all_sets = shingle_sets(c["text"], k)
             _, a, b = _marks(all_sets)
-            rare, pairs = zip(*[signatures(s, *class_of(s), limit) for s in all_sets], strict=True)
-            return [[NO_ID if d is None else d for d in c["doc_id"]], a, b, listed(rare), listed(pairs)]
+            keys = [NO_ID if d is None else d for d in c["doc_id"]]
+            at = np.flatnonzero(_unseen(seen, keys, a, b))
+            if not len(at):
+                return None
+            rare, pairs = zip(*[signatures(all_sets[i], *class_of(all_sets[i]), limit) for i in at.tolist()], strict=True)
+            return [[keys[i] for i in at.tolist()], a[at], b[at], listed(rare), listed(pairs)]
 
         return one
 
@@ -363,10 +417,10 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, unit_tokens:
     classes = connected(chain.union(stars))
 
     members = classes.select("node", F.col("root").alias("comp")).join(nodes, "node")
-    weights = members.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / unit_tokens), F.ceil(F.count("*") / unit_sets)).cast("int").alias("blocks"), F.count("*").alias("c"))
+    weights = members.groupBy("comp").agg(F.greatest(F.ceil(F.sum("weight") / unit_tokens), F.ceil(F.count("*") / unit_sets)).cast("int").alias("blocks"), F.count("*").alias("c"))
     members = members.join(weights, "comp")
     members = work.saved(members.withColumn("unit", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")).withColumn("label", F.col("node")).withColumn("probe", F.lit(False)), "members")
-    sums = members.agg(F.sum("n").alias("n"), F.max("blocks").alias("blocks")).first()
+    sums = members.agg(F.sum("weight").alias("n"), F.max("blocks").alias("blocks")).first()
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text")
     columns = ["key", "h1", "h2", "node", "comp", "unit", "label", "probe"]
     units = members.select(*columns)
@@ -376,7 +430,7 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, unit_tokens:
         units = units.union(anchors.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).select(*columns))
     links = work.saved(_verify(units, texts, k, limit, sums.n or 0, False), "links")
     if split:
-        links = work.saved(links.union(_split(members, texts, links, k, limit, unit_tokens, unit_sets)), "links")
+        links = work.saved(links.union(_split(members, signed, texts, links, k, limit, unit_tokens, unit_sets)), "links")
     roots = connected(links).join(nodes.select("node", "h1", "h2", "doc_id"), "node")
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = roots.join(least, "root").select("h1", "h2", "component_id")
@@ -387,11 +441,13 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, unit_tokens:
 def keep_one(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Rows of docs (all columns as they are), one of each component: the one of its smallest doc_id, of
     different texts under that id the one of the smallest hash, of repeated rows any one. Components without
-    any id keep one row too. Texts without words stay, once an id."""
-    found = jaccard_components(docs, k, num, den)
-    class_key = F.when(F.col("n_shingles") == 0, F.xxhash64(F.lit("blank"), "doc_id")).otherwise(F.lit(0))
-    named = found.withColumn("class_key", F.when(F.col("component_id").isNull(), F.xxhash64("h1", "h2")).otherwise(class_key))
-    first = named.groupBy("component_id", "class_key").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("k"), "doc_id", "h1", "h2")).alias("one")).select(F.coalesce("one.doc_id", F.lit(NO_ID)).alias("k0"), F.col("one.h1").alias("k1"), F.col("one.h2").alias("k2"))
+    any id keep one row too. Texts without words link with nothing, not even each other, so all their rows stay."""
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    blank, docs = docs.filter(~worded), docs.filter(worded)
+    found = jaccard_components(docs, k, num, den).withColumn("lone", F.when(F.col("component_id").isNull(), F.xxhash64("h1", "h2")).otherwise(F.lit(0)))
+    counted = found.groupBy("component_id", "lone", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("k"), "doc_id", "h1", "h2").agg(F.count("*").alias("c"))
+    first = counted.groupBy("component_id", "lone").agg(F.min(F.struct("k", "h1", "h2", "doc_id", "c")).alias("one"))
+    first = work.saved(first.select(F.coalesce("one.doc_id", F.lit(NO_ID)).alias("k0"), F.col("one.h1").alias("k1"), F.col("one.h2").alias("k2"), F.col("one.c").alias("copies")), "kept")
     marks = ["__key", "__h1", "__h2"]
     names = docs.columns
 
@@ -404,9 +460,12 @@ def keep_one(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(a), pa.array(b)], [*part.schema.names, *marks])
 
     schema = T.StructType([*docs.schema.fields, *[T.StructField(m, T.LongType()) for m in marks]])
-    rows = docs.mapInArrow(run, schema)
     match = (F.col("__key") == F.col("k0")) & (F.col("__h1") == F.col("k1")) & (F.col("__h2") == F.col("k2"))
-    return rows.join(first, match, "left_semi").dropDuplicates(marks).drop(*marks)
+    rows = docs.mapInArrow(run, schema).join(first, match)
+    out = rows.filter("copies = 1").drop(*marks, *first.columns)
+    if first.filter("copies > 1").limit(1).count():  # only repeated rows of one id and text are shuffled again
+        out = out.union(rows.filter("copies > 1").dropDuplicates(marks).drop(*marks, *first.columns))
+    return out.union(blank)
 
 
 def op1_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:

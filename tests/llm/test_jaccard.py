@@ -132,7 +132,49 @@ def test_keep_one(spark):
     df = spark.createDataFrame([(d, t, "x", 0) for d, t in rows], SCHEMA)
     got = jaccard.keep_one(df, 5, 80, 100)
     assert got.columns == df.columns
-    assert sorted((str(r.doc_id), (r.text or "").strip()) for r in got.collect()) == [("2", "a b c d e f g h"), ("4", ""), ("9", "q r s t u v"), ("None", "n o p q r s t")]
+    assert sorted((str(r.doc_id), (r.text or "").strip()) for r in got.collect()) == [("2", "a b c d e f g h"), ("4", ""), ("4", ""), ("9", "q r s t u v"), ("None", "n o p q r s t")]
+
+
+def second_round(spark, monkeypatch, rows, unit_sets):
+    """Components, and the texts that each round sends to verification."""
+    sent, verify = [], jaccard._verify
+
+    def counted(units, texts, k, *rest):
+        sent.append(jaccard._only_keys(texts, units, k).join(units, ["key", "h1", "h2"]).count())
+        return verify(units, texts, k, *rest)
+
+    monkeypatch.setattr(jaccard, "_verify", counted)
+    got = run(spark, rows, 4, 85, 100, unit_sets=unit_sets, unit_tokens=10**9)
+    monkeypatch.setattr(jaccard, "_verify", verify)
+    return got, sent
+
+
+def test_overlapping_excerpts_grow_in_proportion(spark, monkeypatch):
+    """A chain of excerpts is one candidate class without a link: what is compared follows the overlaps."""
+    r = random.Random(6)
+    words = [f"w{r.randrange(10**6)}" for _ in range(4000)]
+    made = {n: [(k, " ".join(words[6 * k : 6 * k + 40])) for k in range(n)] for n in (150, 300)}
+    counts = {}
+    for n, rows in made.items():
+        got, counts[n] = second_round(spark, monkeypatch, rows, 12)
+        assert got == brute(rows, 4, 85, 100) and len(counts[n]) == 2
+    assert sum(counts[300]) < 2.5 * sum(counts[150])
+
+
+def test_null_ids_grow_in_proportion(spark, monkeypatch):
+    r = random.Random(7)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(30))
+    base = [text() for _ in range(20)]
+    rows = [(None, b + " " + f"end{k}") for k in range(6) for b in base] + [(None, base[0])] * 40 + [(5, base[1])] * 40
+    got, sent = second_round(spark, monkeypatch, rows, 4096)
+    assert got == brute(rows, 4, 85, 100) and 122 <= sent[0] < 140  # a row for each text that a link is sought for, and repeated ones once a task
+
+
+def test_keep_one_of_blank_texts(spark):
+    """Texts without words link with nothing: every row stays, with or without an id."""
+    rows = [(1, ""), (1, " "), (1, None), (None, None), (None, ""), (None, " \n"), (1, ""), (2, "a b c d e f")]
+    got = jaccard.keep_one(spark.createDataFrame([(d, t, "x", 0) for d, t in rows], SCHEMA), 5, 80, 100).collect()
+    assert sorted(repr((r.doc_id, r.text)) for r in got) == sorted(map(repr, rows))
 
 
 def test_shingles_of_short_texts():
