@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterlake.functions import exprs as X
 from rasterlake.operators import sequence
 
 
@@ -25,8 +26,8 @@ def profile(pixels: DataFrame, axis: str, value: Column) -> DataFrame:
 
 
 def features(pixels: DataFrame, value: str, ink: Column, edge: float) -> DataFrame:
-    """Ink ratio, variance and edge ratio of each image (AGG-01, AGG-03, AGG-04): an edge is a step over edge to
-    the right neighbour."""
+    """Ink ratio, variance and edge ratio of each image (AGG-03): an edge is a step over edge to the right
+    neighbour."""
     w = Window.partitionBy("image", "y").orderBy("x")
     d = pixels.withColumn("__d", F.abs(F.lead(value).over(w) - F.col(value)))
     return d.groupBy("image").agg(F.avg(ink.cast("int")).alias("ink"), F.var_pop(value).alias("variance"), F.coalesce(F.avg((F.col("__d") > edge).cast("int")), F.lit(0.0)).alias("edges"))
@@ -61,6 +62,43 @@ def local_mean(pixels: DataFrame, value: str, block: int) -> DataFrame:
     return d.withColumn("mean", F.sum("__s").over(v) / F.sum("__n").over(v)).drop("__s", "__n")
 
 
+def _roots(y: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """First run of the component of each run (rows y, starts a, lengths n, in order): runs of neighbouring rows join."""
+    parent = list(range(len(y)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    j = 0
+    for i in range(len(y)):
+        while y[j] < y[i] - 1 or y[j] == y[i] - 1 and a[j] + n[j] <= a[i]:
+            j += 1
+        k = j
+        while k < i and y[k] == y[i] - 1 and a[k] < a[i] + n[i]:
+            p, q = find(k), find(i)
+            parent[max(p, q)] = min(p, q)
+            k += 1
+    return np.array([find(i) for i in range(len(y))], np.int64)
+
+
+def keep_components(pixels: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """keys, y, x of the pixels whose 4-connected component has at least least of them (SET-10). pixels: ink only."""
+    w = Window.partitionBy(*keys, "y").orderBy("x")
+    runs = pixels.withColumn("__g", F.col("x") - F.row_number().over(w)).groupBy(*keys, "y", "__g").agg(F.min("x").alias("start"), F.count("*").alias("len")).drop("__g")
+
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["y", "start"], ignore_index=True)
+        root = _roots(*(rows[c].to_numpy() for c in ("y", "start", "len")))
+        area = np.bincount(root, rows["len"].to_numpy(), len(rows))
+        return rows[area[root] >= least]
+
+    kept = runs.groupBy(*keys).applyInPandas(keep, runs.schema)
+    return kept.select(*keys, "y", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("x"))
+
+
 def components(pixels: DataFrame, ink: str, least: int = 1) -> DataFrame:
     """4-connected components of each image's ink (ALG-01, SET-10): image, component, x, y, width, height, area.
 
@@ -70,25 +108,8 @@ def components(pixels: DataFrame, ink: str, least: int = 1) -> DataFrame:
 
     def label(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["y", "start"], ignore_index=True)
-        parent = list(range(len(rows)))
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        y, a, n = rows["y"].to_numpy(), rows["start"].to_numpy(), rows["len"].to_numpy()
-        j = 0
-        for i in range(len(rows)):
-            while y[j] < y[i] - 1 or y[j] == y[i] - 1 and a[j] + n[j] <= a[i]:
-                j += 1
-            k = j
-            while k < i and y[k] == y[i] - 1 and a[k] < a[i] + n[i]:
-                p, q = find(k), find(i)
-                parent[max(p, q)] = min(p, q)
-                k += 1
-        root = np.array([find(i) for i in range(len(rows))])
+        y, a, n = (rows[c].to_numpy() for c in ("y", "start", "len"))
+        root = _roots(y, a, n)
         g = rows.assign(root=root, right=a + n, bottom=y + 1).groupby("root", sort=True)
         out = g.agg(x=("start", "min"), y=("y", "min"), right=("right", "max"), bottom=("bottom", "max"), area=("len", "sum")).reset_index(drop=True)
         out = out[out["area"] >= least].reset_index(drop=True)
@@ -108,6 +129,15 @@ def diff(actual: DataFrame, expected: DataFrame, keys: list[str], channels: list
     return d.groupBy(keys[0]).agg(F.sqrt(F.avg(square)).alias("rmse"), F.avg((worst > tolerance).cast("int")).alias("bad"))
 
 
+def heat_map(actual: DataFrame, expected: DataFrame, tolerance: int) -> DataFrame:
+    """image, y, x, heat (largest channel difference, 0 to 255) and bad (over tolerance) of two sets of pixels, flattened onto
+    white (GAT-04, GAT-01). Both: image, y, x, r, g, b, a."""
+    flat = lambda df, mark: df.select("image", "y", "x", *[X.flatten_alpha(F.col(c), F.col("a")).alias(f"{mark}{c}") for c in "rgb"])
+    d = flat(actual, "a").join(flat(expected, "b"), ["image", "y", "x"])
+    heat = F.greatest(*[F.abs(F.col(f"a{c}") - F.col(f"b{c}")) for c in "rgb"])
+    return d.select("image", "y", "x", F.floor(heat).cast("int").alias("heat"), (heat > tolerance).alias("bad"))
+
+
 def merge_colors(counts: DataFrame, image: str, distance: float, most: int) -> DataFrame:
     """Greedy merge of counted colours (r, g, b, n) from the most frequent (AGG-15): a colour within distance of
     an earlier centre adds to it, and centres are means weighted by count. Ties by colour. At most `most` rows an

@@ -20,7 +20,7 @@ CODES = {
     "E2005": "too many colours", "E2006": "stroke width not allowed", "E2007": "path too complex", "E2008": "text missing",
     "E2009": "text without id", "E2010": "text outlined as path", "E2011": "tspan without id", "E2012": "newline in text",
     "E2013": "dashed without dasharray", "E2014": "too few texts", "E2015": "generic font missing", "E2016": "text anchor missing",
-    "E2017": "no texts", "E3001": "no diff image", "E3002": "diff over the RMSE limit", "E3003": "diff over the bad pixel limit",
+    "E2017": "no texts", "E3001": "not rasterised", "E3002": "not comparable", "E3003": "diff over a limit",
     "W2101": "line nearly axis-aligned", "W2102": "simulated dashes", "W2103": "text outside its group", "W2104": "polyline too long",
     "W2105": "polyline not snapped", "W2106": "baseline misaligned",
 }
@@ -193,3 +193,10 @@ def report(docs: DataFrame, issues: DataFrame) -> DataFrame:
     n = issues.groupBy("doc").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
     d = docs.select("doc").distinct().join(n, "doc", "left").fillna(0, ["errors", "warnings"])
     return d.withColumn("status", F.when(F.col("errors") == 0, "pass").otherwise("fail"))
+
+
+def diff_code(rasterized: Column, comparable: Column, rmse: Column, bad: Column, max_rmse: Column, max_bad: Column) -> Column:
+    """Code of a visual comparison (VAL-19): E3001 where there is no raster, E3002 where the sizes differ, E3003 where a metric exceeds its
+    limit, else null."""
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    return F.when(no(rasterized), "E3001").when(no(comparable), "E3002").when((rmse > max_rmse) | (bad > max_bad), "E3003")

@@ -111,3 +111,12 @@ def ancestors(nodes: DataFrame, node: str, parent: str, levels: int) -> DataFram
         step = step.join(up, "ancestor").filter("next IS NOT NULL").select("node", F.col("next").alias("ancestor"), F.lit(k).alias("depth"))
         out = out.union(step)
     return out
+
+
+def resolved(nodes: DataFrame, node: str, parent: str, value: str, deepest: int = 1000) -> DataFrame:
+    """node and its own value, else that of its nearest ancestor that has one, else null (JON-13); an empty value is none. One
+    equi-join a level, over the nodes that still look for a value; fails where a tree is deeper than deepest."""
+    table = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.nullif(F.col(value), F.lit("")).alias("value"))
+    sql = f"""WITH RECURSIVE up(node, next, value) MAX RECURSION LEVEL {deepest} AS (SELECT node, parent, value FROM {{table}} UNION ALL
+    SELECT up.node, n.parent, n.value FROM up JOIN {{table}} n ON n.node = up.next WHERE up.value IS NULL) SELECT node, max(value) AS value FROM up GROUP BY node"""
+    return nodes.sparkSession.sql(sql, table=table)

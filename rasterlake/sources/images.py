@@ -9,11 +9,15 @@ import struct
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_PIXELS = 65_536
 MAGIC = bytes.fromhex("89504e470d0a1a0a")
 
 
@@ -26,8 +30,12 @@ def png_bytes(rgba: np.ndarray) -> bytes:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which a cluster shares; a temporary one where that is unset."""
-    home = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='rasterlake-')}"
+    """A new folder below spark.checkpoint.dir, which a cluster shares; on a local master, a temporary one where that is unset."""
+    home = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not home:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        home = f"file://{tempfile.mkdtemp(prefix='rasterlake-')}"
     return f"{home.rstrip('/')}/figures-{uuid.uuid4().hex}"
 
 
@@ -47,16 +55,41 @@ def scan_files(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame
 
 
 def pixels(spark: SparkSession, path: str) -> DataFrame:
-    """image, y, x, r, g, b, a of all readable images below path (SRC-01); unreadable ones give no rows. The
-    bytes are cut into pixels by expressions, without Python."""
+    """image, y, x, r, g, b, a of all readable images below path (SRC-01); unreadable ones give no rows. Arrow maps cut the
+    decoded bytes into pixels, so many lines of an image at a time that a batch stays small."""
     img = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path).select("image.*")
-    d = img.select("origin", "width", "nChannels", F.hex("data").alias("h"), F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i"))
-    byte = lambda k: F.conv(F.substring(F.col("h"), F.lit(2) * (F.col("i") * F.col("nChannels") + k) + 1, F.lit(2)), 16, 10).cast("int")
-    grey = F.col("nChannels") == 1
-    return d.select(
-        F.element_at(F.split("origin", "/"), -1).alias("image"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"),
-        F.when(grey, byte(0)).otherwise(byte(2)).alias("r"), F.when(grey, byte(0)).otherwise(byte(1)).alias("g"), byte(0).alias("b"), F.when(F.col("nChannels") == 4, byte(3)).otherwise(255).alias("a"),
-    )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, width, height, channels, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                grid = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+                lines = max(1, BATCH_PIXELS // max(1, width))
+                for y in range(0, height, lines):
+                    part = grid[y : y + lines].reshape(-1, channels)
+                    n = len(part)
+                    blue, green, red = (part[:, min(k, channels - 1)].astype(np.int32) for k in range(3))  # the source's order
+                    alpha = part[:, 3].astype(np.int32) if channels == 4 else np.full(n, 255, np.int32)
+                    at = np.arange(n, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), *map(pa.array, (y + at // width, at % width, red, green, blue, alpha))], ["image", "y", "x", "r", "g", "b", "a"])
+
+    found = img.select(F.element_at(F.split("origin", "/"), -1).alias("image"), "width", "height", "nChannels", "data")
+    return found.mapInArrow(cut, "image string, y int, x int, r int, g int, b int, a int")
+
+
+def write_figures(figures: DataFrame, folder: str) -> str:
+    """Each image of pixels (image, y, x, r, g, b, a) as <image>.png in a folder of any store that Spark writes to (SRC-19), drawn
+    one image a task; the driver passes the files on, one at a time. Returns the folder."""
+    lines = figures.select("image", "y", F.struct("x", "r", "g", "b", "a").alias("p")).groupBy("image", "y").agg(F.array_sort(F.collect_list("p")).alias("p"))
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("y", ignore_index=True)
+        grid = np.array([[[p["r"], p["g"], p["b"], p["a"]] for p in ps] for ps in rows["p"]], np.uint8)
+        return pd.DataFrame({"image": [str(rows["image"].iloc[0])], "png": [png_bytes(grid)]})
+
+    drawn = lines.groupBy("image").applyInPandas(draw, "image string, png binary")
+    for row in drawn.toLocalIterator():  # one file at a time: Spark has no sink of named binary files
+        put_file(figures.sparkSession, f"{folder}/{row.image}.png", bytes(row.png))
+    return folder
 
 
 def params(spark: SparkSession, path: str) -> DataFrame:
