@@ -15,7 +15,7 @@ import numpy as np
 from rasterlake.llm.work import runs
 
 CACHE_CHUNKS = 500_000
-LIBRARY_CHUNKS = 250_000  # beside the workers of other stages
+LIBRARY_CHUNKS = 450_000  # beside the workers of other stages
 LONE_LIBRARY_CHUNKS = 900_000  # where one Python process a core holds the only cache
 _SPLIT = re.compile("[ \t\n\r\x0b\x0c]+")
 _ODD = re.compile("[\x1c-\x1f]")
