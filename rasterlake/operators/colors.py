@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterlake.functions import exprs as X
 from rasterlake.operators import raster, sequence
+from rasterlake.sources import store
 
 SERVING, NEIGHBOR = "#2b6cb0", "#dd6b20"
 #: The colours that a figure's own colours are snapped to.
@@ -150,7 +151,7 @@ def curve_mask(pixels: DataFrame, curves: DataFrame, sizes: DataFrame, saturatio
         hit = F.when(low <= high, F.col("hue").between(low, high)).otherwise((F.col("hue") >= low) | (F.col("hue") <= high))
         return base.join(centers, "image").filter(hit).select("image", "curve", "y", "x")
 
-    strict = build(saturation, value, tolerance, curves)
+    strict = store.saved(build(saturation, value, tolerance, curves), "strict")
     s = sizes.select("image", F.greatest(F.floor(F.col("width") * F.col("height") * 0.0005), F.lit(8)).alias("least"))
     enough = strict.groupBy("image", "curve").agg(F.count("*").alias("n")).join(s, "image").filter("n >= least").select("image", "curve")
     sparse = curves.join(enough, ["image", "curve"], "left_anti")

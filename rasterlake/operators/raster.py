@@ -87,7 +87,7 @@ def _roots(y: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
 def keep_components(pixels: DataFrame, keys: list[str], least: int) -> DataFrame:
     """keys, y, x of the pixels whose 4-connected component has at least least of them (SET-10). pixels: ink only."""
     w = Window.partitionBy(*keys, "y").orderBy("x")
-    runs = pixels.withColumn("__g", F.col("x") - F.row_number().over(w)).groupBy(*keys, "y", "__g").agg(F.min("x").alias("start"), F.count("*").alias("len")).drop("__g")
+    runs = pixels.withColumn("__g", F.col("x") - F.row_number().over(w)).groupBy(*keys, "y", "__g").agg(F.min("x").cast("long").alias("start"), F.count("*").alias("len")).drop("__g")
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["y", "start"], ignore_index=True)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterlake.plans.common import table
+from rasterlake.sources import store
 
 WIDTH, HEIGHT = 640, 360
 #: Place in a panel, and where the panel begins.
@@ -39,8 +40,18 @@ SQL_PIXELS = f"""f0 AS (SELECT CAST(r_regionkey AS BIGINT) AS image, y, x FROM r
 f AS (SELECT image, y, x, {_CHANNELS}, CASE WHEN y < 2 THEN 0 ELSE 255 END AS a FROM (SELECT *, {_SHOWS} AS c FROM f0))"""
 
 
+_DRAWN: dict[tuple[str, str], object] = {}
+
+
 def figure_pixels(spark, sf):
-    """image, y, x, r, g, b, a of the drawn figures."""
+    """image, y, x, r, g, b, a of the drawn figures: a table that is written once an application."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _DRAWN:
+        _DRAWN[key] = store.saved(_draw(spark, sf), "drawn")
+    return _DRAWN[key]
+
+
+def _draw(spark, sf):
     d = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("image"), F.explode(F.sequence(F.lit(0), F.lit(HEIGHT - 1))).alias("y"))
     d = d.select("image", F.col("y").cast("long").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WIDTH - 1).cast("long"))).alias("x")).withColumn("c", F.expr(_SHOWS))
     channel = lambda k: F.get(F.array(*[F.lit(rgb[k]) for rgb in COLORS]), F.col("c"))
