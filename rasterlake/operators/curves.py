@@ -79,9 +79,10 @@ def collinear(points: Column, tolerance: float) -> Column:
     return F.aggregate(inner, F.slice(points, 1, 1), step)
 
 
-def fit_bezier(points: np.ndarray, limit: float, depth: int = 12) -> list[np.ndarray]:
+def fit_bezier(points: np.ndarray, limit: float) -> list[np.ndarray]:
     """Cubic segments (4 x 2) within limit of the points (ALG-07): least squares on chord lengths with end
-    tangents, improved by Newton steps, split at the worst point."""
+    tangents, improved by Newton steps where the fit is within four times the limit, and split at the worst point
+    until it holds; two points are always within it."""
     unit = lambda v: v / n if (n := np.hypot(*v)) else np.array([1.0, 0.0])
     curve = lambda c, t: (1 - t)[:, None] ** 3 * c[0] + 3 * ((1 - t) ** 2 * t)[:, None] * c[1] + 3 * ((1 - t) * t**2)[:, None] * c[2] + t[:, None] ** 3 * c[3]
 
@@ -94,10 +95,14 @@ def fit_bezier(points: np.ndarray, limit: float, depth: int = 12) -> list[np.nda
         alpha = np.where(alpha > 1e-6 * third, alpha, third)
         return np.stack([p[0], p[0] + alpha[0] * a, p[-1] + alpha[1] * b, p[-1]])
 
-    def go(p: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    todo = [(points, unit(points[1] - points[0]), unit(points[-2] - points[-1]))] if len(points) > 1 else []
+    while todo:  # not by recursion, so that long curves may be split as often as they need
+        p, a, b = todo.pop()
         if len(p) == 2:
             third = np.hypot(*(p[1] - p[0])) / 3
-            return [np.stack([p[0], p[0] + a * third, p[1] + b * third, p[1]])]
+            out.append(np.stack([p[0], p[0] + a * third, p[1] + b * third, p[1]]))
+            continue
         step = np.hypot(*np.diff(p, axis=0).T)
         t = np.concatenate([[0], np.cumsum(step)])
         t = t / t[-1] if t[-1] else np.linspace(0, 1, len(p))
@@ -105,19 +110,19 @@ def fit_bezier(points: np.ndarray, limit: float, depth: int = 12) -> list[np.nda
             c = solve(p, t, a, b)
             d = curve(c, t) - p
             e = (d**2).sum(axis=1)
-            if e.max() <= limit**2 or depth == 0:
-                return [c]
+            if e.max() <= limit**2 or e.max() > (4 * limit) ** 2:
+                break
             d1 = 3 * ((1 - t)[:, None] ** 2 * (c[1] - c[0]) + 2 * ((1 - t) * t)[:, None] * (c[2] - c[1]) + t[:, None] ** 2 * (c[3] - c[2]))
             d2 = 6 * ((1 - t)[:, None] * (c[2] - 2 * c[1] + c[0]) + t[:, None] * (c[3] - 2 * c[2] + c[1]))
             low = (d1**2).sum(axis=1) + (d * d2).sum(axis=1)
             t = np.clip(t - np.where(np.abs(low) > 1e-12, (d * d1).sum(axis=1) / np.where(low == 0, 1, low), 0), 0, 1)
+        if e.max() <= limit**2:
+            out.append(c)
+            continue
         k = int(np.clip(e.argmax(), 1, len(p) - 2))
         mid = unit(p[k - 1] - p[k + 1])
-        return go(p[: k + 1], a, mid, depth - 1) + go(p[k:], -mid, b, depth - 1)
-
-    if len(points) < 2:
-        return []
-    return go(points, unit(points[1] - points[0]), unit(points[-2] - points[-1]), depth)
+        todo += [(p[k:], -mid, b), (p[: k + 1], a, mid)]
+    return out
 
 
 def bezier_paths(curves: DataFrame, keys: list[str], limit: float) -> DataFrame:

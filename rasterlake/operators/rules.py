@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterlake.functions import exprs as X
+from rasterlake.functions import labels
 
 #: The codes and what they mean.
 CODES = {
@@ -35,6 +36,13 @@ def where(df: DataFrame, doc: str, code: str, condition: Column, subject: str) -
     return issue(df.filter(condition), doc, code, F.col(subject))
 
 
+def _each(elements: DataFrame, doc: str, rules: list[tuple[str, Column, str]]) -> DataFrame:
+    """The issues of all rules (code, condition, subject) on single elements, in one pass."""
+    hit = F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(code).alias("code"), F.col(subject).cast("string").alias("subject"))) for code, cond, subject in rules]))
+    d = elements.select(F.col(doc).alias("doc"), F.explode(hit).alias("i"))
+    return d.select("doc", F.when(F.startswith("i.code", F.lit("E")), "error").otherwise("warning").alias("severity"), "i.code", "i.subject")
+
+
 def missing(docs: DataFrame, doc: str, required: list[str], present: DataFrame, name: str) -> DataFrame:
     """E2003: required names that a document doesn't have. One aggregation of what is present; no pair is built
     beyond documents times the fixed list."""
@@ -134,7 +142,8 @@ def tags(html: Column) -> Column:
 
 def validate_elements(elements: DataFrame, contract: dict, expected: DataFrame | None = None) -> DataFrame:
     """All issues of a table of elements under a contract (VAL-01 to VAL-18), as one union. expected: doc and
-    texts_detected, for E2014 and E2017. The codes E1... and E3... come from files and image diffs, not from elements.
+    texts_detected, for E2014 and E2017. E1000 is a document that could not be parsed; E1001 and E1002 come from reading
+    configuration, E3... from diff_code().
 
     contract: forbid_elements, forbid_element_prefixes, required_groups, allowed_font_families, max_colors,
     max_path_commands, allowed_stroke_widths, stroke_width_tolerance, max_polyline_points, require_text, snap_tolerance,
@@ -143,23 +152,32 @@ def validate_elements(elements: DataFrame, contract: dict, expected: DataFrame |
     e = elements
     a = lambda name: F.try_element_at("attrs", F.lit(name))
     number = lambda name: X.leading_number(a(name))
+    own = lambda name: F.coalesce(F.nullif(a(name), F.lit("")), F.try_element_at("inherited", F.lit(name)))
+    tag, no = F.col("tag"), F.lit(False)
+    level, upright = nearly_aligned(number("y2") - number("y1"), c["snap_tolerance"]), nearly_aligned(number("x2") - number("x1"), c["snap_tolerance"])
+    pointed = e.withColumn("__numbers", F.when(tag == "polyline", coordinates(a("points"))))  # parsed once a polyline
+    single: list[tuple[str, Column, str]] = [
+        ("E1000", tag == "!error", "text"), ("E2001", tag.isin(c["forbid_elements"]), "tag"), ("E2002", reduce(lambda x, y: x | y, [F.startswith("tag", F.lit(p)) for p in c["forbid_element_prefixes"]], no), "tag"),
+        ("E2009", (tag == "text") & a("id").isNull(), "node"), ("E2011", (tag == "tspan") & a("id").isNull(), "node"), ("E2012", tag.isin("text", "tspan") & labels.has_newline(F.col("text")), "node"),
+        ("E2007", (tag == "path") & (path_commands(F.coalesce(a("d"), F.lit(""))) > c["max_path_commands"]), "node"), ("E2010", (tag == "path") & labels.looks_like_text_path(a("id"), a("class")), "node"),
+        ("E2013", F.coalesce(a("class").rlike("dash"), no) & a("stroke-dasharray").isNull(), "node"), ("E2016", (tag == "text") & ~F.coalesce(a("text-anchor").isin("start", "middle", "end"), no), "node"),
+        ("W2101", (tag == "line") & (level | upright), "node"), ("W2104", (tag == "polyline") & (F.size(F.split(F.trim(F.coalesce(a("points"), F.lit(""))), r"\s+")) > c["max_polyline_points"]), "node"),
+        *[("W2105", (tag == "polyline") & unsnapped(F.col("__numbers"), axis, c["snap_tolerance"]), "node") for axis in (1, 0)],
+    ]
+    if c["text_group"]:
+        single.append(("W2103", (tag == "text") & ~F.array_contains("groups", c["text_group"]), "node"))
+    if c["generic_font_families"]:
+        font = own("font-family")
+        fine = font_allowed(font, c["allowed_font_families"]) if c["allowed_font_families"] else F.lit(True)
+        single.append(("E2015", (tag == "text") & font.isNotNull() & fine & ~has_generic(font, c["generic_font_families"]), "node"))
+    if c["allowed_font_families"]:
+        single.append(("E2004", (tag == "text") & a("font-family").isNotNull() & ~font_allowed(a("font-family"), c["allowed_font_families"]), "node"))
     found = [
-        where(e, "doc", "E2001", F.col("tag").isin(c["forbid_elements"]), "tag"),
-        where(e, "doc", "E2002", reduce(lambda x, y: x | y, [F.startswith("tag", F.lit(p)) for p in c["forbid_element_prefixes"]], F.lit(False)), "tag"),
+        _each(pointed, "doc", single),
         missing(e, "doc", c["required_groups"], e.filter("tag = 'g'").select("doc", a("id").alias("name")), "name"),
-        where(e, "doc", "E2009", (F.col("tag") == "text") & a("id").isNull(), "node"),
-        where(e, "doc", "E2011", (F.col("tag") == "tspan") & a("id").isNull(), "node"),
-        where(e, "doc", "E2012", F.col("tag").isin("text", "tspan") & F.contains(F.coalesce("text", F.lit("")), F.lit("\n")), "node"),
-        where(e, "doc", "E2007", (F.col("tag") == "path") & (path_commands(F.coalesce(a("d"), F.lit(""))) > c["max_path_commands"]), "node"),
-        where(e, "doc", "E2010", (F.col("tag") == "path") & F.coalesce(a("id").rlike("(?i)^(txt|text|label)"), F.lit(False)), "node"),
-        where(e, "doc", "E2013", F.coalesce(a("class").rlike("dash"), F.lit(False)) & a("stroke-dasharray").isNull(), "node"),
-        where(e, "doc", "E2016", (F.col("tag") == "text") & ~F.coalesce(a("text-anchor").isin("start", "middle", "end"), F.lit(False)), "node"),
-        where(e, "doc", "W2101", (F.col("tag") == "line") & (nearly_aligned(number("y2") - number("y1")) | nearly_aligned(number("x2") - number("x1"))), "node"),
-        where(e, "doc", "W2104", (F.col("tag") == "polyline") & (F.size(F.split(F.trim(F.coalesce(a("points"), F.lit(""))), r"\s+")) > c["max_polyline_points"]), "node"),
         too_many(e.select("doc", F.explode(F.array_compact(F.array(a("fill"), a("stroke")))).alias("color")).select("doc", X.parse_color(F.col("color")).alias("color")).filter("color <> 'none'"), "doc", "color", c["max_colors"]),
     ]
     texts = e.filter("tag = 'text'")
-    own = lambda name: F.coalesce(F.nullif(a(name), F.lit("")), F.try_element_at("inherited", F.lit(name)))
     if c["require_text"]:
         d = e.groupBy("doc").agg(F.count_if(F.col("tag") == "text").alias("n"))
         found.append(where(d, "doc", "E2008", F.col("n") == 0, "n"))
@@ -169,19 +187,9 @@ def validate_elements(elements: DataFrame, contract: dict, expected: DataFrame |
         found.append(text_count(d, "doc", "texts_detected", "n"))
     lines = e.filter("tag = 'line'").select("doc", *[number(x).alias(x) for x in ("x1", "y1", "x2", "y2")], F.coalesce(a("stroke"), F.lit("")).alias("stroke"), F.coalesce(number("stroke-width"), F.lit(0.0)).alias("width"))
     found.append(simulated_dashes(axis_segments(lines, "doc", c["snap_tolerance"]), "doc", ["axis", "coord", "stroke", "width"], c["min_dash_segments"]))
-    polylines = e.filter("tag = 'polyline'").select("doc", "node", coordinates(a("points")).alias("numbers"))
-    found += [where(polylines, "doc", "W2105", unsnapped(F.col("numbers"), axis, c["snap_tolerance"]), "node") for axis in (1, 0)]
     spans = e.filter("tag = 'tspan'").select("doc", F.col("parent").alias("node"), F.col("node").alias("span"), number("y").alias("span_y")).filter("span_y IS NOT NULL").groupBy("doc", "node").agg(F.min_by("span_y", "span").alias("span_y"))
     baselines = texts.select("doc", "node", number("y").alias("y"), F.nullif(F.trim(own("dominant-baseline")), F.lit("")).alias("dominant")).join(spans, ["doc", "node"], "left").withColumn("y", F.coalesce("y", "span_y"))
     found.append(misaligned(baselines, "doc", c["baseline_tolerance"]))
-    if c["text_group"]:
-        found.append(where(texts, "doc", "W2103", ~F.array_contains("groups", c["text_group"]), "node"))
-    if c["generic_font_families"]:
-        font = own("font-family")
-        fine = font_allowed(font, c["allowed_font_families"]) if c["allowed_font_families"] else F.lit(True)
-        found.append(where(texts, "doc", "E2015", font.isNotNull() & fine & ~has_generic(font, c["generic_font_families"]), "node"))
-    if c["allowed_font_families"]:
-        found.append(where(e, "doc", "E2004", (F.col("tag") == "text") & a("font-family").isNotNull() & ~font_allowed(a("font-family"), c["allowed_font_families"]), "node"))
     if c["allowed_stroke_widths"]:
         stroked = e.filter(F.coalesce(a("stroke"), F.lit("none")) != "none").select("doc", number("stroke-width").alias("w")).filter("w IS NOT NULL")
         found.append(off_set(stroked, "doc", "w", c["allowed_stroke_widths"], c["stroke_width_tolerance"]))

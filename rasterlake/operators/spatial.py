@@ -47,9 +47,9 @@ def _items(df: DataFrame, keys: list[str], sort: list[Column]) -> DataFrame:
 
 
 def _greedy(df: DataFrame, keys: list[str], sort: list[Column], clash: Callable[[Column, Column], Column]) -> DataFrame:
-    """Keeps items in order unless they clash with one that was kept: a fold over each group's array, so
-    groups are folded by generated code and small groups cost next to nothing. A group is one row: keys must
-    name a figure, a page or another bounded thing."""
+    """Keeps items in order unless they clash with one that was kept: a fold over each group's array, which costs
+    its items times those kept (and copies the kept ones at each step). A group is one row: keys must name a
+    figure, a page or another bounded thing."""
     d = _items(df, keys, sort)
     fold = F.aggregate("items", F.filter("items", lambda i: F.lit(False)), lambda kept, i: F.when(F.exists(kept, lambda k: clash(k["r"], i["r"])), kept).otherwise(F.array_append(kept, i)))
     return d.select(*keys, F.explode(fold).alias("i")).select(*keys, "i.r.*").select(*df.columns)

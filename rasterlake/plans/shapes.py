@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rasterlake.functions import exprs as X
 from rasterlake.operators import curves, raster, render, sequence, spatial
 from rasterlake.plans.common import day, query, sql_day, table
+from rasterlake.plans.drawings import components_sql
 
 PIXELS = "p AS (SELECT vec_id // 64 AS image, vec_id % 64 AS y, i - 1 AS x, CAST(embedding[i] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"
 
@@ -23,7 +24,7 @@ def _pixels(spark, sf):
 @query(f"""WITH {PIXELS}, d AS (SELECT *, abs(lead(v) OVER (PARTITION BY image, y ORDER BY x) - v) AS d FROM p)
 SELECT image, round(avg((v > 0)::INT), 6) AS ink, round(var_pop(v), 6) AS variance, round(coalesce(avg((d > 0.2)::INT), 0), 6) AS edges FROM d GROUP BY image""")
 def matrix_features(spark, sf):
-    """AGG-01, AGG-03, AGG-04, PRJ-01, FLT-12."""
+    """AGG-03: share of positive values, variance and share of steps; FLT-12's inputs."""
     d = raster.features(_pixels(spark, sf), "v", F.col("v") > 0, 0.2)
     return d.select("image", *[F.round(c, 6).alias(c) for c in ("ink", "variance", "edges")])
 
@@ -41,7 +42,7 @@ def matrix_runs(spark, sf):
 i AS (SELECT s.image, x, v <= t AS low FROM s JOIN t ON s.image = t.image), g AS (SELECT image, x, x - row_number() OVER (PARTITION BY image ORDER BY x) AS g FROM i WHERE low)
 SELECT image, min(x) AS start, max(x) + 1 AS "end" FROM g GROUP BY image, g HAVING count(*) >= 2""")
 def matrix_projection(spark, sf):
-    """AGG-02, WIN-06, ALG-11: empty stretches of column sums."""
+    """AGG-02, WIN-06: empty stretches of column sums."""
     s = raster.profile(_pixels(spark, sf), "x", (F.col("v") > 0.05).cast("int"))
     d = sequence.separators(s, ["image"], "x", "v", 2)
     return d.select("image", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
@@ -80,9 +81,10 @@ def matrix_local_mean(spark, sf):
     return d.groupBy("image", "y").agg(F.round(F.sum("mean"), 4).alias("mean"), F.count_if(F.col("v") > F.col("mean") + 0.05).alias("above"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PIXELS}, ink AS (SELECT image, y, x FROM p WHERE v > 0.1), {components_sql('ink')}, c AS (SELECT * FROM parts WHERE area >= 3)
+SELECT image, row_number() OVER (PARTITION BY image ORDER BY root) - 1 AS component, x, y, width, height, CAST(area AS BIGINT) AS area FROM c""")
 def matrix_components(spark, sf):
-    """ALG-01, SET-10, FLT-09, FLT-10: components of at least three pixels."""
+    """ALG-01, SET-10: components of at least three pixels, numbered by their first run."""
     d = _pixels(spark, sf).withColumn("ink", (F.col("v") > 0.1).cast("int"))
     return raster.components(d, "ink", 3)
 
@@ -105,7 +107,7 @@ def matrix_diff(spark, sf):
 
 @query()
 def color_merge(spark, sf):
-    """AGG-05, AGG-15, AGG-16, AGG-17: frequent colours of each image."""
+    """AGG-15: frequent colours of each image."""
     c = lambda i: (F.floor((F.col("embedding")[i].cast("double") + 1) * 4) * 32).cast("int")
     d = table(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / 64).alias("image"), c(0).alias("r"), c(1).alias("g"), c(2).alias("b")).agg(F.count("*").alias("n"))
     return raster.merge_colors(d, "image", 40.0, 5)
@@ -127,7 +129,7 @@ def pair_distances(spark, sf):
 j AS (SELECT c_custkey, n_nationkey, n_name, row_number() OVER (PARTITION BY c_custkey ORDER BY n_nationkey DESC) AS r FROM customer JOIN b ON c_acctbal BETWEEN x - 5 AND x + w + 5 AND c_custkey % 150 BETWEEN y - 5 AND y + h + 5)
 SELECT c_custkey, coalesce(n_name, 'annotation') AS box FROM customer LEFT JOIN (SELECT * FROM j WHERE r = 1) USING (c_custkey)""")
 def containment_join(spark, sf):
-    """JON-01 to JON-04, JON-06: customers as points in boxes made of nations, the deepest box first, else a default."""
+    """JON-01: customers as points in boxes made of nations, the deepest box first, else a default."""
     n = table(spark, sf, "nation").select("n_nationkey", "n_name", (-1000 + 400.0 * F.col("n_nationkey")).alias("x"), (F.col("n_nationkey") % 5 * 30.0).alias("y"), F.lit(500.0).alias("w"), F.lit(60.0).alias("h"))
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("px"), (F.col("c_custkey") % 150).cast("double").alias("py"))
     found = spatial.contain(c, n, "px", "py", ("x", "y", "w", "h"), 100.0, 5.0).withColumn("deep", -F.col("n_nationkey"))
@@ -148,29 +150,44 @@ def _segments(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount") * 100, "l_quantity", F.col("l_discount") * 100 + F.col("l_linenumber") % 3, F.col("l_quantity") + F.col("l_linenumber") % 4 * 5).toDF("l_orderkey", "l_linenumber", "x1", "y1", "x2", "y2")
 
 
-@query()
+#: Lines of orders, each an array of one, in order: folding arrays keeps what no kept one clashes with.
+_FOLD = """s AS (SELECT l_orderkey, l_linenumber AS n, l_discount * 100 AS x1, l_quantity AS y1, l_discount * 100 + l_linenumber % 3 AS x2, l_quantity + l_linenumber % 4 * 5 AS y2, row_number() OVER (PARTITION BY l_orderkey ORDER BY {order}) AS i FROM lineitem),
+l AS (SELECT l_orderkey, list([{{'n': n, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] ORDER BY i) AS c FROM s GROUP BY l_orderkey),
+k AS (SELECT l_orderkey, list_reduce(c, lambda a, b: CASE WHEN len(list_filter(a, lambda e: {clash})) > 0 THEN a ELSE list_concat(a, b) END) AS kept FROM l), f AS (SELECT l_orderkey, unnest(kept) AS r FROM k)"""
+_TIES = "l_discount, l_quantity"
+
+
+@query("""WITH RECURSIVE s AS (SELECT l_orderkey, l_linenumber, l_discount * 100 AS x1, l_quantity AS y1, l_discount * 100 + l_linenumber % 3 AS x2, l_quantity + l_linenumber % 4 * 5 AS y2 FROM lineitem),
+o AS (SELECT *, 'vertical' AS o FROM s WHERE abs(x1 - x2) <= 2 UNION ALL SELECT *, 'horizontal' FROM s WHERE abs(y1 - y2) <= 2 UNION ALL SELECT *, 'other' FROM s WHERE abs(x1 - x2) > 2 AND abs(y1 - y2) > 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, o ORDER BY l_linenumber, x1, x2, y1, y2) AS i, sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2) AS len FROM o),
+p AS (SELECT a.l_orderkey, a.o, a.i, b.i AS j FROM t a JOIN t b ON b.l_orderkey = a.l_orderkey AND b.o = a.o AND b.i > a.i AND least(sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2) + sqrt((a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2), sqrt((a.x1 - b.x2) ** 2 + (a.y1 - b.y2) ** 2) + sqrt((a.x2 - b.x1) ** 2 + (a.y2 - b.y1) ** 2)) <= 5),
+n AS (SELECT t.l_orderkey, t.o, t.i, coalesce(list(p.j) FILTER (p.j IS NOT NULL), []) AS near FROM t LEFT JOIN p ON p.l_orderkey = t.l_orderkey AND p.o = t.o AND p.i = t.i GROUP BY ALL),
+f AS (SELECT l_orderkey, o, 1::BIGINT AS i, near AS used, list_concat([1::BIGINT], near) AS grp FROM n WHERE i = 1 UNION ALL
+  SELECT n.l_orderkey, n.o, n.i, CASE WHEN list_contains(used, n.i) THEN used ELSE list_concat(used, near) END, CASE WHEN list_contains(used, n.i) THEN NULL ELSE list_concat([n.i], list_filter(near, lambda x: NOT list_contains(used, x))) END FROM f JOIN n ON n.l_orderkey = f.l_orderkey AND n.o = f.o AND n.i = f.i + 1),
+g AS (SELECT l_orderkey, o, i AS seed, unnest(grp) AS i FROM f WHERE grp IS NOT NULL), r AS (SELECT t.*, row_number() OVER (PARTITION BY g.l_orderkey, g.o, seed ORDER BY len DESC, t.i) AS r FROM g JOIN t ON t.l_orderkey = g.l_orderkey AND t.o = g.o AND t.i = g.i)
+SELECT l_orderkey, l_linenumber, x1, y1, x2, y2, o AS orientation FROM r WHERE r = 1""")
 def line_dedup(spark, sf):
     """SET-01, PRJ-21."""
     return spatial.line_dedup(_segments(spark, sf), ["l_orderkey"], ["x1", "y1", "x2", "y2"], "l_linenumber")
 
 
-@query()
+@query("WITH " + _FOLD.format(order=f"-(((l_discount * 100 + l_linenumber % 3) - l_discount * 100 + 5) * ((l_quantity + l_linenumber % 4 * 5) - l_quantity + 5)), l_linenumber, {_TIES}", clash="greatest(0, least(e.x2 + 5, b[1].x2 + 5) - greatest(e.x1, b[1].x1)) * greatest(0, least(e.y2 + 5, b[1].y2 + 5) - greatest(e.y1, b[1].y1)) / least((e.x2 - e.x1 + 5) * (e.y2 - e.y1 + 5), (b[1].x2 - b[1].x1 + 5) * (b[1].y2 - b[1].y1 + 5)) >= 0.8") + " SELECT l_orderkey, r.n AS l_linenumber, r.x1 AS x, r.y1 AS y, r.x2 - r.x1 + 5 AS w, r.y2 - r.y1 + 5 AS h FROM f")
 def rect_nms(spark, sf):
     """SET-02, PRJ-22."""
     d = _segments(spark, sf).select("l_orderkey", "l_linenumber", F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1") + 5).alias("w"), (F.col("y2") - F.col("y1") + 5).alias("h"))
     return spatial.rect_nms(d, ["l_orderkey"], ["x", "y", "w", "h"], "l_linenumber")
 
 
-@query()
+@query("WITH " + _FOLD.format(order=f"l_linenumber, {_TIES}", clash="sqrt((e.x1 - b[1].x1) ** 2 + (e.y1 - b[1].y1) ** 2) <= 5 AND abs(e.n % 3 - b[1].n % 3) <= 2") + " SELECT l_orderkey, r.n AS l_linenumber, r.x1 AS x, r.y1 AS y, (r.n % 3 + 1)::DOUBLE AS r FROM f")
 def circle_dedup(spark, sf):
-    """SET-03, SET-04."""
+    """SET-03."""
     d = _segments(spark, sf).select("l_orderkey", "l_linenumber", F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("l_linenumber") % 3 + 1.0).alias("r"))
     return spatial.circle_dedup(d, ["l_orderkey"], ["x", "y", "r"], "l_linenumber")
 
 
 @query("""SELECT 'child' AS kind, n_nationkey::BIGINT AS node, n_regionkey::BIGINT AS ancestor, 1 AS depth FROM nation UNION ALL SELECT 'leaf', c_custkey, c_nationkey, 1 FROM customer UNION ALL SELECT 'leaf', c_custkey, n_regionkey, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def ancestor_groups(spark, sf):
-    """JON-12, JON-13: a tree of regions, nations and customers, with every ancestor of each node."""
+    """JON-12: a tree of regions, nations and customers, with every ancestor of each node."""
     r = table(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("up"))
     n = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"))
     c = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"))
@@ -249,7 +266,7 @@ m AS (SELECT *, greatest(CAST(trunc(w * 0.06) AS INTEGER), 36) AS mx, greatest(C
 c AS (SELECT *, (w - 2 * mx - gx * 2) / 3 AS cw, (h - my - hd - gy) / 2 AS ch, unnest(range(6)) AS i FROM m)
 SELECT p_partkey, CAST(i // 3 AS INTEGER) AS row, CAST(i % 3 AS INTEGER) AS col, round_even(mx + i % 3 * (cw + gx), 4) AS x, round_even(hd + i // 3 * (ch + gy), 4) AS y, round_even(cw, 4) AS w, round_even(ch, 4) AS h FROM c""")
 def roi_layout(spark, sf):
-    """EXT-05 to EXT-07, PRJ-18: a 2 x 3 grid on canvases sized by parts."""
+    """EXT-07: a 2 x 3 grid on canvases sized by parts."""
     s = table(spark, sf, "part").select("p_partkey", (600 + F.col("p_size") * 20).alias("cw"), (400 + F.bround("p_retailprice").cast("int") % 300).alias("ch"))
     return render.grid_cells(s, "cw", "ch", 2, 3).drop("cw", "ch")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rasterlake.functions import exprs as X
 from rasterlake.operators import rules, scoring
 from rasterlake.plans.common import query, table
+from rasterlake.sources import store
 
 
 @query("""SELECT o_orderkey, o_custkey, CASE WHEN c_custkey IS NULL THEN 'E2227' ELSE 'ok' END AS status, c_nationkey FROM orders LEFT JOIN customer ON c_custkey = o_custkey + CASE WHEN o_orderkey % 97 = 0 THEN 100000000 ELSE 0 END""")
@@ -129,7 +130,7 @@ def markup_validation(spark, sf):
     from rasterlake.sources import markup
 
     docs = svg_elements(spark, sf).withColumn("doc", F.col("n_regionkey").cast("string"))
-    e = markup.elements(docs, "doc", "svg")
+    e = store.saved(markup.elements(docs, "doc", "svg"), "elements")  # parsed once
     issues = rules.validate_elements(e, {"forbid_elements": ["image"], "required_groups": ["figure_root", "g_axes", "g_text", "g_legend"], "allowed_font_families": ["Arial"], "generic_font_families": ["serif", "sans-serif"], "text_group": "g_text"})
     return rules.report(e, issues)
 
@@ -159,3 +160,46 @@ def params_json(spark, sf):
     return table(spark, sf, "events").select("user_id", "event_type", (k % 5).alias("bucket")).groupBy("user_id", "event_type", "bucket").agg(F.count("*").alias("n"))
 
 
+
+
+_ELEMENTS = """e0 AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS node, l_partkey AS p, l_suppkey AS s, l_linenumber AS l, l_quantity AS q, CAST(round(l_tax * 100) AS INTEGER) AS t FROM lineitem),
+e AS (SELECT *, ['text', 'tspan', 'path', 'line', 'polyline', 'g', 'image', 'linearGradient'][p % 8 + 1] AS tag, CASE WHEN s % 3 > 0 THEN CASE p % 8 WHEN 5 THEN CASE WHEN s % 2 = 0 THEN 'g_axes' ELSE 'g_text' END WHEN 2 THEN CASE WHEN s % 2 = 0 THEN 'Txt_' || node ELSE 'curve' END ELSE 'e' || node END END AS id,
+CASE WHEN s % 5 = 0 THEN 'dashed' WHEN s % 7 = 0 THEN 'a GlyphRun' END AS css, CASE WHEN s % 10 = 0 THEN '4,4' END AS dash, CASE WHEN p % 3 > 0 THEN printf('#0000%02x', CAST(q AS INTEGER)) END AS fill, CASE WHEN p % 2 = 0 THEN t / 2.0::DOUBLE END AS width,
+CASE WHEN t % 3 = 0 THEN 0.3::DOUBLE WHEN t % 3 = 1 THEN 0 ELSE 7 END AS dy, CASE s % 4 WHEN 0 THEN 'Arial' WHEN 1 THEN 'Arial, sans-serif' WHEN 2 THEN 'Comic Sans MS, serif' END AS font, CASE WHEN p % 5 > 0 THEN 'middle' END AS anchor FROM e0)"""
+
+
+@query(f"""WITH {_ELEMENTS}, b AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY doc ORDER BY y, node) > 1 THEN 1 ELSE 0 END AS new FROM (SELECT doc, node, q + dy / 2 AS y FROM e WHERE tag = 'text')), c AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY y, node) AS line FROM b),
+i AS (SELECT doc, 'E2001' AS code FROM e WHERE tag = 'image' UNION ALL SELECT doc, 'E2002' FROM e WHERE tag = 'linearGradient' UNION ALL SELECT doc, 'E2003' FROM (SELECT doc, count(DISTINCT id) FILTER (tag = 'g') AS n FROM e GROUP BY doc), range(2) r(k) WHERE k < 2 - n
+UNION ALL SELECT doc, 'E2009' FROM e WHERE tag = 'text' AND id IS NULL UNION ALL SELECT doc, 'E2011' FROM e WHERE tag = 'tspan' AND id IS NULL UNION ALL SELECT doc, 'E2012' FROM e WHERE tag IN ('text', 'tspan') AND l % 4 = 0 UNION ALL SELECT doc, 'E2007' FROM e WHERE tag = 'path' AND CAST(q AS INTEGER) * 2 > 70
+UNION ALL SELECT doc, 'E2010' FROM e WHERE tag = 'path' AND (id LIKE 'Txt_%' OR css LIKE '%Glyph%') UNION ALL SELECT doc, 'E2013' FROM e WHERE css = 'dashed' AND dash IS NULL UNION ALL SELECT doc, 'E2016' FROM e WHERE tag = 'text' AND anchor IS NULL UNION ALL SELECT doc, 'W2101' FROM e WHERE tag = 'line' AND dy = 0.3
+UNION ALL SELECT doc, 'W2104' FROM e WHERE tag = 'polyline' AND CAST(q AS INTEGER) > 30 UNION ALL SELECT doc, 'E2005' FROM (SELECT doc FROM e WHERE fill IS NOT NULL GROUP BY doc HAVING count(DISTINCT fill) > 6) UNION ALL SELECT doc, 'E2008' FROM (SELECT doc FROM e GROUP BY doc HAVING count(*) FILTER (tag = 'text') = 0)
+UNION ALL SELECT doc, 'W2105' FROM e WHERE tag = 'polyline' AND q >= 2 AND dy = 0.3 UNION ALL SELECT doc, 'W2106' FROM (SELECT doc FROM c GROUP BY doc, line HAVING max(y) - min(y) > 0.001) UNION ALL SELECT doc, 'W2103' FROM e WHERE tag = 'text' AND s % 2 > 0
+UNION ALL SELECT doc, 'E2015' FROM e WHERE tag = 'text' AND font = 'Arial' UNION ALL SELECT doc, 'E2004' FROM e WHERE tag = 'text' AND font LIKE 'Comic%' UNION ALL SELECT doc, 'E2006' FROM (SELECT DISTINCT doc, width FROM e WHERE width IS NOT NULL AND abs(width - 1) > 0.2 AND abs(width - 2) > 0.2)
+UNION ALL SELECT e.doc, CASE WHEN n = 0 THEN 'E2017' ELSE 'E2014' END FROM (SELECT doc, count(*) FILTER (tag = 'text') AS n FROM e GROUP BY doc) e WHERE n < ceil(greatest(least(doc % 5 * 0.7, doc % 5 - 1), 1)) AND doc % 5 > 0)
+SELECT code, count(*) AS n, CAST(sum(doc) AS BIGINT) AS docs FROM i GROUP BY code""")
+def rule_codes(spark, sf):
+    """VAL-02 to VAL-13, VAL-15 to VAL-18, AGG-24, AGG-34, STR-24, STR-25: every rule over elements made of lines, counted by code."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    d = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.row_number().over(w) - 1).alias("node"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("l"), F.col("l_quantity").alias("q"), F.round(F.col("l_tax") * 100).cast("int").alias("t"))
+    p, s, t, q = (F.col(c) for c in "pstq")
+    n = F.col("node").cast("string")
+    tag = F.get(F.array(*map(F.lit, ("text", "tspan", "path", "line", "polyline", "g", "image", "linearGradient"))), (p % 8).cast("int"))
+    dy = F.when(t % 3 == 0, 0.3).when(t % 3 == 1, 0.0).otherwise(7.0)
+    name = F.when(p % 8 == 5, F.when(s % 2 == 0, "g_axes").otherwise("g_text")).when(p % 8 == 2, F.when(s % 2 == 0, F.concat(F.lit("Txt_"), n)).otherwise("curve")).otherwise(F.concat(F.lit("e"), n))
+    point = lambda x, y: F.concat(x.cast("string"), F.lit(","), y.cast("string"))
+    steps = F.transform(F.sequence(F.lit(0), q.cast("int") - 1), lambda k: point(k * 10, F.when(k == 1, dy).otherwise(F.when(k == 0, 0.0).otherwise(50.0 * k))))
+    attrs = {
+        "id": F.when(s % 3 > 0, name), "class": F.when(s % 5 == 0, "dashed").when(s % 7 == 0, "a GlyphRun"), "stroke-dasharray": F.when(s % 10 == 0, "4,4"), "fill": F.when(p % 3 > 0, F.format_string("#0000%02x", q.cast("int"))),
+        "stroke-width": F.when(p % 2 == 0, (t / 2.0).cast("string")), "stroke": F.when(p % 2 == 0, "none "), "d": F.when(p % 8 == 2, F.repeat(F.lit("M 0 0 L 1 1 "), q.cast("int"))), "points": F.when(p % 8 == 4, F.array_join(steps, " ")),
+        "x1": F.when(p % 8 == 3, "0"), "y1": F.when(p % 8 == 3, "10"), "x2": F.when(p % 8 == 3, "90"), "y2": F.when(p % 8 == 3, (10 + dy).cast("string")), "y": F.when(p % 8 == 0, (q + dy / 2).cast("string")),
+        "font-family": F.when(s % 4 == 0, "Arial").when(s % 4 == 1, "Arial, sans-serif").when(s % 4 == 2, "Comic Sans MS, serif"), "text-anchor": F.when(p % 5 > 0, "middle"),
+    }
+    full = F.map_filter(F.create_map(*[v for k, c in attrs.items() for v in (F.lit(k), c)]), lambda k, v: v.isNotNull())
+    none = F.lit(None).cast("int")
+    e = d.select(F.col("doc").cast("string").alias("doc"), "node", none.alias("parent"), tag.alias("tag"), full.alias("attrs"), F.when(F.col("l") % 4 == 0, "two\nlines").otherwise("one").alias("text"), F.when(s % 2 == 0, F.array(F.lit("g_text"))).otherwise(F.array().cast("array<string>")).alias("groups"), F.create_map().cast("map<string,string>").alias("inherited"))
+    e = store.saved(e, "elements")
+    contract = {"forbid_elements": ["image"], "forbid_element_prefixes": ["linear"], "required_groups": ["g_axes", "g_text"], "allowed_font_families": ["Arial"], "generic_font_families": ["serif", "sans-serif"], "allowed_stroke_widths": [1.0, 2.0], "text_group": "g_text", "min_dash_segments": 100}
+    expected = d.select("doc").distinct().select("doc", (F.col("doc") % 5).alias("texts_detected"))
+    return rules.validate_elements(e, contract, expected).groupBy("code").agg(F.count("*").alias("n"), F.sum(F.col("doc").cast("long")).alias("docs"))
