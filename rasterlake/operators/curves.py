@@ -40,8 +40,8 @@ def rdp(points: np.ndarray, epsilon: float) -> np.ndarray:
 
 
 def simplify_array(points: np.ndarray, most: int, least: int, epsilon: float) -> np.ndarray:
-    """Points within a budget (ALG-06): epsilon grows by 1.6 up to six times, then every n-th point; too few
-    gives the first `least` of the input."""
+    """Points within a budget (ALG-06): epsilon grows by 1.6 up to six times, then the ends and every n-th point between,
+    as many as fit; too few gives the first `least` of the input."""
     if len(points) <= most:
         return points
     out = points
@@ -51,7 +51,8 @@ def simplify_array(points: np.ndarray, most: int, least: int, epsilon: float) ->
             break
         epsilon *= 1.6
     if len(out) > most:
-        out = out[:: -(-len(out) // most)]
+        inner = points[1:-1 : max(1, (len(points) - 2) // (most - 2))] if most > 2 else points[:0]
+        out = np.concatenate([points[:1], inner, points[-1:]])[:most]
     return points[:least] if len(out) < least else out
 
 

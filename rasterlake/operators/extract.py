@@ -125,7 +125,8 @@ def fallback_issues(fields: DataFrame) -> DataFrame:
 def centre_lines(mask: DataFrame, sizes: DataFrame, window: int = 7, spacing: int = 120, most: int = 8, least: int = 4) -> DataFrame:
     """image, curve, points (array of struct x, y) of masks (AGG-11, WIN-16, WIN-03, WIN-04, ALG-06): the median row of each column that holds
     0.2 % of the height (2 pixels), columns between by interpolation, smoothed over window with its edges repeated, flat
-    to 1.5 pixels, and simplified to three times most points. Fewer than four columns give no curve.
+    to 1.5 pixels, and simplified to three times most segments. Fewer than four columns give no curve. A line so
+    straight that under five points are left is its first five, as simplify_array() says.
 
     The medians are aggregated before the shuffle of the columns; a curve is one bounded row."""
     s = sizes.select("image", F.greatest(F.floor(F.col("height") * 0.002), F.lit(2)).alias("few"))
@@ -149,7 +150,8 @@ def centre_lines(mask: DataFrame, sizes: DataFrame, window: int = 7, spacing: in
                 smooth[i] = last
             else:
                 last = smooth[i]
-        points = simplify_array(np.column_stack([full, smooth]), most * 3, least, max(spacing * 0.05, 2.0))
+        fewest = max(least + 1, 4)
+        points = simplify_array(np.column_stack([full, smooth]), max(most * 3 + 1, fewest), fewest, max(spacing * 0.05, 2.0))
         return pd.DataFrame({**out, "points": [[{"x": float(x), "y": float(y)} for x, y in points]]})
 
     return columns.groupBy("image", "curve").applyInPandas(trace, f"image {kind['image']}, curve {kind['curve']}, points array<struct<x:double,y:double>>")

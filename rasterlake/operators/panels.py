@@ -37,7 +37,7 @@ def _panels(panels: DataFrame) -> DataFrame:
 def panel_of(points: DataFrame, panels: DataFrame, keys: list[str], x: Column, y: Column) -> DataFrame:
     """Adds panel: the first (by ord) of an image's panels that holds the point, null where none does (JON-02). An image's panels are
     few, so its points meet each of them, and the first is aggregated before the shuffle."""
-    j = points.withColumn("__x", x).withColumn("__y", y).join(_panels(panels), "image", "left")
+    j = points.select(*{*keys, "image"}, x.alias("__x"), y.alias("__y")).join(_panels(panels), "image", "left")
     hit = F.col("__x").between(F.col("px"), F.col("px") + F.col("pwidth")) & F.col("__y").between(F.col("py"), F.col("py") + F.col("pheight"))
     first = j.groupBy(*keys).agg(F.min_by(F.when(hit, F.col("panel")), F.when(hit, F.col("p_ord"))).alias("panel"))
     return points.join(first, keys, "left")
