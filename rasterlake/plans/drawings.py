@@ -161,7 +161,7 @@ def _hex(r: str = "r", g: str = "g", b: str = "b") -> str:
 
 
 @query(f"""WITH {SQL_PIXELS}, c AS (SELECT image, {_hex()} AS color, count(*) AS n FROM f WHERE (x BETWEEN 20 AND 59 AND (x - 20) % 3 = 0 OR x BETWEEN {WIDTH - 60} AND {WIDTH - 21} AND (x - {WIDTH - 60}) % 3 = 0) AND (y BETWEEN 20 AND 59 AND (y - 20) % 3 = 0 OR y BETWEEN {HEIGHT - 60} AND {HEIGHT - 21} AND (y - {HEIGHT - 60}) % 3 = 0) GROUP BY ALL)
-SELECT image, max_by(color, n) AS color FROM c GROUP BY image""")
+SELECT image, max_by(color, (n, color)) AS color FROM c GROUP BY image""")
 def figure_background(spark, sf):
     """AGG-16, AGG-15: the colour of the paper."""
     return colors.background(figure_pixels(spark, sf), _sizes(spark, sf))
@@ -172,8 +172,8 @@ _SAMPLED = "c AS (SELECT p.image, p.panel, r, g, b, count(*) AS n FROM f JOIN {b
 
 @query(f"""WITH {SQL_PIXELS}, {_INK}, {_PANELS}, pf AS (SELECT image, panel, floor(x) AS x, floor(y) AS y, floor(width) AS width, floor(height) AS height FROM panels),
 inner_ AS (SELECT image, panel, x + floor(width * 0.1) AS x, y + floor(height * 0.1) AS y, width - 2 * floor(width * 0.1) AS width, height - 2 * floor(height * 0.1) AS height FROM pf),
-fills AS (WITH {_SAMPLED.format(box='inner_', step=10)} SELECT image, panel, max_by({_hex()}, n) FILTER (NOT (r <= 30 AND g <= 30 AND b <= 30)) AS fill FROM c GROUP BY ALL),
-curves AS (WITH {_SAMPLED.format(box='pf', step=5)} SELECT image, panel, string_agg({_hex()}, ',' ORDER BY n DESC) AS curves FROM c WHERE NOT (r >= 245 AND g >= 245 AND b >= 245) AND NOT (r <= 30 AND g <= 30 AND b <= 30) AND r + g + b <= 700 GROUP BY ALL)
+fills AS (WITH {_SAMPLED.format(box='inner_', step=10)} SELECT image, panel, max_by({_hex()}, (n, -r, -g, -b)) FILTER (NOT (r <= 30 AND g <= 30 AND b <= 30)) AS fill FROM c GROUP BY ALL),
+curves AS (WITH {_SAMPLED.format(box='pf', step=5)} SELECT image, panel, string_agg({_hex()}, ',' ORDER BY n DESC, r, g, b) AS curves FROM c WHERE NOT (r >= 245 AND g >= 245 AND b >= 245) AND NOT (r <= 30 AND g <= 30 AND b <= 30) AND r + g + b <= 700 GROUP BY ALL)
 SELECT image, panel, fill, curves FROM fills JOIN curves USING (image, panel)""")
 def figure_panel_colors(spark, sf):
     """AGG-17, PRJ-09: fill and curve colours of each panel."""

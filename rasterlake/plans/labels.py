@@ -223,7 +223,7 @@ l AS (SELECT doc_id, unnest([{", ".join(f"'{t}'" for t in _T)}]) AS template, un
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template) AS r FROM l), low AS (SELECT doc_id, coalesce(min(score) FILTER (score > 0), min(score)) AS low FROM l GROUP BY doc_id),
 t AS (SELECT doc_id, sum(greatest(score - low, 0)) AS total FROM l JOIN low USING (doc_id) GROUP BY doc_id), e AS (SELECT doc_id, CASE template {" ".join(f"WHEN '{t}' THEN " + " * ".join(f"(CASE WHEN {_sql_rule(c)} THEN {f}::DOUBLE ELSE 1 END)" for c, f in rules) for t, rules in classify.EVIDENCE.items())} END AS scale FROM r JOIN s USING (doc_id) WHERE r = 1),
 o AS (SELECT a.doc_id, a.template AS top, a.score, a.score - b.score AS margin, CASE WHEN total > 0 THEN greatest(a.score - low, 0) / total ELSE 1.0 / 6 END * scale AS confidence FROM r a JOIN r b ON b.doc_id = a.doc_id AND b.r = 2 JOIN low ON low.doc_id = a.doc_id JOIN t ON t.doc_id = a.doc_id JOIN e ON e.doc_id = a.doc_id WHERE a.r = 1)
-SELECT doc_id, top, round(score, 4) AS score, round(confidence, 4) AS confidence, CASE WHEN confidence < 0.52 OR margin < 0.05 THEN 't_auto_layout' ELSE top END AS decision,
+SELECT doc_id, top, round(score, 4) AS score, round(confidence, 6) AS confidence, CASE WHEN confidence < 0.52 OR margin < 0.05 THEN 't_auto_layout' ELSE top END AS decision,
 concat_ws(',', CASE WHEN confidence < 0.52 THEN 'LOW_CONFIDENCE' END, CASE WHEN margin < 0.05 THEN 'AMBIGUOUS_MARGIN' END, CASE WHEN confidence < 0.52 OR margin < 0.05 THEN 'FALLBACK_TO_AUTO' END) AS reasons, top IN ('{_T[0]}', '{_T[3]}') OR doc_id % 2 = 0 AS expected FROM o""")
 def template_decisions(spark, sf):
     """CLS-01 to CLS-04, STR-19, JON-19, SRT-01: scores, evidence and decision over six templates."""
@@ -231,7 +231,7 @@ def template_decisions(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", *[F.expr(v.replace("//", "div").replace("100.0", "100.0D")).cast("double" if ".0" in v else "long").alias(k) for k, v in _FACTS.items()], classify.words_of(words).alias("tokens"))
     c = classify.classify(d, ["doc_id"])
     allowed = F.when(F.col("doc_id") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit(_T[0]), F.lit(_T[3])))
-    return c.select("doc_id", "top", F.round("score", 4).alias("score"), F.round("confidence", 4).alias("confidence"), "decision", "reasons", classify.expected_template(F.col("top"), allowed).alias("expected"))
+    return c.select("doc_id", "top", F.round("score", 4).alias("score"), F.round("confidence", 6).alias("confidence"), "decision", "reasons", classify.expected_template(F.col("top"), allowed).alias("expected"))
 
 
 _PALETTE = ", ".join(f"'{c}'" for c in colors.PALETTE)
