@@ -155,3 +155,16 @@ def recognition_stats(words: DataFrame, items: DataFrame, image: str = "image",
 def renderable(text: Column, render: Column) -> Column:
     """Whether a text is drawn (FLT-13): not switched off, and not blank."""
     return F.coalesce(render, F.lit(True)) & (F.trim(F.coalesce(text, F.lit(""))) != "")
+
+
+def lines_of_panels(dashed: DataFrame, panels: DataFrame, most: int = 2) -> DataFrame:
+    """image, panel, axis, ord, rank of each panel's first most upright lines, by x, and first most level lines, by y (JON-06). An upright line is
+    a panel's by its x, a level one by its y. dashed: image, ord, x1, y1, x2, y2. Spark limits each group before the shuffle."""
+    j = dashed.join(_panels(panels), "image")
+    up = (F.abs(F.col("x1") - F.col("x2")) <= 1) & F.col("x1").between(F.col("px"), F.col("px") + F.col("pwidth"))
+    level = (F.abs(F.col("y1") - F.col("y2")) <= 1) & F.col("y1").between(F.col("py"), F.col("py") + F.col("pheight"))
+    out = []
+    for axis, hit, place in (("x", up, "x1"), ("y", level, "y1")):
+        w = Window.partitionBy("image", "panel").orderBy(place, "ord")
+        out.append(j.filter(hit).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("image", "panel", F.lit(axis).alias("axis"), "ord", "rank"))
+    return out[0].unionByName(out[1])

@@ -129,6 +129,26 @@ def diff(actual: DataFrame, expected: DataFrame, keys: list[str], channels: list
     return d.groupBy(keys[0]).agg(F.sqrt(F.avg(square)).alias("rmse"), F.avg((worst > tolerance).cast("int")).alias("bad"))
 
 
+def sane(variance: Column, ink: Column, edges: Column) -> Column:
+    """Whether an image holds a figure (FLT-12), by features(): some variance, some ink but not all, and some edges."""
+    return (variance >= 2.0) & ink.between(0.002, 0.98) & (edges >= 0.001)
+
+
+def binary(pixels: DataFrame, threshold: int = 190) -> DataFrame:
+    """image, y, x, v (0 or 255) for recognition (PRJ-11): whether the rounded BT.601 grey exceeds the threshold."""
+    grey = F.floor((F.col("r") * 19595 + F.col("g") * 38470 + F.col("b") * 7471 + 32768) / 65536)
+    return pixels.select("image", "y", "x", F.when(grey > threshold, 255).otherwise(0).alias("v"))
+
+
+def weights(pixels: DataFrame, texts: DataFrame) -> DataFrame:
+    """image, item, ink, weight of texts (PRJ-02, PRJ-18): bold where over 32 % of the box is dark. texts: image, item, x, y, width, height."""
+    box = texts.select("image", "item", F.floor(F.greatest(F.col("x"), F.lit(0.0))).alias("x0"), F.floor(F.greatest(F.col("y"), F.lit(0.0))).alias("y0"), F.floor("width").alias("w"), F.floor("height").alias("h"))
+    inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x0") + F.col("w")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y0") + F.col("h"))
+    dark = X.is_ink(F.col("r"), F.col("g"), F.col("b"), F.col("a"), "bold")
+    found = pixels.join(box, "image").filter(inside).groupBy("image", "item").agg(F.avg(dark.cast("int")).alias("ink"))
+    return box.select("image", "item").join(found, ["image", "item"], "left").fillna(0.0, ["ink"]).withColumn("weight", F.when(F.col("ink") > 0.32, "bold").otherwise("normal"))
+
+
 def heat_map(actual: DataFrame, expected: DataFrame, tolerance: int) -> DataFrame:
     """image, y, x, heat (largest channel difference, 0 to 255) and bad (over tolerance) of two sets of pixels, flattened onto
     white (GAT-04, GAT-01). Both: image, y, x, r, g, b, a."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rasterlake.functions import exprs as X
 from rasterlake.functions import labels
 
-#: The codes and what they mean.
+#: The codes and what they mean (VAL-20).
 CODES = {
     "E1000": "unreadable document", "E1001": "unreadable contract", "E1002": "unreadable thresholds",
     "E2001": "forbidden element", "E2002": "forbidden element prefix", "E2003": "missing group", "E2004": "font family not allowed",
@@ -27,6 +27,13 @@ CODES = {
 }
 
 
+def payload(code: Column, context: Column, hint: Column | None = None) -> Column:
+    """An issue as canonical JSON (PRJ-25): code, context, hint and message, of which those without a value are left out. context: map of text."""
+    messages = F.create_map(*[F.lit(v) for pair in CODES.items() for v in pair])
+    full = F.when(F.size(F.coalesce(context, F.create_map().cast("map<string,string>"))) > 0, context)
+    return F.to_json(F.struct(code.alias("code"), full.alias("context"), (hint if hint is not None else F.lit(None).cast("string")).alias("hint"), F.try_element_at(messages, code).alias("message")))
+
+
 def issue(df: DataFrame, doc: str, code: str, subject: Column) -> DataFrame:
     return df.select(F.col(doc).alias("doc"), F.lit("error" if code[0] == "E" else "warning").alias("severity"), F.lit(code).alias("code"), subject.cast("string").alias("subject"))
 

@@ -95,11 +95,15 @@ def reading_order(df: DataFrame, keys: list[str], x: str, y: str, text: str, con
     return df.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(y, x, text))), lambda s: s[text]), " ").alias("text"), F.avg(conf).alias("conf"))
 
 
-def drop_stacked(df: DataFrame, keys: list[str], x: str, y: str, width: str, height: str, gap: float, text: str) -> DataFrame:
-    """Merges stacked items that overlap sideways and lie no further apart than gap (WIN-11)."""
-    w = Window.partitionBy(*keys).orderBy(y, x)
-    over = F.least(F.col(x) + F.col(width), F.lag(F.col(x) + F.col(width)).over(w)) - F.greatest(F.col(x), F.lag(x).over(w))
-    apart = F.col(y) - F.lag(F.col(y) + F.col(height)).over(w)
-    d = df.withColumn("__new", F.coalesce(((over <= 0) | (apart > gap)).cast("int"), F.lit(0))).withColumn("grp", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(y, x, text))), lambda s: s[text]), "\n")
-    return d.groupBy(*keys, "grp").agg(joined.alias(text), F.min(x).alias(x), F.min(y).alias(y), F.max(F.col(x) + F.col(width)).alias("right"), F.max(F.col(y) + F.col(height)).alias("bottom"))
+def stacked(items: DataFrame, keys: list[str], gap: float = 1.8, overlap: float = 0.6) -> DataFrame:
+    """keys, grp, text, x, y, right, bottom of stacked items (WIN-11): from the top, an item joins the one before it where they overlap sideways by
+    at least overlap of the narrower one (a pixel at least), its baseline is no lower than gap times the taller one's height, and
+    both have one role. items: keys, item, text, role, baseline, x, y, width, height. Texts are collapsed and stand in lines of their own."""
+    w = Window.partitionBy(*keys).orderBy("y", "item")
+    last = lambda c: F.lag(c).over(w)
+    right = F.col("x") + F.col("width")
+    shared = F.greatest(F.lit(0.0), F.least(right, last(right)) - F.greatest("x", last("x"))) / F.greatest(F.least("width", last("width")), F.lit(1.0))
+    apart = (shared < overlap) | (F.col("baseline") - last("baseline") > F.greatest("height", last("height")) * gap) | ~F.col("role").eqNullSafe(last("role"))
+    d = items.withColumn("__new", F.when(last("y").isNull(), 0).otherwise(apart.cast("int"))).withColumn("grp", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    line = F.when(X.collapse(F.coalesce("text", F.lit(""))) != "", F.struct("y", "item", X.collapse(F.col("text")).alias("t")))
+    return d.groupBy(*keys, "grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda s: s["t"]), "\n").alias("text"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(right).alias("right"), F.max(F.col("y") + F.col("height")).alias("bottom"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rasterlake.operators import convert, extract, figures, render
-from rasterlake.plans import drawings
+from rasterlake.functions import exprs as X
+from rasterlake.operators import batch, convert, extract, figures, panels, raster, render, rules, sequence, text
+from rasterlake.plans import drawings, labels
 from rasterlake.plans.common import query, table
 from rasterlake.plans.drawn import HEIGHT, SQL_PIXELS, WIDTH, figure_pixels
-from rasterlake.sources import datasets
+from rasterlake.sources import datasets, images
 
 _CANVAS = "s AS (SELECT p_partkey AS image, 700 + p_size * 61 AS w, 500 + p_partkey * 37 % 900 AS h FROM part)"
 
@@ -268,3 +269,96 @@ def geometry_dedup(spark, sf):
     i = F.row_number().over(Window.partitionBy("l_orderkey", n % 2).orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     g = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.when(n % 2 == 0, "axes").otherwise("geometry").alias("collection"), F.lit("circle").alias("kind"), i.cast("long").alias("ord"), F.col("l_quantity").alias("a"), (F.col("l_discount") * 300).alias("b"), (F.bround(F.col("l_tax") * 100).cast("int") % 3 + 1.0).alias("c"), F.lit(None).cast("double").alias("d"))
     return extract.deduplicate(g, ["k"]).select("k", "collection", "ord")
+
+
+@query(f"""WITH {SQL_PIXELS}, t AS (SELECT k, (37 * k)::DOUBLE AS x, (11 + 19 * k)::DOUBLE AS y, 5 + k AS w, 3 + k % 7 AS h FROM range(16) t(k))
+SELECT f.image, k AS item, round(avg((0.299 * r + 0.587 * g + 0.114 * b < 180)::INT), 6) AS ink, CASE WHEN avg((0.299 * r + 0.587 * g + 0.114 * b < 180)::INT) > 0.32 THEN 'bold' ELSE 'normal' END AS weight FROM t JOIN f ON f.x >= t.x AND f.x < t.x + w AND f.y >= t.y AND f.y < t.y + h GROUP BY f.image, k""")
+def text_weights(spark, sf):
+    """PRJ-02, PRJ-18: weight of lettering by its ink."""
+    k = F.col("item")
+    texts = drawings._sizes(spark, sf).select("image", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("item")).select("image", "item", (37 * k).cast("double").alias("x"), (11 + 19 * k).cast("double").alias("y"), (5 + k).alias("width"), (3 + k % 7).alias("height"))
+    return raster.weights(figure_pixels(spark, sf), texts).withColumn("ink", F.round("ink", 6))
+
+
+@query(f"""WITH {SQL_PIXELS}, g AS (SELECT image, y, x, (r + g + b) / 3.0::DOUBLE AS v, a > 10 AND 0.2126 * r + 0.7152 * g + 0.0722 * b < 245 AS ink, (r * 19595 + g * 38470 + b * 7471 + 32768) // 65536 > 190 AS light FROM f),
+d AS (SELECT *, abs(lead(v) OVER (PARTITION BY image, y ORDER BY x) - v) > 8 AS edge FROM g)
+SELECT image, round(var_pop(v), 4) AS variance, round(avg(edge::INT), 6) AS edges, var_pop(v) >= 2 AND avg(ink::INT) BETWEEN 0.002 AND 0.98 AND avg(edge::INT) >= 0.001 AS sane, count(*) FILTER (light) AS light FROM d GROUP BY image""")
+def figure_sanity(spark, sf):
+    """FLT-12, PRJ-11, AGG-03: whether the drawn figures are figures, and their light pixels for recognition."""
+    p = figure_pixels(spark, sf)
+    d = raster.features(p.withColumn("v", (F.col("r") + F.col("g") + F.col("b")) / 3.0), "v", X.is_ink(F.col("r"), F.col("g"), F.col("b"), F.col("a")), 8.0)
+    light = raster.binary(p).groupBy("image").agg(F.count_if(F.col("v") == 255).alias("light"))
+    return d.join(light, "image").select("image", F.round("variance", 4).alias("variance"), F.round("edges", 6).alias("edges"), raster.sane(F.col("variance"), F.col("ink"), F.col("edges")).alias("sane"), "light")
+
+
+@query(f"""WITH {labels._ITEMS}, {labels._SQL_BOXES}, l AS (SELECT image, item AS ord, x AS x1, y AS y1, item % 2 = 0 AS up FROM i), j AS (SELECT * FROM l CROSS JOIN b),
+r AS (SELECT image, panel, 'x' AS axis, ord, row_number() OVER (PARTITION BY image, panel ORDER BY x1, ord) AS r FROM j WHERE up AND x1 BETWEEN px AND px + pw UNION ALL SELECT image, panel, 'y', ord, row_number() OVER (PARTITION BY image, panel ORDER BY y1, ord) FROM j WHERE NOT up AND y1 BETWEEN py AND py + ph)
+SELECT image, panel, axis, ord, CAST(r AS INTEGER) AS rank FROM r WHERE r <= 2""")
+def panel_lines(spark, sf):
+    """JON-06, SRT-07: the first two upright and level lines of each panel."""
+    i = labels._items(spark, sf)
+    up = F.col("item") % 2 == 0
+    lines = i.select("image", F.col("item").alias("ord"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.when(up, F.col("x")).otherwise(F.col("x") + 50).alias("x2"), F.when(up, F.col("y") + 50).otherwise(F.col("y")).alias("y2"))
+    return panels.lines_of_panels(lines, labels._panels(spark, sf))
+
+
+@query(f"""WITH {labels._ITEMS}, s AS (SELECT image, item, event_type AS role, y + height AS base, floor(x / 9) * 9 AS x, floor(y / 40) * 8 AS y, width, height, event_type || ' ' || item AS t FROM i),
+n AS (SELECT *, CASE WHEN lag(y) OVER w IS NULL THEN 0 WHEN greatest(0, least(x + width, lag(x + width) OVER w) - greatest(x, lag(x) OVER w)) / greatest(least(width, lag(width) OVER w), 1) < 0.3 OR base - lag(base) OVER w > greatest(height, lag(height) OVER w) * 1.8 OR role <> lag(role) OVER w THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY image ORDER BY y, item)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY image ORDER BY y, item) AS grp FROM n)
+SELECT image, CAST(grp AS BIGINT) AS grp, string_agg(t, '|' ORDER BY y, item) AS text, min(x) AS x, min(y) AS y, max(x + width) AS "right", max(y + height) AS bottom FROM g GROUP BY image, grp""")
+def stacked_items(spark, sf):
+    """WIN-11: stacked texts of one role as one."""
+    i = labels._items(spark, sf)
+    d = i.select("image", "item", F.concat("event_type", F.lit("  "), F.col("item").cast("string")).alias("text"), F.col("event_type").alias("role"), (F.col("y") + F.col("height")).alias("baseline"), (F.floor(F.col("x") / 9) * 9).cast("double").alias("x"), (F.floor(F.col("y") / 40) * 8).cast("double").alias("y"), "width", "height")
+    return text.stacked(d, ["image"], overlap=0.3).withColumn("text", F.replace("text", F.lit("\n"), F.lit("|")))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, CASE WHEN l_orderkey % 3 = 0 THEN 2 WHEN l_orderkey % 3 = 1 THEN 12 ELSE CASE WHEN l_linenumber % 2 = 0 THEN 4 ELSE 21 END END AS len, 6 + l_orderkey % 7 AS gap FROM lineitem),
+d AS (SELECT k, len, CASE WHEN lead(i) OVER w IS NOT NULL THEN 30 - len END AS gap FROM r WINDOW w AS (PARTITION BY k ORDER BY i)),
+s AS (SELECT k, count(*) AS n, avg(len) AS dash, stddev_pop(len) AS sd, count(DISTINCT len) AS lens, avg(gap) AS gap, stddev_pop(gap) AS gsd, count(gap) AS gaps, list(len ORDER BY len) AS l FROM d GROUP BY k),
+c AS (SELECT *, CASE WHEN n < 3 OR gaps = 0 THEN 'unknown' WHEN dash < 4 AND gap > 1.5 * dash THEN 'dotted' WHEN sd / dash < 0.3 AND gsd / gap < 0.3 THEN 'uniform' WHEN lens <= 3 THEN 'alternating' ELSE 'unknown' END AS pattern, list_avg(l[:n // 2]) AS short, list_avg(l[n // 2 + 1:]) AS long FROM s),
+t AS (SELECT *, list_transform([dash, gap, short, long], lambda v: CASE WHEN v < 10 THEN round_even(v / 2, 0) * 2 ELSE round_even(v / 5, 0) * 5 END) AS u FROM c)
+SELECT k, pattern, CASE WHEN n < 3 OR gaps = 0 THEN '4.0,4.0' WHEN pattern = 'dotted' THEN '2.0,' || greatest(2.0::DOUBLE, u[2]) WHEN pattern = 'alternating' AND n >= 4 THEN u[3] || ',' || greatest(2.0::DOUBLE, u[2]) || ',' || u[4] || ',' || greatest(2.0::DOUBLE, u[2]) ELSE greatest(2.0::DOUBLE, u[1]) || ',' || greatest(2.0::DOUBLE, u[2]) END AS dasharray FROM t""")
+def dash_arrays(spark, sf):
+    """ALG-13, AGG-18: dash arrays of lines made of order lines."""
+    from pyspark.sql import Window
+
+    k = F.col("l_orderkey")
+    i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    size = F.when(k % 3 == 0, 2).when(k % 3 == 1, 12).otherwise(F.when(F.col("l_linenumber") % 2 == 0, 4).otherwise(21))
+    d = sequence.dash_array(table(spark, sf, "lineitem").select(k.alias("k"), (i * 30).alias("start"), size.alias("len")), ["k"])
+    return d.select("k", "pattern", F.array_join(F.col("dasharray").cast("array<string>"), ",").alias("dasharray"))
+
+
+@query("""WITH r AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 = 0 THEN 'fail' ELSE 'pass' END AS status, n_nationkey % 3 = 0 AS bad FROM nation)
+SELECT CAST(k AS VARCHAR) AS name, status, CASE WHEN bad THEN 'E2001,E2003' ELSE '' END AS errors, CASE WHEN k % 2 = 0 THEN 'W2101' ELSE '' END AS warnings FROM r""")
+def report_files(spark, sf):
+    """SRC-15, SRC-22, SRC-23: reports of cases written as JSON and read again, tolerant of missing fields."""
+    k = F.col("n_nationkey")
+    codes = lambda *c: F.array(*[F.struct(F.lit(x).alias("code"), F.lit("m").alias("message")) for x in c])
+    r = table(spark, sf, "nation").select(k.cast("string").alias("name"), F.when(k % 3 == 0, "fail").otherwise("pass").alias("status"), F.when(k % 3 == 0, codes("E2001", "E2003")).alias("errors"), F.when(k % 2 == 0, codes("W2101")).alias("warnings"))
+    folder = images.work_folder(spark)
+    datasets.write_reports(r, "name", folder)
+    d = images.reports(spark, f"{folder}/case=*/*.txt")
+    return d.select(F.regexp_extract("path", "case=([^/]*)/", 1).alias("name"), "status", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("""WITH s AS (SELECT o_orderstatus AS tier, count(*) FILTER (o_orderkey % 5 > 0) AS total, count(*) FILTER (o_orderkey % 5 > 1) AS passed FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY o_orderstatus)
+SELECT '| tier | total | passed |' || chr(10) || '|-|-|-|' || chr(10) || string_agg('| ' || tier || ' | ' || total || ' | ' || passed || ' |', chr(10) ORDER BY passed DESC, tier) AS value FROM s""")
+def summary_markdown(spark, sf):
+    """SRC-16, SRT-08, SRT-09, AGG-27: the summary of selected cases as a Markdown table."""
+    o = batch.only(table(spark, sf, "orders").withColumn("id", F.col("o_orderpriority")), ["1-URGENT", "2-HIGH"], None)
+    k = F.col("o_orderkey") % 5
+    r = o.select(F.col("o_orderstatus").alias("tier"), F.when(k == 0, "skipped").when(k == 1, "fail").otherwise("pass").alias("status"))
+    s = batch.summary(r, ["tier"]).select("tier", "total", "passed")
+    return batch.markdown(s, [-F.col("passed"), F.col("tier")])
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_custkey::DOUBLE WHEN 1 THEN 0.75 WHEN 2 THEN 0.75 ELSE -1.5 END AS limit_, CASE WHEN o_orderkey % 2 = 0 THEN '{"code":"E2001","context":{"tag":"' || o_orderstatus || '"},"hint":"look","message":"forbidden element"}' ELSE '{"code":"E2009","hint":"look","message":"text without id"}' END AS issue FROM orders""")
+def issue_payloads(spark, sf):
+    """PRJ-24, PRJ-25: options of cases with defaults, and issues with message, hint and context."""
+    k = F.col("o_orderkey")
+    options = F.when(k % 4 == 0, F.create_map(F.lit("max"), F.col("o_custkey").cast("string"))).when(k % 4 == 1, F.create_map(F.lit("max"), F.lit("wide"))).when(k % 4 == 2, F.create_map(F.lit("min"), F.lit("3"))).otherwise(F.create_map(F.lit("max"), F.lit("-1.5")))
+    code = F.when(k % 2 == 0, "E2001").otherwise("E2009")
+    issue = rules.payload(code, F.when(k % 2 == 0, F.create_map(F.lit("tag"), F.col("o_orderstatus"))), F.lit("look"))
+    return table(spark, sf, "orders").select("o_orderkey", datasets.option(options, "max", "double", 0.75).alias("limit_"), issue.alias("issue"))

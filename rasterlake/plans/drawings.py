@@ -118,7 +118,7 @@ k AS (SELECT *, CASE WHEN area < 6 THEN 'none' WHEN v = 3 OR v = 4 AND solidity
 SELECT image, CAST(e AS INTEGER) AS "end", replace(kind, 'plain', 'triangle') AS kind, round(CASE WHEN area < 6 THEN 0 ELSE sqrt(area) * 1.5 END, 4) AS size,
   round(CASE kind WHEN 'none' THEN 0.9 WHEN 'triangle' THEN 0.8 + 0.1 * solidity WHEN 'triangle_open' THEN 0.7 WHEN 'dot' THEN 0.75 WHEN 'line' THEN 0.6 WHEN 'diamond' THEN 0.65 ELSE 0.5 END, 4) AS confidence FROM k""")
 def figure_arrow_heads(spark, sf):
-    """ALG-14, AGG-32, WIN-20: what stands at an axis's ends, on a marker and in lettering."""
+    """ALG-14, AGG-32, WIN-20, PRJ-03: what stands at an axis's ends, on a marker and in lettering."""
     places = F.array(*[F.struct(F.lit(e).alias("end"), F.lit(x).alias("x"), F.lit(y).alias("y")) for e, (x, y) in enumerate(((190, 300), (20, 60), (317, 184), (60, 30)))])
     ends = _sizes(spark, sf).select("image", F.explode(places).alias("p")).select("image", "p.*")
     d = shapes.arrow_heads(figure_pixels(spark, sf), ends)

@@ -172,3 +172,9 @@ def artifacts(folder: str, **tables: DataFrame) -> dict[str, str]:
 def option(values: Column, name: str, kind: str, default: object) -> Column:
     """An option of a map of texts, as a type, or its default where it is missing or no such value (PRJ-24)."""
     return F.coalesce(F.try_element_at(values, F.lit(name)).try_cast(kind), F.lit(default).cast(kind))
+
+
+def write_reports(reports: DataFrame, case: str, folder: str) -> None:
+    """A JSON report a case, in folder/case=<case>/ (SRC-15), keys sorted: the report's columns as one object. images.reports() reads them back."""
+    body = F.to_json(F.struct(*sorted(c for c in reports.columns if c != case)))
+    reports.select(F.col(case).alias("case"), body.alias("value")).write.mode("overwrite").partitionBy("case").text(folder)
