@@ -26,8 +26,7 @@ WORD = 64  # languages a mask word
 SAMPLE_PER_LANGUAGE = 4000  # bound of the labelled sample: documents a language, in expectation
 UNKNOWN = "und"
 FIT_PER_LANGUAGE = 500  # labelled documents a language, in expectation, on which the bound of its evidence is fitted
-LEARNED_PART = 0.6  # of the median share of a language's labelled documents: text with less is in no learned language
-NOISE = 4  # standard deviations of the false positives that a text's share has to exceed the bound by
+LEARNED_PART = 0.9  # of the median share of the longest n-grams of a language's labelled documents: text with less is in no learned language
 
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _LETTER: list[np.ndarray] = []
@@ -86,29 +85,31 @@ class Model:
         return share, has
 
     def counted(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """shares(), and each text's number of n-grams."""
+        """shares(); whether each text has a letter; and the shares of its longest n-grams alone, which tell its
+        languages from others best."""
         found, has = grams(texts)
         hits, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         for h, first, last in found:
             a, b, c = slots(h, self.bits)
+            own = np.zeros_like(hits)
             for word, table in enumerate(self.tables):
                 mask = table[a] & table[b] & table[c]
                 for k in range(word * WORD, min(word * WORD + WORD, len(self.languages))):
                     n = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(k % WORD)) & mask.dtype.type(1), dtype=np.int64)])
-                    hits[:, k] += n[last] - n[first]
+                    own[:, k] = n[last] - n[first]
+            hits += own
             total += last - first
-        share = hits / np.maximum(total, 1)[:, None]
-        return np.clip((share - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1), has, total
+        true = lambda n, of: np.clip((n / np.maximum(of, 1)[:, None] - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1)
+        longest = np.where((last > first)[:, None], true(own, last - first), true(hits, total))  # a text of two letters has none
+        return true(hits, total), has, longest
 
     def evidence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Best language, its corrected share, and whether the text has a letter. The share is 0 where it doesn't
-        exceed the language's bound by NOISE deviations of the false positives among so many n-grams; the
-        other languages have no part in it."""
-        share, has, total = self.counted(texts)
+        """Best language, the corrected share of the text's longest n-grams in it, and whether the text has a letter. The
+        share is 0 where it doesn't exceed the language's bound; the other languages have no part in it."""
+        share, has, longest = self.counted(texts)
         best = share.argmax(axis=1)
-        own, false = share[np.arange(len(best)), best], self.false[best]
-        noise = NOISE * np.sqrt(false / np.maximum(1 - false, 1e-9) / np.maximum(total, 1))
-        return best, np.where(has & (own > np.minimum(self.bound[best] + noise, 1 - 1e-9)), own, 0.0), has
+        own = longest[np.arange(len(best)), best]
+        return best, np.where(has & (own > np.minimum(self.bound[best], 1 - 1e-9)), own, 0.0), has
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: str = "langid") -> Model:
@@ -167,7 +168,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: str =
 
     def fit():
         def one(c: dict) -> list:
-            share, has = sent.value.shares(c["text"])
+            _, has, share = sent.value.counted(c["text"])
             at = np.flatnonzero(has)
             label = np.array([number[x] for x in c["lang"]], np.int64)[at]
             return [label.tolist(), share[at, label].tolist()]
@@ -200,8 +201,8 @@ def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of each whole text. score is the corrected share of the text's n-grams in the
-    language, and 0 where that is no more than text in another language reaches: lang_pred is only the nearest
+    """doc_id, lang_pred, score of each whole text. lang_pred has the largest corrected share of the text's n-grams; score is
+    its share of the longest ones, and 0 where that is no more than text in another language reaches: lang_pred is only the nearest
     language then, the first by name where there is no hit. Null texts, texts without a letter, and all texts
     where nothing was learned are 'und' with score 0."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
