@@ -360,3 +360,26 @@ def test_command_line(spark, tmp_path):
     for command, columns in (("classify", {"template", "confidence"}), ("extract", {"node", "curves"}), ("render", {"svg"}), ("convert", {"status", "svg", "template"})):
         out = cli.main([command, f"file://{tmp_path}/in", f"file://{tmp_path}/{command}"])
         assert columns <= set(out.columns) and out.count() >= 1
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_drawn_figures_are_found_again(spark):
+    """What the extraction says of the drawn figures against the formula that they are drawn by."""
+    from rasterlake.plans import drawings
+    from rasterlake.plans.drawn import figure_pixels
+
+    sf = "/root/testdata/sf0.001"
+    d = extract.event_panels(figure_pixels(spark, sf).filter("image < 2"), drawings._sizes(spark, sf).filter("image < 2")).collect()
+    assert len(d) == 6 and {r.source for r in d} == {"detected"}
+    for r in d:
+        begins = {"A3": 0, "A4": 213, "A5": 426}[r.panel]
+        assert abs(r.x - begins) < 30 and abs(r.x_axis_y - 300) <= 3
+        assert begins + 20 - 3 <= r.y_axis_x <= begins + 139  # the last upright line wins, which may be the tinted band
+        assert r.fill == "#ffffff" and "#2b6cb0" in r.curve_colors and "#dd6b20" in r.curve_colors
+        for name, line in (("serving", lambda px, i: 100 + 2 * i + 0.75 * px), ("neighbor", lambda px, i: 250 - i - 0.5 * px)):
+            for p in r[name]:
+                x, y = r.x + r.width * p["x"], r.y + r.height * (1 - p["y"])
+                if 30 < x - begins < 180:
+                    assert abs(y - line(x - begins, r.image)) < 6
+    tree = {r.image: r.n for r in layout.xy_cut(figure_pixels(spark, sf).filter("image < 2").select("image", "y", "x", (F.col("r") + F.col("g") + F.col("b") < 720).cast("int").alias("ink"))).groupBy("image").agg(F.count("*").alias("n")).collect()}
+    assert set(tree) == {0, 1} and min(tree.values()) > 1
