@@ -8,6 +8,7 @@ from first to last. What a rule has matched is used up, so a longer rule that st
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,6 +135,26 @@ def sentence_pattern(sentences: dict[str, str]) -> str:
     return f"(?<![^\n{END}])(?:{'|'.join(one(x) for x in sorted(sentences, key=lambda x: (-len(x), x)))})(?![^\n{END}])"
 
 
+def anchors(sentences: dict[str, str]) -> list[str]:
+    """A few words of letters of which every sentence has one, also in a text that names another holder: texts without any of
+    them hold no known sentence."""
+    left = []
+    for sentence in sentences:
+        for _, held in HOLDERS:
+            sentence = sentence.replace(held, " ")
+        words = {w for w in sentence.split(" ") if w.isalpha()}
+        left.append({w for w in words if len(w) >= 7} or words)  # long words are rare in other texts
+    if not all(left):
+        return [""]  # a sentence without such a word: every text is looked at
+    out = []
+    while left:
+        every = {w for words in left for w in words}
+        best = max(sorted(every), key=lambda w: (sum(w in words for words in left), len(w)))
+        out.append(best)
+        left = [words for words in left if best not in words]
+    return out
+
+
 def scan_licenses(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids (array, in order), matches (array of struct<rule int,
     license, n>, by rule), licenses (sorted, distinct) of every document, its whole text.
@@ -142,7 +163,8 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
     comment marks that are no letters; a blank line ends it. Whoever a clause of HOLDERS names stands for the
     holder. Of sentences that begin at one place the longest
     counts. Null, empty and unlicensed texts have empty arrays. Repeated rows are scanned each; other columns than
-    doc_id and text aren't read. One narrow pass: no shuffle, and the sentence table is a literal."""
+    doc_id and text aren't read. One narrow pass: no shuffle, and the sentence table is a literal. Texts with no word of
+    anchors() are settled by a byte search."""
     words = lambda x: re.sub(GAP, " ", x)
     known = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (words(k), v)])
     text = F.translate(F.coalesce("text", F.lit("")), UPPER + END, LOWER + " ")
@@ -150,7 +172,10 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
         text = F.regexp_replace(text, pattern, by)
     found = F.regexp_extract_all(text, F.lit(sentence_pattern(sentences)), F.lit(0))
     ids = F.transform(found, lambda x: known[F.regexp_replace(F.translate(x, "\n", " "), GAP, " ")])
-    df = work.pick(docs, "doc_id", "text").select("doc_id", ids.alias("sentence_ids"))
+    low = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
+    near = reduce(lambda a, b: a | b, [F.contains("__low", F.lit(w)) for w in anchors(sentences)], F.lit(False))
+    df = work.pick(docs, "doc_id", "text").withColumn("__low", low)
+    df = df.select("doc_id", F.when(near, ids).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
     # every identifier is "<id>;": rules are plain strings in it, and what is matched becomes "|"
     rest = F.concat(F.lit(";"), F.concat_ws("", F.transform("sentence_ids", lambda x: F.concat(x, F.lit(";")))))
     df = df.withColumn("rest", rest)

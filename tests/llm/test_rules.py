@@ -164,6 +164,16 @@ def test_named_holders_and_more_licenses(spark):
     assert got == {0: ["BSD-3-Clause", "all-rights-reserved"], 1: ["Zlib"], 2: ["AGPL-3.0-or-later"], 3: ["BSD-3-Clause", "all-rights-reserved"], 4: []}
 
 
+def test_every_sentence_has_an_anchor(spark):
+    """Each known sentence alone in a text is found, so no anchor is missing; holders' clauses too, whoever they name."""
+    words = license.anchors(license.SENTENCES)
+    assert len(words) < 15 and all(any(w in s for w in words) for s in license.SENTENCES)
+    texts = [f"x\n{s}\ny" for s in license.SENTENCES]
+    got = {r.doc_id: r.sentence_ids for r in license.scan_licenses(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == [[v] for v in license.SENTENCES.values()]
+    assert license.anchors({"1.0 2": "x"}) == [""] and license.anchors({}) == []
+
+
 def test_longer_rules_win(spark):
     rules = (("both", ("a", "b")), ("one", ("a",)), ("two", ("b",)))
     found = license.scan_licenses(frame(spark, ["first\nsecond\nnoise\nfirst\nthird", "second\nfirst", "first\nnoise\nsecond"]), {"first": "a", "second": "b", "third": "c"}, rules).orderBy("doc_id").collect()
