@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from rasterlake.llm import encoding, jaccard, langid, license, linerules, packing, quality, rans, resync, topk, warc
+from rasterlake.llm import encoding, fim, jaccard, langid, license, linerules, packing, quality, rans, resync, spelling, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_combination_join": jaccard.op1_token_combination_join,
@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_speculative_bpe": encoding.op9_speculative_bpe,
     "op10_sum_of_squares_packing": packing.op10_sum_of_squares_packing,
     "op11_overlap_token_counts": resync.op11_overlap_token_counts,
+    "op12_automaton_fill_in_middle": fim.op12_automaton_fill_in_middle,
+    "op13_parity_band_spelling": spelling.op13_parity_band_spelling,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op1_token_combination_join": jaccard.ORACLE, "op3_sentence_rule_licenses": license.ORACLE, "op4_revisit_resolution": warc.ORACLE, "op7_line_first_rules": linerules.ORACLE, "op8_term_at_a_time_topk": topk.ORACLE}
+SQL: dict[str, str] = {"op1_token_combination_join": jaccard.ORACLE, "op3_sentence_rule_licenses": license.ORACLE, "op4_revisit_resolution": warc.ORACLE, "op7_line_first_rules": linerules.ORACLE, "op8_term_at_a_time_topk": topk.ORACLE, "op12_automaton_fill_in_middle": fim.ORACLE, "op13_parity_band_spelling": spelling.ORACLE}
