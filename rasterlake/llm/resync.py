@@ -29,6 +29,7 @@ from rasterlake.llm.chunks import library_encoder
 STEP = 16_384  # bytes between the starts of chunks
 OVERLAP = 512  # bytes that a chunk has of the next one's step
 WIDEN = 4
+CACHED = 150_000  # distinct chunks of short texts that a worker remembers
 LIMIT = 1024
 
 
@@ -250,7 +251,7 @@ def token_counts(docs: DataFrame, tokenizer: str, step: int = STEP, overlap: int
     docs = work.pick(docs, "doc_id", "text").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
 
     def make():
-        encode = library_encoder(tokenizer)
+        encode = library_encoder(tokenizer, CACHED)
         return lambda c: [c["doc_id"], c["n_bytes"], encode(c["text"])[1], [1] * len(c["text"])]
 
     small = work.map_batches(docs.filter(F.col("n_bytes") <= 2 * step), "doc_id long, n_bytes long, n_tokens long, n_chunks int", make)

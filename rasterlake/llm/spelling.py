@@ -154,11 +154,11 @@ def op13_parity_band_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: crc32 as a rule over the bytes of `<doc_id>:<run>` (letters from U+00C0 on are the byte 195 and the code point less 64).
 ORACLE = """
-WITH RECURSIVE table_of AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), (x, y) -> CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS v FROM (SELECT unnest(range(256)) AS i))),
+WITH RECURSIVE table_of AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS v FROM (SELECT unnest(range(256)) AS i))),
 runs AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents)),
 of_doc AS (SELECT doc_id, run, count(*) AS c FROM runs GROUP BY ALL),
-bytes AS (SELECT doc_id, run, c, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), x -> CASE WHEN ord(x) > 127 THEN [195, ord(x) - 64] ELSE [ord(x)] END))::BIGINT[] AS b FROM of_doc),
-hashed AS (SELECT doc_id, run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, b), (x, y) -> xor(x // 256, t[xor(x % 256, y) + 1])), 4294967295) AS h FROM bytes, table_of),
+bytes AS (SELECT doc_id, run, c, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: CASE WHEN ord(x) > 127 THEN [195, ord(x) - 64] ELSE [ord(x)] END))::BIGINT[] AS b FROM of_doc),
+hashed AS (SELECT doc_id, run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda x, y: xor(x // 256, t[xor(x % 256, y) + 1])), 4294967295) AS h FROM bytes, table_of),
 words AS (SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM hashed)
   WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
 places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
