@@ -24,6 +24,7 @@ from rasterlake.llm.chunks import ChunkEncoder, before_space, by_space
 from rasterlake.llm.work import runs
 
 LONG = 256  # symbols; longer words are proposed one by one, and merged with a heap where they fail
+MERGED_AT_ONCE = 1 << 20  # symbols of failing words
 NONE = np.int64(1) << 40
 #: Pre-tokenizer patterns of the two supported kinds (fixed values of the public vocabularies).
 PATTERN_SUFFIX = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -240,7 +241,8 @@ class SpeculativeBPE:
 
     # -- exact merging -----------------------------------------------------------------------
     def merge_all(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exact merging of many short words at once: each pass makes each word's next merge."""
+        """Exact merging of many short words at once: each pass makes each word's next merge. A pair's rank and place
+        share a long, so there may be no more than 2^22 symbols; callers pass about MERGED_AT_ONCE."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
         word = np.repeat(np.arange(len(counts)), counts)
         while len(word):
@@ -327,10 +329,11 @@ class SpeculativeBPE:
         short, lengthy = np.flatnonzero(bad & (size <= LONG)), np.flatnonzero(bad & (size > LONG))
         out_count = counts.copy()
         fixed: list[tuple[np.ndarray, np.ndarray]] = []
-        if len(short):
-            ids, n = self.merge_all(self.base[symbols[runs(size[short], start[short])]], size[short])
-            out_count[short] = n
-            fixed.append((short, ids))
+        piece = np.cumsum(size[short]) // MERGED_AT_ONCE
+        for some in np.split(short, np.flatnonzero(np.diff(piece)) + 1) if len(short) else ():
+            ids, n = self.merge_all(self.base[symbols[runs(size[some], start[some])]], size[some])
+            out_count[some] = n
+            fixed.append((some, ids))
         for k in lengthy.tolist():
             ids = self.merge_long(self.base[symbols[start[k] : end[k]]])
             out_count[k] = len(ids)
