@@ -11,7 +11,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,18 +66,19 @@ def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int
     n = pieces.count()
     groups = max(1, -(-n // group_pieces))
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "__row"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        real = (rows["length"].fillna(0) > 0).to_numpy()
-        bins, offsets = sum_of_squares(rows["length"].to_numpy()[real].astype(np.int64), capacity)
-        group = int(rows["__group"].iloc[0])
-        for name, values in (("sequence_id", (np.int64(group) << 40) + bins), ("offset", offsets)):
-            column = pd.array([None] * len(rows), "Int64")
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("__row", "ascending")])
+        lengths = pc.fill_null(rows.column("length").cast(pa.int64()), 0).to_numpy()
+        real = lengths > 0
+        bins, offsets = sum_of_squares(lengths[real], capacity)
+        group = np.int64(rows.column("__group")[0].as_py())
+        for name, values in (("sequence_id", (group << 40) + bins), ("offset", offsets)):
+            column = np.zeros(len(rows), np.int64)
             column[real] = values
-            rows[name] = column
-        return rows[[f.name for f in schema]]
+            rows = rows.append_column(name, pa.array(column, mask=~real))
+        return rows.select([f.name for f in schema])
 
-    return pieces.withColumn("__group", F.pmod(F.xxhash64("__row"), F.lit(groups))).groupBy("__group").applyInPandas(pack, schema)
+    return pieces.withColumn("__group", F.pmod(F.xxhash64("__row"), F.lit(groups))).groupBy("__group").applyInArrow(pack, schema)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
