@@ -22,14 +22,15 @@ TRACKING = "utm_[a-z]+|ref|fbclid|gclid|sessionid"
 
 def canonical_url(url: F.Column) -> F.Column:
     """Scheme, user, www. or m. prefix, default port, fragment, tracking parameters, index page suffix and
-    closing slashes go; letters A-Z become small. Null stays null."""
-    u = F.translate(F.trim(url), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    u = F.regexp_replace(u, "#.*$", "")
-    u = F.regexp_replace(u, "^[a-z][a-z0-9+.-]*://([^/?@]*@)?(www[.]|m[.])?", "")
+    closing slashes go; letters A-Z of the host become small, path and query stay as they are. Null stays null."""
+    u = F.regexp_replace(F.trim(url), "#.*$", "")
+    u = F.regexp_replace(u, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?", "")
+    host = F.translate(F.regexp_extract(u, "^[^/?]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    u = F.regexp_replace(F.concat(host, F.regexp_replace(u, "^[^/?]*", "")), "^(www[.]|m[.])", "")
     u = F.regexp_replace(u, "^([^/?:]+):(80|443)([/?]|$)", "$1$3")
     u = F.regexp_replace(u, f"([?&])({TRACKING})=[^&]*", "$1")
     u = F.regexp_replace(F.regexp_replace(F.regexp_replace(u, "&&+", "&"), "[?]&+", "?"), "[?&]+$", "")
-    u = F.regexp_replace(u, f"^([^?]*/)({INDEX_PAGE})([?]|$)", "$1$3")
+    u = F.regexp_replace(u, f"^([^?]*/)(?i:{INDEX_PAGE})([?]|$)", "$1$2")
     return F.regexp_replace(u, "/+$", "")
 
 
@@ -137,10 +138,11 @@ def op4_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = rf"""
-WITH u AS (SELECT page_id AS id, md5(coalesce(html, '')) AS h, CAST(length(coalesce(html, '')) AS VARCHAR) AS size,
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-  translate(trim(url), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '#.*$', ''), '^[a-z][a-z0-9+.-]*://([^/?@]*@)?(www[.]|m[.])?', ''), '^([^/?:]+):(80|443)([/?]|$)', '\1\3'),
-  '([?&])({TRACKING})=[^&]*', '\1', 'g'), '&&+', '&', 'g'), '[?]&+', '?', 'g'), '[?&]+$', ''), '/+$', '') AS k FROM pages),
+WITH s AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') AS bare FROM pages),
+u AS (SELECT page_id AS id, md5(coalesce(html, '')) AS h, CAST(length(coalesce(html, '')) AS VARCHAR) AS size,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  translate(regexp_extract(bare, '^[^/?]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_replace(bare, '^[^/?]*', ''), '^(www[.]|m[.])', ''), '^([^/?:]+):(80|443)([/?]|$)', '\1\3'),
+  '([?&])({TRACKING})=[^&]*', '\1', 'g'), '&&+', '&', 'g'), '[?]&+', '?', 'g'), '[?&]+$', ''), '/+$', '') AS k FROM s),
 a AS (SELECT k, 10 * id AS ts, 2 * id AS record_id, h, size, id FROM u),
 b AS (SELECT k, 10 * id + 5 + 10 * (id % 7) AS ts, 2 * id + 1 AS record_id, h, id, CASE WHEN id % 3 <> 0 THEN CASE WHEN id % 5 = 4 THEN '"old"' ELSE '"' || h || '"' END END AS tag FROM u),
 j AS (SELECT b.record_id, b.k, b.ts, b.id, b.tag, b.h, a.record_id AS target_id, a.h AS ah, a.size, a.id AS aid FROM b ASOF LEFT JOIN a ON b.k = a.k AND b.ts > a.ts),
