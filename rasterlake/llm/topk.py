@@ -98,14 +98,15 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     Both tables have vec_id and embedding, as usable() makes them. Queries go to the executors in blocks of
     bounded size, one pass over the candidates each. In a task, a slice of candidates becomes postings by
     component; the queries' non-zero weights scatter them, term by term, into a dense score array, of which
-    each query's k best stay. Repeated ids are rows of their own. Scores and
+    each query's k best stay. Repeated ids are rows of their own, as
+    queries (each has its k best and its ranks) and as candidates. Scores and
     ranks are exact whatever the components' size; score is null where it doesn't fit a long, and digits (a text,
     without its sign) is null where it does."""
     spark = candidates.sparkSession
     passes = []
     block: list = []
 
-    def one_pass(rows: list) -> DataFrame:
+    def one_pass(rows: list, first: int) -> DataFrame:
         width = max((len(r.embedding) for r in rows), default=0)
         ids = np.array([r.vec_id for r in rows], np.int64)
         x = np.zeros((len(rows), width))
@@ -141,19 +142,20 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
             n = [len(s) for s, _ in best]
             if sum(n):
                 score, size, digits = _columns([v for s, _ in best for v in s.tolist()])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([v for _, v in best])), pa.array(score, pa.int64()), pa.array(size, pa.int32()), pa.array(digits, pa.string())], ["query_id", "vec_id", "score", "size", "digits"])
+                yield pa.RecordBatch.from_arrays([pa.array(first + np.repeat(np.arange(len(ids)), n)), pa.array(np.repeat(ids, n)), pa.array(np.concatenate([v for _, v in best])), pa.array(score, pa.int64()), pa.array(size, pa.int32()), pa.array(digits, pa.string())], ["query", "query_id", "vec_id", "score", "size", "digits"])
 
-        found = candidates.mapInArrow(run, "query_id long, vec_id long, score long, size int, digits string")
+        found = candidates.mapInArrow(run, "query long, query_id long, vec_id long, score long, size int, digits string")
         # of scores beyond the long range, more digits are farther from 0, and so are larger digits of one length
-        order = Window.partitionBy("query_id").orderBy(F.desc("size"), F.desc(F.when(F.col("size") > 0, F.col("digits"))), F.when(F.col("size") < 0, F.col("digits")), F.desc("score"), "vec_id")
+        order = Window.partitionBy("query").orderBy(F.desc("size"), F.desc(F.when(F.col("size") > 0, F.col("digits"))), F.when(F.col("size") < 0, F.col("digits")), F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "digits")
 
+    asked = 0
     for row in queries.select("vec_id", "embedding").toLocalIterator():
         block.append(row)
         if len(block) == QUERY_BLOCK:
-            passes.append(work.saved(one_pass(block), "topk"))
-            block = []
-    passes.append(one_pass(block))
+            passes.append(work.saved(one_pass(block, asked), "topk"))
+            asked, block = asked + len(block), []
+    passes.append(one_pass(block, asked))
     out = passes[0]
     for p in passes[1:]:
         out = out.unionByName(p)
