@@ -201,7 +201,7 @@ def decode_shard(payload: bytes) -> tuple[np.ndarray, list[int | None], np.ndarr
 
 def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encodes each whole text (null: empty), appends end_id, and writes shards in ascending doc_id order
-    (null ids first; equal ids by text) to the table at path. The texts are dealt out by ranges of doc_id, so
+    (null ids first; equal ids by their text's hash) to the table at path. The texts are dealt out by ranges of both, so
     partitions and the shards in them are in order; Spark's committer keeps one copy of each task's output.
     An empty table gives no shards. Columns other than doc_id and text are not read."""
 
@@ -233,8 +233,10 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     (
         work.pick(docs, "doc_id", "text")
-        .repartitionByRange(F.col("doc_id"))
-        .sortWithinPartitions("doc_id", "text")
+        .withColumn("hash", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "hash")
+        .sortWithinPartitions("doc_id", "hash", "text")
+        .drop("hash")
         .mapInArrow(run, SHARD_SCHEMA)
         .write.parquet(path)
     )
