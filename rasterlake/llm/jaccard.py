@@ -40,7 +40,8 @@ from rasterlake.llm.wordhash import mix, shingle_sets
 FINGERPRINT = 40  # bits of a token hash that document frequencies are counted by
 LEAST_FREQUENT = 8  # documents; doubled until at most MAX_FREQUENT tokens are frequent
 MAX_FREQUENT = 1_000_000  # 8 MB on every executor
-COUNT_TOKENS = 4_000_000  # tokens counted by one task at once
+COUNT_TOKENS = 2_000_000  # tokens that a task counts
+COUNT_PIECE = 500_000  # entries counted at once
 SHARED_BITS = 27  # the bitmap of tokens in two documents or more: 16 MB on every executor
 KEY_BITS = 24  # the bitmap of documents whose text is needed again: 2 MB on every executor
 PER_GROUP = 8
@@ -142,11 +143,22 @@ class Classes:
         return shared, often
 
 
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct fingerprints of all parts, sorted, and the sums of their counts."""
+    fp, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    order = np.argsort(fp, kind="stable")
+    fp = fp[order]
+    first = np.flatnonzero(np.append(True, fp[1:] != fp[:-1])[: len(fp)])
+    return fp[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
 def token_classes(docs: DataFrame, k: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted fingerprints of frequent tokens, and the bitmap of shared ones (equal sets of one slice count once).
 
-    Every token of every document is counted. A slice's sorted fingerprints go to ranges as byte planes of
-    their differences, about three bytes each; each range is counted by one task."""
+    Every token of every document is counted. A slice's distinct fingerprints go to ranges, sorted, as byte planes of
+    their differences, about three bytes each, with the counts of those that more than one of its sets holds: a
+    token that is everywhere is one entry a slice. A task counts a range's entries in pieces of COUNT_PIECE."""
     spark = docs.sparkSession
     ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // COUNT_TOKENS))
     bits = min(max(1, (ranges - 1).bit_length()), SHARED_BITS - 3)
@@ -156,34 +168,42 @@ def token_classes(docs: DataFrame, k: int, total: int) -> tuple[np.ndarray, np.n
             sets = shingle_sets(c["text"], k)
             _, a, b = _marks(sets)
             _, first = np.unique(np.stack([a, b]), axis=1, return_index=True)
-            fp = np.sort(np.concatenate([*[sets[i] for i in first.tolist()], np.empty(0, np.uint64)]) >> np.uint64(64 - FINGERPRINT))
+            fp, n = np.unique(np.concatenate([*[sets[i] for i in first.tolist()], np.empty(0, np.uint64)]) >> np.uint64(64 - FINGERPRINT), return_counts=True)
             at = np.searchsorted(fp, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(FINGERPRINT - bits))
-            out: tuple[list, list] = ([], [])
+            out: tuple[list, ...] = ([], [], [], [])
             for r in np.flatnonzero(np.diff(at)).tolist():
                 part = fp[at[r] : at[r + 1]]
                 step = np.diff(part, prepend=np.uint64(r) << np.uint64(FINGERPRINT - bits)).astype("<u8")
                 out[0].append(r)
                 out[1].append(step.view(np.uint8).reshape(-1, 8)[:, : FINGERPRINT // 8].T.tobytes())
+                more = np.flatnonzero(n[at[r] : at[r + 1]] > 1)
+                out[2].append(more.astype("<u4").tobytes())
+                out[3].append(n[at[r] : at[r + 1]][more].astype("<u4").tobytes())
             return list(out) if out[0] else None
 
         return one
 
     def count(table: pa.Table) -> pa.Table:
-        parts = []
         r = np.uint64(table.column("range")[0].as_py()) << np.uint64(FINGERPRINT - bits)
-        for planes in table.column("planes").to_pylist():
-            width = FINGERPRINT // 8
+        held, size = [(np.empty(0, np.uint64), np.empty(0, np.int64))], 0
+        for planes, more, counts in zip(table.column("planes"), table.column("more"), table.column("counts"), strict=True):
+            planes, width = np.frombuffer(planes.as_buffer(), np.uint8), FINGERPRINT // 8
             raw = np.zeros((len(planes) // width, 8), np.uint8)
-            raw[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, -1).T
-            parts.append(np.cumsum(raw.view("<u8")[:, 0], dtype=np.uint64) + r)
-        fp, n = np.unique(np.concatenate(parts), return_counts=True)
+            raw[:, :width] = planes.reshape(width, -1).T
+            n = np.ones(len(raw), np.int64)
+            n[np.frombuffer(more.as_buffer(), "<u4")] = np.frombuffer(counts.as_buffer(), "<u4")
+            held.append((np.cumsum(raw.view("<u8")[:, 0], dtype=np.uint64) + r, n))
+            size += len(n)
+            if size >= COUNT_PIECE:
+                held, size = [summed(held)], 0
+        fp, n = summed(held)
         mark = np.zeros(1 << (SHARED_BITS - bits), bool)
         mark[((fp[n > 1] - r) >> np.uint64(FINGERPRINT - SHARED_BITS)).astype(np.int64)] = True
         keep = n >= LEAST_FREQUENT
         kept = [pa.array([x[keep].astype(np.int64)], pa.list_(pa.int64())) for x in (fp, n)]
         return pa.table({"range": pa.array([table.column("range")[0].as_py()], pa.int32()), "fps": kept[0], "ns": kept[1], "shared": pa.array([np.packbits(mark, bitorder="little").tobytes()], pa.binary())})
 
-    planes = work.map_batches(docs.select("text"), "range int, planes binary", make)
+    planes = work.map_batches(docs.select("text"), "range int, planes binary, more binary, counts binary", make)
     counted = work.saved(planes.groupBy("range").applyInArrow(count, "range int, fps array<long>, ns array<long>, shared binary"), "classes")
     shared = np.zeros(1 << (SHARED_BITS - 3), np.uint8)
     width = 1 << (SHARED_BITS - 3 - bits)
@@ -447,9 +467,12 @@ def keep_one(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     found = jaccard_components(docs, k, num, den).withColumn("lone", F.when(F.col("component_id").isNull(), F.xxhash64("h1", "h2")).otherwise(F.lit(0)))
     counted = found.groupBy("component_id", "lone", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("k"), "doc_id", "h1", "h2").agg(F.count("*").alias("c"))
     first = counted.groupBy("component_id", "lone").agg(F.min(F.struct("k", "h1", "h2", "doc_id", "c")).alias("one"))
-    first = work.saved(first.select(F.coalesce("one.doc_id", F.lit(NO_ID)).alias("k0"), F.col("one.h1").alias("k1"), F.col("one.h2").alias("k2"), F.col("one.c").alias("copies")), "kept")
-    marks = ["__key", "__h1", "__h2"]
     names = docs.columns
+    own = "__"
+    while any(c.lower().startswith(own) for c in names):
+        own += "_"
+    marks, one, copies = [f"{own}{c}" for c in ("key", "h1", "h2")], [f"{own}{c}" for c in ("k0", "k1", "k2")], f"{own}copies"
+    first = work.saved(first.select(F.coalesce("one.doc_id", F.lit(NO_ID)).alias(one[0]), F.col("one.h1").alias(one[1]), F.col("one.h2").alias(one[2]), F.col("one.c").alias(copies)), "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {c: i for i, c in enumerate(names)}
@@ -460,11 +483,11 @@ def keep_one(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(a), pa.array(b)], [*part.schema.names, *marks])
 
     schema = T.StructType([*docs.schema.fields, *[T.StructField(m, T.LongType()) for m in marks]])
-    match = (F.col("__key") == F.col("k0")) & (F.col("__h1") == F.col("k1")) & (F.col("__h2") == F.col("k2"))
-    rows = docs.mapInArrow(run, schema).join(first, match)
-    out = rows.filter("copies = 1").drop(*marks, *first.columns)
-    if first.filter("copies > 1").limit(1).count():  # only repeated rows of one id and text are shuffled again
-        out = out.union(rows.filter("copies > 1").dropDuplicates(marks).drop(*marks, *first.columns))
+    match = [F.col(m) == F.col(o) for m, o in zip(marks, one, strict=True)]
+    rows = docs.mapInArrow(run, schema).join(first, match[0] & match[1] & match[2])
+    out = rows.filter(F.col(copies) == 1).drop(*marks, *first.columns)
+    if first.filter(F.col(copies) > 1).limit(1).count():  # only repeated rows of one id and text are shuffled again
+        out = out.union(rows.filter(F.col(copies) > 1).dropDuplicates(marks).drop(*marks, *first.columns))
     return out.union(blank)
 
 
