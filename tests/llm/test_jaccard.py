@@ -179,3 +179,23 @@ def test_keep_one_of_blank_texts(spark):
 
 def test_shingles_of_short_texts():
     assert [len(s) for s in shingle_sets([None, "", "a", "a b c", "a b c d", "a b c d e"], 4)] == [0, 0, 1, 1, 1, 2]
+
+
+def test_keep_one_with_clashing_names(spark):
+    names = ["copies", "k0", "k1", "__key", "__H1", "__h2", "component_id", "lone", "node", "___k2"]
+    text = "a b c d e f g h i j"
+    rows = [(1, text, *names), (1, text, *names), (2, text + " k", *names), (3, "other words that link with nothing at all", *names), (None, "", *names)]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)
+    got = jaccard.keep_one(spark.createDataFrame(rows, schema), 5, 80, 100)
+    assert got.columns == ["doc_id", "text", *names]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [rows[0], rows[3], rows[4]]))
+
+
+def test_a_token_of_every_document_is_one_entry_a_slice(spark, monkeypatch):
+    """Counts are right, and what a slice sends for a token doesn't grow with its documents."""
+    monkeypatch.setattr(jaccard, "COUNT_PIECE", 50)
+    docs = spark.createDataFrame([(k, "the very same words " + " ".join(f"w{k}x{j}" for j in range(3))) for k in range(600)], "doc_id long, text string").coalesce(1)
+    frequent, _ = jaccard.token_classes(docs, 4, 3000)
+    assert len(frequent) == 1
+    fp, n = jaccard.summed([(np.array([1, 5], np.uint64), np.array([2, 1])), (np.array([0, 5], np.uint64), np.array([1, 7]))])
+    assert fp.tolist() == [0, 1, 5] and n.tolist() == [1, 2, 8]

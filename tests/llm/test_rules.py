@@ -274,3 +274,23 @@ def test_index_pages_are_their_folders(spark):
     rows = [(1, same[0], 10, "response", 200, {"etag": "1"}, "D", ""), (2, same[4], 20, "revisit", 304, {"etag": "1"}, None, "")]
     found = warc.resolve_revisits(spark.createDataFrame(rows, RECORD)).first()
     assert (found.target_id, found.verdict) == (1, "resolved")
+
+
+def test_repeated_query_ids_are_rows_of_their_own(spark, monkeypatch):
+    rows = [(k % 5, [float(k), 1.0]) for k in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    results = []
+    for block in (1, 2, 4096):
+        monkeypatch.setattr(topk, "QUERY_BLOCK", block)
+        got = topk.top_k(df, df.filter("vec_id < 2"), 3).collect()
+        assert len(got) == 6 * 3 and sorted(r.rank for r in got) == sorted([1, 2, 3] * 6)
+        results.append(sorted(map(repr, got)))
+    assert results[0] == results[1] == results[2]
+
+
+def test_paths_keep_their_case(spark):
+    at = "etag"
+    rows = [(1, "http://X/A", 1, "response", 200, {at: "q"}, "dA"), (2, "HTTP://u@WWW.x:80/a", 2, "response", 200, {at: "q"}, "da"), (3, "http://x/A#f", 3, "revisit", 304, {at: "q"}, None), (4, "http://x/a/", 4, "revisit", 304, {at: "q"}, None), (5, "https://x?Q=A", 5, "revisit", 304, {at: "q"}, None)]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, status int, headers map<string,string>, digest string")
+    got = {r.record_id: (r.url_key, r.target_id, r.digest) for r in warc.resolve_revisits(df).collect()}
+    assert got == {3: ("x/A", 1, "dA"), 4: ("x/a", 2, "da"), 5: ("x?Q=A", None, None)}

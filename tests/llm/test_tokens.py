@@ -190,3 +190,40 @@ def test_packing_deals_out_repeated_and_null_ids(spark):
     assert len(got) == 800 and (got["sequence_id"] // (1 << 40)).value_counts().max() < 200
     for _, one in got.groupby("sequence_id"):
         assert sorted(one["offset"]) == [100 * k for k in range(len(one))] and len(one) <= 10
+
+
+def test_failing_words_are_merged_in_pieces(monkeypatch):
+    """More symbols of failing words than a long has room for beside the rank; and one huge word."""
+    r = np.random.default_rng(9)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    letters = r.integers(97, 123, (1_150_000, 8), np.uint8)
+    text = " ".join(map(bytes.decode, map(bytes, letters)))
+    huge = bytes(r.integers(97, 123, 300_000, np.uint8)).decode()
+    _, want = library("word_bpe_49k.json", [text, huge])
+    flat, counts = bpe.SpeculativeBPE(path).encode_words([bytes(x[:-1]) + bytes(x[-1:]) for x in letters])
+    assert np.array_equal(flat, want[0]) and len(counts) == len(letters)
+    assert bpe.loaded(path)[1]([huge])[0].tolist() == want[1]
+    monkeypatch.setattr(bpe, "MERGED_AT_ONCE", 20)
+    some = [bytes(x) for x in letters[:500]]
+    assert bpe.SpeculativeBPE(path).encode_words(some)[0].tolist() == flat[: counts[:500].sum()].tolist()
+
+
+def test_packing_keeps_ids_beside_null(spark):
+    rows = [(2**60 + 1, 0, 5), (None, 0, 7), (None, 0, None), (3, 0, 0), (2**60 + 1, 0, 5)]
+    got = packing.pack_lengths(spark.createDataFrame(rows, "doc_id long, piece int, length long"), 10).collect()
+    assert sorted(repr((r.doc_id, r.piece, r.length)) for r in got) == sorted(map(repr, rows))
+    assert all((r.sequence_id is None) == (not r.length) for r in got)
+    docs = spark.createDataFrame([(2**60 + 1, "one two"), (None, "three"), (None, None)], "doc_id long, text string")
+    assert {r.doc_id for r in packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).collect()} == {2**60 + 1, None}
+
+
+def test_shards_spread_null_ids(spark, tmp_path):
+    texts = [f"text number {k}" for k in range(400)]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rans.write_token_shards(df, str(tmp_path / "s"), path)
+    assert spark.read.parquet(str(tmp_path / "s")).select("part").distinct().count() > 1
+    got = rans.read_token_shards(spark, str(tmp_path / "s")).orderBy("start").collect()
+    _, want = library("byte_bpe_50k.json", texts)
+    assert sorted(bytes(r.ids) for r in got) == sorted(np.array([*x, 0], "<u4").tobytes() for x in want)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
