@@ -1,7 +1,7 @@
 """Raster operators on a long table of pixels: image, y, x and value columns.
 
 Dense neighbourhood work goes line by line with windows partitioned by (image, line), so a task holds a line,
-not an image. Only connected components need an image at once.
+not an image.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterlake.functions import exprs as X
-from rasterlake.operators import sequence
+from rasterlake.operators import sequence, tiles
 
 
 def pixels_of_matrix(rows: DataFrame, image: Column, y: str, values: str) -> DataFrame:
@@ -62,61 +62,21 @@ def local_mean(pixels: DataFrame, value: str, block: int) -> DataFrame:
     return d.withColumn("mean", F.sum("__s").over(v) / F.sum("__n").over(v)).drop("__s", "__n")
 
 
-def _roots(y: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """First run of the component of each run (rows y, starts a, lengths n, in order): runs of neighbouring rows join."""
-    parent = list(range(len(y)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    j = 0
-    for i in range(len(y)):
-        while y[j] < y[i] - 1 or y[j] == y[i] - 1 and a[j] + n[j] <= a[i]:
-            j += 1
-        k = j
-        while k < i and y[k] == y[i] - 1 and a[k] < a[i] + n[i]:
-            p, q = find(k), find(i)
-            parent[max(p, q)] = min(p, q)
-            k += 1
-    return np.array([find(i) for i in range(len(y))], np.int64)
-
-
 def keep_components(pixels: DataFrame, keys: list[str], least: int) -> DataFrame:
     """keys, y, x of the pixels whose 4-connected component has at least least of them (SET-10). pixels: ink only."""
     w = Window.partitionBy(*keys, "y").orderBy("x")
     runs = pixels.withColumn("__g", F.col("x") - F.row_number().over(w)).groupBy(*keys, "y", "__g").agg(F.min("x").cast("long").alias("start"), F.count("*").alias("len")).drop("__g")
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y", "start"], ignore_index=True)
-        root = _roots(*(rows[c].to_numpy() for c in ("y", "start", "len")))
-        area = np.bincount(root, rows["len"].to_numpy(), len(rows))
-        return rows[area[root] >= least]
-
-    kept = runs.groupBy(*keys).applyInPandas(keep, runs.schema)
+    kept = tiles.large_only(tiles.labelled(runs, keys), keys, least)
     return kept.select(*keys, "y", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("x"))
 
 
 def components(pixels: DataFrame, ink: str, least: int = 1) -> DataFrame:
     """4-connected components of each image's ink (ALG-01, SET-10): image, component, x, y, width, height, area.
 
-    A row of an image becomes runs first; runs of neighbouring rows that overlap are joined by union-find, so a
-    task holds an image's runs, not its pixels. Components are numbered in reading order."""
+    A row of an image becomes runs first; runs are joined tile by tile, and tiles by contraction (see tiles.py), so a
+    task holds a tile's runs. Components are numbered in reading order."""
     runs = sequence.run_length(pixels, ["image", "y"], ["x"], F.col(ink) > 0).filter("value").select("image", "y", "start", "len")
-
-    def label(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y", "start"], ignore_index=True)
-        y, a, n = (rows[c].to_numpy() for c in ("y", "start", "len"))
-        root = _roots(y, a, n)
-        g = rows.assign(root=root, right=a + n, bottom=y + 1).groupby("root", sort=True)
-        out = g.agg(x=("start", "min"), y=("y", "min"), right=("right", "max"), bottom=("bottom", "max"), area=("len", "sum")).reset_index(drop=True)
-        out = out[out["area"] >= least].reset_index(drop=True)
-        return pd.DataFrame({"image": [rows["image"].iloc[0]] * len(out), "component": out.index, "x": out["x"], "y": out["y"], "width": out["right"] - out["x"], "height": out["bottom"] - out["y"], "area": out["area"]})
-
-    kind = runs.schema["image"].dataType.simpleString()
-    return runs.groupBy("image").applyInPandas(label, f"image {kind}, component long, x long, y long, width long, height long, area long")
+    return tiles.boxes(tiles.labelled(runs, ["image"]), ["image"], least)
 
 
 def diff(actual: DataFrame, expected: DataFrame, keys: list[str], channels: list[str], tolerance: float, scale: float = 255.0) -> DataFrame:

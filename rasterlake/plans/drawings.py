@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterlake.functions import exprs as X
-from rasterlake.operators import classify, colors, layout, raster, shapes
+from rasterlake.operators import colors, layout, packed, raster, shapes
 from rasterlake.plans.common import query
-from rasterlake.plans.drawn import HEIGHT, SQL_PIXELS, WIDTH, figure_pixels
+from rasterlake.plans.drawn import HEIGHT, SQL_PIXELS, WIDTH, figure_lines, figure_pixels
 
 _INK = "k AS (SELECT *, a > 10 AND 0.2126 * r + 0.7152 * g + 0.0722 * b < 245 AS ink, (r + g + b) / 3.0::DOUBLE / 255 AS g0, greatest(r, g, b) AS t, least(r, g, b) AS l FROM f)"
 
@@ -43,7 +43,7 @@ SELECT image, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height
   (SELECT count(*) FROM v WHERE v.image = m.image AND v.n BETWEEN 2 AND floor({HEIGHT} * 0.08)) AS short_v, (SELECT count(*) FROM h WHERE h.image = m.image AND h.n BETWEEN 2 AND floor({WIDTH} * 0.08)) AS short_h FROM m""")
 def figure_features(spark, sf):
     """AGG-01, AGG-04, AGG-05, PRJ-01: the feature vector of each drawn figure."""
-    d = classify.image_features(figure_pixels(spark, sf))
+    d = packed.features(figure_lines(spark, sf))
     return d.select("image", "width", "height", *[F.round(c, 6).alias(c) for c in ("ink", "saturated", "aligned")], "colors", "long_v", "long_h", "short_v", "short_h")
 
 
@@ -151,9 +151,10 @@ closed AS (SELECT g.image, g.curve, g.y, g.x FROM grown g JOIN grown o ON o.imag
 SELECT runs.image, runs.curve, CAST(sum(e - s + 1) AS BIGINT) AS n, CAST(sum(runs.y * (e - s + 1)) AS BIGINT) AS ys, CAST(sum((s + e) * (e - s + 1)) AS BIGINT) AS xs FROM runs JOIN roots USING (id) JOIN parts ON parts.root = roots.root WHERE area >= 30 GROUP BY runs.image, runs.curve""")
 def figure_curve_masks(spark, sf):
     """ALG-04, ALG-03, SET-10, PRJ-06: masks of two curves' colours and of one that no figure has."""
-    curves = _sizes(spark, sf).select("image", F.explode(F.array(*[F.struct(F.lit(c).alias("curve"), F.lit(h).alias("target")) for c, h in (("serving", 220.0), ("neighbor", 30.0), ("none", 120.0))])).alias("c")).select("image", "c.*")
-    mask = colors.curve_mask(figure_pixels(spark, sf), curves, _sizes(spark, sf))
-    return mask.groupBy("image", "curve").agg(F.count("*").alias("n"), F.sum("y").alias("ys"), F.sum(F.col("x") * 2).alias("xs"))
+    sizes = figure_lines(spark, sf).select("image").distinct()
+    curves = sizes.select("image", F.explode(F.array(*[F.struct(F.lit(c).alias("curve"), F.lit(h).alias("target")) for c, h in (("serving", 220.0), ("neighbor", 30.0), ("none", 120.0))])).alias("c")).select("image", "c.*")
+    runs = packed.curve_runs(figure_lines(spark, sf), curves)
+    return runs.groupBy("image", "curve").agg(F.sum("len").alias("n"), F.sum(F.col("y") * F.col("len")).alias("ys"), F.sum((2 * F.col("start") + F.col("len") - 1) * F.col("len")).alias("xs"))
 
 
 def _hex(r: str = "r", g: str = "g", b: str = "b") -> str:

@@ -56,3 +56,19 @@ def _draw(spark, sf):
     d = d.select("image", F.col("y").cast("long").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WIDTH - 1).cast("long"))).alias("x")).withColumn("c", F.expr(_SHOWS))
     channel = lambda k: F.get(F.array(*[F.lit(rgb[k]) for rgb in COLORS]), F.col("c"))
     return d.select("image", "y", "x", *[channel(k).alias(name) for k, name in enumerate("rgb")], F.when(F.col("y") < 2, 0).otherwise(255).alias("a"))
+
+
+def figure_lines(spark, sf):
+    """The drawn figures as packed lines: a table that is written once an application."""
+    key = spark.sparkContext.applicationId, sf, "lines"
+    if key not in _DRAWN:
+        _DRAWN[key] = store.saved(_draw_lines(spark, sf), "lines")
+    return _DRAWN[key]
+
+
+def _draw_lines(spark, sf):
+    d = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("image"), F.explode(F.sequence(F.lit(0), F.lit(HEIGHT - 1))).alias("y"))
+    colors = F.expr("array(" + ", ".join(f"'{r:02X}{g:02X}{b:02X}'" for r, g, b in COLORS) + ")")
+    d = d.withColumn("colors", colors).withColumn("alpha", F.when(F.col("y") < 2, "00").otherwise("FF"))
+    shown = F.expr(f"unhex(array_join(transform(sequence(0L, {WIDTH - 1}L), x -> concat(get(colors, {_SHOWS}), alpha)), ''))")
+    return d.select("image", "y", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), shown.alias("rgba"))

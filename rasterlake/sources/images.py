@@ -29,14 +29,20 @@ def png_bytes(rgba: np.ndarray) -> bytes:
     return MAGIC + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which a cluster shares; on a local master, a temporary one where that is unset."""
-    home = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def work_root(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, which a cluster shares; on a local master, a temporary one where that is unset."""
+    home = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("rasterlake.figures.work", None)
     if not home:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         home = f"file://{tempfile.mkdtemp(prefix='rasterlake-')}"
-    return f"{home.rstrip('/')}/figures-{uuid.uuid4().hex}"
+        spark.conf.set("rasterlake.figures.work", home)
+    return f"{home.rstrip('/')}/figures/{spark.sparkContext.applicationId}"
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder of this application."""
+    return f"{work_root(spark)}/{uuid.uuid4().hex}"
 
 
 def put_file(spark: SparkSession, path: str, data: bytes) -> None:
