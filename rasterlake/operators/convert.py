@@ -190,6 +190,28 @@ def rasters(documents: DataFrame, key: str, svg: str, seconds: float | None = 60
     return documents.select(key, svg).mapInPandas(run, f"`{key}` {kind}, y int, x int, r int, g int, b int, a int, error string")
 
 
+def raster_lines(documents: DataFrame, key: str, svg: str, seconds: float | None = 60) -> DataFrame:
+    """image (the key as text), y, width, height, rgba, error: each document's raster as packed lines, or one row with an error where it
+    has none (SRC-18, ORC-02)."""
+    import pyarrow as pa
+
+    schema = pa.schema([("image", pa.string()), ("y", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary()), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    with time_limit(seconds):
+                        grid = rasterize(text)
+                except Exception as e:  # noqa: BLE001
+                    yield pa.RecordBatch.from_pylist([{"image": k, "error": f"{type(e).__name__}: {e}"}], schema)
+                    continue
+                h, w, _ = grid.shape
+                yield pa.RecordBatch.from_pylist([{"image": k, "y": y, "width": w, "height": h, "rgba": grid[y].tobytes()} for y in range(h)], schema)
+
+    return documents.select(F.col(key).cast("string").alias("image"), F.col(svg)).mapInArrow(run, "image string, y int, width int, height int, rgba binary, error string")
+
+
 def real_code(path: Column, exists: Column, png: Column, gates: Column, selected: Column, expected: Column, must_pass: Column, errors: Column, rmse: Column, bad: Column) -> Column:
     """Code of a run on a real figure (ORC-05), the first of REAL_CODES that holds, else null. gates: map of text with max_rmse,
     max_bad_pixel_ratio and pixel_tolerance; expected: array of templates; errors: how many the validator found."""

@@ -75,6 +75,40 @@ def region_texts(items: DataFrame) -> DataFrame:
     return items.groupBy("image", "region").agg(F.transform(F.array_sort(F.collect_list(line)), lambda s: s["t"]).alias("lines"), F.avg(F.coalesce(F.col("conf").try_cast("double"), F.lit(0.0))).alias("conf"))
 
 
+def role_texts(texts: DataFrame, roles: DataFrame, role: str) -> DataFrame:
+    """image and a column named after the role: an image's first text of that role, by y, x and item. roles: image, item, role."""
+    mine = texts.join(roles.filter(F.col("role") == role).select("image", "item"), ["image", "item"], "left_semi")
+    return mine.groupBy("image").agg(F.min_by(X.collapse(F.col("text")), F.struct("y", "x", "item")).alias(role))
+
+
+def texts_in_regions(texts: DataFrame, regions: DataFrame, prefix: str = "") -> DataFrame:
+    """image, region, text, conf, x, y of texts whose middle lies in a region, the smallest that holds it (ties by name); the name gets the
+    prefix. texts: image, item, text, conf, x, y, width, height; regions: image, region, x, y, width, height. Regions of a figure
+    are few."""
+    r = regions.select("image", "region", *[F.col(c).alias(f"r{c}") for c in ("x", "y", "width", "height")])
+    inside = panels.center_x().between(F.col("rx"), F.col("rx") + F.col("rwidth")) & panels.center_y().between(F.col("ry"), F.col("ry") + F.col("rheight"))
+    found = texts.join(r, "image").filter(inside).groupBy("image", "item").agg(F.min_by(F.struct("region", "text", "conf", "x", "y"), F.struct(F.col("rwidth") * F.col("rheight"), "region")).alias("t"))
+    return found.select("image", F.concat(F.lit(prefix), "t.region").alias("region"), "t.text", "t.conf", "t.x", "t.y")
+
+
+def grid_panels(pixels: DataFrame, sizes: DataFrame, texts: DataFrame, rows: int = 2, cols: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Titles (image, cell, title) and series (image, cell, id, stroke, dashed, points as ratios) of grids of plots (EXT-07): the cells by the
+    margin rules, in each a series for every dominant hue, traced as in a layout leaf, and the first text of the 24
+    pixels above it."""
+    from rasterlake.operators import render
+
+    cells = render.grid_cells(sizes, "width", "height", rows, cols).select("image", (F.col("row") * cols + F.col("col")).cast("long").alias("node"), F.floor("x").cast("double").alias("x"), F.floor("y").cast("double").alias("y"), F.floor("w").cast("double").alias("width"), F.floor("h").cast("double").alias("height"))
+    found = leaf_curves(pixels, cells).join(cells, ["image", "node"])
+    unit = lambda v: F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)), 4)
+    points = F.transform("points", lambda p: F.struct(unit((p["x"] - F.col("x")) / F.col("width")).alias("x"), unit(1 - (p["y"] - F.col("y")) / F.col("height")).alias("y")))
+    rank = F.row_number().over(Window.partitionBy("image", "node").orderBy("hue"))
+    series = found.withColumn("points", points).select("image", F.col("node").alias("cell"), F.concat(F.lit("series_"), (rank - 1).cast("string")).alias("id"), "stroke", (rank % 2 == 0).alias("dashed"), "points")
+    c = cells.select("image", F.col("node").alias("cell"), *[F.col(n).alias(f"c{n}") for n in ("x", "y", "width")])
+    above = panels.center_x().between(F.col("cx"), F.col("cx") + F.col("cwidth")) & panels.center_y().between(F.col("cy") - 24, F.col("cy"))
+    titles = texts.join(c, "image").filter(above).groupBy("image", "cell").agg(F.min_by(X.collapse(F.col("text")), F.struct("y", "x", "item")).alias("title"))
+    return titles, series
+
+
 def sane(text: Column, least: float = 0.5) -> Column:
     """Whether at least that share of a text is letters and digits (FLT-08)."""
     return F.coalesce(F.try_divide(F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")), F.length(text)) >= least, F.lit(False))
@@ -298,7 +332,7 @@ def extract(pixels: DataFrame, decisions: DataFrame, texts: DataFrame, drivers:
 #: Drivers by template and alias (ORC-09).
 DRIVERS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
     "t_3gpp_events_3panel": event_panels, "t_performance_lineplot": lambda p, s, t: line_plot(p, s), "t_procedure_flow": lambda p, s, t: flow_nodes(s, t),
-    "t_project_architecture_v1": lambda p, s, t: architecture_layout(s), "t_rl_agent_loop_v1": lambda p, s, t: loop_layout(s), "t_auto_layout": lambda p, s, t: auto_layout(p, t),
+    "t_project_architecture_v1": lambda p, s, t: architecture_layout(s), "t_rl_agent_loop_v1": lambda p, s, t: loop_layout(s), "t_performance_grid_v1": lambda p, s, t: grid_panels(p, s, t)[1], "t_auto_layout": lambda p, s, t: auto_layout(p, t),
 }
 ALIASES = {"t_3gpp_events_3panel_v1": "t_3gpp_events_3panel", "auto": "t_auto_layout"}
 

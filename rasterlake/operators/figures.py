@@ -154,6 +154,48 @@ def agent_loop(sizes: DataFrame, fields: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def line_plot(sizes: DataFrame, boxes: DataFrame, series: DataFrame, texts: DataFrame, ranges: DataFrame | None = None, ticks: int = 5) -> DataFrame:
+    """Element rows of line plots (RND-04): axes, ticks with labels, series as polylines (dashed ones by their pattern, or the default of
+    their width), a legend at the upper right, a title and axis labels, the one of y turned upwards.
+
+    boxes: image, x, y, width, height of the plot; series: image, series, stroke, dashed, points (array of struct x, y) and, where
+    given, label, stroke_width, dasharray (array of double); texts: image, title, axis_label_x, axis_label_y; ranges: image, min_x,
+    max_x, min_y, max_y, without which points are ratios. Series of under two points or an empty range aren't drawn."""
+    from rasterlake.functions import figures as G
+
+    for name, kind in (("label", "string"), ("stroke_width", "double"), ("dasharray", "array<double>")):
+        if name not in series.columns:
+            series = series.withColumn(name, F.lit(None).cast(kind))
+    unit = {"min_x": 0.0, "max_x": 1.0, "min_y": 0.0, "max_y": 1.0}
+    d = boxes.select("image", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")])
+    d = d.withColumns({k: F.lit(v) for k, v in unit.items()}) if ranges is None else d.join(ranges.select("image", *[F.col(k).cast("double").alias(k) for k in unit]), "image")
+    x, y, w, h = (F.col(c) for c in ("x", "y", "width", "height"))
+    number = lambda v: F.format_string("%.2f", v)
+    t = d.filter("max_x > min_x AND max_y > min_y").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(ticks - 1))))
+    share, i = F.col("i") / (ticks - 1), F.col("i").cast("string")
+    s = series.join(d, "image").filter((F.size("points") >= 2) & (F.col("max_x") > F.col("min_x")) & (F.col("max_y") > F.col("min_y")))
+    at = lambda p: F.concat(number(x + w * (p["x"] - F.col("min_x")) / (F.col("max_x") - F.col("min_x"))), F.lit(","), number(y + h * (1 - (p["y"] - F.col("min_y")) / (F.col("max_y") - F.col("min_y")))))
+    pattern = F.array_join(F.transform(G.default_dashes("dashed", "dasharray", "stroke_width", 2.0), lambda v: F.format_string("%.0f", v)), ",")
+    rank = F.row_number().over(Window.partitionBy("image").orderBy("series"))
+    s = s.withColumn("k", rank).withColumn("drawn", F.array_join(F.transform("points", at), " ")).withColumn("pattern", F.when(F.col("dashed"), pattern)).withColumn("wide", F.coalesce(F.col("stroke_width"), F.lit(2.0)))
+    line = render.element("polyline", {"id": F.concat(F.lit("series_"), "series"), "points": F.col("drawn"), "fill": F.lit("none"), "stroke": F.col("stroke"), "stroke-width": number(F.col("wide")), "stroke-dasharray": F.col("pattern")})
+    key = render.element("line", {"id": F.concat(F.lit("legend_"), "series"), "x1": F.bround(x + w - 110, 2), "y1": F.bround(y + 16 * F.col("k"), 2), "x2": F.bround(x + w - 86, 2), "y2": F.bround(y + 16 * F.col("k"), 2), "stroke": F.col("stroke"), "stroke-width": number(F.col("wide")), "stroke-dasharray": F.col("pattern")})
+    named = d.join(texts, "image")
+    up_x, up_y = F.bround(x - 48, 2), F.bround(y + h / 2, 2)
+    turned = {"id": F.lit("txt_axis_y"), "x": up_x, "y": up_y, "text-anchor": F.lit("middle"), "font-family": F.lit("Arial, sans-serif"), "font-size": F.lit(12.0), "fill": F.lit("#000000"), "transform": F.concat(F.lit("rotate(-90 "), up_x.cast("string"), F.lit(" "), up_y.cast("string"), F.lit(")"))}
+    rows = [
+        _line("image", d, "g_axes", F.lit(0), F.lit("axis_x"), (x, y + h, x + w, y + h), stroke="#000000", stroke_width="2"), _line("image", d, "g_axes", F.lit(1), F.lit("axis_y"), (x, y + h, x, y), stroke="#000000", stroke_width="2"),
+        _line("image", t, "g_axes", 10 + F.col("i"), F.concat(F.lit("tick_x_"), i), (x + share * w, y + h, x + share * w, y + h + 5), stroke="#000000", stroke_width="1"),
+        _line("image", t, "g_axes", 100 + F.col("i"), F.concat(F.lit("tick_y_"), i), (x - 5, y + h - share * h, x, y + h - share * h), stroke="#000000", stroke_width="1"),
+        _text("image", t, 10 + F.col("i"), F.concat(F.lit("txt_tick_x_"), i), x + share * w, y + h + 18, number(F.col("min_x") + (F.col("max_x") - F.col("min_x")) * share), size=10.0),
+        _text("image", t, 100 + F.col("i"), F.concat(F.lit("txt_tick_y_"), i), x - 8, y + h - share * h + 4, number(F.col("min_y") + (F.col("max_y") - F.col("min_y")) * share), "end", 10.0),
+        _row("image", s, "g_curves", F.col("k"), line), _row("image", s, "g_annotations", F.col("k"), key), _text("image", s, 1000 + F.col("k"), F.concat(F.lit("txt_legend_"), "series"), x + w - 80, y + 16 * F.col("k") + 4, F.coalesce("label", "series"), "start", 10.0),
+        _text("image", named.filter("title IS NOT NULL"), F.lit(-1e18), F.lit("txt_title"), x + w / 2, y / 2 + 6, F.col("title"), size=16.0, weight="bold"), _text("image", named.filter("axis_label_x IS NOT NULL"), F.lit(5000), F.lit("txt_axis_x"), x + w / 2, y + h + 36, F.col("axis_label_x")),
+        _row("image", named.filter("axis_label_y IS NOT NULL"), "g_text", F.lit(5001), render.element("text", turned, F.col("axis_label_y"))),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def performance_grid(sizes: DataFrame, panels: DataFrame, series: DataFrame, rows: int, cols: int) -> DataFrame:
     """Element rows of grids of plots (RND-08): cells with axes, a title and polylines of ratio points, kept in 0 to 1, and a legend. panels:
     image, cell (from 0), title; series: image, cell, id, stroke, dashed, points (array of struct x, y)."""

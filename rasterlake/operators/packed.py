@@ -248,3 +248,31 @@ def curve_runs(lines: DataFrame, curves: DataFrame, saturation: float = 0.25, va
     chosen = found.filter("lim = 0").groupBy("image", "curve").agg(F.sum("hits").alias("hits")).join(sizes, "image").select("image", "curve", F.when(F.col("hits") >= F.col("least"), 0).otherwise(1).alias("lim"))
     runs = found.join(chosen, ["image", "curve", "lim"]).select("image", "curve", F.explode("runs").alias("r")).select("image", "curve", "r.*")
     return tiles.large_only(tiles.labelled(runs, ["image", "curve"]), ["image", "curve"], least_area)
+
+
+def diff(actual: DataFrame, expected: DataFrame, tolerance: float) -> DataFrame:
+    """image, rmse, bad of two tables of packed lines (AGG-25, GAT-02, JON-16): over white, the root of the mean square of all channels (0 to
+    1) and the share of pixels of which a channel is off by over tolerance. Images of different sizes, or in one table only, have no
+    row. A pair of lines gives one row of sums."""
+    kind = actual.schema["image"].dataType.simpleString()
+    size = lambda df: df.groupBy("image").agg(F.max("width").alias("width"), F.max("height").alias("height"), F.count("*").alias("lines"))
+    same = size(actual).join(size(expected), ["image", "width", "height", "lines"]).select("image")
+    pairs = actual.select("image", "y", F.col("rgba").alias("p")).join(expected.select("image", "y", F.col("rgba").alias("q")), ["image", "y"]).join(same, "image", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def white(x: pa.Scalar) -> np.ndarray:
+            v = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 4).astype(np.float64)
+            share = v[:, 3:] / 255
+            return np.where(share == 1, v[:, :3], v[:, :3] * share + 255 * (1 - share))
+
+        for batch in batches:
+            square, bad, n = [], [], []
+            for p, q in zip(batch.column("p"), batch.column("q"), strict=True):
+                d = np.abs(white(p) - white(q))
+                square.append(float((d * d).sum() / (3 * 255 * 255)))
+                bad.append(int((d.max(axis=1, initial=0) > tolerance).sum()))
+                n.append(len(d))
+            yield pa.RecordBatch.from_arrays([batch.column("image"), pa.array(square, pa.float64()), pa.array(bad, pa.int64()), pa.array(n, pa.int64())], ["image", "square", "bad", "n"])
+
+    sums = pairs.mapInArrow(run, f"image {kind}, square double, bad long, n long").groupBy("image").agg(*[F.sum(c).alias(c) for c in ("square", "bad", "n")])
+    return sums.select("image", F.sqrt(F.col("square") / F.col("n")).alias("rmse"), (F.col("bad") / F.col("n")).alias("bad"))

@@ -240,15 +240,6 @@ def scanned_regions(spark, sf):
     return d.select("image", "region", F.round("conf", 6).alias("conf"), "x", "y", "width", "height")
 
 
-@query()
-def converted_cases(spark, sf):
-    """ORC-01, ORC-02, ORC-04, SRC-18, GAT-03: the drawn figures by their found layout, rasterised, compared and gated."""
-    p, s = figure_pixels(spark, sf), drawings._sizes(spark, sf)
-    svg = _documents(figures.auto_layout(s, extract.auto_layout(p, _texts(spark, sf))), s).withColumnRenamed("image", "case")
-    found = convert.run_cases(svg, convert.rasters(svg, "case", "svg"), p.withColumnRenamed("image", "case"), 0.75, 0.65)
-    return found.select("case", "status", F.round("rmse", 4).alias("rmse"), F.round("bad", 4).alias("bad"))
-
-
 @query()
 def degraded_figures(spark, sf):
     """ORC-07, PRJ-12, PRJ-13: harder inputs of the drawn figures, by seed of the case."""
