@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterlake.functions import exprs as X
+from rasterlake.operators import greedy
 
 
 def contain(points: DataFrame, boxes: DataFrame, px: str, py: str, box: tuple[str, str, str, str], cell: float, tolerance: float = 0.0) -> DataFrame:
@@ -47,9 +48,7 @@ def _items(df: DataFrame, keys: list[str], sort: list[Column]) -> DataFrame:
 
 
 def _greedy(df: DataFrame, keys: list[str], sort: list[Column], clash: Callable[[Column, Column], Column]) -> DataFrame:
-    """Keeps items in order unless they clash with one that was kept: a fold over each group's array, which costs
-    its items times those kept (and copies the kept ones at each step). A group is one row: keys must name a
-    figure, a page or another bounded thing."""
+    """Keeps items in order unless they clash with one that was kept: a fold over each group's array, for groups of up to greedy.FEW."""
     d = _items(df, keys, sort)
     fold = F.aggregate("items", F.filter("items", lambda i: F.lit(False)), lambda kept, i: F.when(F.exists(kept, lambda k: clash(k["r"], i["r"])), kept).otherwise(F.array_append(kept, i)))
     return d.select(*keys, F.explode(fold).alias("i")).select(*keys, "i.r.*").select(*df.columns)
@@ -58,11 +57,13 @@ def _greedy(df: DataFrame, keys: list[str], sort: list[Column], clash: Callable[
 def line_dedup(df: DataFrame, keys: list[str], coords: list[str], order: str, tolerance: float = 2.0, distance: float = 5.0) -> DataFrame:
     """Greedy de-duplication of lines per orientation (SET-01): in order, a seed takes all later unused lines
     whose endpoints lie within distance in sum, either way round; the longest stays, the first on ties.
-    Point-like lines are in both the vertical and horizontal list. Adds orientation."""
+    Point-like lines are in both the vertical and horizontal list. Adds orientation. Small groups are folded, larger ones
+    go in rounds (see greedy.py)."""
     x1, y1, x2, y2 = (F.col(c) for c in coords)
     flat, steep = F.abs(y1 - y2) <= tolerance, F.abs(x1 - x2) <= tolerance
     names = F.array_compact(F.array(F.when(steep, F.lit("vertical")), F.when(flat, F.lit("horizontal")), F.when(~flat & ~steep, F.lit("other"))))
-    d = _items(df.withColumn("orientation", F.explode(names)), [*keys, "orientation"], [F.col(order)])
+    few, many = greedy.by_size(df.withColumn("orientation", F.explode(names)), [*keys, "orientation"])
+    d = _items(few, [*keys, "orientation"], [F.col(order)])
     ends = lambda i: [i["r"][c] for c in coords]
     near = lambda a, b: X.line_distance(ends(a), ends(b)) <= distance
     none = F.filter("items", lambda i: F.lit(False))
@@ -76,20 +77,29 @@ def line_dedup(df: DataFrame, keys: list[str], coords: list[str], order: str, to
         return F.when(F.size(left) == 0, acc).otherwise(F.struct(rest.alias("left"), F.array_append(acc["kept"], best).alias("kept")))
 
     fold = F.aggregate("items", F.struct(F.col("items").alias("left"), none.alias("kept")), step, lambda acc: acc["kept"])
-    return d.select(*keys, "orientation", F.explode(fold).alias("i")).select(*keys, "i.r.*", "orientation").select(*df.columns, "orientation")
+    out = d.select(*keys, "orientation", F.explode(fold).alias("i")).select(*keys, "i.r.*", "orientation").select(*df.columns, "orientation")
+    return out if many is None else out.union(greedy.lines(many, [*keys, "orientation"], coords, order, distance).select(*out.columns))
+
+
+def _either(df: DataFrame, keys: list[str], fold: Callable[[DataFrame], DataFrame], rounds: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Small groups by a fold, larger ones in rounds."""
+    few, many = greedy.by_size(df, keys)
+    return fold(few) if many is None else fold(few).union(rounds(many))
 
 
 def rect_nms(df: DataFrame, keys: list[str], box: list[str], order: str, overlap: float = 0.8) -> DataFrame:
     """Boxes from the largest, earlier ones on ties; one goes if its intersection with a kept one is at least
     overlap of the smaller area (SET-02)."""
     own = lambda r: [r[c] for c in box]
-    return _greedy(df, keys, [-(F.col(box[2]) * F.col(box[3])), F.col(order)], lambda k, i: X.overlap_ratio(own(k), own(i)) >= overlap)
+    fold = lambda d: _greedy(d, keys, [-(F.col(box[2]) * F.col(box[3])), F.col(order)], lambda k, i: X.overlap_ratio(own(k), own(i)) >= overlap)
+    return _either(df, keys, fold, lambda d: greedy.boxes(d, keys, box, order, overlap))
 
 
 def circle_dedup(df: DataFrame, keys: list[str], circle: list[str], order: str, distance: float = 5.0, radius: float = 2.0) -> DataFrame:
     """Circles in order; one goes if a kept one has its centre within distance and its radius within radius (SET-03)."""
     x, y, r = circle
-    return _greedy(df, keys, [F.col(order)], lambda k, i: (X.line_length(k[x], k[y], i[x], i[y]) <= distance) & (F.abs(k[r] - i[r]) <= radius))
+    fold = lambda d: _greedy(d, keys, [F.col(order)], lambda k, i: (X.line_length(k[x], k[y], i[x], i[y]) <= distance) & (F.abs(k[r] - i[r]) <= radius))
+    return _either(df, keys, fold, lambda d: greedy.circles(d, keys, circle, order, distance, radius))
 
 
 def text_dedup(df: DataFrame, keys: list[str], text: str, x: str, y: str, order: str, similarity: float = 0.85, distance: float = 20.0) -> DataFrame:
@@ -98,7 +108,8 @@ def text_dedup(df: DataFrame, keys: list[str], text: str, x: str, y: str, order:
     at = lambda r: (F.bround(r[x]), F.bround(r[y]))
     low = lambda r: F.lower(F.trim(r[text]))
     same = lambda a, b: (low(a) == low(b)) | (X.similarity(low(a), low(b)) > similarity)
-    return _greedy(df.filter(F.trim(text) != ""), keys, [F.col(order)], lambda k, i: (X.line_length(*at(k), *at(i)) < distance) & same(k, i))
+    fold = lambda d: _greedy(d, keys, [F.col(order)], lambda k, i: (X.line_length(*at(k), *at(i)) < distance) & same(k, i))
+    return _either(df.filter(F.trim(text) != ""), keys, fold, lambda d: greedy.texts(d, keys, text, x, y, order, similarity, distance))
 
 
 def ancestors(nodes: DataFrame, node: str, parent: str, levels: int) -> DataFrame:

@@ -357,9 +357,28 @@ def test_command_line(spark, tmp_path):
     g[10:60, 10:90, :3] = 0
     g[70:110, 110:190, :3] = [43, 108, 176]
     images.put_file(spark, f"file://{tmp_path}/in/f.png", images.png_bytes(g))
-    for command, columns in (("classify", {"template", "confidence"}), ("extract", {"node", "curves"}), ("render", {"svg"}), ("convert", {"status", "svg", "template"})):
-        out = cli.main([command, f"file://{tmp_path}/in", f"file://{tmp_path}/{command}"])
-        assert columns <= set(out.columns) and out.count() >= 1
+    words = {"image": "f.png", "item": 1, "text": "Title", "x": 20.0, "y": 2.0, "width": 160.0, "height": 6.0}
+    (tmp_path / "words.json").write_text(json.dumps(words))
+    run = lambda command, *more: cli.main([command, f"file://{tmp_path}/in", f"file://{tmp_path}/{command}", "--texts", f"file://{tmp_path}/words.json", *more])
+    assert run("classify").first().template == "t_auto_layout"
+    assert run("extract").first().template == "t_auto_layout"
+    assert {"node", "curves"} <= set(spark.read.parquet(f"file://{tmp_path}/extract/t_auto_layout").columns)
+    # a forced template is drawn, whatever the features say
+    row = run("render", "--template", "t_rl_agent_loop_v1").first()
+    assert row.template == "t_rl_agent_loop_v1" and "box_agent" in row.svg
+    assert run("convert").first().code == "E5107"  # the decision is unknown
+    row = run("convert", "--template", "t_auto_layout", "--allow-failed-gate").first()
+    assert row.template == "t_auto_layout" and row.svg and row.rmse is not None
+    images.put_file(spark, f"file://{tmp_path}/svg/one.svg", row.svg.encode())
+    images.put_file(spark, f"file://{tmp_path}/svg/two.svg", b"<svg><image/></svg>")
+    report = {r.doc: r.status for r in cli.main(["validate", f"file://{tmp_path}/svg", f"file://{tmp_path}/validate"]).collect()}
+    assert report == {"one.svg": "pass", "two.svg": "fail"}
+    cases = [{"dir": "cases/f", "force_template": "t_auto_layout", "gates": {"rmse_max": 0.9}}, {"dir": "gone"}, {"id": "x"}, {"dir": "a/f/", "id": "strict", "expected_templates": ["t_procedure_flow"]}]
+    images.put_file(spark, f"file://{tmp_path}/manifests/m.json", json.dumps({"cases": cases}).encode())
+    results = {r.id: (r.status, r.code) for r in cli.main(["regress", f"file://{tmp_path}/manifests", f"file://{tmp_path}/regress", "--images", f"file://{tmp_path}/in"]).collect()}
+    assert results == {"f": ("pass", None), "gone": ("fail", "E1401"), "x": ("skipped", "dir_missing"), "strict": ("fail", "E1406")}
+    total = spark.read.parquet(f"file://{tmp_path}/regress/summary").first()
+    assert (total.total, total.passed, total.failed, total.skipped) == (3, 1, 2, 1)
 
 
 @pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="no test tables")
