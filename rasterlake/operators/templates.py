@@ -43,31 +43,88 @@ def line_plot(points: DataFrame, key: str, series: str, x: str, y: str, ticks: i
     return reduce(DataFrame.unionByName, [*axes, *marks, curves, legend])
 
 
-def flow(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """Element rows of one flow chart a key (RND-05). nodes: key, id, x, y, width, height, text; edges: key, a, b,
-    label. Edges leave and enter facing sides, chosen by the nodes' centres; the label stands 6 above the middle.
-    Edges whose ends don't exist are left out; missing_ends() reports them."""
-    centre = lambda n, p: F.col(f"{n}.{p}") + F.col(f"{n}.{'width' if p == 'x' else 'height'}") / 2
-    side = nodes.select(key, F.struct("id", "x", "y", "width", "height").alias("n"))
-    j = edges.join(side.withColumnRenamed("n", "s"), [F.col("s.id") == F.col("a"), edges[key] == side[key]]).drop(side[key])
-    k = side.withColumnRenamed("n", "t").withColumnRenamed(key, "__k")
-    j = j.join(k, (F.col("t.id") == F.col("b")) & (F.col("__k") == F.col(key))).drop("__k")
-    dx, dy = centre("t", "x") - centre("s", "x"), centre("t", "y") - centre("s", "y")
-    wide = F.abs(dx) >= F.abs(dy)
-    end = lambda n, sign: [F.when(wide, centre(n, "x") + sign * F.signum(dx) * F.col(f"{n}.width") / 2).otherwise(centre(n, "x")), F.when(wide, centre(n, "y")).otherwise(centre(n, "y") + sign * F.signum(dy) * F.col(f"{n}.height") / 2)]
-    (x1, y1), (x2, y2) = end("s", 1), end("t", -1)
-    j = j.select(key, "a", "b", "label", *[F.bround(v, 2).alias(n) for v, n in ((x1, "x1"), (y1, "y1"), (x2, "x2"), (y2, "y2"))])
-    head = render.arrow(F.col("x2"), F.col("y2"), F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")), 10.0)
-    corner = F.array_join(F.transform(head, lambda c: F.format_string("%.2f,%.2f", c["x"], c["y"])), " ")
-    rank = F.xxhash64("a", "b")
+#: Fixed values of flow charts: padding, font and line height of nodes, font of labels, corner of nodes and of lanes, size of heads.
+PADDING, FONT, LINE, LABEL, CORNER, LANE_CORNER, HEAD = 12.0, 12.0, 14.0, 10.0, 8.0, 6.0, 10.0
+
+
+def _tspans(name: Column, x: Column, lines: Column) -> Column:
+    """Lines of a text, one below the other, as escaped elements."""
+    one = lambda t, i: F.concat(F.lit('<tspan id="'), render.escaped(name), F.lit("_line"), i.cast("string"), F.lit('" x="'), x.cast("string"), F.when(i > 0, F.lit(f'" dy="{LINE}')).otherwise(F.lit("")), F.lit('">'), render.escaped(t), F.lit("</tspan>"))
+    return F.array_join(F.transform(lines, one), "")
+
+
+def _block(name: Column, x: Column, y: Column, lines: Column, size: float) -> Column:
+    """A text element of several lines."""
+    head = render.element("text", {"id": name, "x": x, "y": y, "font-family": F.lit("Arial, sans-serif"), "font-size": F.lit(size), "text-anchor": F.lit("start"), "fill": F.lit("#000000")}, F.lit(""))
+    return F.concat(F.substring_index(head, "</text>", 1), _tspans(name, x, lines), F.lit("</text>"))
+
+
+def arrow_points(tip: Column, before: Column, kind: Column, size: float = HEAD) -> Column:
+    """Corners of an arrow head (ALG-15) at the end of a step from before to tip (structs x, y), half as wide as long: the tip and the two corners
+    behind it, of a line the tip between them, of a diamond the far corner too; null for none and steps of no length."""
+    length = X.line_length(before["x"], before["y"], tip["x"], tip["y"])
+    ux, uy = (tip["x"] - before["x"]) / length, (tip["y"] - before["y"]) / length
+    at = lambda back, side: F.concat_ws(",", *[(F.bround(v, 2) + 0.0).cast("string") for v in (tip["x"] - ux * back - uy * side, tip["y"] - uy * back + ux * side)])
+    left, right, half = at(size, size / 2), at(size, -size / 2), at(0.0, 0.0)
+    corners = F.when(kind == "line", F.concat_ws(" ", left, half, right)).when(kind == "diamond", F.concat_ws(" ", half, at(size / 2, size / 2), at(size, 0.0), at(size / 2, -size / 2))).otherwise(F.concat_ws(" ", half, left, right))
+    return F.when((length > 0) & (kind != "none"), corners)
+
+
+def flow(nodes: DataFrame, edges: DataFrame, key: str, lanes: DataFrame | None = None) -> DataFrame:
+    """Element rows of one flow chart a key (RND-05). nodes: key, id, x, y, width, height, text and, where given, rx, ry; edges: key, a, b, label and,
+    where given, points (array of struct x, y), dashed, dasharray (text), arrow; lanes: key, id, label, x, y, width, height.
+
+    A node's text stands in lines: its own, or else wrapped to its width. An edge goes through its points, two at least; without them from
+    the side of one node that faces the other, by their middles, to the facing side. The head (triangle unless given:
+    triangle_open, line, diamond, none) follows the last step, the label stands 6 above the middle between the ends. Edges without points
+    whose nodes don't exist are left out; missing_ends() reports them."""
+    for name, kind in (("rx", "double"), ("ry", "double")):
+        if name not in nodes.columns:
+            nodes = nodes.withColumn(name, F.lit(None).cast(kind))
+    for name, kind in (("points", "array<struct<x:double,y:double>>"), ("dashed", "boolean"), ("dasharray", "string"), ("arrow", "string")):
+        if name not in edges.columns:
+            edges = edges.withColumn(name, F.lit(None).cast(kind))
+    n = nodes.withColumns({c: F.col(c).cast("double") for c in ("x", "y", "width", "height")}).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(CORNER)) for c in ("rx", "ry")})
+    side = n.select(key, F.col("id"), F.struct("x", "width", (F.col("x") + F.col("width") / 2).alias("cx"), (F.col("y") + F.col("height") / 2).alias("cy")).alias("n"))
+    j = edges.withColumn("points", F.transform("points", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))))
+    j = j.join(side.withColumnsRenamed({"id": "a", "n": "s"}), [key, "a"], "left").join(side.withColumnsRenamed({"id": "b", "n": "t"}), [key, "b"], "left")
+    forth = F.col("s.cx") <= F.col("t.cx")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    start = point(F.when(forth, F.col("s.x") + F.col("s.width")).otherwise(F.col("s.x")), F.col("s.cy"))
+    end = point(F.when(forth, F.col("t.x")).otherwise(F.col("t.x") + F.col("t.width")), F.col("t.cy"))
+    between = F.when(F.col("s").isNotNull() & F.col("t").isNotNull(), F.array(start, end))
+    j = j.withColumn("points", F.when(F.size(F.coalesce("points", F.array().cast("array<struct<x:double,y:double>>"))) >= 2, F.col("points")).otherwise(between)).filter("points IS NOT NULL")
+    first, last, before = F.get("points", F.lit(0)), F.element_at("points", -1), F.element_at("points", -2)
+    number = lambda v: (F.bround(v, 2) + 0.0).cast("string")
+    path = F.array_join(F.transform("points", lambda p: F.concat_ws(",", number(p["x"]), number(p["y"]))), " ")
+    dashes = F.when(F.col("dashed"), F.coalesce("dasharray", F.lit("6,4")))
     name = F.concat_ws("_", "a", "b")
-    return reduce(DataFrame.unionByName, [
-        _row(nodes, key, "g_curves", F.xxhash64("id"), render.element("rect", {"id": F.concat(F.lit("n_"), "id"), **{c: F.col(c) for c in ("x", "y", "width", "height")}})),
-        _row(nodes, key, "g_text", F.xxhash64("id"), render.element("text", {"id": F.concat(F.lit("t_"), "id"), "x": F.col("x") + F.col("width") / 2, "y": F.col("y") + F.col("height") / 2, "text-anchor": F.lit("middle")}, F.col("text"))),
-        _row(j, key, "g_annotations", rank, render.element("line", {"id": F.concat(F.lit("e_"), name), **{c: F.col(c) for c in ("x1", "y1", "x2", "y2")}})),
-        _row(j, key, "g_markers", rank, render.element("polygon", {"id": F.concat(F.lit("m_"), name), "points": corner})),
-        _row(j.filter("label IS NOT NULL"), key, "g_text", rank, render.element("text", {"id": F.concat(F.lit("l_"), name), "x": F.bround((F.col("x1") + F.col("x2")) / 2, 2), "y": F.bround((F.col("y1") + F.col("y2")) / 2 - 6, 2), "text-anchor": F.lit("middle")}, F.col("label"))),
-    ])
+    shape = F.coalesce("arrow", F.lit("triangle"))
+    j = j.withColumns({"head": arrow_points(last, before, shape), "open": shape.isin("triangle_open", "line"), "name": name})
+    head = render.element("polygon", {"id": F.concat(F.lit("m_"), "name"), "points": F.col("head"), "fill": F.when(F.col("open"), "none").otherwise("#000000"), "stroke": F.when(F.col("open"), "#000000"), "stroke-width": F.when(F.col("open"), 2)})
+    head = F.when(shape == "line", F.replace(head, F.lit("<polygon"), F.lit("<polyline"))).otherwise(head)
+    # lines of a text: as given, else as many words as fit
+    each = F.greatest(F.floor((F.col("width") - 2 * PADDING) / (0.55 * FONT)), F.lit(1)).cast("int")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda t: t != "")
+    fill = lambda done, t: F.when(F.size(done) == 0, F.array(t)).when(F.length(F.element_at(done, -1)) + 1 + F.length(t) <= each, F.array_append(F.slice(done, 1, F.size(done) - 1), F.concat_ws(" ", F.element_at(done, -1), t))).otherwise(F.array_append(done, t))
+    given = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t: F.trim(t)), lambda t: t != "")
+    lines = F.when(F.contains(F.coalesce("text", F.lit("")), F.lit("\n")), given).otherwise(F.aggregate(words, F.array().cast("array<string>"), fill))
+    n = n.withColumn("lines", lines)
+    rank = F.xxhash64("a", "b")
+    box = {c: F.col(c) for c in ("x", "y", "width", "height")}
+    rows = [
+        _row(n, key, "g_annotations", F.xxhash64("id"), render.element("rect", {"id": F.concat(F.lit("node_"), "id"), **box, "rx": F.col("rx"), "ry": F.col("ry"), "fill": F.lit("#ffffff"), "stroke": F.lit("#000000"), "stroke-width": F.lit(2)})),
+        _row(n.filter(F.size("lines") > 0), key, "g_text", F.xxhash64("id"), _block(F.concat(F.lit("txt_node_"), "id"), F.col("x") + PADDING, F.col("y") + PADDING + FONT, F.col("lines"), FONT)),
+        _row(j, key, "g_curves", rank, render.element("polyline", {"id": F.concat(F.lit("e_"), "name"), "points": path, "fill": F.lit("none"), "stroke": F.lit("#000000"), "stroke-width": F.lit(2), "stroke-dasharray": dashes})),
+        _row(j.filter("head IS NOT NULL"), key, "g_markers", rank, head),
+        _row(j.filter("coalesce(label, '') <> ''"), key, "g_text", rank, render.element("text", {"id": F.concat(F.lit("txt_edge_"), "name"), "x": F.bround((first["x"] + last["x"]) / 2, 2), "y": F.bround((first["y"] + last["y"]) / 2 - 6, 2), "font-family": F.lit("Arial, sans-serif"), "font-size": F.lit(LABEL), "text-anchor": F.lit("start"), "fill": F.lit("#000000")}, F.col("label"))),
+    ]
+    if lanes is not None:  # below the nodes
+        l = lanes.withColumns({c: F.col(c).cast("double") for c in ("x", "y", "width", "height")})  # noqa: E741
+        title = F.coalesce(F.nullif(F.trim("label"), F.lit("")), F.col("id"))
+        rows.append(_row(l, key, "g_annotations", F.lit(-1e19), render.element("rect", {"id": F.concat(F.lit("lane_"), "id"), **box, "rx": F.lit(LANE_CORNER), "ry": F.lit(LANE_CORNER), "fill": F.lit("#f2f2f2"), "stroke": F.lit("#000000"), "stroke-width": F.lit(1)})))
+        rows.append(_row(l, key, "g_text", F.lit(-1e19), _block(F.concat(F.lit("txt_lane_"), "id"), F.col("x") + 8, F.col("y") + 16, F.array(title), LABEL)))
+    return reduce(DataFrame.unionByName, rows)
 
 
 def missing_ends(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
