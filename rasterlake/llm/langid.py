@@ -21,7 +21,9 @@ from rasterlake.llm.wordhash import mix
 
 ORDERS = (2, 3, 4)
 PROBES, FILLED = 3, 0.25  # a slice's slots are filled to a quarter at most
-LEAST_BITS, MOST_BITS = 16, 26  # 2**26 slots hold 5 million n-grams a language at a quarter, and more at a higher rate of false positives
+LEAST_BITS, MOST_BITS = 16, 24  # 2**24 slots hold 1.4 million n-grams a language at a quarter, and more at a higher rate of false positives
+MOST_BYTES = 256 << 20  # of all tables, which are broadcast: with over 128 languages, each has fewer slots
+SLICE_BITS = 16  # slots that one task packs
 WORD = 64  # languages a mask word
 SAMPLE_PER_LANGUAGE = 4000  # bound of the labelled sample: documents a language, in expectation
 UNKNOWN = "und"
@@ -112,17 +114,23 @@ class Model:
         return best, np.where(has & (own > np.minimum(self.bound[best], 1 - 1e-9)), own, 0.0), has
 
 
+def _kind(languages: int) -> type:
+    """The smallest mask for so many languages."""
+    return np.uint8 if languages <= 8 else np.uint16 if languages <= 16 else np.uint32 if languages <= 32 else np.uint64
+
+
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: str = "langid") -> Model:
     """Learns from docs' text and non-null lang. A sample of about per_language documents of each
-    language, chosen by a hash of the id, gives the n-grams, every one of which enters its language's filter. Spark
-    ORs the masks of each slot; only the table, whose size is bounded, comes to the driver. A part of the sample then
-    fits the bounds. All languages are learned, however many."""
+    language, chosen by a hash of the id and the text (so null and repeated ids are sampled like others), gives the n-grams, every one
+    of which enters its language's filter. Spark ORs the masks of each slot, and tasks pack them by ranges of slots; only
+    packed tables come to the driver and are broadcast, at most MOST_BYTES. A part of the sample then fits the bounds. All
+    languages are learned, however many, as far as a table of LEAST_BITS for each fits; ValueError beyond."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], LEAST_BITS, [], np.zeros(0), np.zeros(0))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
+    part = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1_000_000))
 
     def chosen(most: int) -> Column:
         out = F.lit(False)
@@ -148,21 +156,30 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: str =
 
     held = work.saved(work.map_batches(rows.filter(chosen(per_language)).select("text", "lang"), "lang int, gram long", make).distinct(), "grams")
     most = held.groupBy("lang").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, int(PROBES * most / FILLED - 1).bit_length()))
+    kinds = [_kind(min(WORD, len(languages) - k)) for k in range(0, len(languages), WORD)]
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    room = (MOST_BYTES // width).bit_length() - 1  # the table is broadcast
+    if room < LEAST_BITS:
+        raise ValueError(f"{len(languages)} languages need larger tables than {MOST_BYTES} bytes")
+    bits = min(MOST_BITS, room, max(LEAST_BITS, int(PROBES * most / FILLED - 1).bit_length()))
     low, high = F.col("gram").bitwiseAND(0xFFFFFFFF).bitwiseOR(1), F.shiftrightunsigned("gram", 32)
     each = F.explode(F.array(*[(high + low * j).bitwiseAND((1 << bits) - 1).cast("int") for j in range(PROBES)]))
     marks = held.select((F.col("lang") / WORD).cast("int").alias("word"), F.expr(f"shiftleft(1L, lang % {WORD})").alias("mask"), each.alias("slot"))
-    marks = marks.groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # 2**bits rows a word at most
-    which, slot, mask = (np.asarray(marks.column(c)) for c in ("word", "slot", "mask"))
-    tables, filled = [], np.zeros(len(languages))
-    for word in range(-(-len(languages) // WORD)):
-        here = min(WORD, len(languages) - word * WORD)
-        kind = np.uint8 if here <= 8 else np.uint16 if here <= 16 else np.uint32 if here <= 32 else np.uint64
-        table = np.zeros(1 << bits, kind)
-        table[slot[which == word]] = mask[which == word].view(np.uint64).astype(kind)
-        for k in range(here):
-            filled[word * WORD + k] = ((table >> kind(k)) & kind(1)).mean()
-        tables.append(table)
+    marks = marks.groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).withColumn("range", F.shiftright("slot", SLICE_BITS))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        word, place = rows.column("word")[0].as_py(), rows.column("range")[0].as_py()
+        part = np.zeros(1 << SLICE_BITS, kinds[word])
+        part[rows.column("slot").to_numpy() & ((1 << SLICE_BITS) - 1)] = rows.column("mask").to_numpy().view(np.uint64).astype(kinds[word])
+        return pa.table({"word": pa.array([word], pa.int32()), "range": pa.array([place], pa.int32()), "part": pa.array([part.tobytes()], pa.binary())})
+
+    packed = marks.groupBy("word", "range").applyInArrow(pack, "word int, range int, part binary")
+    tables, filled = [np.zeros(1 << bits, k) for k in kinds], np.zeros(len(languages))
+    for row in packed.toLocalIterator():
+        tables[row.word][row.range << SLICE_BITS : (row.range + 1) << SLICE_BITS] = np.frombuffer(row.part, kinds[row.word])
+    for k in range(len(languages)):
+        table = tables[k // WORD]
+        filled[k] = ((table >> table.dtype.type(k % WORD)) & table.dtype.type(1)).mean()
     model = Model(languages, bits, tables, filled**PROBES, np.zeros(len(languages)))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
