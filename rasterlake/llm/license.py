@@ -65,12 +65,56 @@ SENTENCES = {
     "licensed under the gnu general public license v3.0": "gpl3-notice",
     "this work is licensed under a creative commons attribution-sharealike 4.0 international license": "cc-by-sa-notice",
     "this work is licensed under a creative commons attribution-noncommercial 4.0 international license": "cc-by-nc-notice",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license": "gpl3-only-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3": "gpl3-only-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "gpl3-only-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license": "gpl2-only-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2": "gpl2-only-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2-only-grant",
+    "licensed under the gnu general public license version 2": "gpl2-notice",
+    "licensed under the gnu general public license v2.0": "gpl2-notice",
+    "licensed under the gnu affero general public license version 3": "agpl3-notice",
+    "licensed under the gnu affero general public license v3.0": "agpl3-notice",
+    "licensed under the gnu lesser general public license version 3": "lgpl3-notice",
+    "licensed under the gnu lesser general public license v3.0": "lgpl3-notice",
+    "licensed under the gnu lesser general public license version 2.1": "lgpl21-notice",
+    "licensed to the apache software foundation asf under one or more contributor license agreements": "asf-head",
+    "the asf licenses this file to you under the apache license version 2.0 the license you may not use this file except in compliance with the license": "apache-head",
+    "the asf licenses this file to you under the apache license version 2.0": "apache-notice",
+    "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non-exclusive no-charge royalty-free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form": "apache-grant",
+    "licensed under the apache license 2.0": "apache-notice",
+    "licensed under the apache 2.0 license": "apache-notice",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-waiver",
+    "licensed under the creative commons cc0 1.0 universal license": "cc0-notice",
+    "licensed under cc0 1.0": "cc0-notice",
+    "licensed under the mozilla public license version 2.0": "mpl-notice",
+    "licensed under the mozilla public license 2.0": "mpl-notice",
+    "licensed under the boost software license version 1.0": "bsl-notice",
+    "licensed under the zlib license": "zlib-notice",
+    "licensed under the sil open font license version 1.1": "ofl-notice",
+    "licensed under the unlicense": "unlicense-notice",
+    "licensed under the bsd license": "bsd-notice",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0bsd-grant",
+    "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies": "postgresql-grant",
+    "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed": "wtfpl-grant",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so": "mit0-grant",
+    "version 3 29 june 2007": "gnu3-date",
+    "version 2 june 1991": "gpl2-date",
+    "version 2.1 february 1999": "lgpl21-date",
+    "version 3 19 november 2007": "agpl3-date",
+    "version 2.0 january 2004": "apache-date",
+    "gnu general public license": "gpl-title",
+    "gnu lesser general public license": "lgpl-title",
+    "gnu affero general public license": "agpl-title",
+    "apache license": "apache-title",
     "all rights reserved": "reserved",
 }
 #: Clauses that name a holder, as patterns over normalised words, and the form that SENTENCES holds.
 HOLDERS = (
     ("neither the names? of (?:the )?[a-z0-9.+ \n-]{1,120}? nor the names of (?:its|their|the|any) contributors", "neither the name of the copyright holder nor the names of its contributors"),
     ("the names? of (?:the )?[a-z0-9.+ \n-]{1,120}? may not be used to endorse", "the name of the author may not be used to endorse"),
+    ("(?:this|the|our) [a-z0-9+-][a-z0-9.+ \n-]{0,60}? (?:is|are) (?:licensed|released|distributed|published) under (?:the terms of )?the ", "licensed under the "),
+    ("to the extent possible under law [a-z0-9.+ \n-]{1,120}? (?:has|have) waived all copyright", "to the extent possible under law the author has waived all copyright"),
 )
 #: Rules, in the order in which they are tried: licence, and the sequence of identifiers.
 RULES = (
@@ -89,7 +133,33 @@ RULES = (
     ("AGPL-3.0-only", ("agpl3-only-grant",)),
     ("LGPL-2.1-or-later", ("lgpl21-grant",)),
     ("LGPL-3.0-or-later", ("lgpl3-grant",)),
+    ("GPL-3.0-only", ("gpl3-only-grant", "gpl-warranty")),
+    ("GPL-3.0-only", ("gpl3-only-grant",)),
+    ("GPL-2.0-only", ("gpl2-only-grant", "gpl-warranty")),
+    ("GPL-2.0-only", ("gpl2-only-grant",)),
+    ("GPL-3.0-only", ("gpl-title", "gnu3-date")),
+    ("GPL-2.0-only", ("gpl-title", "gpl2-date")),
+    ("LGPL-3.0-only", ("lgpl-title", "gnu3-date")),
+    ("LGPL-2.1-only", ("lgpl-title", "lgpl21-date")),
+    ("AGPL-3.0-only", ("agpl-title", "agpl3-date")),
+    ("Apache-2.0", ("apache-title", "apache-date", "apache-grant")),
+    ("Apache-2.0", ("apache-title", "apache-date")),
+    ("Apache-2.0", ("asf-head", "apache-notice")),
+    ("Apache-2.0", ("apache-grant",)),
     ("GPL-3.0-only", ("gpl3-notice",)),
+    ("GPL-2.0-only", ("gpl2-notice",)),
+    ("AGPL-3.0-only", ("agpl3-notice",)),
+    ("LGPL-3.0-only", ("lgpl3-notice",)),
+    ("LGPL-2.1-only", ("lgpl21-notice",)),
+    ("CC0-1.0", ("cc0-waiver",)),
+    ("CC0-1.0", ("cc0-notice",)),
+    ("OFL-1.1", ("ofl-notice",)),
+    ("Zlib", ("zlib-notice",)),
+    ("BSD-3-Clause", ("bsd-notice",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("PostgreSQL", ("postgresql-grant",)),
+    ("WTFPL", ("wtfpl-grant",)),
+    ("MIT-0", ("mit0-grant",)),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-grant",)),
     ("ISC", ("isc-grant",)),
