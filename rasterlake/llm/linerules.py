@@ -1,8 +1,9 @@
 """Operator 7: line-first cleaning.
 
-Every line is judged alone: punctuation (too many symbols or exclamation marks, no letter or digit, or a line
+Every line is judged: punctuation (too many symbols or exclamation marks, no letter or digit, or a line
 of some length in which no sentence ends), navigation (a short line without any stop, a bar- or arrow-separated menu, or
-menu words only), boilerplate (a stock phrase), in English, German, French and Spanish. Failing lines go; a
+menu words only), boilerplate (a stock phrase), in English, German, French and Spanish. A line alone decides, but for the
+end of its sentence: in a paragraph of lines that are wrapped at up to WRAPPED characters a later line may hold it. Failing lines go; a
 document that loses over MAX_LOSS percent of its words' characters is rejected.
 """
 
@@ -40,7 +41,8 @@ MENU = f"[ ]*(?:(?:{'|'.join(MENU_WORDS.values())})[ ,/·•-]*)+"  # the whole
 SEPARATED = "(?: [|»›•·] .*){2}"  # a menu of three entries or more
 SHORT, LONG = 3, 10
 #: What a line of LONG words or more needs: a stop, and closing marks after it, at its end or before a blank.
-ENDED = "[.!?:;…][\"'”’»)\\]]*([\\x20\\x09-\\x0D]|$)"
+ENDED = "[.!?:;…][\"'”’»)\\]]*([\\x20\\x09-\\x0D]|$)|[।॥。！？．؟۔።။]"
+WRAPPED = 100  # characters of the longest line of a paragraph that counts as wrapped
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean,"
@@ -55,7 +57,13 @@ _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÀÍÓ", "abcdefghij
 
 
 def line_fault(line: str) -> str | None:
-    """The first rule that a line with a word fails."""
+    """The first rule that a line with a word fails when it stands alone."""
+    fault = _fault(line)
+    return "punctuation" if fault == "unended" else fault
+
+
+def _fault(line: str) -> str | None:
+    """line_fault(), but "unended" where only no sentence ends in the line."""
     words = len(_WORD.findall(line))
     if 2 * len(_SYMBOLS.findall(line)) > words or 2 * line.count("!") > words or not any(map(str.isalnum, line)):
         return "punctuation"
@@ -64,7 +72,31 @@ def line_fault(line: str) -> str | None:
         return "navigation"
     if _STOCK.search(low):
         return "boilerplate"
-    return "punctuation" if words >= LONG and not _ENDED.search(line) else None
+    return "unended" if words >= LONG and not _ENDED.search(line) else None
+
+
+def line_faults(text: str | None) -> list[tuple[str, str | None]]:
+    """The lines of a text that have a word, in order, each with the rule that it fails. Lines without a word part paragraphs. In one without a longer
+    line than WRAPPED, the sentence that a line doesn't end may end in a later line; otherwise that fails as punctuation."""
+    out: list[tuple[str, str | None]] = []
+    begin = 0
+
+    def close() -> None:
+        ended, wrapped = False, max(map(len, (x for x, _ in out[begin:])), default=0) <= WRAPPED
+        for i in range(len(out) - 1, begin - 1, -1):
+            line, fault = out[i]
+            if fault == "unended":
+                out[i] = line, None if ended and wrapped else "punctuation"
+            ended = ended or bool(_ENDED.search(line))
+
+    for line in (text or "").split("\n"):
+        if line.strip(" \t\n\r\x0b\x0c"):
+            out.append((line, _fault(line)))
+        else:
+            close()
+            begin = len(out)
+    close()
+    return out
 
 
 def _chars(line: str) -> int:
@@ -109,11 +141,8 @@ def clean_lines(docs: DataFrame, max_loss: int = MAX_LOSS, with_text: bool = Tru
                 repeats = _repeats(windows[a : a + n - 2]) if n >= 4 else 0
                 faults = {"punctuation": 0, "navigation": 0, "boilerplate": 0}
                 good, lines, kept = [], [], 0
-                for line in (text or "").split("\n"):
-                    if not line.strip(" \t\n\r\x0b\x0c"):
-                        continue
+                for line, fault in line_faults(text):
                     lines.append(line)
-                    fault = line_fault(line)
                     if fault:
                         faults[fault] += 1
                     else:
@@ -137,15 +166,17 @@ def op7_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
-m AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars,
+l0 AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+l1 AS (SELECT *, sum(CASE WHEN regexp_matches(line, '[^\x20\x09-\x0D]') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS para FROM l0),
+l AS (SELECT *, max(length(line)) OVER p <= {WRAPPED} AND max(CASE WHEN regexp_matches(line, '{ENDED.replace("'", "''")}') THEN i ELSE 0 END) OVER p > i AS goes_on FROM l1 WHERE regexp_matches(line, '[^\x20\x09-\x0D]') WINDOW p AS (PARTITION BY doc_id, para)),
+m AS (SELECT doc_id, line, goes_on, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars,
   length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols, length(regexp_replace(line, '[^!]', '', 'g')) AS shouts,
   translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÀÍÓ', 'abcdefghijklmnopqrstuvwxyzäöüéèàíó') AS low
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 f AS (SELECT *, CASE WHEN 2 * symbols > n OR 2 * shouts > n OR NOT regexp_matches(line, '[\p{{L}}\p{{N}}]') THEN 'p'
   WHEN n <= {SHORT} AND regexp_full_match(line, '{NAVIGATION}') OR regexp_matches(line, '{SEPARATED}') OR regexp_full_match(low, '{MENU}') THEN 'n'
   WHEN regexp_matches(low, '{BOILERPLATE}') THEN 'b'
-  WHEN n >= {LONG} AND NOT regexp_matches(line, '{ENDED.replace("'", "''")}') THEN 'p' END AS fault FROM m),
+  WHEN n >= {LONG} AND NOT goes_on AND NOT regexp_matches(line, '{ENDED.replace("'", "''")}') THEN 'p' END AS fault FROM m),
 g AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (fault = 'p') AS p, count(*) FILTER (fault = 'n') AS n,
   count(*) FILTER (fault = 'b') AS b, coalesce(sum(chars) FILTER (fault IS NULL), 0) AS kept_chars FROM f GROUP BY doc_id),
 x AS (SELECT doc_id, unnest(range(len(w) - 2)) AS i, w FROM d WHERE len(w) >= 3),
