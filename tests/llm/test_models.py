@@ -181,3 +181,23 @@ def test_repeated_documents_don_t_add_to_the_sample(spark):
     once = quality.train(docs.dropDuplicates(), labels)
     many = quality.train(docs, labels)
     assert many.base == once.base and all((a == b).all() for a, b in zip(many.tables, once.tables, strict=True))
+
+
+def test_null_ids_are_sampled_like_others(spark):
+    rows = [(None, f"some english words number{k} here and there", "en") for k in range(1500)] + [(7, f"einige deutsche wörter nummer{k} hier und dort", "de") for k in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, per_language=100)
+    got = langid.predict(spark.createDataFrame([(1, "some words here"), (2, "einige wörter dort")], "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "en", 2: "de"}
+    assert all(0 < f < 0.1 for f in model.false)
+
+
+def test_tables_have_a_size_bound(spark, monkeypatch):
+    df = spark.createDataFrame([(k, f"text {k} of some words", f"l{k % 3}") for k in range(30)], "doc_id long, text string, lang string")
+    whole = langid.train(df)
+    monkeypatch.setattr(langid, "MOST_BYTES", 1 << langid.LEAST_BITS)
+    small = langid.train(df)
+    assert small.bits == langid.LEAST_BITS and sum(t.nbytes for t in small.tables) <= langid.MOST_BYTES and (small.tables[0] == whole.tables[0]).all() == (whole.bits == small.bits)
+    monkeypatch.setattr(langid, "MOST_BYTES", 100)
+    with pytest.raises(ValueError, match="larger tables"):
+        langid.train(df)

@@ -17,6 +17,20 @@ def frame(spark, texts):
     return spark.createDataFrame([(k, t, "clash", None) for k, t in enumerate(texts)], SCHEMA)
 
 
+def sound(text):
+    """Lines without a fault, paragraph by paragraph."""
+    out = set()
+    for part in re.split(r"\n(?:[\x20\x09-\x0D]*\n)+", "\n" + (text or "") + "\n"):
+        lines = [x for x in part.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        for k, x in enumerate(lines):
+            # a stop behind the line leaves only the rule that asks for one
+            unended = linerules.line_fault(x) == "punctuation" and linerules.line_fault(x + ".") is None
+            later = any(re.search(linerules.ENDED, y) for y in lines[k + 1 :])
+            if linerules.line_fault(x) is None or unended and later and max(map(len, lines)) <= 100:
+                out.add(x)
+    return out
+
+
 def plain(text):
     t = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -36,7 +50,7 @@ def test_line_rules(spark):
     for k, t in enumerate(texts[:-1]):
         g = got[k]
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == plain(t)
-        good = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x) and linerules.line_fault(x) is None]
+        good = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x) and x in sound(t)]
         assert g.clean_text == "\n".join(good)
         assert g.base_failed == (g.n_words < 50 or 100 * g.n_repeat_words > 50 * g.n_words)
         assert not (g.kept and g.base_failed)
@@ -294,3 +308,36 @@ def test_paths_keep_their_case(spark):
     df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, status int, headers map<string,string>, digest string")
     got = {r.record_id: (r.url_key, r.target_id, r.digest) for r in warc.resolve_revisits(df).collect()}
     assert got == {3: ("x/A", 1, "dA"), 4: ("x/a", 2, "da"), 5: ("x?Q=A", None, None)}
+
+
+def test_wrapped_prose_is_kept(spark):
+    import textwrap
+
+    prose = "The committee that met in the old town hall on the hill decided after a long and open debate to leave the bridge as it was, " * 3 + "which pleased nobody. "
+    text = prose * 3
+    hindi = "यह एक बहुत लंबा वाक्य है जो बारह से अधिक शब्दों के साथ लिखा गया है और यहाँ समाप्त होता है। " * 6
+    junk = "\n".join(f"word{k} and some more words that go on and on without any end of a sentence {k}" for k in range(9))
+    texts = [textwrap.fill(text, 72), textwrap.fill(text, 80), text, hindi.replace("। ", "।\n"), junk, junk + "\n\n" + textwrap.fill(text, 80)]
+    got = {r.doc_id: r for r in linerules.clean_lines(frame(spark, texts)).collect()}
+    assert [got[k].base_failed or got[k].kept for k in range(4)] == [True] * 4
+    assert [got[k].kept_chars == got[k].word_chars for k in range(6)] == [True, True, True, True, False, False]
+    assert got[4].kept_chars == 0 and got[5].punctuation_lines == 9
+    # a line that is too long for a wrapped paragraph, and a sentence that never ends
+    assert linerules.line_faults("x " * 60 + "\nand it ends.")[0][1] == "punctuation"
+    assert [f for _, f in linerules.line_faults("one two three four five six seven eight nine ten\neleven\n\nEnd.")] == ["punctuation", "navigation", None]
+
+
+def test_usual_headers_are_named(spark):
+    gpl = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License {} published by\nthe Free Software Foundation{}.\n\nThis program is distributed in the hope that it will be useful."
+    texts = {
+        gpl.format("as", ", version 3 of the License"): ["GPL-3.0-only"], gpl.format("as", ", version 2"): ["GPL-2.0-only"], gpl.format("version 2 as", ""): ["GPL-2.0-only"],
+        gpl.format("as", "; either version 2\nof the License, or (at your option) any later version"): ["GPL-2.0-or-later"],
+        "To the extent possible under law, Jane Doe and others have waived all copyright and\nrelated or neighboring rights to this work.": ["CC0-1.0"],
+        "This package is licensed under the MIT License.": ["MIT"], "The foo-bar 2.1 library is released under the terms of the Apache License, Version 2.0.": ["Apache-2.0"],
+        " * Licensed to the Apache Software Foundation (ASF) under one or more\n * contributor license agreements.  See the NOTICE file.\n * The ASF licenses this file to You under the Apache License, Version 2.0\n * (the \"License\"); you may not use this file except in compliance with\n * the License.  You may obtain a copy of the License at\n *": ["Apache-2.0"],
+        "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright": ["GPL-3.0-only"], "   Apache License\n   Version 2.0, January 2004\n   http://www.apache.org/licenses/": ["Apache-2.0"],
+        "Subject to the terms and conditions of\n      this License, each Contributor hereby grants to You a perpetual,\n      worldwide, non-exclusive, no-charge, royalty-free, irrevocable\n      copyright license to reproduce, prepare Derivative Works of,\n      publicly display, publicly perform, sublicense, and distribute the\n      Work and such Derivative Works in Source or Object form.": ["Apache-2.0"],
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.": ["OFL-1.1"], "The parcel is delivered under the bridge. This code is not licensed.": [],
+    }
+    got = {r.doc_id: r.licenses for r in license.scan_licenses(frame(spark, list(texts))).collect()}
+    assert [got[k] for k in range(len(texts))] == list(texts.values())
