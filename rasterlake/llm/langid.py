@@ -24,6 +24,7 @@ PROBES, FILLED = 3, 0.25  # a slice's slots are filled to a quarter at most
 LEAST_BITS, MOST_BITS = 16, 24  # 2**24 slots hold 1.4 million n-grams a language at a quarter, and more at a higher rate of false positives
 MOST_BYTES = 256 << 20  # of all tables, which are broadcast: with over 128 languages, each has fewer slots
 SLICE_BITS = 16  # slots that one task packs
+TEXT_BYTES = 512 << 10  # of text looked at at once: a worker's arrays take about 70 bytes a byte of text
 WORD = 64  # languages a mask word
 SAMPLE_PER_LANGUAGE = 4000  # bound of the labelled sample: documents a language, in expectation
 UNKNOWN = "und"
@@ -154,7 +155,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: str =
 
         return one
 
-    held = work.saved(work.map_batches(rows.filter(chosen(per_language)).select("text", "lang"), "lang int, gram long", make).distinct(), "grams")
+    held = work.saved(work.map_batches(rows.filter(chosen(per_language)).select("text", "lang"), "lang int, gram long", make, most=TEXT_BYTES).distinct(), "grams")
     most = held.groupBy("lang").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     kinds = [_kind(min(WORD, len(languages) - k)) for k in range(0, len(languages), WORD)]
     width = sum(np.dtype(k).itemsize for k in kinds)
@@ -192,7 +193,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: str =
 
         return one
 
-    fitted = work.map_batches(rows.filter(chosen(min(per_language, FIT_PER_LANGUAGE))).select("text", "lang"), "lang int, share double", fit).toArrow()
+    fitted = work.map_batches(rows.filter(chosen(min(per_language, FIT_PER_LANGUAGE))).select("text", "lang"), "lang int, share double", fit, most=TEXT_BYTES).toArrow()
     lang, share = np.asarray(fitted.column("lang")), np.asarray(fitted.column("share"))
     model.bound = np.array([LEARNED_PART * np.median(share[lang == k]) if (lang == k).any() else 0.0 for k in range(len(languages))])
     return model
@@ -214,7 +215,7 @@ def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
         names, score = _decide(sent.value, texts)
         return [n != UNKNOWN and s > least for n, s in zip(names, score.tolist(), strict=True)]
 
-    return work.filter_batches(docs, lambda: good)
+    return work.filter_batches(docs, lambda: good, most=TEXT_BYTES)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -231,7 +232,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
         return one
 
-    return work.map_batches(work.pick(docs, "doc_id", "text"), "doc_id long, lang_pred string, score double", make)
+    return work.map_batches(work.pick(docs, "doc_id", "text"), "doc_id long, lang_pred string, score double", make, most=TEXT_BYTES)
 
 
 def op5_bitmask_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterlake.llm import work
-from rasterlake.llm.chunks import library_encoder
+from rasterlake.llm.chunks import LIBRARY_CHUNKS, library_encoder
 
 CAPACITY = 2048
 GROUP_PIECES = 60_000  # pieces that one task packs; a bin or two is lost a group
@@ -81,12 +81,13 @@ def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int
     return pieces.withColumn("__group", F.pmod(F.xxhash64("__row"), F.lit(groups))).groupBy("__group").applyInArrow(pack, schema)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, cached: int = LIBRARY_CHUNKS) -> DataFrame:
     """doc_id, piece, start, length, ids (u32 little-endian): each whole text's ids and end_id, only longer
-    documents cut into pieces of capacity. Null or empty texts are the one end_id."""
+    documents cut into pieces of capacity. Null or empty texts are the one end_id. cached: distinct chunks of text that a worker
+    remembers, which changes time and memory only."""
 
     def make():
-        encode = library_encoder(tokenizer)
+        encode = library_encoder(tokenizer, cached)
 
         def one(c: dict) -> list:
             flat, counts = encode(c["text"])
@@ -106,9 +107,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     return work.map_batches(work.pick(docs, "doc_id", "text"), "doc_id long, piece int, start long, length long, ids binary", make)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, cached: int = LIBRARY_CHUNKS) -> DataFrame:
     """Every piece's place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = token_pieces(docs, tokenizer, capacity).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    pieces = token_pieces(docs, tokenizer, capacity, cached=cached).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack_lengths(pieces, capacity)
 
 

@@ -47,8 +47,8 @@ def drop_work(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batch: pa.RecordBatch, text: str | None) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of about SLICE_BYTES of text (one longer text is a run of its own)."""
+def slices(batch: pa.RecordBatch, text: str | None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch into runs of about `most` bytes of text (one longer text is a run of its own)."""
     n = batch.num_rows
     if not n:
         return
@@ -60,12 +60,12 @@ def slices(batch: pa.RecordBatch, text: str | None) -> Iterator[pa.RecordBatch]:
     k = 0
     while k < n:
         base = size[k - 1] if k else 0
-        stop = min(max(int(np.searchsorted(size, base + SLICE_BYTES, "right")), k + 1), k + SLICE_ROWS)
+        stop = min(max(int(np.searchsorted(size, base + most, "right")), k + 1), k + SLICE_ROWS)
         yield batch.slice(k, stop - k)
         k = stop
 
 
-def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable], text: str | None = "text") -> DataFrame:
+def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable], text: str | None = "text", most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow in bounded slices. make() runs once a task and gives a function from a slice's columns
     (name -> Python list) to a list of columns in schema's order, or None for no rows."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -76,7 +76,7 @@ def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, most):
                 columns = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 if columns is not None:
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type, from_pandas=True) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
@@ -84,13 +84,13 @@ def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Ca
     return df.mapInArrow(run, kind)
 
 
-def filter_batches(df: DataFrame, make: Callable[[], Callable], text: str = "text") -> DataFrame:
+def filter_batches(df: DataFrame, make: Callable[[], Callable], text: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """Rows for which make()'s function, given a slice's texts, holds; every column passes through as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good = make()
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, most):
                 yield part.filter(pa.array(np.asarray(good(part.column(text).to_pylist()), bool)))
 
     return df.mapInArrow(run, df.schema)
