@@ -13,6 +13,8 @@ from rasterlake.llm import jaccard, langid, packing, quality, work
 
 #: A document goes where its quality score is lower.
 LEAST_QUALITY = 0.5
+#: Distinct chunks of text that a worker remembers while it encodes, beside what earlier stages left in it.
+CACHED = 150_000
 #: A document goes where its language holds no more of its n-grams than this or than the language's fitted bound, or where it has no letter.
 LEAST_LANGUAGE = 0.3
 
@@ -36,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every kept document's pieces in sequences of at most 2,048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cached=CACHED)
 
 
 STAGES = [("quality_classifier", quality_classifier), ("language_id", language_id), ("near_duplicates", near_duplicates), ("best_fit_packing", best_fit_packing)]
