@@ -59,7 +59,7 @@ def texts(items: DataFrame, key: str) -> DataFrame:
 
 def geometry(key: str, lines: DataFrame | None = None, rects: DataFrame | None = None, markers: DataFrame | None = None) -> DataFrame:
     """Lines (x1, y1, x2, y2), boxes (x, y, width, height) and markers (x, y, radius), each with role, id, stroke, stroke_width, dashed, dasharray (array of
-    double), fill where given, in order of role and place. What lacks a coordinate isn't drawn."""
+    double), fill where given, in order of role, place and size. What lacks a coordinate isn't drawn."""
     style = {"role": "string", "id": "string", "stroke": "string", "stroke_width": "double", "dashed": "boolean", "dasharray": "array<double>", "fill": "string"}
     stroke, width = F.coalesce(F.nullif("stroke", F.lit("")), F.lit(GREY)), F.coalesce("stroke_width", F.lit(WIDTH))
     out = []
@@ -76,11 +76,11 @@ def geometry(key: str, lines: DataFrame | None = None, rects: DataFrame | None =
         attrs = {"id": F.col("name"), **{c: F.col(c) for c in ("x1", "y1", "x2", "y2")}, "stroke": stroke, "stroke-width": width, "stroke-dasharray": pattern, "class": F.when(F.col("dashed"), "dashed")}
         out.append(_row(d, key, "g_annotations", F.col("rank"), render.element("line", attrs)))
     if rects is not None:
-        d = placed(rects, ["x", "y", "width", "height"], ["y", "x"], "geom_rect_")
+        d = placed(rects, ["x", "y", "width", "height"], ["y", "x", "width", "height"], "geom_rect_")
         attrs = {"id": F.col("name"), **{c: F.col(c) for c in ("x", "y", "width", "height")}, "fill": F.coalesce(F.nullif("fill", F.lit("")), F.lit("none")), "stroke": stroke, "stroke-width": width}
         out.append(_row(d, key, "g_annotations", 1e6 + F.col("rank"), render.element("rect", attrs)))
     if markers is not None:
-        d = placed(_with(markers, {"radius": "double"}), ["x", "y"], ["y", "x"], "geom_marker_")
+        d = placed(_with(markers, {"radius": "double"}), ["x", "y"], ["y", "x", "radius"], "geom_marker_")
         attrs = {"id": F.col("name"), "cx": F.col("x"), "cy": F.col("y"), "r": F.coalesce(F.col("radius").cast("double"), F.lit(RADIUS)), "fill": F.coalesce(F.nullif("fill", F.lit("")), F.lit(GREY))}
         out.append(_row(d, key, "g_markers", 1e6 + F.col("rank"), render.element("circle", attrs)))
     return reduce(DataFrame.unionByName, out)

@@ -28,7 +28,7 @@ def generic_texts(spark, sf):
 
 
 @query("""WITH l AS (SELECT l_orderkey AS image, l_linenumber AS k, CASE WHEN l_linenumber % 5 > 0 THEN l_quantity END AS x1, l_partkey::DOUBLE AS y1, l_suppkey::DOUBLE AS x2, l_extendedprice AS y2, l_returnflag AS role FROM lineitem),
-a AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY role, y1, coalesce(x1, 0), y2, x2) - 1 AS n FROM l), b AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY role, y1, x2) - 1 AS n FROM l), c AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY y2, y1) - 1 AS n FROM l)
+a AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY role, y1, coalesce(x1, 0), y2, x2) - 1 AS n FROM l), b AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY role, y1, x2, k) - 1 AS n FROM l), c AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY y2, y1, CASE WHEN k = 1 THEN 0 ELSE 1 END) - 1 AS n FROM l)
 SELECT image, 'g_annotations' AS layer, '<line id="' || CASE WHEN k = 4 THEN 'own' ELSE 'geom_line_' || lpad(n::VARCHAR, 2, '0') END || '" x1="' || x1 || '" y1="' || y1 || '" x2="' || x2 || '" y2="' || y2 || '" stroke="' || CASE WHEN k = 2 THEN '#ff0000' ELSE '#555555' END || '" stroke-width="1.0"' || CASE WHEN k % 2 = 0 THEN ' stroke-dasharray="' || CASE WHEN k = 2 THEN '3.0,1.5' ELSE '6,4' END || '" class="dashed"' ELSE '' END || '/>' AS body FROM a WHERE x1 IS NOT NULL
 UNION ALL SELECT image, 'g_annotations', '<rect id="geom_rect_' || lpad(n::VARCHAR, 2, '0') || '" x="' || x2 || '" y="' || y1 || '" width="10.0" height="' || k || '.0" fill="none" stroke="#555555" stroke-width="1.0"/>' FROM b
 UNION ALL SELECT image, 'g_markers', '<circle id="geom_marker_' || lpad(n::VARCHAR, 2, '0') || '" cx="' || y1 || '" cy="' || y2 || '" r="' || CASE WHEN k = 1 THEN '3.0' ELSE '4.5' END || '" fill="#555555"/>' FROM c""")
