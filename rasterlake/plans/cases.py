@@ -353,3 +353,19 @@ def issue_payloads(spark, sf):
     code = F.when(k % 2 == 0, "E2001").otherwise("E2009")
     issue = rules.payload(code, F.when(k % 2 == 0, F.create_map(F.lit("tag"), F.col("o_orderstatus"))), F.lit("look"))
     return table(spark, sf, "orders").select("o_orderkey", datasets.option(options, "max", "double", 0.75).alias("limit_"), issue.alias("issue"))
+
+
+_CODES = ", ".join(f"({i}, '{c}', '{m}')" for i, (c, m) in enumerate(sorted(rules.CODES.items())))
+
+
+@query(f"""WITH k AS (SELECT * FROM (VALUES {_CODES}) v(i, code, message)), e AS (SELECT *, event_id % 31 AS i FROM events)
+SELECT coalesce(code, 'X' || e.i) AS code, coalesce(message, '-') AS message, CASE WHEN code IS NULL THEN '-' WHEN code LIKE 'E%' THEN 'error' ELSE 'warning' END AS severity, count(*) AS n FROM e LEFT JOIN k USING (i) GROUP BY ALL""")
+def registered_codes(spark, sf):
+    """VAL-20: events as issues, counted by code with the registry's message and severity; codes that aren't registered have neither."""
+    names = F.array(*[F.lit(c) for c in sorted(rules.CODES)])
+    i = (F.col("event_id") % 31).cast("int")
+    code = F.coalesce(F.get(names, i), F.concat(F.lit("X"), i.cast("string")))
+    message = F.get_json_object(rules.payload(F.col("code"), F.create_map().cast("map<string,string>")), "$.message")
+    d = table(spark, sf, "events").select(code.alias("code")).withColumn("message", message)
+    severity = F.when(F.col("message").isNull(), "-").when(F.startswith("code", F.lit("E")), "error").otherwise("warning")
+    return d.select("code", F.coalesce("message", F.lit("-")).alias("message"), severity.alias("severity")).groupBy("code", "message", "severity").agg(F.count("*").alias("n"))

@@ -135,22 +135,40 @@ def markup_validation(spark, sf):
     return rules.report(e, issues)
 
 
-@query()
+@query("""WITH c AS (SELECT c_nationkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS y, CAST(floor(c_acctbal) AS BIGINT) AS v, c_custkey AS key FROM customer),
+p AS (SELECT k, y, x, (v + 20000 + x * 7) % 256 AS r, (key * 5 + x) % 256 AS g, CASE WHEN x < 4 THEN 255 ELSE key % 200 END AS b, CASE WHEN key % 6 = 0 THEN 0 ELSE 255 END AS a FROM c, range(9) t(x))
+SELECT 'n' || k || '.png' AS image, count(*) AS pixels, CAST(sum((y + 1) * (r + 2 * g + 3 * b + 5 * a) * (x + 1)) AS BIGINT) AS mark, count(*) FILTER (a > 10 AND 0.2126 * r + 0.7152 * g + 0.0722 * b < 245) AS ink FROM p GROUP BY k""")
 def png_roundtrip(spark, sf):
-    """SRC-01 to SRC-03, SRC-19: PNG files of colours made from nations, written to the work folder by the driver (a
-    few fixed 8 x 8 figures), scanned, read through the image source and measured."""
-    import numpy as np
+    """SRC-01 to SRC-03, SRC-19: customers of each nation as the lines of a figure, written as PNG files, scanned by their magic, and read back as packed
+    lines."""
+    from pyspark.sql import Window
 
+    from rasterlake.operators import packed
     from rasterlake.sources import images
 
+    key = F.col("c_custkey")
+    c = table(spark, sf, "customer").withColumn("y", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    x = F.col("x")
+    pixels = c.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("image"), "y", "x", ((F.floor("c_acctbal") + 20000 + x * 7) % 256).cast("int").alias("r"), ((key * 5 + x) % 256).cast("int").alias("g"), F.when(x < 4, 255).otherwise(key % 200).cast("int").alias("b"), F.when(key % 6 == 0, 0).otherwise(255).alias("a"))
+    folder = images.write_figures(pixels, images.work_folder(spark))
+    good = images.scan_files(spark, folder).filter("valid").select(F.element_at(F.split("path", "/"), -1).alias("image"))
+    p = packed.unpack(packed.read_lines(spark, folder)).join(good, "image", "left_semi")
+    mark = (F.col("y") + 1) * (F.col("r") + 2 * F.col("g") + 3 * F.col("b") + 5 * F.col("a")) * (F.col("x") + 1)
+    return p.groupBy("image").agg(F.count("*").alias("pixels"), F.sum(mark).cast("long").alias("mark"), F.count_if(X.is_ink(*[F.col(c) for c in "rgba"])).alias("ink"))
+
+
+@query("""SELECT l_returnflag || l_linenumber AS text, round((l_quantity * 3 - 10) / 100, 4) AS conf, CAST(l_partkey AS INTEGER) AS x, CAST(l_suppkey AS INTEGER) AS y, count(*) AS n FROM lineitem WHERE l_linenumber % 4 > 0 AND l_quantity * 3 - 10 >= 0 GROUP BY ALL""")
+def tsv_words(spark, sf):
+    """SRC-11, SRC-20: words of a recogniser's tab-separated files, written from order lines, read, and kept as an artifact of the run."""
+    from rasterlake.sources import datasets, images
+
+    n = F.col("l_linenumber")
+    text = F.when(n % 4 > 0, F.concat("l_returnflag", n.cast("string"))).otherwise(" ")
+    rows = table(spark, sf, "lineitem").select((F.col("l_quantity") * 3 - 10).alias("conf"), F.col("l_partkey").alias("left"), F.col("l_suppkey").alias("top"), F.lit(5).alias("width"), n.alias("height"), text.alias("text"))
     folder = images.work_folder(spark)
-    for k in range(5):
-        rgba = np.full((8, 8, 4), 255, np.uint8)
-        rgba[k : k + 3, :, :3] = [(40 * k) % 256, 200 - 30 * k, 10]
-        images.put_file(spark, f"{folder}/f{k}.png", images.png_bytes(rgba))
-    p = images.pixels(spark, folder)
-    rgb = [F.col(c) for c in "rgb"]
-    return p.groupBy("image").agg(F.count("*").alias("pixels"), F.count_if(X.is_ink(*rgb, F.col("a"))).alias("ink"), F.max(X.hex_color(*rgb)).alias("top"), F.min(X.hex_color(*rgb)).alias("low"))
+    rows.write.csv(f"{folder}/tsv", sep="\t", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    kept = datasets.artifacts(folder, words=images.ocr_words(spark, f"{folder}/tsv"))
+    return spark.read.parquet(kept["words"]).groupBy("text", F.round("conf", 4).alias("conf"), "x", "y").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT user_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) % 5 AS bucket, count(*) AS n FROM events GROUP BY ALL""")

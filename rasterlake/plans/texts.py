@@ -139,7 +139,10 @@ def grid_dedup_max(spark, sf):
     return text.grid_dedup(d, [F.col("event_type"), F.bround(F.col("value") / 10)], "event_id", "value")
 
 
-@query()
+@query("""WITH d AS (SELECT p_brand, p_size, p_partkey, p_name, round_even((p_partkey % 50)::DOUBLE, 0) AS x, round_even(p_retailprice % 50, 0) AS y, lower(trim(p_name)) AS low FROM part WHERE trim(p_name) <> ''),
+l AS (SELECT p_brand, p_size, list([{'k': p_partkey, 'x': x, 'y': y, 'low': low}] ORDER BY p_partkey) AS c FROM d GROUP BY ALL),
+o AS (SELECT list_reduce(c, lambda a, b: CASE WHEN len(list_filter(a, lambda e: sqrt((e.x - b[1].x) ** 2 + (e.y - b[1].y) ** 2) < 30 AND (e.low = b[1].low OR 1 - levenshtein(e.low, b[1].low) / greatest(length(e.low), length(b[1].low))::DOUBLE > 0.85))) > 0 THEN a ELSE list_concat(a, b) END) AS kept FROM l)
+SELECT p_brand, p_size, p_partkey, p_name, (p_partkey % 50)::DOUBLE AS x, p_retailprice % 50 AS y FROM part WHERE p_partkey IN (SELECT unnest(kept).k FROM o)""")
 def fuzzy_dedup(spark, sf):
     """SET-05: part names of each brand and size, at positions derived from key and price."""
     d = table(spark, sf, "part").select("p_brand", "p_size", "p_partkey", "p_name", (F.col("p_partkey") % 50).cast("double").alias("x"), (F.col("p_retailprice") % 50).alias("y"))
