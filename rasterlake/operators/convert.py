@@ -6,6 +6,7 @@ import contextlib
 import re
 import signal
 import threading
+import time
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -28,24 +29,39 @@ class TimedOut(Exception):
     """A call took longer than it may."""
 
 
-@contextlib.contextmanager
-def time_limit(seconds: float | None) -> Iterator[None]:
-    """Raises TimedOut in a block that runs longer (ORC-02): by an alarm in a process's main thread, which Spark's Python workers run in; other
-    threads and limits of 0 or none aren't limited."""
-    if not seconds or seconds <= 0 or threading.current_thread() is not threading.main_thread():
-        yield
-        return
+class _Deadlines:
+    """The times by which open blocks of this process must end; the alarm is always set for the earliest."""
+
+    ends: list[float] = []
 
-    def stop(*_: object) -> None:
-        raise TimedOut(f"over {seconds} s")
+    @classmethod
+    def set(cls) -> None:
+        signal.setitimer(signal.ITIMER_REAL, max(min(cls.ends) - time.monotonic(), 1e-4) if cls.ends else 0.0)
 
-    before = signal.signal(signal.SIGALRM, stop)
-    signal.setitimer(signal.ITIMER_REAL, seconds)
+    @classmethod
+    def ring(cls, *_: object) -> None:
+        late = cls.ends and min(cls.ends) <= time.monotonic()
+        if late:
+            raise TimedOut("over its time limit")
+        cls.set()  # an alarm that came early
+
+
+@contextlib.contextmanager
+def time_limit(seconds: float | None) -> Iterator[None]:
+    """Raises TimedOut in a block that runs longer than seconds, or than a block around it may (ORC-02). Limits of 0 or none, and threads other than a
+    process's main one, which Spark's Python workers run in, have no limit."""
+    end = time.monotonic() + (seconds or 0)
+    limited = end > time.monotonic() and threading.current_thread() is threading.main_thread()
+    if limited:
+        signal.signal(signal.SIGALRM, _Deadlines.ring)
+        _Deadlines.ends.append(end)
+        _Deadlines.set()
     try:
         yield
     finally:
-        signal.setitimer(signal.ITIMER_REAL, 0)
-        signal.signal(signal.SIGALRM, before)
+        if limited:
+            _Deadlines.ends.remove(end)
+            _Deadlines.set()
 
 
 def guarded(df: DataFrame, keys: list[str], call: Callable[[dict], str | None], seconds: float | None = None) -> DataFrame:

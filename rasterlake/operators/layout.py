@@ -154,6 +154,17 @@ def gaps(profile: np.ndarray, least: int) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= least]
 
 
+def cut_places(profile: np.ndarray) -> list[tuple[int, int]]:
+    """Empty stretches of a profile at which its box is cut."""
+    n = len(profile)
+    margin = max(5, int(n * 0.01))
+    for share, floor in ((0.02, 10), (0.005, 5)) if n > 500 else ((0.02, 10),):
+        found = [(a, b) for a, b in gaps(profile, max(floor, int(n * share))) if a > margin and b < n - margin]
+        if found:
+            return found
+    return []
+
+
 def cut_tree(mask: np.ndarray, deepest: int = 4) -> list[tuple[int, int, str, int, int, int, int, int]]:
     """Nodes (node, parent, type, depth, x, y, width, height) of one image's recursive cut (ALG-10), in preorder.
 
@@ -162,23 +173,13 @@ def cut_tree(mask: np.ndarray, deepest: int = 4) -> list[tuple[int, int, str, in
     has none, the other is tried; where neither has, where a side is under 20 pixels, or below the deepest level, it is
     a leaf. Parts are what stands between the middles of the stretches."""
     out: list[tuple[int, int, str, int, int, int, int, int]] = []
-
-    def places(part: np.ndarray, rows: bool) -> list[tuple[int, int]]:
-        profile, n = part.sum(axis=1 if rows else 0), part.shape[0 if rows else 1]
-        margin = max(5, int(n * 0.01))
-        for share, floor in ((0.02, 10), (0.005, 5)) if n > 500 else ((0.02, 10),):
-            found = [(a, b) for a, b in gaps(profile, max(floor, int(n * share))) if a > margin and b < n - margin]
-            if found:
-                return found
-        return []
-
     todo = [(-1, 0, 0, mask.shape[1], mask.shape[0], True, 0)]
     while todo:
         parent, x, y, w, h, rows, depth = todo.pop()
         part, kind, cuts = mask[y : y + h, x : x + w], "LEAF", []
         if depth <= deepest and min(w, h) >= 20:
             for way in (rows, not rows):
-                cuts = places(part, way)
+                cuts = cut_places(part.sum(axis=1 if way else 0))
                 if cuts:
                     kind, rows = ("ROW" if way else "COL"), way
                     break

@@ -96,10 +96,10 @@ def in_strips(lines: DataFrame, schema: str, read: Callable[[np.ndarray, int, in
     return dealt.groupBy("image", "strip").applyInArrow(run, f"image {kind}, strip long, {schema}")
 
 
-def ink_of(grid: np.ndarray) -> np.ndarray:
-    """The classifier's ink: visible and darker than nearly white (BT.709)."""
+def ink_of(grid: np.ndarray, alpha: int = 10) -> np.ndarray:
+    """The classifier's ink: visible (over that alpha) and darker than nearly white (BT.709)."""
     r, g, b, a = (grid[..., k] for k in range(4))
-    return (a > 10) & (r * X.BT709[0] + g * X.BT709[1] + b * X.BT709[2] < 245)
+    return (a > alpha) & (r * X.BT709[0] + g * X.BT709[1] + b * X.BT709[2] < 245)
 
 
 def runs_along(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,3 +276,73 @@ def diff(actual: DataFrame, expected: DataFrame, tolerance: float) -> DataFrame:
 
     sums = pairs.mapInArrow(run, f"image {kind}, square double, bad long, n long").groupBy("image").agg(*[F.sum(c).alias(c) for c in ("square", "bad", "n")])
     return sums.select("image", F.sqrt(F.col("square") / F.col("n")).alias("rmse"), (F.col("bad") / F.col("n")).alias("bad"))
+
+
+_BOX = "x int, y int, width int, height int"
+
+
+def _profiles(lines: DataFrame, boxes: DataFrame, alpha: int, strip: int) -> DataFrame:
+    """image, path, from, rows, cols: of each strip that a box touches, the ink of its lines (from line `from` on) and of its columns, as 64-bit numbers."""
+    beside = boxes.groupBy("image").agg(F.collect_list(F.struct("path", "x", "y", "width", "height")).alias("boxes"))
+
+    def read(grid: np.ndarray, top: int, y0: int, y1: int, table: pa.Table) -> pa.Table:
+        ink, out = ink_of(grid, alpha), []
+        for b in table.column("boxes")[0].as_py():
+            first, last = max(y0, b["y"]), min(y1, b["y"] + b["height"])
+            if first < last:
+                part = ink[first - top : last - top, b["x"] : b["x"] + b["width"]]
+                out.append({"path": b["path"], "from": first, "rows": part.sum(axis=1, dtype="<i8").tobytes(), "cols": part.sum(axis=0, dtype="<i8").tobytes()})
+        return pa.Table.from_pylist(out, pa.schema([("path", pa.list_(pa.int32())), ("from", pa.int32()), ("rows", pa.binary()), ("cols", pa.binary())]))
+
+    return in_strips(lines, "path array<int>, `from` int, rows binary, cols binary", read, beside=beside, strip=strip)
+
+
+def xy_cut(lines: DataFrame, deepest: int = 4, alpha: int = 10, strip: int = STRIP) -> DataFrame:
+    """The tree of layout.xy_cut() (ALG-10) from packed lines, level by level: image, node, parent, type, depth, x, y, width, height.
+
+    A level's boxes get their profiles from all strips that they touch, by different tasks; a box's profiles, no longer than its
+    sides times the strips, are added up and cut in one. So no task holds an image. Levels are as many as the tree is deep."""
+    from rasterlake.operators import layout
+
+    kind = lines.schema["image"].dataType.simpleString()
+    lines = lines.select("image", "y", "width", "height", "rgba")
+    sizes = lines.groupBy("image").agg(F.max("width").alias("width"), F.max("height").alias("height"))
+    boxes = store.saved(sizes.select("image", F.array().cast("array<int>").alias("path"), F.lit(True).alias("by_rows"), F.lit(0).alias("x"), F.lit(0).alias("y"), "width", "height"), "boxes")
+    done = []
+    for depth in range(deepest + 1):
+        large = boxes.filter("width >= 20 AND height >= 20")
+        if large.isEmpty():
+            break
+
+        def cut(table: pa.Table) -> pa.Table:
+            table = table.sort_by("from")
+            rows = np.concatenate([np.frombuffer(v.as_buffer(), "<i8") for v in table.column("rows")])
+            cols = np.sum([np.frombuffer(v.as_buffer(), "<i8") for v in table.column("cols")], axis=0)
+            by_rows, name, cuts = table.column("by_rows")[0].as_py(), "LEAF", []
+            for way in (by_rows, not by_rows):
+                cuts = layout.cut_places(rows if way else cols)
+                if cuts:
+                    name = "ROW" if way else "COL"
+                    break
+            n = len(rows) if name == "ROW" else len(cols)
+            middle = [0, *[(a + b) // 2 for a, b in cuts], n] if cuts else []
+            parts = [{"a": a, "b": b} for a, b in zip(middle, middle[1:])]
+            return pa.table([table.column("image").slice(0, 1), table.column("path").slice(0, 1), pa.array([name]), pa.array([parts], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["image", "path", "type", "parts"])
+
+        profiles = _profiles(lines, large, alpha, strip).join(large.select("image", "path", "by_rows"), ["image", "path"])
+        found = profiles.groupBy("image", "path").applyInArrow(cut, f"image {kind}, path array<int>, type string, parts array<struct<a:int,b:int>>")
+        level = store.saved(boxes.join(found, ["image", "path"], "left").withColumn("type", F.coalesce("type", F.lit("LEAF"))), "level")
+        done.append(level.select("image", "path", "type", F.lit(depth).alias("depth"), "x", "y", "width", "height"))
+        child = level.select("image", "path", "type", "x", "y", "width", "height", F.posexplode("parts").alias("k", "p"))
+        down = F.col("type") == "ROW"
+        size = F.col("p.b") - F.col("p.a")
+        boxes = store.saved(child.select("image", F.concat("path", F.array("k")).alias("path"), (~down).alias("by_rows"), F.when(down, F.col("x")).otherwise(F.col("x") + F.col("p.a")).alias("x"), F.when(down, F.col("y") + F.col("p.a")).otherwise(F.col("y")).alias("y"), F.when(down, F.col("width")).otherwise(size).alias("width"), F.when(down, size).otherwise(F.col("height")).alias("height")), "boxes")
+    done.append(boxes.select("image", "path", F.lit("LEAF").alias("type"), F.size("path").alias("depth"), "x", "y", "width", "height"))
+    nodes = done[0]
+    for d in done[1:]:
+        nodes = nodes.unionByName(d)
+    # arrays compare by their first difference, a beginning before what it begins: this is preorder
+    nodes = nodes.withColumn("node", F.row_number().over(Window.partitionBy("image").orderBy("path")) - 1)
+    above = nodes.select("image", F.col("path").alias("up"), F.col("node").alias("parent"))
+    out = nodes.withColumn("up", F.when(F.size("path") > 0, F.slice("path", 1, F.size("path") - 1))).join(above, ["image", "up"], "left")
+    return out.select("image", "node", F.coalesce("parent", F.lit(-1)).alias("parent"), "type", "depth", "x", "y", "width", "height")

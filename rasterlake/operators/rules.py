@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rasterlake.functions import exprs as X
 from rasterlake.functions import labels
+from rasterlake.sources import store
 
 #: The codes and what they mean (VAL-20).
 CODES = {
@@ -27,6 +28,10 @@ CODES = {
 }
 
 
+#: Attributes that rules read as text.
+READ = ("id", "class", "d", "points", "fill", "stroke", "stroke-dasharray", "text-anchor", "font-family")
+
+
 def payload(code: Column, context: Column, hint: Column | None = None) -> Column:
     """An issue as canonical JSON (PRJ-25): code, context, hint and message, of which those without a value are left out. context: map of text."""
     messages = F.create_map(*[F.lit(v) for pair in CODES.items() for v in pair])
@@ -156,10 +161,14 @@ def validate_elements(elements: DataFrame, contract: dict, expected: DataFrame |
     max_path_commands, allowed_stroke_widths, stroke_width_tolerance, max_polyline_points, require_text, snap_tolerance,
     min_dash_segments, baseline_tolerance; generic_font_families (E2015) and text_group (W2103), where given."""
     c = {"forbid_elements": [], "forbid_element_prefixes": [], "required_groups": [], "allowed_font_families": [], "max_colors": 6, "max_path_commands": 70, "allowed_stroke_widths": [], "stroke_width_tolerance": 0.2, "max_polyline_points": 30, "require_text": True, "snap_tolerance": 0.5, "min_dash_segments": 6, "baseline_tolerance": 1.0, "generic_font_families": [], "text_group": None} | contract
-    e = elements
-    a = lambda name: F.try_element_at("attrs", F.lit(name))
-    number = lambda name: X.leading_number(a(name))
-    own = lambda name: F.coalesce(F.nullif(a(name), F.lit("")), F.try_element_at("inherited", F.lit(name)))
+    # attributes become columns once, in a written table: the rules below read it several times, a few columns each
+    held = lambda name: F.try_element_at("attrs", F.lit(name))
+    taken = {f"own {n}": F.coalesce(F.nullif(held(n), F.lit("")), F.try_element_at("inherited", F.lit(n))) for n in ("font-family", "dominant-baseline")}
+    numbers = {f"number {n}": X.leading_number(held(n)) for n in ("x1", "y1", "x2", "y2", "y", "stroke-width")}
+    e = store.saved(elements.select("doc", "node", "parent", "tag", "text", "groups", *[v.alias(k) for k, v in {**{n: held(n) for n in READ}, **taken, **numbers}.items()]), "elements")
+    a = lambda name: F.col(f"`{name}`")
+    number = lambda name: F.col(f"`number {name}`")
+    own = lambda name: F.col(f"`own {name}`")
     tag, no = F.col("tag"), F.lit(False)
     level, upright = nearly_aligned(number("y2") - number("y1"), c["snap_tolerance"]), nearly_aligned(number("x2") - number("x1"), c["snap_tolerance"])
     pointed = e.withColumn("__numbers", F.when(tag == "polyline", coordinates(a("points"))))  # parsed once a polyline

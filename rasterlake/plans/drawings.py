@@ -76,10 +76,34 @@ def figure_axes(spark, sf):
     return layout.axis_lines(ink, layout.detect_panels(ink))
 
 
-@query()
+def _cut_sql(k: int) -> str:
+    """One level of the recursive cut: tables p (profiles), g (empty stretches), w (the way that is cut) and b of the next level."""
+    n = "CASE t.way WHEN 'ROW' THEN b.height ELSE b.width END"
+    return f"""p{k} AS (SELECT b.image, b.path, t.way, n.pos, coalesce(v, 0) AS v, {n} AS n, by_rows FROM b{k} b CROSS JOIN (VALUES ('ROW'), ('COL')) t(way) JOIN range({max(HEIGHT, WIDTH)}) n(pos) ON n.pos < {n}
+  LEFT JOIN (SELECT b.image, b.path, 'ROW' AS way, k.y - b.y AS pos, count(*) AS v FROM b{k} b JOIN k ON k.image = b.image AND k.ink AND k.x >= b.x AND k.x < b.x + b.width AND k.y >= b.y AND k.y < b.y + b.height GROUP BY ALL
+    UNION ALL SELECT b.image, b.path, 'COL', k.x - b.x, count(*) FROM b{k} b JOIN k ON k.image = b.image AND k.ink AND k.x >= b.x AND k.x < b.x + b.width AND k.y >= b.y AND k.y < b.y + b.height GROUP BY ALL) c
+    ON c.image = b.image AND c.path = b.path AND c.way = t.way AND c.pos = n.pos WHERE b.width >= 20 AND b.height >= 20),
+q{k} AS (SELECT *, floor(quantile_cont(v, 0.1) OVER (PARTITION BY image, path, way)) + 2 AS least FROM p{k}),
+r{k} AS (SELECT image, path, way, n, by_rows, min(pos) AS a, max(pos) + 1 AS e FROM (SELECT *, pos - row_number() OVER (PARTITION BY image, path, way ORDER BY pos) AS grp FROM q{k} WHERE v <= least) GROUP BY image, path, way, n, by_rows, grp),
+g{k} AS (SELECT *, unnest(CASE WHEN n > 500 THEN [1, 2] ELSE [1] END) AS try FROM r{k} WHERE a > greatest(5, floor(n * 0.01)) AND e < n - greatest(5, floor(n * 0.01))),
+h{k} AS (SELECT * FROM g{k} WHERE e - a >= CASE try WHEN 1 THEN greatest(10, floor(n * 0.02)) ELSE greatest(5, floor(n * 0.005)) END),
+w{k} AS (SELECT image, path, arg_min(way, CASE WHEN (way = 'ROW') = by_rows THEN 0 ELSE 1 END) AS way FROM h{k} GROUP BY image, path),
+t{k} AS (SELECT h.image, h.path, h.way, min(try) AS try FROM h{k} h JOIN w{k} w ON w.image = h.image AND w.path = h.path AND w.way = h.way GROUP BY ALL),
+m{k} AS (SELECT h.image, h.path, h.way, list((a + e) // 2 ORDER BY a) AS mid, any_value(n) AS n FROM h{k} h JOIN t{k} t ON t.image = h.image AND t.path = h.path AND t.way = h.way AND t.try = h.try GROUP BY h.image, h.path, h.way),
+c{k} AS (SELECT image, path, way, unnest(list_concat([0], mid)) AS a, unnest(list_concat(mid, [n])) AS e, unnest(range(len(mid) + 1)) AS i FROM m{k}),
+b{k + 1} AS (SELECT c.image, list_append(c.path, c.i) AS path, c.way <> 'ROW' AS by_rows, CASE c.way WHEN 'ROW' THEN b.x ELSE b.x + c.a END AS x, CASE c.way WHEN 'ROW' THEN b.y + c.a ELSE b.y END AS y, CASE c.way WHEN 'ROW' THEN b.width ELSE c.e - c.a END AS width, CASE c.way WHEN 'ROW' THEN c.e - c.a ELSE b.height END AS height FROM c{k} c JOIN b{k} b ON b.image = c.image AND b.path = c.path)"""
+
+
+_TREE = " UNION ALL ".join([*[f"SELECT b.image, b.path, {k} AS depth, coalesce(w.way, 'LEAF') AS type, x, y, width, height FROM b{k} b LEFT JOIN w{k} w ON w.image = b.image AND w.path = b.path" for k in range(5)], "SELECT image, path, 5, 'LEAF', x, y, width, height FROM b5"])
+
+
+@query(f"""WITH {SQL_PIXELS}, {_INK}, b0 AS (SELECT DISTINCT image, []::BIGINT[] AS path, true AS by_rows, 0::BIGINT AS x, 0::BIGINT AS y, {WIDTH}::BIGINT AS width, {HEIGHT}::BIGINT AS height FROM k), {", ".join(map(_cut_sql, range(5)))},
+tree AS ({_TREE}), numbered AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY path) - 1 AS node FROM tree)
+SELECT n.image, CAST(n.node AS INTEGER) AS node, CAST(coalesce(u.node, -1) AS INTEGER) AS parent, n.type, CAST(n.depth AS INTEGER) AS depth, CAST(n.x AS INTEGER) AS x, CAST(n.y AS INTEGER) AS y, CAST(n.width AS INTEGER) AS width, CAST(n.height AS INTEGER) AS height
+FROM numbered n LEFT JOIN numbered u ON u.image = n.image AND len(n.path) > 0 AND u.path = n.path[:len(n.path) - 1]""")
 def figure_layout(spark, sf):
-    """ALG-10, WIN-06: the tree of each drawn figure's recursive cut."""
-    return layout.xy_cut(_ink(spark, sf))
+    """ALG-10, WIN-06: the tree of each drawn figure's recursive cut, level by level."""
+    return packed.xy_cut(figure_lines(spark, sf))
 
 
 def components_sql(source: str, keys: str = "image") -> str:

@@ -119,3 +119,23 @@ def test_work_of_an_application_is_dropped(spark, tmp_path, monkeypatch):
     store.drop_work(spark)
     with pytest.raises(Exception, match="(?i)exist|not found"):
         df.count()
+
+
+@pytest.mark.parametrize("strip", [16, 64])
+def test_cut_by_levels_equals_the_recursive_one(spark, strip):
+    from rasterlake.operators import layout
+
+    r = np.random.default_rng(6)
+    grids = {}
+    for k in range(3):
+        g = np.full((150 + 40 * k, 560 - 200 * k, 4), 255, np.uint8)
+        for _ in range(7):
+            y, x = int(r.integers(0, g.shape[0] - 30)), int(r.integers(0, g.shape[1] - 60))
+            g[y : y + int(r.integers(8, 30)), x : x + int(r.integers(20, 60)), :3] = 0
+        grids[f"g{k}"] = g
+    grids["small"], grids["blank"] = np.full((12, 30, 4), 255, np.uint8), np.full((64, 64, 4), 255, np.uint8)
+    rows = [(k, y, g.shape[1], g.shape[0], bytearray(g[y].tobytes())) for k, g in grids.items() for y in range(g.shape[0])]
+    lines = spark.createDataFrame(rows, "image string, y int, width int, height int, rgba binary")
+    want = sorted((k, *n) for k, g in grids.items() for n in layout.cut_tree(packed.ink_of(g)))
+    got = sorted((q.image, q.node, q.parent, q.type, q.depth, q.x, q.y, q.width, q.height) for q in packed.xy_cut(lines, strip=strip).collect())
+    assert got == want and len(want) > 12
