@@ -64,3 +64,50 @@ def panel_layers(spark, sf):
     labels_ = layers.turned(d.select("image", "id", F.lit("A & B").alias("text"), F.col("x1").alias("x"), F.col("y1").alias("y"), (k % 4 * -30).alias("angle")), "image")
     tints = layers.bands(d.select("image", F.concat(F.lit("P"), (k % 3).cast("string")).alias("panel"), F.lit(5).alias("x"), F.lit(100).alias("width"), (F.col("y1") + k / 1e9).alias("y"), (k % 5).alias("height"), F.lit("#f2e6b8").alias("fill"), F.when(k % 2 == 0, 0.5).alias("opacity")), "image")
     return spans.unionByName(labels_).unionByName(tints).select("image", "layer", "body")
+
+
+_PLOT = """b AS (SELECT n_nationkey AS image, n_name AS title, (60 + n_nationkey % 3 * 10)::DOUBLE AS x, (40 + n_nationkey % 4 * 5)::DOUBLE AS y, 300.0::DOUBLE AS w, 200.0::DOUBLE AS h FROM nation),
+s AS (SELECT c_nationkey AS image, c_mktsegment AS series, list({'x': c_custkey % 31, 'y': greatest(floor(c_acctbal), 0)} ORDER BY c_custkey) AS pts, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS k FROM customer GROUP BY c_nationkey, c_mktsegment),
+d AS (SELECT b.*, series, pts, k, k % 2 = 0 AS dashed, CASE WHEN k = 4 THEN '9,1' WHEN k % 3 = 0 THEN '12,8' ELSE '6,4' END AS pattern, CASE WHEN k % 3 = 0 THEN 4.0 ELSE 2.0 END AS wide FROM b JOIN (SELECT *, count(*) OVER (PARTITION BY image) AS n FROM s) s ON s.image = b.image WHERE len(pts) >= 2),
+e AS (SELECT * REPLACE (row_number() OVER (PARTITION BY image ORDER BY series) AS k) FROM d),
+f AS (SELECT * REPLACE (k % 2 = 0 AS dashed, CASE WHEN k = 4 THEN '9,1' WHEN k % 3 = 0 THEN '12,8' ELSE '6,4' END AS pattern, CASE WHEN k % 3 = 0 THEN 4.0 ELSE 2.0 END AS wide) FROM e),
+t AS (SELECT b.*, i, i / 4.0::DOUBLE AS share FROM b, range(5) u(i))"""
+_FONT = 'font-family="Arial, sans-serif" font-size="'
+
+
+def _line_sql(name: str, x1: str, y1: str, x2: str, y2: str, rest: str) -> str:
+    return f"""'<line id="{name}" x1="' || ({x1}) || '" y1="' || ({y1}) || '" x2="' || ({x2}) || '" y2="' || ({y2}) || '" {rest}/>'"""
+
+
+def _text_sql(name: str, x: str, y: str, anchor: str, size: float, text: str, more: str = "") -> str:
+    return f"""'<text id="{name}" x="' || ({x}) || '" y="' || ({y}) || '" text-anchor="{anchor}" {_FONT}{size}" fill="#000000"{more}>' || {text} || '</text>'"""
+
+
+_BLACK = 'stroke="#000000" stroke-width="{}"'
+_DASH = """' || CASE WHEN dashed THEN ' stroke-dasharray="' || pattern || '"' ELSE '' END || '"""
+
+
+@query(f"""WITH {_PLOT}
+SELECT image, 'g_axes' AS layer, {_line_sql('axis_x', 'x', 'y + h', 'x + w', 'y + h', _BLACK.format(2))} AS body FROM b UNION ALL SELECT image, 'g_axes', {_line_sql('axis_y', 'x', 'y + h', 'x', 'y', _BLACK.format(2))} FROM b
+UNION ALL SELECT image, 'g_axes', {_line_sql("tick_x_' || i || '", 'x + share * w', 'y + h', 'x + share * w', 'y + h + 5', _BLACK.format(1))} FROM t UNION ALL SELECT image, 'g_axes', {_line_sql("tick_y_' || i || '", 'x - 5', 'y + h - share * h', 'x', 'y + h - share * h', _BLACK.format(1))} FROM t
+UNION ALL SELECT image, 'g_text', {_text_sql("txt_tick_x_' || i || '", 'x + share * w', 'y + h + 18', 'middle', 10.0, "printf('%.2f', 30 * share)")} FROM t UNION ALL SELECT image, 'g_text', {_text_sql("txt_tick_y_' || i || '", 'x - 8', 'y + h - share * h + 4', 'end', 10.0, "printf('%.2f', 10000 * share)")} FROM t
+UNION ALL SELECT image, 'g_curves', '<polyline id="series_' || series || '" points="' || array_to_string(list_transform(pts, lambda p: printf('%.2f', x + 10.0 * p.x) || ',' || printf('%.2f', round(y + h - p.y / 50.0, 2))), ' ') || '" fill="none" stroke="#1f77b4" stroke-width="' || printf('%.2f', wide) || '"{_DASH}/>' FROM f
+UNION ALL SELECT image, 'g_annotations', {_line_sql("legend_' || series || '", 'x + w - 110', 'y + 16 * k', 'x + w - 86', 'y + 16 * k', '''stroke="#1f77b4" stroke-width="' || printf('%.2f', wide) || '"''' + _DASH)} FROM f
+UNION ALL SELECT image, 'g_text', {_text_sql("txt_legend_' || series || '", 'x + w - 80', 'y + 16 * k + 4', 'start', 10.0, "CASE WHEN k = 1 THEN 'the first' ELSE series END")} FROM f
+UNION ALL SELECT image, 'g_text', {_text_sql('txt_title', 'x + w / 2', 'y / 2 + 6', 'middle', 16.0, 'title', ' font-weight="bold"')} FROM b UNION ALL SELECT image, 'g_text', {_text_sql('txt_axis_x', 'x + w / 2', 'y + h + 36', 'middle', 12.0, "'day'")} FROM b WHERE image % 2 = 0
+UNION ALL SELECT image, 'g_text', '<text id="txt_axis_y" x="' || (x - 48) || '" y="' || (y + h / 2) || '" text-anchor="middle" {_FONT}12.0" fill="#000000" transform="rotate(-90 ' || (x - 48) || ' ' || (y + h / 2) || ')">' || title || '</text>' FROM b""")
+def plot_rows(spark, sf):
+    """RND-04, EXT-03, AGG-33, PRJ-16: line plots of each nation's customers, a series a segment: ticks, dashes, widths, a legend, a title and axis labels, as element rows."""
+    from pyspark.sql import Window
+
+    from rasterlake.operators import figures
+
+    n = F.col("n_nationkey")
+    boxes = table(spark, sf, "nation").select(n.alias("image"), (60 + n % 3 * 10).alias("x"), (40 + n % 4 * 5).alias("y"), F.lit(300).alias("width"), F.lit(200).alias("height"))
+    texts = table(spark, sf, "nation").select(n.alias("image"), F.col("n_name").alias("title"), F.when(n % 2 == 0, "day").alias("axis_label_x"), F.col("n_name").alias("axis_label_y"))
+    one = F.struct("c_custkey", (F.col("c_custkey") % 31).cast("double").alias("x"), F.greatest(F.floor("c_acctbal"), F.lit(0)).cast("double").alias("y"))
+    s = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("image"), F.col("c_mktsegment").alias("series")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points")).filter(F.size("points") >= 2)
+    k = F.row_number().over(Window.partitionBy("image").orderBy("series"))
+    s = s.withColumn("k", k).select("image", "series", "points", F.lit("#1f77b4").alias("stroke"), (F.col("k") % 2 == 0).alias("dashed"), F.when(F.col("k") % 3 == 0, 4.0).alias("stroke_width"), F.when(F.col("k") == 4, F.array(F.lit(9.0), F.lit(1.0))).alias("dasharray"), F.when(F.col("k") == 1, "the first").alias("label"))
+    ranges = boxes.select("image", F.lit(0).alias("min_x"), F.lit(30).alias("max_x"), F.lit(0).alias("min_y"), F.lit(10000).alias("max_y"))
+    return figures.line_plot(boxes.select("image"), boxes, s, texts, ranges).select("image", "layer", "body")
