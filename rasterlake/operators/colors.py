@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterlake.functions import exprs as X
-from rasterlake.operators import raster, sequence
+from rasterlake.operators import raster, sequence, spatial
 from rasterlake.sources import store
 
 SERVING, NEIGHBOR = "#2b6cb0", "#dd6b20"
@@ -62,8 +62,8 @@ def region_colors(pixels: DataFrame, regions: DataFrame, keys: list[str], step:
     """keys, rank, r, g, b, n of the colours in regions (keys with image; x, y, width, height), every step-th row and column."""
     box = regions.select(*keys, F.floor("x").alias("rx"), F.floor("y").alias("ry"), F.floor("width").alias("rw"), F.floor("height").alias("rh"))
     left, top = F.greatest("rx", F.lit(0)), F.greatest("ry", F.lit(0))
-    inside = (F.col("x") >= left) & (F.col("x") < F.col("rx") + F.col("rw")) & (F.col("y") >= top) & (F.col("y") < F.col("ry") + F.col("rh"))
-    return clustered(pixels.join(box, "image").filter(inside & ((F.col("x") - left) % step == 0) & ((F.col("y") - top) % step == 0)), keys, 25.0)
+    held = spatial.pixels_in(pixels, box, left, top, F.col("rx") + F.col("rw"), F.col("ry") + F.col("rh"))
+    return clustered(held.filter(((F.col("x") - left) % step == 0) & ((F.col("y") - top) % step == 0)), keys, 25.0)
 
 
 def panel_fills(pixels: DataFrame, panels: DataFrame, margin: float = 0.1) -> DataFrame:
@@ -99,8 +99,8 @@ def bands(pixels: DataFrame, panels: DataFrame) -> DataFrame:
     pixels), of which every fifth column counts; a strip whose leading colour is within 30 of the last strip's joins its
     band. Bands under 5 % of the height are left out."""
     p = panels.select("image", "panel", *[F.floor(c).alias(f"p{c}") for c in ("x", "y", "width", "height")]).withColumn("strip", F.greatest(F.lit(5), F.floor(F.col("pheight") / 50)))
-    inside = (F.col("x") >= F.col("px")) & (F.col("x") < F.col("px") + F.col("pwidth")) & ((F.col("x") - F.col("px")) % 5 == 0) & (F.col("y") >= F.col("py")) & (F.col("y") < F.col("py") + F.col("pheight"))
-    d = pixels.join(p, "image").filter(inside).withColumn("k", F.floor((F.col("y") - F.col("py")) / F.col("strip"))).filter(F.col("py") + F.col("k") * F.col("strip") < F.col("py") + F.col("pheight") - F.col("strip"))
+    held = spatial.pixels_in(pixels, p, "px", "py", F.col("px") + F.col("pwidth"), F.col("py") + F.col("pheight")).filter((F.col("x") - F.col("px")) % 5 == 0)
+    d = held.withColumn("k", F.floor((F.col("y") - F.col("py")) / F.col("strip"))).filter(F.col("py") + F.col("k") * F.col("strip") < F.col("py") + F.col("pheight") - F.col("strip"))
     d = d.filter(~X.near_white(*_rgb(), 250) & ~X.near_black(*_rgb()))
     keys = ["image", "panel", "pheight", "strip", "k"]
     top = clustered(d, keys, 20.0).filter("rank = 1")
@@ -178,8 +178,7 @@ def time_fill(pixels: DataFrame, regions: DataFrame) -> DataFrame:
     """image, panel, fill: the bucket of a region's mean colour (AGG-13): null where it is nearly grey, violet where blue leads
     red by over 0.05 and isn't under green, else sand. regions: image, panel, x0, y0, x1, y1."""
     r = regions.select("image", "panel", *[F.bround(c).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
-    d = pixels.join(r, "image").filter(inside).groupBy("image", "panel").agg(*[(F.avg(c) / 255.0).alias(c) for c in RGB])
+    d = spatial.pixels_in(pixels, r, "x0", "y0", "x1", "y1").groupBy("image", "panel").agg(*[(F.avg(c) / 255.0).alias(c) for c in RGB])
     top, low = F.greatest(*RGB), F.least(*RGB)
     fill = F.when((top <= 0) | (F.try_divide(top - low, top) < 0.05), F.lit(None).cast("string")).when((F.col("b") - F.col("r") > 0.05) & (F.col("b") >= F.col("g")), "#d9d3e8").otherwise("#f2e6b8")
     return r.select("image", "panel").join(d.select("image", "panel", fill.alias("fill")), ["image", "panel"], "left")
@@ -197,8 +196,7 @@ def text_color(pixels: DataFrame, texts: DataFrame) -> DataFrame:
     220 degrees, orange within 20 of 30, else null. texts: image, item, x, y, width, height."""
     t = texts.select("image", "item", F.greatest(F.floor("x"), F.lit(0)).alias("x0"), F.greatest(F.floor("y"), F.lit(0)).alias("y0"), F.floor(F.col("x") + F.col("width")).alias("x1"), F.floor(F.col("y") + F.col("height")).alias("y1"))
     sat, val = X.saturation(*_rgb()), F.greatest(*_rgb()) / F.lit(255.0)
-    inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (sat > 0.3) & (val > 0.2) & (val < 0.9)
-    d = pixels.join(t, "image").filter(inside).groupBy("image", "item").agg(F.count("*").alias("n"), F.median(X.hue(*_rgb())).alias("hue"))
+    d = spatial.pixels_in(pixels, t, "x0", "y0", "x1", "y1").filter((sat > 0.3) & (val > 0.2) & (val < 0.9)).groupBy("image", "item").agg(F.count("*").alias("n"), F.median(X.hue(*_rgb())).alias("hue"))
     color = F.when(F.col("n") < 6, F.lit(None).cast("string")).when(X.hue_distance(F.col("hue"), F.lit(220.0)) <= 25, SERVING).when(X.hue_distance(F.col("hue"), F.lit(30.0)) <= 20, NEIGHBOR)
     return t.select("image", "item").join(d.select("image", "item", color.alias("color")), ["image", "item"], "left")
 

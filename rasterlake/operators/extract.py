@@ -241,7 +241,7 @@ def event_panels(pixels: DataFrame, sizes: DataFrame, texts: DataFrame | None =
     thresholds = level.groupBy("image", "panel").agg(F.array_sort(F.collect_set(F.bround(1 - (F.col("y1") - F.col("y")) / F.col("height"), 4))).alias("thresholds"))
     mask = colors.curve_mask(pixels, hue_targets(sizes, PANEL_CURVES), sizes)
     box = found.select("image", "panel", F.col("x").alias("px"), F.col("y").alias("py"), (F.col("x") + F.col("width")).alias("qx"), (F.col("y") + F.col("height")).alias("qy"))
-    inside = mask.join(box, "image").filter("x >= px AND x < qx AND y >= py AND y < qy").select("image", F.struct("panel", "curve").alias("c"), "x", "y")
+    inside = spatial.pixels_in(mask, box, "px", "py", "qx", "qy").select("image", F.struct("panel", "curve").alias("c"), "x", "y")
     named = inside.select("image", F.concat_ws("|", "c.panel", "c.curve").alias("curve"), "x", "y")
     traced = centre_lines(named, sizes).withColumn("panel", F.split_part("curve", F.lit("|"), F.lit(1))).withColumn("curve", F.split_part("curve", F.lit("|"), F.lit(2)))
     one = lambda c, x, y: F.struct(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 4).alias("x"), F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), y)), 4).alias("y"))
@@ -282,7 +282,7 @@ def leaf_curves(pixels: DataFrame, leaves: DataFrame) -> DataFrame:
     """image, node, hue, stroke, points of the curves in layout leaves (ALG-16): one for each dominant hue of a leaf of 20 pixels or more
     a side, its stroke the mask's median colour snapped to the palette. leaves: image, node, x, y, width, height."""
     large = leaves.filter("width >= 20 AND height >= 20").select("image", "node", F.col("x").alias("lx"), F.col("y").alias("ly"), "width", "height")
-    inside = pixels.join(large, "image").filter("x >= lx AND x < lx + width AND y >= ly AND y < ly + height")
+    inside = spatial.pixels_in(pixels, large, "lx", "ly", F.col("lx") + F.col("width"), F.col("ly") + F.col("height"))
     part = inside.select(F.concat_ws("|", "image", "node").alias("image"), (F.col("y") - F.col("ly")).cast("long").alias("y"), (F.col("x") - F.col("lx")).cast("long").alias("x"), "r", "g", "b", "a")
     sizes = large.select(F.concat_ws("|", "image", "node").alias("image"), F.col("image").alias("whole"), "node", "lx", "ly", "width", "height")
     hues = colors.dominant_hues(part, ["image"])

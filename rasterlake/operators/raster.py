@@ -103,9 +103,10 @@ def binary(pixels: DataFrame, threshold: int = 190) -> DataFrame:
 def weights(pixels: DataFrame, texts: DataFrame) -> DataFrame:
     """image, item, ink, weight of texts (PRJ-02, PRJ-18): bold where over 32 % of the box is dark. texts: image, item, x, y, width, height."""
     box = texts.select("image", "item", F.floor(F.greatest(F.col("x"), F.lit(0.0))).alias("x0"), F.floor(F.greatest(F.col("y"), F.lit(0.0))).alias("y0"), F.floor("width").alias("w"), F.floor("height").alias("h"))
-    inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x0") + F.col("w")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y0") + F.col("h"))
+    from rasterlake.operators import spatial
+
     dark = X.is_ink(F.col("r"), F.col("g"), F.col("b"), F.col("a"), "bold")
-    found = pixels.join(box, "image").filter(inside).groupBy("image", "item").agg(F.avg(dark.cast("int")).alias("ink"))
+    found = spatial.pixels_in(pixels, box, "x0", "y0", F.col("x0") + F.col("w"), F.col("y0") + F.col("h")).groupBy("image", "item").agg(F.avg(dark.cast("int")).alias("ink"))
     return box.select("image", "item").join(found, ["image", "item"], "left").fillna(0.0, ["ink"]).withColumn("weight", F.when(F.col("ink") > 0.32, "bold").otherwise("normal"))
 
 

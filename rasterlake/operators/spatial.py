@@ -25,6 +25,21 @@ def contain(points: DataFrame, boxes: DataFrame, px: str, py: str, box: tuple[st
     return p.join(b, ["__cx", "__cy"]).filter(inside).drop("__cx", "__cy")
 
 
+def pixels_in(pixels: DataFrame, boxes: DataFrame, x0: Column | str, y0: Column | str, x1: Column | str, y1: Column | str, cell: int = 64) -> DataFrame:
+    """Pixels (image, y, x and others) with the columns of every box of their image (image and others, none named x or y) that holds them: from x0, y0 up to,
+    but not at, x1, y1, expressions over the boxes. Both meet by image and cell, so an image's pixels aren't multiplied by its boxes, and are
+    dealt out by cells. Boxes are cut at the image's upper left corner."""
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    to = lambda v: F.floor(v / cell)
+    ends = [col(c).cast("double").alias(f"__{k}") for c, k in ((x0, "x0"), (y0, "y0"), (x1, "x1"), (y1, "y1"))]
+    b = boxes.select("*", *ends).filter("__x1 > greatest(__x0, 0) AND __y1 > greatest(__y0, 0)")
+    zero = F.lit(0.0)
+    b = b.withColumn("__cx", F.explode(F.sequence(to(F.greatest("__x0", zero)), to(F.col("__x1"))))).withColumn("__cy", F.explode(F.sequence(to(F.greatest("__y0", zero)), to(F.col("__y1")))))
+    p = pixels.withColumn("__cx", to(F.col("x"))).withColumn("__cy", to(F.col("y")))
+    inside = "x >= __x0 AND x < __x1 AND y >= __y0 AND y < __y1"
+    return p.join(b, ["image", "__cx", "__cy"]).filter(inside).drop("__cx", "__cy", "__x0", "__y0", "__x1", "__y1")
+
+
 def first_match(pairs: DataFrame, key: list[str], order: list[str], row: list[str]) -> DataFrame:
     """The first containing box of each point, by order (deepest, or listed first)."""
     return pairs.groupBy(*key).agg(F.min_by(F.struct(*row), F.struct(*order)).alias("r")).select(*key, "r.*")

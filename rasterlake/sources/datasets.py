@@ -132,11 +132,12 @@ def scan_regions(pixels: DataFrame, plan: DataFrame, recognise: Callable[[np.nda
     region's pixels (rows x columns x 4), scaled down by its factor, and gives (text, conf, x, y, width, height); places are mapped back
     to the image. A region that takes over seconds, or raises, gives one row with its error, and the others stay. Regions of known (image,
     region), such as those of an earlier run's table, aren't scanned again. pixels: image, y, x, r, g, b, a; one region a group."""
+    from rasterlake.operators import spatial
     from rasterlake.operators.convert import time_limit
 
     todo = plan if known is None else plan.join(known.select("image", "region").distinct(), ["image", "region"], "left_anti")
     p = todo.select("image", "region", *[F.col(c).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")], "factor")
-    inside = pixels.join(p, "image").filter("x >= x0 AND x < x1 AND y >= y0 AND y < y1")
+    inside = spatial.pixels_in(pixels, p, "x0", "y0", "x1", "y1")
     kind = {c: p.schema[c].dataType.simpleString() for c in ("image", "region")}
     names = ["image", "region", "text", "conf", "x", "y", "width", "height", "error"]
 
