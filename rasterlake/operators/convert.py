@@ -262,15 +262,20 @@ def run_cases(cases: DataFrame, actual: DataFrame, expected: DataFrame, max_rmse
 
 def degraded(pixels: DataFrame, cases: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
     """Pixels of rebuilt, harder inputs (ORC-07, PRJ-12, PRJ-13): each image rescaled about its middle, under gamma and contrast and with
-    noise, all by draws seeded with its case's name. pixels: image, y, x, r, g, b, a; cases: image, case; ranges: scale, gamma, contrast and
-    noise_sigma, where given. What is scaled out of view is white and clear."""
-    wanted = {k: ranges.get(k, (d, d)) for k, d in (("scale", 1.0), ("gamma", 1.0), ("contrast", 1.0), ("noise_sigma", 0.0))}
+    noise, all by draws seeded with its case's name. pixels: image, y, x, r, g, b, a; cases: image, case; ranges: scale, gamma, contrast,
+    noise_sigma and blur_radius, where given. What is scaled out of view is white and clear. Rotation isn't built."""
+    from rasterlake.operators import packed
+
+    wanted = {k: ranges.get(k, (d, d)) for k, d in (("scale", 1.0), ("gamma", 1.0), ("contrast", 1.0), ("noise_sigma", 0.0), ("blur_radius", 0.0))}
     drawn = G.seeded_draws(cases.select("image", "case"), "case", wanted)
     sizes = pixels.groupBy("image").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height")).join(drawn, "image")
     grid = sizes.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height").cast("int") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width").cast("int") - 1)))
     source = lambda v, n: F.floor((F.col(v) + 0.5 - F.col(n) / 2) / F.col("scale") + F.col(n) / 2).cast("long")
     p = pixels.select("image", F.col("y").cast("long").alias("sy"), F.col("x").cast("long").alias("sx"), "r", "g", "b", "a")
     d = grid.withColumn("sy", source("y", "height")).withColumn("sx", source("x", "width")).join(p, ["image", "sy", "sx"], "left").fillna(255, ["r", "g", "b"]).fillna(0, ["a"])
+    if max(wanted["blur_radius"]) > 0:
+        soft = packed.blurred(packed.pack(d), drawn.select("image", F.greatest("blur_radius", F.lit(0.0)).alias("sigma")), max(wanted["blur_radius"]))
+        d = packed.unpack(soft).join(drawn, "image")
     d = d.withColumns({c: G.gamma_contrast(F.col(c), F.col("gamma"), F.col("contrast")) for c in "rgb"})
     unit = lambda salt: (F.pmod(F.xxhash64("case", "y", "x", F.lit(salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     noise = lambda c: F.sqrt(-2 * F.ln(unit(c))) * F.cos(2 * np.pi * unit(c + "'")) * F.col("noise_sigma")

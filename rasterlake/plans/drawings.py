@@ -263,6 +263,27 @@ def figure_heat(spark, sf):
     return d.groupBy("image", "y").agg(F.sum("heat").alias("heat"), F.count_if("bad").alias("bad"))
 
 
+_SIGMA = 1.2
+
+
+def _blur_sql(source: str, line: str, along: str) -> str:
+    weights = packed.kernel(_SIGMA)
+    reach = len(weights) // 2
+    part = lambda c, i, w: f"{w} * coalesce({'lag' if i < 0 else 'lead'}({c}, {abs(i)}) OVER o, {'first' if i < 0 else 'last'}_value({c}) OVER e)"
+    each = [f"(({' + '.join(part(c, i - reach, w) for i, w in enumerate(weights))}) + 32768) // 65536 AS {c}" for c in "rgba"]
+    return f"SELECT image, y, x, {', '.join(each)} FROM {source} WINDOW o AS (PARTITION BY image, {line} ORDER BY {along}), e AS (PARTITION BY image, {line} ORDER BY {along} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+
+
+@query(f"""WITH {SQL_PIXELS}, l AS ({_blur_sql('f', 'y', 'x')}), m AS ({_blur_sql('l', 'x', 'y')}), u AS (SELECT * FROM m WHERE image % 2 = 0 UNION ALL SELECT * FROM f WHERE image % 2 = 1)
+SELECT image, CAST(y AS INTEGER) AS y, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g * (x % 97)) AS BIGINT) AS g, CAST(sum(b * (x % 89)) AS BIGINT) AS b, CAST(sum(a) AS BIGINT) AS a FROM u GROUP BY image, y""")
+def figure_blur(spark, sf):
+    """PRJ-12, ORC-07: every second drawn figure under a Gaussian blur, by line."""
+    lines = figure_lines(spark, sf)
+    sigmas = lines.select("image").distinct().select("image", F.when(F.col("image") % 2 == 0, _SIGMA).alias("sigma"))
+    p = packed.unpack(packed.blurred(lines, sigmas, 2.0))
+    return p.groupBy("image", "y").agg(F.sum("r").alias("r"), F.sum(F.col("g") * (F.col("x") % 97)).alias("g"), F.sum(F.col("b") * (F.col("x") % 89)).alias("b"), F.sum("a").alias("a"))
+
+
 @query(f"""WITH {SQL_PIXELS}, s AS (SELECT image, y, sum(r + g + b + a) AS total, count(*) AS n FROM f GROUP BY image, y) SELECT image, y, CAST(total AS BIGINT) AS total, n FROM s""")
 def figure_png(spark, sf):
     """SRC-01 to SRC-03, SRC-19: the drawn figures written as PNG files and read again, by line of pixels."""

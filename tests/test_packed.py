@@ -139,3 +139,21 @@ def test_cut_by_levels_equals_the_recursive_one(spark, strip):
     want = sorted((k, *n) for k, g in grids.items() for n in layout.cut_tree(packed.ink_of(g)))
     got = sorted((q.image, q.node, q.parent, q.type, q.depth, q.x, q.y, q.width, q.height) for q in packed.xy_cut(lines, strip=strip).collect())
     assert got == want and len(want) > 12
+
+
+@pytest.mark.parametrize("strip", [5, 64])
+def test_blur(spark, grids, strip):
+    """Against plain sums over both axes, with repeated edges; a sigma of 0 or null changes nothing."""
+    sigma = {"f0.png": 1.3, "f1.png": 2.0, "f2.png": 1.0, "f3.png": 0.0, "blank.png": None}
+    rows = [(k, y, g.shape[1], g.shape[0], bytearray(g[y].tobytes())) for k, g in grids.items() for y in range(g.shape[0])]
+    lines = spark.createDataFrame(rows, "image string, y int, width int, height int, rgba binary")
+    got = {(r.image, r.y): np.frombuffer(r.rgba, np.uint8).reshape(-1, 4) for r in packed.blurred(lines, spark.createDataFrame(list(sigma.items()), "image string, sigma double"), 2.0, strip).collect()}
+    assert len(got) == len(rows)
+    for k, g in grids.items():
+        want = g.astype(np.int64)
+        for axis in (1, 0) if sigma[k] else ():
+            w = packed.kernel(sigma[k])
+            assert sum(w) == 65536 and w == w[::-1]
+            r, n = len(w) // 2, want.shape[axis]
+            want = sum(p * np.take(want, np.clip(np.arange(n) + i - r, 0, n - 1), axis) for i, p in enumerate(w)) + 32768 >> 16
+        assert all((got[k, y] == want[y]).all() for y in range(g.shape[0]))
