@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rasterlake.functions import exprs as X
 from rasterlake.operators import greedy
+from rasterlake.sources import store
 
 
 def contain(points: DataFrame, boxes: DataFrame, px: str, py: str, box: tuple[str, str, str, str], cell: float, tolerance: float = 0.0) -> DataFrame:
@@ -140,9 +141,16 @@ def ancestors(nodes: DataFrame, node: str, parent: str, levels: int) -> DataFram
 
 
 def resolved(nodes: DataFrame, node: str, parent: str, value: str, deepest: int = 1000) -> DataFrame:
-    """node and its own value, else that of its nearest ancestor that has one, else null (JON-13); an empty value is none. One
-    equi-join a level, over the nodes that still look for a value; fails where a tree is deeper than deepest."""
-    table = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.nullif(F.col(value), F.lit("")).alias("value"))
-    sql = f"""WITH RECURSIVE up(node, next, value) MAX RECURSION LEVEL {deepest} AS (SELECT node, parent, value FROM {{table}} UNION ALL
-    SELECT up.node, n.parent, n.value FROM up JOIN {{table}} n ON n.node = up.next WHERE up.value IS NULL) SELECT node, max(value) AS value FROM up GROUP BY node"""
-    return nodes.sparkSession.sql(sql, table=table)
+    """node and its own value, else that of its nearest ancestor that has one, else null (JON-13); an empty value is none. Each round
+    joins the nodes that still look for a value with what they have reached, which doubles the way, and is written; fails where
+    nodes still look after deepest ancestors, as in a cycle."""
+    state = nodes.select(F.col(node).alias("node"), F.col(parent).alias("next"), F.nullif(F.col(value), F.lit("")).alias("value"))
+    looking = "value IS NULL AND next IS NOT NULL"
+    for _ in range(max(deepest - 1, 1).bit_length() + 1):
+        state = store.saved(state, "ancestors")
+        if state.filter(looking).isEmpty():
+            return state.groupBy("node").agg(F.max("value").alias("value"))
+        up = state.select(F.col("node").alias("next"), F.col("next").alias("further"), F.col("value").alias("found")).hint("merge")
+        moved = state.filter(looking).join(up, "next", "left").select("node", F.col("further").alias("next"), F.col("found").alias("value"))
+        state = state.filter(f"NOT ({looking})").unionByName(moved)
+    raise ValueError(f"a tree is deeper than {deepest}")
