@@ -49,7 +49,9 @@ def event_roles(texts: DataFrame, panels: DataFrame, sizes: DataFrame) -> DataFr
     40 % of its width), axis_label (in the lower 20 % of a panel), else annotation. A panel label wins over a title, as it comes later.
     texts: image, item, x, y, width, height (boxes)."""
     t = texts.join(sizes.select("image", F.col("width").alias("iw"), F.col("height").alias("ih")), "image").withColumn("cx", center_x()).withColumn("cy", center_y())
-    wide, narrow = (F.col("y") < F.col("ih") * 0.1) & (F.col("width") > F.col("iw") * 0.5), (F.col("y") < F.col("ih") * 0.14) & (F.col("width") > F.col("iw") * 0.45)
+    # shares in whole hundredths: 600 * 0.14 is over 84 in doubles
+    upper, length = F.col("y") * 100, F.col("width") * 100
+    wide, narrow = (upper < F.col("ih") * 10) & (length > F.col("iw") * 50), (upper < F.col("ih") * 14) & (length > F.col("iw") * 45)
     t = t.withColumn("title", F.when(F.max(wide).over(Window.partitionBy("image")), wide).otherwise(narrow))
     j = t.join(_panels(panels), "image", "left")
     across = F.col("cx").between(F.col("px"), F.col("px") + F.col("pwidth"))

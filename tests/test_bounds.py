@@ -2,7 +2,14 @@
 
 import pytest
 
-from rasterlake.operators import spatial
+from rasterlake.operators import panels, spatial
+
+
+def test_a_text_on_the_edge_of_the_upper_share_is_no_title(spark):
+    texts = spark.createDataFrame([(1, 1, 700.0, 84.0, 406.0, 9.0), (1, 2, 700.0, 83.0, 406.0, 9.0), (1, 3, 700.0, 83.0, 405.0, 9.0)], "image long, item long, x double, y double, width double, height double")
+    sizes = spark.createDataFrame([(1, 900, 600)], "image long, width int, height int")
+    none = spark.createDataFrame([], "image long, panel string, ord int, x double, y double, width double, height double")
+    assert {r.item: r.role for r in panels.event_roles(texts, none, sizes).collect()} == {1: "annotation", 2: "title", 3: "annotation"}
 
 
 def test_properties_of_more_nodes_than_a_recursive_query_may_hold(spark):
