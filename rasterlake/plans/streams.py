@@ -12,7 +12,8 @@ from rasterlake.streaming import scores
 def streamed_decisions(spark, sf):
     """CLS-04 on a stream: documents arrive as files and their decisions are written as they come; no state is kept."""
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    # a pattern, as the table may be a file or a folder of files: a stream takes a plain path for a folder
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/documents.parque[t]")
     decided = scores.decide_stream(stream, ["doc_id"], _document_rules()).select("doc_id", "top", "score", "decision")
     folder = images.work_folder(spark)
     decided.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()

@@ -1,9 +1,14 @@
 """Results on bounds, larger tables and tables that are folders."""
 
+import os
+
 import pytest
 
+from rasterlake import plans
 from rasterlake.operators import panels, spatial
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_a_text_on_the_edge_of_the_upper_share_is_no_title(spark):
     texts = spark.createDataFrame([(1, 1, 700.0, 84.0, 406.0, 9.0), (1, 2, 700.0, 83.0, 406.0, 9.0), (1, 3, 700.0, 83.0, 405.0, 9.0)], "image long, item long, x double, y double, width double, height double")
@@ -12,6 +17,13 @@ def test_a_text_on_the_edge_of_the_upper_share_is_no_title(spark):
     assert {r.item: r.role for r in panels.event_roles(texts, none, sizes).collect()} == {1: "annotation", 2: "title", 3: "annotation"}
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_streamed_documents_may_be_a_folder(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got, want = (plans.QUERIES["streamed_decisions"](spark, d).collect() for d in (f"file://{tmp_path}", SF))
+    assert want and sorted(got) == sorted(want)
+
+
 def test_properties_of_more_nodes_than_a_recursive_query_may_hold(spark):
     limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
     spark.conf.set("spark.sql.cteRecursionRowLimit", "20")
