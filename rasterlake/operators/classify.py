@@ -143,7 +143,8 @@ def classify(features: DataFrame, keys: list[str], min_confidence: float = 0.52,
     d = d.withColumn("ranked", ranked).withColumn("top", F.get("ranked", F.lit(0))["id"])
     scores = F.transform("ranked", lambda s: -s["neg"])
     low = F.coalesce(F.array_min(F.filter(scores, lambda v: v > 0)), F.array_min(scores))
-    total = F.aggregate(scores, F.lit(0.0), lambda a, v: a + F.greatest(v - F.col("low"), F.lit(0.0)))
+    # added in the order of RULES: another one changes the last digit, and with it confidences that lie on a bound
+    total = reduce(lambda a, t: a + F.greatest(F.col(t) - F.col("low"), F.lit(0.0)), RULES, F.lit(0.0))
     d = d.withColumn("low", low).withColumn("total", total).withColumn("score", F.get(scores, F.lit(0))).withColumn("margin", F.get(scores, F.lit(0)) - F.get(scores, F.lit(1)))
     share = F.when(F.col("total") > 0, F.greatest(F.col("score") - F.col("low"), F.lit(0.0)) / F.col("total")).otherwise(1.0 / len(RULES))
     product = lambda rules: reduce(lambda a, b: a * b, [F.when(F.expr(c), f).otherwise(1.0) for c, f in rules], F.lit(1.0))

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from rasterlake import plans
-from rasterlake.operators import panels, spatial
+from rasterlake.operators import classify, panels, spatial
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,6 +24,12 @@ def test_streamed_documents_may_be_a_folder(spark, tmp_path):
     assert want and sorted(got) == sorted(want)
 
 
+def test_confidence_on_the_bound_is_enough(spark):
+    d = spark.sql("SELECT 1 AS image, 4L AS long_v, 0L AS long_h, 1L AS short_v, 9L AS short_h, 167L AS colors, 1400 AS width, 700 AS height, 0.36D AS ink, 0.39D AS saturated, 0.17D AS aligned, CAST(array() AS array<string>) AS tokens")
+    r = classify.classify(d, ["image"]).first()
+    assert (round(r.confidence, 6), r.decision) == (0.52, "t_3gpp_events_3panel")
+
+
 def test_properties_of_more_nodes_than_a_recursive_query_may_hold(spark):
     limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
     spark.conf.set("spark.sql.cteRecursionRowLimit", "20")
