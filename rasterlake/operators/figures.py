@@ -114,9 +114,11 @@ def architecture(sizes: DataFrame, fields: DataFrame, any_size: bool = False) ->
     """Element rows of architecture figures (RND-06): three panels with bullets and four work packages with goal and output. sizes: image,
     width, height, 1920 x 1080 unless any_size; fields: image, field, value, as extract.architecture_fields() gives them."""
     s = sizes if any_size else sizes.filter("width = 1920 AND height = 1080")
+    fields = render.many(fields)
     boxes = extract.architecture_layout(s)
-    value = lambda suffix, alias: fields.filter(F.endswith("field", F.lit(suffix))).select("image", F.regexp_extract("field", rf"^(?:panel|wp)_(.*){suffix}$", 1).alias("region"), F.col("value").alias(alias))
-    d = boxes.join(value("_title", "title"), ["image", "region"], "left").join(value("_bullets", "bullets"), ["image", "region"], "left").join(value("_goal", "goal"), ["image", "region"], "left").join(value("_output", "output"), ["image", "region"], "left")
+    parts = fields.select("image", F.regexp_extract_all("field", F.lit(r"^(?:panel|wp)_(.*)_(title|bullets|goal|output)$"), 1).alias("of"), F.substring_index("field", "_", -1).alias("part"), "value").filter(F.size("of") > 0)
+    parts = parts.groupBy("image", F.get("of", F.lit(0)).alias("region")).agg(*[F.max(F.when(F.col("part") == n, F.col("value"))).alias(n) for n in ("title", "bullets", "goal", "output")])
+    d = boxes.join(parts, ["image", "region"], "left")
     x, y, w, region = F.col("x"), F.col("y"), F.col("width"), F.col("region")
     bullets = d.filter("bullets IS NOT NULL").select("*", F.posexplode(F.split("bullets", "\n")).alias("k", "bullet"))
     heads = s.join(fields.filter("field IN ('title', 'subtitle')"), "image")
@@ -134,6 +136,7 @@ def architecture(sizes: DataFrame, fields: DataFrame, any_size: bool = False) ->
 def agent_loop(sizes: DataFrame, fields: DataFrame) -> DataFrame:
     """Element rows of agent loops (RND-07): four boxes, and the signals between agent and environment. fields: image, field, value, as
     extract.loop_fields() gives them; an empty value switches constraint or buffer off."""
+    fields = render.many(fields)
     boxes = extract.loop_layout(sizes).join(fields.select("image", F.col("field").alias("region"), "value"), ["image", "region"], "left")
     boxes = boxes.filter("region IN ('agent', 'environment') OR coalesce(value, '') <> ''")
     x, y, w, h, region = F.col("x"), F.col("y"), F.col("width"), F.col("height"), F.col("region")

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 LAYERS = ("g_axes", "g_curves", "g_annotations", "g_text", "g_markers")
 
 
+def many(df: DataFrame) -> DataFrame:
+    """A table with rows for every figure, which joins must not gather on the driver: files of few bytes may hold very many rows, so their size
+    doesn't tell."""
+    return df.hint("merge")
+
+
 def grid_cells(sizes: DataFrame, width: str, height: str, rows: int, cols: int) -> DataFrame:
     """Cells of a rows x cols grid for each canvas (EXT-07): row, col, x, y, w, h by the margin rules."""
     m = lambda c, r, least: F.greatest((F.col(c) * r).cast("int"), F.lit(least))

@@ -118,7 +118,7 @@ def auto_figures(spark, sf):
 
 
 def _documents(rows, sizes, key="image"):
-    return render.documents(rows.join(sizes.select(key, "width", "height"), key), key, "layer", ["o"], "body", F.col("width"), F.col("height"))
+    return render.documents(rows.join(render.many(sizes.select(key, "width", "height")), key), key, "layer", ["o"], "body", F.col("width"), F.col("height"))
 
 
 @query(f"""WITH {_CANVAS}, r AS (SELECT unnest(['A', 'B', 'C', 'container', 'WP1', 'WP2', 'WP3', 'WP4']) AS region) SELECT image, 8 AS boxes, CASE WHEN image % 5 = 0 THEN 2 ELSE 0 END AS heads, CAST(w AS INTEGER) AS width FROM s""")

@@ -5,7 +5,8 @@ import os
 import pytest
 
 from rasterlake import plans
-from rasterlake.operators import classify, panels, spatial
+from rasterlake.operators import candidates, classify, figures, panels, spatial
+from rasterlake.plans import cases
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +48,18 @@ def test_properties_of_nodes_without_ancestors_and_of_cycles(spark):
     cycle = spark.createDataFrame([(1, 2, None), (2, 1, None)], "node long, parent long, value string")
     with pytest.raises(ValueError, match="deeper"):
         spatial.resolved(cycle, "node", "parent", "value", 8)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_of_every_figure_are_not_gathered_on_the_driver(spark):
+    sizes = spark.range(3).selectExpr("id AS image", "1920 AS width", "1080 AS height")
+    architecture = spark.range(3).selectExpr("id AS image", "explode(array('title', 'panel_A_title', 'panel_A_bullets', 'wp_WP1_goal')) AS field", "'a' AS value")
+    loop = spark.range(3).selectExpr("id AS image", "explode(array('title', 'agent', 'action')) AS field", "'a' AS value")
+    for rows in (figures.architecture(sizes, architecture), figures.agent_loop(sizes, loop)):
+        done = cases._documents(rows, sizes)
+        assert "BroadcastExchange" not in plan(done) and done.count() == 3
+    attempts = spark.range(3).selectExpr("id AS case", "'t' AS template", "1.0D AS score", "CAST(NULL AS string) AS stage", "0L AS errors", "0L AS warnings", "0.1D AS rmse", "0.1D AS bad", "'pass' AS status")
+    assert "BroadcastExchange" not in plan(candidates.choose(attempts, spark.range(3).selectExpr("id AS case")))
