@@ -68,12 +68,12 @@ def run(attempts: DataFrame, lines: DataFrame, texts: DataFrame, builders: dict[
     attempts: case, template, score; lines: packed lines with image as the case; texts: image (the case), item, text,
     conf, x, y, width, height. builders: extraction and rendering by template; an attempt of another template fails with E5107. gates:
     largest rmse and share of bad pixels, and tolerance; none leaves the gate out. expected_texts: case and texts_detected."""
-    a = store.saved(attempts.select("case", "template", "score").withColumn("attempt", _id()), "attempts")
-    sizes = lines.groupBy(F.col("image").alias("case")).agg(F.max("width").alias("width"), F.max("height").alias("height"))
+    a = render.many(store.saved(attempts.select("case", "template", "score").withColumn("attempt", _id()), "attempts"))
+    sizes = render.many(lines.groupBy(F.col("image").alias("case")).agg(F.max("width").alias("width"), F.max("height").alias("height")))
     failed = [a.filter(~F.col("template").isin(*builders)).select("attempt", F.lit("extract").alias("stage"), F.lit("E5107").alias("code"), F.concat(F.lit("no driver for "), "template").alias("message"))]
     failed.append(a.join(sizes, "case", "left_anti").filter(F.col("template").isin(*builders)).select("attempt", F.lit("extract").alias("stage"), F.lit("E1000").alias("code"), F.lit("no figure").alias("message")))
-    live = a.join(reduce(DataFrame.unionByName, failed), "attempt", "left_anti")
-    own = lambda df, mine, key="image": df.withColumnRenamed(key, "case").join(mine.select("case", "attempt"), "case").drop("case").withColumnRenamed("attempt", "image")
+    live = render.many(a.join(reduce(DataFrame.unionByName, failed), "attempt", "left_anti"))
+    own = lambda df, mine, key="image": df.withColumnRenamed(key, "case").join(render.many(mine.select("case", "attempt")), "case").drop("case").withColumnRenamed("attempt", "image")
     # extract and render, template by template: there are as many as builders, whatever the number of cases
     made = []
     for name in sorted(r.template for r in live.select("template").distinct().collect()):
@@ -82,27 +82,27 @@ def run(attempts: DataFrame, lines: DataFrame, texts: DataFrame, builders: dict[
         made.append(built.rows.select(F.col("image").cast("string").alias("attempt"), "layer", "o", "body"))
         if built.failures is not None:
             failed.append(built.failures.select(F.col("image").cast("string").alias("attempt"), F.lit("extract").alias("stage"), "code", "message"))
-    failures = store.saved(reduce(DataFrame.unionByName, failed).groupBy("attempt").agg(F.min(F.struct("stage", "code", "message")).alias("f")).select("attempt", "f.*"), "failures")
+    failures = render.many(store.saved(reduce(DataFrame.unionByName, failed).groupBy("attempt").agg(F.min(F.struct("stage", "code", "message")).alias("f")).select("attempt", "f.*"), "failures"))
     none = a.select("attempt", F.lit("").alias("layer"), F.lit(0.0).alias("o"), F.lit("").alias("body")).limit(0)
-    rows = store.saved(reduce(DataFrame.unionByName, [*made, none]).join(failures, "attempt", "left_anti"), "elements")
-    live = live.join(failures, "attempt", "left_anti")
+    rows = render.many(store.saved(reduce(DataFrame.unionByName, [*made, none]).join(failures, "attempt", "left_anti"), "elements"))
+    live = render.many(live.join(failures, "attempt", "left_anti"))
     placed = rows.join(live.join(sizes, "case").select("attempt", "width", "height"), "attempt")
-    svg = store.saved(render.documents(placed, "attempt", "layer", ["o"], "body", F.col("width"), F.col("height")), "svg")
+    svg = render.many(store.saved(render.documents(placed, "attempt", "layer", ["o"], "body", F.col("width"), F.col("height")), "svg"))
     failures = failures.unionByName(live.join(svg, "attempt", "left_anti").select("attempt", F.lit("render").alias("stage"), F.lit("E5199").alias("code"), F.lit("nothing was drawn").alias("message")))
     # validate
-    elements = store.saved(markup.elements(svg, "attempt", "svg"), "parsed")
+    elements = render.many(store.saved(markup.elements(svg, "attempt", "svg"), "parsed"))
     expected = None if expected_texts is None else expected_texts.join(a, "case").select(F.col("attempt").alias("doc"), "texts_detected")
     report = rules.report(elements, rules.validate_elements(elements, CONTRACT | (contract or {}), expected)).select(F.col("doc").alias("attempt"), "errors", "warnings")
-    out = a.join(failures, "attempt", "left").join(svg, "attempt", "left").join(report, "attempt", "left")
+    out = a.join(failures, "attempt", "left").join(svg, "attempt", "left").join(render.many(report), "attempt", "left")
     # gate
     if gates is None:
         out = out.withColumns({"rmse": F.lit(None).cast("double"), "bad": F.lit(None).cast("double"), "gate": F.lit("skipped")})
     else:
-        drawn = store.saved(convert.raster_lines(svg, "attempt", "svg", seconds), "rasters")
+        drawn = render.many(store.saved(convert.raster_lines(svg, "attempt", "svg", seconds), "rasters"))
         broken = drawn.filter("error IS NOT NULL").select(F.col("image").alias("attempt"), F.col("error").alias("raster_error"))
         metrics = packed.diff(drawn.filter("error IS NULL").drop("error"), own(lines, live), gates[2]).withColumnRenamed("image", "attempt")
         late = F.when(F.startswith("raster_error", F.lit("TimedOut")), "E5198").otherwise("E3001")
-        out = out.join(metrics, "attempt", "left").join(broken, "attempt", "left").withColumn("gate", scoring.gate(F.col("rmse"), F.col("bad"), gates[0], gates[1]))
+        out = out.join(render.many(metrics), "attempt", "left").join(broken, "attempt", "left").withColumn("gate", scoring.gate(F.col("rmse"), F.col("bad"), gates[0], gates[1]))
         hurt = F.col("raster_error").isNotNull()
         out = out.withColumns({"stage": F.when(hurt, "gate").otherwise(F.col("stage")), "code": F.when(hurt, late).otherwise(F.col("code")), "message": F.coalesce("raster_error", "message")})
     good = F.col("stage").isNull() & (F.col("errors") == 0) & (F.lit(gates is None) | (F.col("gate") == "pass"))
@@ -115,11 +115,11 @@ def choose(attempts: DataFrame, cases: DataFrame, unknown: DataFrame | None = No
     E5104: a case without attempts; E5105: none passed validation; E5107: in unknown (case); E5108: none passed the gate, in which case
     there is a template only with allow_failed_gate. attempts: as run() gives them."""
     valid = attempts.filter("stage IS NULL OR stage = 'gate'").filter("errors = 0")
-    best = batch.select(valid, "case", "metrics" if gated else "warnings")
-    seen = attempts.select("case").distinct().withColumn("tried", F.lit(True))
+    best = render.many(batch.select(valid, "case", "metrics" if gated else "warnings"))
+    seen = render.many(attempts.select("case").distinct().withColumn("tried", F.lit(True)))
     d = cases.select("case").join(best, "case", "left").join(seen, "case", "left")
     if unknown is not None:
-        d = d.join(unknown.select("case", F.col("code").alias("known")).distinct(), "case", "left")
+        d = d.join(render.many(unknown.select("case", F.col("code").alias("known")).distinct()), "case", "left")
     else:
         d = d.withColumn("known", F.lit(None).cast("string"))
     code = F.coalesce("known", F.when(F.col("tried").isNull(), "E5104").when(F.col("template").isNull(), "E5105").when(F.col("status") != "pass", "E5108" if gated else "E5105"))

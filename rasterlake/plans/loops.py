@@ -39,7 +39,7 @@ def candidate_choice(spark, sf):
 
     def rect(width: str, height: str):
         def build(f: candidates.Figure) -> candidates.Made:
-            d = f.sizes.join(boxes, F.split_part("image", F.lit("|"), F.lit(1)) == F.col("name"))
+            d = f.sizes.join(render.many(boxes), F.split_part("image", F.lit("|"), F.lit(1)) == F.col("name"))
             # a dashed class without a pattern is a validation error
             attrs = {"id": F.lit("box"), "x": F.lit(4), "y": F.lit(4), "width": F.expr(width), "height": F.expr(height), "fill": F.lit("black"), "class": F.when(F.expr("k % 2 = 0") & F.lit(height != "h"), "dashed")}
             return candidates.Made(d.select("image", F.lit("g_axes").alias("layer"), F.lit(0.0).alias("o"), render.element("rect", attrs).alias("body")))
