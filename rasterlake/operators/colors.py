@@ -209,10 +209,12 @@ def label_color(role: Column, render: Column, estimated: Column, own: Column, se
 
 def snapped(color: Column) -> Column:
     """The nearest of PALETTE, the first on ties; black where it is no colour (PRJ-10)."""
-    number = lambda h, k: F.lit(int(h[2 * k + 1 : 2 * k + 3], 16))
-    parts = [F.conv(F.substring(color, 2 + 2 * k, 2), 16, 10).cast("int") for k in range(3)]
-    near = F.array_min(F.array(*[F.struct(sum(((parts[k] - number(h, k)) * (parts[k] - number(h, k)) for k in range(3)), F.lit(0)).alias("d"), F.lit(i).alias("i"), F.lit(h).alias("h")) for i, h in enumerate(PALETTE)]))
-    return F.when(color.rlike("^#[0-9a-fA-F]{6}"), near["h"]).otherwise("#000000")
+    # channels are parsed once, as a lambda's variable holds them; squared distance and place make one number each
+    rgb = F.array(*[F.conv(F.substring(color, 2 + 2 * k, 2), 16, 10).cast("int") for k in range(3)])
+    away = lambda c, k, h: (F.get(c, F.lit(k)) - int(h[2 * k + 1 : 2 * k + 3], 16)) * (F.get(c, F.lit(k)) - int(h[2 * k + 1 : 2 * k + 3], 16))
+    least = F.transform(F.array(rgb), lambda c: F.array_min(F.array(*[(away(c, 0, h) + away(c, 1, h) + away(c, 2, h)) * len(PALETTE) + i for i, h in enumerate(PALETTE)])))
+    near = F.get(F.array(*map(F.lit, PALETTE)), F.get(least, F.lit(0)) % len(PALETTE))
+    return F.when(color.rlike("^#[0-9a-fA-F]{6}"), near).otherwise("#000000")
 
 
 def dash_lines(ink: DataFrame, low: int = 6, high: int = 40, least: int = 6, span: float = 0.6, coverage: tuple[float, float] = (0.02, 0.35), gap: float = 0.5) -> DataFrame:

@@ -3,9 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from rasterlake import plans
-from rasterlake.operators import candidates, classify, figures, panels, spatial
+from rasterlake.operators import candidates, classify, colors, figures, panels, spatial
 from rasterlake.plans import cases
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +64,11 @@ def test_tables_of_every_figure_are_not_gathered_on_the_driver(spark):
         assert "BroadcastExchange" not in plan(done) and done.count() == 3
     attempts = spark.range(3).selectExpr("id AS case", "'t' AS template", "1.0D AS score", "CAST(NULL AS string) AS stage", "0L AS errors", "0L AS warnings", "0.1D AS rmse", "0.1D AS bad", "'pass' AS status")
     assert "BroadcastExchange" not in plan(candidates.choose(attempts, spark.range(3).selectExpr("id AS case")))
+
+
+def test_a_colour_is_parsed_once_for_the_palette(spark):
+    d = spark.sql("SELECT concat('#', lpad(hex(id * 7919 % 16777216), 6, '0')) AS c FROM range(500)").select("c", colors.snapped(F.col("c")).alias("s"))
+    assert plan(d).lower().count("conv(") <= 6
+    rgb = lambda h: [int(h[k : k + 2], 16) for k in (1, 3, 5)]
+    for r in d.collect():
+        assert r.s == min(colors.PALETTE, key=lambda h: sum((x - y) ** 2 for x, y in zip(rgb(r.c), rgb(h), strict=True)))
