@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rasterlake.functions import exprs as X
 from rasterlake.functions import labels
+from rasterlake.operators import render
 from rasterlake.sources import store
 
 #: The codes and what they mean (VAL-20).
@@ -65,6 +66,14 @@ def missing(docs: DataFrame, doc: str, required: list[str], present: DataFrame,
     return issue(d, doc, "E2003", F.col("__name"))
 
 
+def without(df: DataFrame, doc: str, required: list[str], name: Column) -> DataFrame:
+    """E2003 where the rows of documents themselves hold the names (null: none): one flag a required name, no join."""
+    names = list(dict.fromkeys(required))
+    d = df.select(doc, name.alias("__name")).groupBy(doc).agg(*[F.coalesce(F.bool_or(F.col("__name") == r), F.lit(False)).alias(f"__{i}") for i, r in enumerate(names)])
+    lost = F.array_compact(F.array(*[F.when(~F.col(f"__{i}"), r) for i, r in enumerate(names)]).cast("array<string>"))
+    return issue(d.select(doc, F.explode(lost).alias("__name")), doc, "E2003", F.col("__name"))
+
+
 def off_set(df: DataFrame, doc: str, value: str, allowed: list[float], tolerance: float) -> DataFrame:
     """E2006: one issue for each distinct value further than tolerance from all allowed ones."""
     near = reduce(lambda a, b: a | b, [F.abs(F.col(value) - v) <= tolerance for v in allowed])
@@ -188,26 +197,31 @@ def validate_elements(elements: DataFrame, contract: dict, expected: DataFrame |
         single.append(("E2015", (tag == "text") & font.isNotNull() & fine & ~has_generic(font, c["generic_font_families"]), "node"))
     if c["allowed_font_families"]:
         single.append(("E2004", (tag == "text") & a("font-family").isNotNull() & ~font_allowed(a("font-family"), c["allowed_font_families"]), "node"))
+    by = store.dealt(e, "doc")  # for what a whole document decides
     found = [
         _each(pointed, "doc", single),
-        missing(e, "doc", c["required_groups"], e.filter("tag = 'g'").select("doc", a("id").alias("name")), "name"),
-        too_many(e.select("doc", F.explode(F.array_compact(F.array(a("fill"), a("stroke")))).alias("color")).select("doc", X.parse_color(F.col("color")).alias("color")).filter("color <> 'none'"), "doc", "color", c["max_colors"]),
+        too_many(by.select("doc", F.explode(F.array_compact(F.array(a("fill"), a("stroke")))).alias("color")).select("doc", X.parse_color(F.col("color")).alias("color")).filter("color <> 'none'"), "doc", "color", c["max_colors"]),
     ]
-    texts = e.filter("tag = 'text'")
+    texts = by.filter("tag = 'text'")
+    if c["required_groups"]:
+        found.append(without(by, "doc", c["required_groups"], F.when(tag == "g", a("id"))))
     if c["require_text"]:
-        d = e.groupBy("doc").agg(F.count_if(F.col("tag") == "text").alias("n"))
+        d = by.groupBy("doc").agg(F.count_if(F.col("tag") == "text").alias("n"))
         found.append(where(d, "doc", "E2008", F.col("n") == 0, "n"))
     if expected is not None:
         n = texts.groupBy("doc").agg(F.count("*").alias("n"))
-        d = expected.select(F.col("doc").cast("string").alias("doc"), "texts_detected").join(n, "doc", "left").fillna(0, ["n"])
+        d = expected.select(F.col("doc").cast("string").alias("doc"), "texts_detected").join(render.many(n), "doc", "left").fillna(0, ["n"])
         found.append(text_count(d, "doc", "texts_detected", "n"))
-    lines = e.filter("tag = 'line'").select("doc", *[number(x).alias(x) for x in ("x1", "y1", "x2", "y2")], F.coalesce(a("stroke"), F.lit("")).alias("stroke"), F.coalesce(number("stroke-width"), F.lit(0.0)).alias("width"))
+    lines = by.filter("tag = 'line'").select("doc", *[number(x).alias(x) for x in ("x1", "y1", "x2", "y2")], F.coalesce(a("stroke"), F.lit("")).alias("stroke"), F.coalesce(number("stroke-width"), F.lit(0.0)).alias("width"))
     found.append(simulated_dashes(axis_segments(lines, "doc", c["snap_tolerance"]), "doc", ["axis", "coord", "stroke", "width"], c["min_dash_segments"]))
-    spans = e.filter("tag = 'tspan'").select("doc", F.col("parent").alias("node"), F.col("node").alias("span"), number("y").alias("span_y")).filter("span_y IS NOT NULL").groupBy("doc", "node").agg(F.min_by("span_y", "span").alias("span_y"))
-    baselines = texts.select("doc", "node", number("y").alias("y"), F.nullif(F.trim(own("dominant-baseline")), F.lit("")).alias("dominant")).join(spans, ["doc", "node"], "left").withColumn("y", F.coalesce("y", "span_y"))
+    # a text without y has its first span's; spans meet their text by one grouping
+    own_y = F.when(tag == "tspan", number("y"))
+    told = by.filter("tag IN ('text', 'tspan')").groupBy("doc", F.when(tag == "text", F.col("node")).otherwise(F.col("parent")).alias("node"))
+    told = told.agg(F.bool_or(tag == "text").alias("text"), F.max(F.when(tag == "text", number("y"))).alias("y"), F.min_by(own_y, F.when(own_y.isNotNull(), F.col("node"))).alias("span_y"), F.max(F.when(tag == "text", F.nullif(F.trim(own("dominant-baseline")), F.lit("")))).alias("dominant"))
+    baselines = told.filter("text").withColumn("y", F.coalesce("y", "span_y"))
     found.append(misaligned(baselines, "doc", c["baseline_tolerance"]))
     if c["allowed_stroke_widths"]:
-        stroked = e.filter(F.coalesce(a("stroke"), F.lit("none")) != "none").select("doc", number("stroke-width").alias("w")).filter("w IS NOT NULL")
+        stroked = by.filter(F.coalesce(a("stroke"), F.lit("none")) != "none").select("doc", number("stroke-width").alias("w")).filter("w IS NOT NULL")
         found.append(off_set(stroked, "doc", "w", c["allowed_stroke_widths"], c["stroke_width_tolerance"]))
     return reduce(DataFrame.unionByName, found)
 

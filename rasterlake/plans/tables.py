@@ -200,7 +200,7 @@ def rule_codes(spark, sf):
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    d = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.row_number().over(w) - 1).alias("node"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("l"), F.col("l_quantity").alias("q"), F.round(F.col("l_tax") * 100).cast("int").alias("t"))
+    d = store.dealt(table(spark, sf, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("doc"), (F.row_number().over(w) - 1).alias("node"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("l"), F.col("l_quantity").alias("q"), F.round(F.col("l_tax") * 100).cast("int").alias("t"))
     p, s, t, q = (F.col(c) for c in "pstq")
     n = F.col("node").cast("string")
     tag = F.get(F.array(*map(F.lit, ("text", "tspan", "path", "line", "polyline", "g", "image", "linearGradient"))), (p % 8).cast("int"))
@@ -217,7 +217,6 @@ def rule_codes(spark, sf):
     full = F.map_filter(F.create_map(*[v for k, c in attrs.items() for v in (F.lit(k), c)]), lambda k, v: v.isNotNull())
     none = F.lit(None).cast("int")
     e = d.select(F.col("doc").cast("string").alias("doc"), "node", none.alias("parent"), tag.alias("tag"), full.alias("attrs"), F.when(F.col("l") % 4 == 0, "two\nlines").otherwise("one").alias("text"), F.when(s % 2 == 0, F.array(F.lit("g_text"))).otherwise(F.array().cast("array<string>")).alias("groups"), F.create_map().cast("map<string,string>").alias("inherited"))
-    e = store.saved(e, "elements")
     contract = {"forbid_elements": ["image"], "forbid_element_prefixes": ["linear"], "required_groups": ["g_axes", "g_text"], "allowed_font_families": ["Arial"], "generic_font_families": ["serif", "sans-serif"], "allowed_stroke_widths": [1.0, 2.0], "text_group": "g_text", "min_dash_segments": 100}
     expected = d.select("doc").distinct().select("doc", (F.col("doc") % 5).alias("texts_detected"))
     return rules.validate_elements(e, contract, expected).groupBy("code").agg(F.count("*").alias("n"), F.sum(F.col("doc").cast("long")).alias("docs"))

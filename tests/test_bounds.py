@@ -1,13 +1,15 @@
 """Results on bounds, larger tables and tables that are folders."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from rasterlake import plans
-from rasterlake.operators import candidates, classify, colors, figures, panels, spatial
+from rasterlake.operators import candidates, classify, colors, figures, normal, panels, sequence, spatial
 from rasterlake.plans import cases
+from rasterlake.sources import store
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +74,43 @@ def test_a_colour_is_parsed_once_for_the_palette(spark):
     rgb = lambda h: [int(h[k : k + 2], 16) for k in (1, 3, 5)]
     for r in d.collect():
         assert r.s == min(colors.PALETTE, key=lambda h: sum((x - y) ** 2 for x, y in zip(rgb(r.c), rgb(h), strict=True)))
+
+
+def shuffles(df):
+    """Numbers of partitions of the plan's shuffles on keys."""
+    return [int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan(df))]
+
+
+@pytest.fixture
+def few_rows(monkeypatch):
+    """A task is to hold about 300 rows."""
+    monkeypatch.setattr(store, "ROWS", 300)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name, last, least", [("rule_codes", 1, 20), ("rule_report", 1, 20), ("position_clusters", 0, 5), ("dash_arrays", 0, 20), ("panel_issues", 1, 20), ("normal_flows", 0, 20)])
+def test_tasks_do_not_grow_with_the_table(spark, few_rows, name, last, least):
+    """All shuffles are dealt by rows, but for the last one on a handful of codes."""
+    done = plans.QUERIES[name](spark, SF)
+    dealt = sorted(shuffles(done))
+    assert "BroadcastExchange" not in plan(done)
+    assert dealt[last:] and all(n >= least for n in dealt[last:]) and len(dealt[:last]) == last
+
+
+def test_interpolated_positions_in_proportion(spark):
+    """Neighbours are found among the values, not once more for every position between them."""
+    series = spark.createDataFrame([(1, 1, None), (1, 3, 2.0), (1, 4, None), (1, 7, 6.0), (1, 9, None), (2, 5, 1.5), (None, 1, 1.0), (None, 3, 2.0), (3, None, 4.0)], "k int, p long, v double")
+    got = sorted(((r.k or 0, r.p, r.v, r.made) for r in sequence.interpolate(series, ["k"], "p", "v").collect()))
+    want = [(0, p, None, True) for p in (1, 2, 3)] + [(1, 1, None, True), (1, 2, None, True), (1, 3, 2.0, False), (1, 4, 3.0, True), (1, 5, 4.0, True), (1, 6, 5.0, True), (1, 7, 6.0, False), (1, 8, None, True), (1, 9, None, True), (2, 5, 1.5, False)]
+    assert got == want
+    p = plan(sequence.interpolate(series, ["k"], "p", "v"))
+    assert "Join" not in p and "unboundedfollowing" not in p
+
+
+def test_edges_meet_nodes_as_a_join_does(spark):
+    """Two nodes of one name give an edge each; an end without a node keeps its point."""
+    nodes = spark.createDataFrame([(1, "a", 0.0, 0.0, 10.0, 10.0), (1, "a", 100.0, 0.0, 10.0, 10.0), (1, "b", 50.0, 50.0, 20.0, 20.0)], "k int, id string, x double, y double, width double, height double")
+    edge = "array(named_struct('x', 1D, 'y', 2D), named_struct('x', 31D, 'y', 42D))"
+    edges = spark.sql(f"SELECT k, a, b, {edge} AS points, false AS dashed, CAST(NULL AS array<double>) AS dasharray, 2D AS stroke_width FROM VALUES (1, 'a', 'b'), (1, 'gone', NULL), (2, 'a', 'b') t(k, a, b)")
+    got = sorted((r.k, r.a, [(p.x, p.y) for p in r.points]) for r in normal.normal_flow(nodes, edges, "k", 5.0)[1].collect())
+    assert got == [(1, "a", [(5.0, 5.0), (60.0, 60.0)]), (1, "a", [(105.0, 5.0), (60.0, 60.0)]), (1, "gone", [(0.0, 0.0), (30.0, 40.0)]), (2, "a", [(0.0, 0.0), (30.0, 40.0)])]
