@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rasterlake.operators import scoring, sequence
 from rasterlake.plans.common import day, query, sql_day, table
+from rasterlake.sources import store
 
 RUNS = """e AS (SELECT user_id, value > 100 AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),
 g AS (SELECT *, pos - row_number() OVER (PARTITION BY user_id, value ORDER BY pos) AS island FROM e),
@@ -50,7 +51,7 @@ def _clusters(gap, centre):
 @query(f"SELECT gap, o_custkey, CAST(cluster AS BIGINT) AS cluster, first, last, n, centre FROM ({_clusters(1, 'round_even(avg(d), 0)')} UNION ALL {_clusters(3, 'trunc(avg(d))')})")
 def position_clusters(spark, sf):
     """WIN-02 in both presets: gap 1 with rounded centres, gap 3 with truncated ones."""
-    d = table(spark, sf, "orders").select("o_custkey", day("o_orderdate").alias("d"))
+    d = store.dealt(table(spark, sf, "orders"), "o_custkey").select("o_custkey", day("o_orderdate").alias("d"))
     parts = [sequence.gap_clusters(d, ["o_custkey"], "d", g, r).withColumn("gap", F.lit(g)) for g, r in ((1, "half_even"), (3, "truncate"))]
     return parts[0].unionByName(parts[1]).select("gap", "o_custkey", "cluster", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "n", "centre")
 
