@@ -7,6 +7,8 @@ whose length is the number of positions (columns of an image, days), not of rows
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,18 +108,22 @@ def argmin_near(series: DataFrame, keys: list[str], pos: str, value: str, low: C
 
 
 def interpolate(series: DataFrame, keys: list[str], pos: str, value: str) -> DataFrame:
-    """Every integer position from the first to the last, missing values on the line between neighbours (WIN-16)."""
-    full = series.groupBy(*keys).agg(F.min(pos).alias("__a"), F.max(pos).alias("__b")).select(*keys, F.explode(F.sequence("__a", "__b")).alias(pos))
-    d = full.join(series.select(*keys, pos, F.col(value).alias("__v")), [*keys, pos], "left")
-    w = Window.partitionBy(*keys).orderBy(pos)
-    back, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    here = F.when(F.col("__v").isNotNull(), F.col(pos))
-    d = d.withColumn("__x0", F.last(here, True).over(back)).withColumn("__x1", F.first(here, True).over(on)).withColumn("__y0", F.last("__v", True).over(back)).withColumn("__y1", F.first("__v", True).over(on))
-    made = F.col("__y0") + (F.col("__y1") - F.col("__y0")) * (F.col(pos) - F.col("__x0")) / (F.col("__x1") - F.col("__x0"))
-    return d.select(*keys, pos, F.coalesce("__v", made).alias(value), F.col("__v").isNull().alias("made"))
-
-
-def dash_stats(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Every integer position from the first to the last, missing values on the line between neighbours (WIN-16). Neighbours are found among the
+    given positions, in either order of them, and each spans the positions up to the next; a null key has no values."""
+    here = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
+    d = series.filter(F.col(pos).isNotNull()).select(*keys, pos, F.when(here, F.col(value)).alias("__v"))
+    on, back = (Window.partitionBy(*keys).orderBy(order(pos)) for order in (F.asc, F.desc))
+    known = F.when(F.col("__v").isNotNull(), F.struct(F.col(pos).alias("x"), F.col("__v").alias("y")))
+    d = d.withColumn("__next", F.lead(pos).over(on)).withColumn("__a", F.last(known, True).over(on.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("__b", F.last(known, True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.withColumn("__at", F.explode(F.sequence(F.col(pos), F.greatest(F.col(pos), F.col("__next") - 1))))
+    own = F.when(F.col("__at") == F.col(pos), F.col("__v"))
+    a, b = F.col("__a"), F.col("__b")
+    made = a["y"] + (b["y"] - a["y"]) * (F.col("__at") - a["x"]) / (b["x"] - a["x"])
+    return d.select(*keys, F.col("__at").alias(pos), F.coalesce(own, made).alias(value), own.isNull().alias("made"))
+
+
+def dash_stats(runs: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     """Mean, population deviation and variation of the lengths of true runs and of the positive gaps between
     them (AGG-18), over runs (keys, start, len) of one value."""
     w = Window.partitionBy(*keys).orderBy("start")
