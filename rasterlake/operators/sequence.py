@@ -125,11 +125,11 @@ def interpolate(series: DataFrame, keys: list[str], pos: str, value: str) -> Dat
 
 def dash_stats(runs: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     """Mean, population deviation and variation of the lengths of true runs and of the positive gaps between
-    them (AGG-18), over runs (keys, start, len) of one value."""
+    them (AGG-18), over runs (keys, start, len) of one value. more: other aggregates of the runs."""
     w = Window.partitionBy(*keys).orderBy("start")
     d = runs.withColumn("gap", F.lead("start").over(w) - F.col("start") - F.col("len"))
     g = F.when(F.col("gap") > 0, F.col("gap"))
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("len").alias("dash"), F.stddev_pop("len").alias("dash_sd"), F.countDistinct("len").alias("lengths"), F.avg(g).alias("gap"), F.stddev_pop(g).alias("gap_sd"), F.count(g).alias("gaps"))
+    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("len").alias("dash"), F.stddev_pop("len").alias("dash_sd"), F.countDistinct("len").alias("lengths"), F.avg(g).alias("gap"), F.stddev_pop(g).alias("gap_sd"), F.count(g).alias("gaps"), *more)
 
 
 def standard(value: Column) -> Column:
@@ -140,8 +140,7 @@ def standard(value: Column) -> Column:
 def dash_array(runs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, pattern, confidence, dasharray of true runs (ALG-13): a dotted line's dash is 2, a uniform one's its mean; an alternating line of
     four dashes or more has the means of its shorter and longer half in turn. 4, 4 without a gap or below three dashes. A line's runs are few."""
-    lens = runs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("len").cast("double"))).alias("lens"))
-    d = dash_class(dash_stats(runs, keys)).join(lens, keys)
+    d = dash_class(dash_stats(runs, keys, F.sort_array(F.collect_list(F.col("len").cast("double"))).alias("lens")))
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
     half = (F.size("lens") / 2).cast("int")
     dash, gap = F.greatest(F.lit(2.0), standard(F.col("dash"))), F.greatest(F.lit(2.0), standard(F.col("gap")))

@@ -9,7 +9,7 @@ from rasterlake.operators import batch, convert, extract, figures, panels, raste
 from rasterlake.plans import drawings, labels
 from rasterlake.plans.common import query, table
 from rasterlake.plans.drawn import HEIGHT, SQL_PIXELS, WIDTH, figure_pixels
-from rasterlake.sources import datasets, images
+from rasterlake.sources import datasets, images, store
 
 _CANVAS = "s AS (SELECT p_partkey AS image, 700 + p_size * 61 AS w, 500 + p_partkey * 37 % 900 AS h FROM part)"
 
@@ -317,7 +317,7 @@ def dash_arrays(spark, sf):
     k = F.col("l_orderkey")
     i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     size = F.when(k % 3 == 0, 2).when(k % 3 == 1, 12).otherwise(F.when(F.col("l_linenumber") % 2 == 0, 4).otherwise(21))
-    d = sequence.dash_array(table(spark, sf, "lineitem").select(k.alias("k"), (i * 30).alias("start"), size.alias("len")), ["k"])
+    d = sequence.dash_array(store.dealt(table(spark, sf, "lineitem"), "l_orderkey").select(k.alias("k"), (i * 30).alias("start"), size.alias("len")), ["k"])
     return d.select("k", "pattern", F.array_join(F.col("dasharray").cast("array<string>"), ",").alias("dasharray"))
 
 
