@@ -54,19 +54,19 @@ def curve_path(points: Column) -> Column:
 def panel_issues(figures: DataFrame, panels: DataFrame, curves: DataFrame, key: str) -> DataFrame:
     """key, code of what a figure of panels lacks (RND-03). figures: key, width, height, t_start, t_trigger; panels: key, panel, x, y,
     width, height; curves: key, curve, points (array of struct x, y as ratios). Values that are no numbers are missing ones."""
-    found = lambda df, cond, code: df.filter(cond).select(key, F.lit(code).alias("code"))
-    n = figures.join(panels.groupBy(key).agg(F.count("*").alias("n")), key, "left").fillna(0, ["n"])
+    # no code is told by two of the tables, so each is made unique by itself
+    found = lambda df, *rules: df.select(key, F.explode(F.array_compact(F.array(*[F.when(cond, code) for code, cond in rules]))).alias("code")).distinct()
+    n = figures.join(render.many(panels.groupBy(key).agg(F.count("*").alias("n"))), key, "left").fillna(0, ["n"])
     lacks = F.col("x").isNull() | F.col("y").isNull() | F.col("pw").isNull() | F.col("ph").isNull()
-    p = panels.withColumnsRenamed({"width": "pw", "height": "ph"}).join(figures, key)
+    p = panels.withColumnsRenamed({"width": "pw", "height": "ph"}).join(render.many(figures.select(key, "width", "height")), key)
     ratio = lambda c: F.col(c).isNotNull() & ~F.col(c).between(0, 1)
     out_of = F.exists("points", lambda q: ~q["x"].between(0, 1) | ~q["y"].between(0, 1))
     rules = [
-        found(n, F.col("n") != 3, "E2101"), found(p, lacks, "E2103"), found(p, (F.col("pw") <= 0) | (F.col("ph") <= 0), "E2105"), found(p, (F.col("x") < 0) | (F.col("y") < 0), "E2106"),
-        found(p, (F.col("x") + F.col("pw") > F.col("width")) | (F.col("y") + F.col("ph") > F.col("height")), "E2107"), found(figures, F.col("t_start").isNull() | F.col("t_trigger").isNull(), "E2110"),
-        found(figures, ratio("t_start") | ratio("t_trigger"), "E2112"), found(figures, F.col("t_start") >= F.col("t_trigger"), "E2113"), found(curves, F.size(F.coalesce("points", F.array().cast(curves.schema["points"].dataType))) < 2, "E2121"),
-        found(curves, F.exists("points", lambda q: q["x"].isNull() | q["y"].isNull()), "E2123"), found(curves, F.coalesce(out_of, F.lit(False)), "E2125"),
+        found(n, ("E2101", F.col("n") != 3), ("E2110", F.col("t_start").isNull() | F.col("t_trigger").isNull()), ("E2112", ratio("t_start") | ratio("t_trigger")), ("E2113", F.col("t_start") >= F.col("t_trigger"))),
+        found(p, ("E2103", lacks), ("E2105", (F.col("pw") <= 0) | (F.col("ph") <= 0)), ("E2106", (F.col("x") < 0) | (F.col("y") < 0)), ("E2107", (F.col("x") + F.col("pw") > F.col("width")) | (F.col("y") + F.col("ph") > F.col("height")))),
+        found(curves, ("E2121", F.size(F.coalesce("points", F.array().cast(curves.schema["points"].dataType))) < 2), ("E2123", F.exists("points", lambda q: q["x"].isNull() | q["y"].isNull())), ("E2125", out_of)),
     ]
-    return reduce(DataFrame.unionByName, rules).distinct()
+    return reduce(DataFrame.unionByName, rules)
 
 
 def event_panels(figures: DataFrame, panels: DataFrame, curves: DataFrame, thresholds: DataFrame, key: str) -> DataFrame:

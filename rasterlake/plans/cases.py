@@ -181,11 +181,13 @@ SELECT code, count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM i GROUP BY code""")
 def panel_issues(spark, sf):
     """RND-03: issues of the parameters of figures of panels."""
     k = F.col("o_orderkey")
-    f = table(spark, sf, "orders").select(k.alias("k"), F.lit(500).alias("width"), F.lit(500).alias("height"), F.when(k % 11 > 0, k % 13 / 10.0).alias("t_start"), (k % 7 / 6.0).alias("t_trigger"))
-    p = table(spark, sf, "lineitem").filter("l_linenumber <= 4").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("panel"), (F.col("l_quantity") * 9 - 20).alias("x"), (F.col("l_linenumber") * 50.0).alias("y"), F.when(F.col("l_partkey") % 17 > 0, F.col("l_tax") * 4000).alias("width"), (100.0 * (F.col("l_suppkey") % 5)).alias("height"))
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    o = store.dealt(table(spark, sf, "orders"), "o_orderkey", like=l)
+    f = o.select(k.alias("k"), F.lit(500).alias("width"), F.lit(500).alias("height"), F.when(k % 11 > 0, k % 13 / 10.0).alias("t_start"), (k % 7 / 6.0).alias("t_trigger"))
+    p = store.dealt(l, "l_orderkey").filter("l_linenumber <= 4").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("panel"), (F.col("l_quantity") * 9 - 20).alias("x"), (F.col("l_linenumber") * 50.0).alias("y"), F.when(F.col("l_partkey") % 17 > 0, F.col("l_tax") * 4000).alias("width"), (100.0 * (F.col("l_suppkey") % 5)).alias("height"))
     point = lambda x, y: F.struct(F.lit(x).cast("double").alias("x"), y.cast("double").alias("y"))
     points = F.when(k % 3 == 0, F.array(point(0.1, F.lit(0.1)))).otherwise(F.array(point(0.1, F.lit(0.2)), point(0.4, F.when((k % 3 == 1) & (k % 5 == 0), F.lit(None)).otherwise(F.lit(0.5))), point(0.5, F.when(k % 4 == 0, F.lit(1.5)).otherwise(F.lit(0.5)))))
-    c = table(spark, sf, "orders").select(k.alias("k"), F.lit("serving").alias("curve"), points.alias("points"))
+    c = o.select(k.alias("k"), F.lit("serving").alias("curve"), points.alias("points"))
     return figures.panel_issues(f, p, c, "k").groupBy("code").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
 
 
