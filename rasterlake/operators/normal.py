@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterlake.functions import figures as G
-from rasterlake.operators import sequence, spatial
+from rasterlake.operators import render, sequence, spatial
 from rasterlake.operators.curves import simplify_array
 
 #: Font size (of a figure 360 pixels high), weight and anchor by role; other roles are laid out as annotations.
@@ -122,7 +122,10 @@ def normal_flow(nodes: DataFrame, edges: DataFrame, key: str, grid: float) -> tu
     middle = lambda c, size: G.snapped(F.col(c) + F.col(size) / 2, grid).alias(c)
     at = n.select(key, "id", F.struct(middle("x", "width"), middle("y", "height")).alias("at"))
     e = edges.withColumn("dasharray", G.default_dashes("dashed", "dasharray", "stroke_width", 2.0))
-    e = e.join(at.withColumnRenamed("id", "a").withColumnRenamed("at", "__a"), [key, "a"], "left").join(at.withColumnRenamed("id", "b").withColumnRenamed("at", "__b"), [key, "b"], "left")
+    # the nodes of a chart meet its edges by the chart alone, so one shuffle on it serves both ends
+    e = e.join(render.many(at.groupBy(key).agg(F.collect_list(F.struct("id", "at")).alias("__nodes"))), key, "left")
+    of = lambda end: F.explode_outer(F.filter("__nodes", lambda n: n["id"] == F.col(end)))
+    e = e.withColumn("__a", of("a")).withColumn("__b", of("b")).withColumns({"__a": F.col("__a.at"), "__b": F.col("__b.at")})
     whole = F.filter("points", lambda p: p["x"].isNotNull() & p["y"].isNotNull())
     on = F.transform(whole, lambda p: F.struct(G.snapped(p["x"].cast("double"), grid).alias("x"), G.snapped(p["y"].cast("double"), grid).alias("y")))
     kept = _not_in_line(on, grid * 0.4)

@@ -130,10 +130,12 @@ CASE WHEN c >= 2 THEN CASE WHEN f.k % 4 > 0 THEN ({_SNAP('ax + aw / 2')})::BIGIN
 def normal_flows(spark, sf):
     """NRM-01, WIN-15: edges of flow charts on the grid, without points in line, and from the middle of their first node where it exists."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    nodes = table(spark, sf, "orders").filter(k % 4 > 0).select(k.alias("k"), F.lit("a").alias("id"), (c % 501 * 1.3).cast("double").alias("x"), (c % 77).cast("double").alias("y"), (c % 9).cast("double").alias("width"), F.lit(40.0).alias("height"))
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    o = store.dealt(table(spark, sf, "orders"), "o_orderkey", like=l)
+    nodes = o.filter(k % 4 > 0).select(k.alias("k"), F.lit("a").alias("id"), (c % 501 * 1.3).cast("double").alias("x"), (c % 77).cast("double").alias("y"), (c % 9).cast("double").alias("width"), F.lit(40.0).alias("height"))
     at = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     points = F.transform(F.array_sort(F.collect_list(at)), lambda s: F.struct((s["l_quantity"] * 7).alias("x"), (s["l_suppkey"] % 10 * 4).cast("double").alias("y")))
-    edges = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select(k.alias("l_orderkey")), "l_orderkey", "left_semi").groupBy(F.col("l_orderkey").alias("k")).agg(points.alias("points"))
+    edges = store.dealt(l, "l_orderkey").join(render.many(o.select(k.alias("l_orderkey"))), "l_orderkey", "left_semi").groupBy(F.col("l_orderkey").alias("k")).agg(points.alias("points"))
     edges = edges.select("k", F.lit("a").alias("a"), F.lit("gone").alias("b"), "points", F.lit(False).alias("dashed"), F.lit(None).cast("array<double>").alias("dasharray"), F.lit(2.0).alias("stroke_width"))
     d = normal.normal_flow(nodes, edges, "k", 5.0)[1]
     text = lambda p: F.concat(p["x"].cast("long").cast("string"), F.lit(","), p["y"].cast("long").cast("string"))
