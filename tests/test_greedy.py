@@ -1,5 +1,6 @@
 """De-duplication in rounds against the plain fold over ordered items."""
 
+import functools
 import math
 import time
 
@@ -102,3 +103,56 @@ def test_a_hundred_thousand_items_of_one_key(spark):
         if all(math.hypot(x - a, y - b) > 5 for dx in (-1, 0, 1) for dy in (-1, 0, 1) for a, b in cells.get((c[0] + dx, c[1] + dy), ())):
             cells.setdefault(c, []).append((x, y))
     assert sorted((r.x, r.y) for r in got) == sorted(p for v in cells.values() for p in v)
+
+def plain_texts(items, similarity, distance):
+    """What a fold keeps of (key, order, text, x, y), by its own edit distance."""
+
+    @functools.cache
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, e in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != e))
+        return row[-1]
+
+    def clash(p, q):
+        a, b = p[2].strip(" ").lower(), q[2].strip(" ").lower()
+        return math.hypot(round(p[3]) - round(q[3]), round(p[4]) - round(q[4])) < distance and (a == b or 1 - edits(a, b) / max(len(a), len(b)) > similarity)
+
+    return fold(sorted((i for i in items if i[2].strip(" ")), key=lambda i: i[1]), clash)
+
+
+@pytest.mark.parametrize(("part", "similarity"), [(200_000, 0.85), (5, 0.85), (40, 0.6), (40, 0.3)])
+def test_texts_without_a_list_of_clashes(spark, in_rounds, monkeypatch, part, similarity):
+    monkeypatch.setattr(greedy, "PART", part)
+    r = np.random.default_rng(5)
+    letters = list("abcäé\U0001f600")
+    words = ["".join(r.choice(letters, r.integers(1, 16))) for _ in range(12)]
+    for w in list(words):  # and edited ones
+        for _ in range(3):
+            at = int(r.integers(0, len(w)))
+            words.append([w[:at] + w[at + 1 :], w[:at] + "x" + w[at + 1 :], w[:at] + "y" + w[at:], "z" + w[:-1]][int(r.integers(0, 4))])
+    items = [(1, int(o), f" {w}" if o % 7 == 0 else w.upper() if o % 5 == 0 else w, float(r.random() * 120), float(r.random() * 60)) for o, w in enumerate(r.choice(words, 260).tolist())]
+    items += [(1, 1000 + k, "chain", 9.0 * k, 500.0) for k in range(12)]
+    df = spark.createDataFrame([*items, (1, 5000, "chain", None, 500.0), (1, 5001, "chain", float("nan"), 500.0)], "k int, ord int, t string, x double, y double")
+    got = rows(spatial.text_dedup(df, ["k"], "t", "x", "y", "ord", similarity, 20.0), "ord")
+    assert got == sorted(repr((o,)) for o in [*(i[1] for i in plain_texts(items, similarity, 20.0)), 5000, 5001])
+
+
+@pytest.mark.parametrize("part", [200_000, 20_000])
+def test_equal_texts_at_ninety_thousand_places(spark, monkeypatch, part):
+    """Each is near 2,800 others: 127 million clashes."""
+    monkeypatch.setattr(greedy, "PART", part)
+    n, side = 90_000, 300
+    df = spark.range(n, numPartitions=8).selectExpr("1 AS k", "id AS ord", "'Threshold' AS t", f"CAST((id * 7919) % {n} % {side} AS double) AS x", f"CAST(floor((id * 7919) % {n} / {side}) AS double) AS y")
+    began = time.time()
+    got = sorted(r.ord for r in spatial.text_dedup(df, ["k"], "t", "x", "y", "ord", distance=30.0).select("ord").collect())
+    assert time.time() - began < 100
+    kept, want = [], []
+    for k in range(n):
+        y, x = divmod(k * 7919 % n, side)
+        if all((x - a) ** 2 + (y - b) ** 2 >= 900 for a, b in kept):
+            kept.append((x, y))
+            want.append(k)
+    assert got == want
