@@ -11,6 +11,8 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from rasterlake.llm.work import runs
 
@@ -83,6 +85,50 @@ class ChunkEncoder:
             pieces = self.cut(t) if t else ()
             index.extend(map(get, pieces))
             counts.append(len(pieces))
+        at = np.array(index, np.int64)
+        return self._ids(at, np.array(counts, np.int64), at)
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of a column, for a tokenizer that cuts by before_space: Arrow cuts the texts and numbers the distinct pieces, so
+        the cache is asked once for each and not for each occurrence. Texts with a space before white space or their end are cut one by one."""
+        if self.cut is not before_space:
+            return self(texts.to_pylist())
+        if len(self.known) > self.cap:
+            self._start()
+        get = self.known.__getitem__
+        cut = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        counts = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+        pieces, ends = cut.flatten(), np.cumsum(counts)
+        heads = ends - counts  # every text has a piece, and its first one has no space before it
+        later = np.ones(len(pieces), bool)
+        later[heads] = False
+        coded = pieces.filter(pa.array(later)).dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        odd = [k for k, c in enumerate(names) if not c or c[0].isspace()]
+        tangled: dict[int, list[int]] = {}
+        if odd:
+            for k in odd:
+                names[k] = None
+            among = np.zeros(len(names), bool)
+            among[odd] = True
+            spots = np.flatnonzero(later)[among[coded.indices.to_numpy()]]
+            which = np.unique(np.searchsorted(ends, spots, "right")).tolist()
+            tangled = {i: list(map(get, before_space(texts[i].as_py()))) for i in which}
+        found = np.fromiter((0 if c is None else get(c) for c in names) if odd else map(get, names), np.int64, len(names))
+        first = [(c,) for c in pieces.take(pa.array(heads)).to_pylist()]
+        at = np.empty(len(pieces), np.int64)
+        at[later] = found[coded.indices.to_numpy()]
+        at[heads] = np.fromiter((0 if i in tangled else get(c) for i, c in enumerate(first)), np.int64, len(first))
+        if tangled:
+            parts = np.split(at, ends[:-1])
+            for i, index in tangled.items():
+                parts[i], counts[i] = np.array(index, np.int64), len(index)
+            at = np.concatenate(parts)
+            return self._ids(at, counts, at)
+        return self._ids(at, counts, np.concatenate([found, at[heads]]))
+
+    def _ids(self, at: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts of so many chunks each, by their places in the cache. asked: every place at least once."""
         if self.fresh:
             ids, lengths = self.resolve(self.fresh)
             while self.used + len(ids) > len(self.ids):
@@ -92,10 +138,9 @@ class ChunkEncoder:
             self.length = np.concatenate([self.length, lengths])
             self.used += len(ids)
             self.fresh.clear()
-        at = np.array(index, np.int64)
         if len(self.met) < len(self.known):
             self.met = np.concatenate([self.met, np.zeros(len(self.known) - len(self.met), np.uint8)])
-        self.met[at] += (self.met[at] < 2).astype(np.uint8)  # repeats inside one batch count once
+        self.met[asked] += (self.met[asked] < 2).astype(np.uint8)  # repeats inside one batch count once
         length = self.length[at]
         flat = self.ids[runs(length, self.start[at])]
         total = np.concatenate([[0], np.cumsum(length)])

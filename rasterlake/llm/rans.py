@@ -35,6 +35,7 @@ MAGIC = b"RLS1"
 HEAD = struct.Struct("<4sBBHIQIIIQ")
 LANES, STRIDE, BLOCK = 256, 256, 1 << 18  # a checkpoint every STRIDE steps, i.e. 65,536 tokens
 SHARD_TOKENS = 1 << 21
+SLICE = 4 << 20  # bytes of text that are encoded at once
 FLOOR = np.uint64(1 << 31)
 END_ID = 0
 
@@ -219,10 +220,10 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
-            for piece in work.slices(batch, "text"):
-                names, texts = piece.column("doc_id").to_pylist(), piece.column("text").to_pylist()
-                flat, counts = encode(texts)
-                out = np.full(len(flat) + len(texts), end_id, np.uint32)
+            for piece in work.slices(batch, "text", SLICE):
+                names = piece.column("doc_id").to_pylist()
+                flat, counts = encode.column(piece.column("text"))
+                out = np.full(len(flat) + len(names), end_id, np.uint32)
                 out[work.runs(counts, np.cumsum(counts + 1) - counts - 1)] = flat
                 held.append((names, out, counts + 1))
                 size += len(out)

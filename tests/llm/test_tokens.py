@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
@@ -231,3 +232,27 @@ def test_shards_spread_null_ids(spark, tmp_path):
     _, want = library("byte_bpe_50k.json", texts)
     assert sorted(bytes(r.ids) for r in got) == sorted(np.array([*x, 0], "<u4").tobytes() for x in want)
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+
+
+def test_a_column_asks_the_cache_once_a_distinct_piece():
+    texts = [*ODD, *more(), None, "", " ", "  two  spaces ", " lead", "end ", "a  b", "a \x1cb", "tab\t x", "x\n y", "same words same words"] * 3
+    name = "byte_bpe_50k.json"
+    encoder = chunks.ChunkEncoder(*chunks.library_resolver(public_tokenizers.path(name)))
+    _, want = library(name, texts)
+    for part in (texts, texts[:1], [None], [], texts[::-1], [t for t in texts if t and "  " in t]):
+        order = {t: w for t, w in zip(texts, want, strict=True)}
+        for column in (pa.array(part, pa.string()), pa.array(["cut", *part], pa.large_string()).slice(1)):
+            flat, counts = encoder.column(column)
+            assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])][: len(part)] == [list(order[t]) for t in part]
+    asked = []
+
+    class Counting(type(encoder.known)):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    encoder.known.__class__ = Counting
+    flat, counts = encoder.column(pa.array(["one two two two one"] * 500))
+    assert len(asked) == 500 + 2  # the first word of each text, which has no space before it, and two others
+    again, same = encoder(["one two two two one"] * 500)
+    assert np.array_equal(flat, again) and np.array_equal(counts, same)
