@@ -83,6 +83,13 @@ def snap(x: Column, grid: float) -> Column:
     return F.bround(x / grid) * grid
 
 
+def round_product(x: Column, digits: int) -> Column:
+    """A double to so many digits by rounding its product with 10^digits half away from zero, as C and SQL engines do; F.round() takes its shortest
+    decimal instead, which is apart for doubles right beside a half. A product out of range leaves x."""
+    d = F.round(x * F.lit(10.0**digits)) / F.lit(10.0**digits)
+    return F.when(F.abs(d) < F.lit(float("inf")), d).otherwise(x)
+
+
 def clamp(x: Column, low: Column | float, high: Column | float) -> Column:
     f = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.greatest(f(low), F.least(f(high), x))

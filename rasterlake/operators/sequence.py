@@ -114,8 +114,8 @@ def interpolate(series: DataFrame, keys: list[str], pos: str, value: str) -> Dat
     d = series.filter(F.col(pos).isNotNull()).select(*keys, pos, F.when(here, F.col(value)).alias("__v"))
     on, back = (Window.partitionBy(*keys).orderBy(order(pos)) for order in (F.asc, F.desc))
     known = F.when(F.col("__v").isNotNull(), F.struct(F.col(pos).alias("x"), F.col("__v").alias("y")))
-    d = d.withColumn("__next", F.lead(pos).over(on)).withColumn("__a", F.last(known, True).over(on.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.withColumn("__b", F.last(known, True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.withColumn("__next", F.lead(pos).over(on)).withColumn("__a", F.last(known, True).over(on.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.withColumn("__at", F.explode(F.sequence(F.col(pos), F.greatest(F.col(pos), F.col("__next") - 1))))
     own = F.when(F.col("__at") == F.col(pos), F.col("__v"))
     a, b = F.col("__a"), F.col("__b")
@@ -123,6 +123,14 @@ def interpolate(series: DataFrame, keys: list[str], pos: str, value: str) -> Dat
     return d.select(*keys, F.col("__at").alias(pos), F.coalesce(own, made).alias(value), own.isNull().alias("made"))
 
 
+def mean_in_order(series: DataFrame, keys: list[str], pos: str, value: str, *more: Column) -> DataFrame:
+    """Mean of each key's values that aren't null, added one by one from the least pos on: a sum of doubles hangs on their order in its last bits,
+    which decide where a mean lies half-way between two roundings. more: other aggregates of the series, before the mean."""
+    w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    d = series.withColumn("__sum", F.sum(value).over(w))
+    return d.groupBy(*keys).agg(*more, F.try_divide(F.max_by("__sum", pos), F.count(value)).alias("mean"))
+
+
 def dash_stats(runs: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     """Mean, population deviation and variation of the lengths of true runs and of the positive gaps between
     them (AGG-18), over runs (keys, start, len) of one value. more: other aggregates of the runs."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rasterlake.functions import exprs as X
 from rasterlake.operators import scoring, sequence
 from rasterlake.plans.common import day, query, sql_day, table
 from rasterlake.sources import store
@@ -165,7 +166,8 @@ def centerline(spark, sf):
     """AGG-11, WIN-16: hourly medians of each user, hours without events interpolated."""
     h = store.dealt(table(spark, sf, "events"), "user_id").groupBy("user_id", F.floor(F.unix_timestamp("ts") / 3600).alias("h")).agg(F.median("value").alias("v"))
     d = sequence.interpolate(h, ["user_id"], "h", "v")
-    return d.groupBy("user_id").agg(F.count("*").alias("positions"), F.count_if("made").alias("made"), F.round(F.avg("v"), 1).alias("mean"))
+    d = sequence.mean_in_order(d, ["user_id"], "h", "v", F.count("*").alias("positions"), F.count_if("made").alias("made"))
+    return d.withColumn("mean", X.round_product(F.col("mean"), 1))
 
 
 @query("""WITH t AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderdate, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END AS m FROM orders),

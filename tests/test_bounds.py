@@ -3,10 +3,12 @@
 import os
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from rasterlake import plans
+from rasterlake.functions import exprs as X
 from rasterlake.operators import candidates, classify, colors, figures, normal, panels, sequence, spatial
 from rasterlake.plans import cases
 from rasterlake.sources import store
@@ -107,6 +109,31 @@ def test_interpolated_positions_in_proportion(spark):
     assert "Join" not in p and "unboundedfollowing" not in p
 
 
+def test_means_half_way_between_two_roundings_are_the_sqls(spark, tmp_path):
+    """Hours are added in their order, and the mean is rounded by its product with 10: each of these users' means lies right beside a half."""
+    users = {1: ([0, 2, 8], [103.57, 113.47, 102.49]), 2: ([0, 5, 7, 10], [82.28, 7.04, 113.62, 23.91]), 3: ([0, 4, 8], [154.64, 15.35, 197.54]), 4: ([0, 3, 7], [139.83, 46.59, 12.83])}
+    rows = [(k, 1704067200 + 3600 * h, v) for k, (hours, values) in users.items() for h, v in zip(hours, values, strict=True)] + [(None, 1704067200, 1.0), (5, 1704067200, None)]
+    events = spark.createDataFrame(rows, "user_id long, s long, value double").select("user_id", F.timestamp_seconds("s").alias("ts"), "value")
+    events.coalesce(1).write.parquet(f"file://{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    order = lambda r: r[0] or 0
+    want = sorted(con.execute(plans.SQL["centerline"]).fetchall(), key=order)
+    assert [r[3] for r in want] == [None, 107.6, 54.9, 104.7, 59.4, None]
+    assert sorted(map(tuple, plans.QUERIES["centerline"](spark, f"file://{tmp_path}").collect()), key=order) == want
+
+
+def test_sums_do_not_hang_on_the_order_of_rows(spark):
+    values = [0.1, 1e16, None, -1e16, 0.3, 0.2]
+    rows = [(1, p, v) for p, v in enumerate(values)] + [(2, 0, None)]
+    for d in (rows, rows[::-1]):
+        got = sequence.mean_in_order(spark.createDataFrame(d, "k int, p int, v double").coalesce(1), ["k"], "p", "v", F.count("*").alias("n")).collect()
+        assert sorted(map(tuple, got)) == [(1, 6, (0.1 + 1e16 - 1e16 + 0.3 + 0.2) / 5), (2, 1, None)]
+    d = spark.createDataFrame([(1, 104.64999999999999), (2, -0.35), (3, 1.04), (4, 1e308), (5, float("inf")), (6, None)], "k int, x double")
+    assert [r[1] for r in sorted(d.select("k", X.round_product(F.col("x"), 1)).collect())] == [104.7, -0.4, 1.0, 1e308, float("inf"), None]
+
+
 def test_edges_meet_nodes_as_a_join_does(spark):
     """Two nodes of one name give an edge each; an end without a node keeps its point."""
     nodes = spark.createDataFrame([(1, "a", 0.0, 0.0, 10.0, 10.0), (1, "a", 100.0, 0.0, 10.0, 10.0), (1, "b", 50.0, 50.0, 20.0, 20.0)], "k int, id string, x double, y double, width double, height double")
