@@ -164,7 +164,8 @@ f AS (SELECT user_id, h, v, last_value(CASE WHEN v IS NOT NULL THEN h END IGNORE
 SELECT user_id, count(*) AS positions, count(*) FILTER (v IS NULL) AS made, round(avg(coalesce(v, y0 + (y1 - y0) * (h - x0) / (x1 - x0))), 1) AS mean FROM f GROUP BY user_id""")
 def centerline(spark, sf):
     """AGG-11, WIN-16: hourly medians of each user, hours without events interpolated."""
-    h = store.dealt(table(spark, sf, "events"), "user_id").groupBy("user_id", F.floor(F.unix_timestamp("ts") / 3600).alias("h")).agg(F.median("value").alias("v"))
+    hour = F.unix_date(F.to_date("ts")).cast("long") * 24 + F.hour("ts")  # unix_timestamp() cuts parts of a second towards 1970
+    h = store.dealt(table(spark, sf, "events"), "user_id").groupBy("user_id", hour.alias("h")).agg(F.median("value").alias("v"))
     d = sequence.interpolate(h, ["user_id"], "h", "v")
     d = sequence.mean_in_order(d, ["user_id"], "h", "v", F.count("*").alias("positions"), F.count_if("made").alias("made"))
     return d.withColumn("mean", X.round_product(F.col("mean"), 1))

@@ -124,6 +124,18 @@ def test_means_half_way_between_two_roundings_are_the_sqls(spark, tmp_path):
     assert sorted(map(tuple, plans.QUERIES["centerline"](spark, f"file://{tmp_path}").collect()), key=order) == want
 
 
+def test_hours_before_1970_end_with_their_last_part_of_a_second(spark, tmp_path):
+    """13:59:59.75 is in the hour from 13:00 on, before 1970 too."""
+    at = ["1950-06-30 10:00:00.25", "1950-06-30 13:59:59.75", "1969-12-31 23:59:59.5", "1970-01-01 00:00:00", "2024-01-01 00:59:59.999999", "2024-01-01 02:00:00"]
+    events = spark.createDataFrame([(k // 2, t, k + 0.25) for k, t in enumerate(at)], "user_id long, t string, value double").select("user_id", F.to_timestamp_ntz("t").alias("ts"), "value")
+    events.coalesce(1).write.parquet(f"file://{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(plans.SQL["centerline"]).fetchall())
+    assert [r[1:3] for r in want] == [(4, 2), (2, 0), (3, 1)]
+    assert sorted(map(tuple, plans.QUERIES["centerline"](spark, f"file://{tmp_path}").collect())) == want
+
+
 def test_sums_do_not_hang_on_the_order_of_rows(spark):
     values = [0.1, 1e16, None, -1e16, 0.3, 0.2]
     rows = [(1, p, v) for p, v in enumerate(values)] + [(2, 0, None)]
